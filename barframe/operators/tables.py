@@ -12,18 +12,26 @@ from barframe.operators.series import with_position
 from barframe.schema import SERIES, TS
 
 
-def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: str = "first") -> DataFrame:
+def row_hash(df: DataFrame, leave_out: Sequence[str] = ()) -> Column:
+    """Hash of a row's columns (maps as sorted entries)."""
+    cols = [
+        F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in df.schema.fields if f.name not in leave_out
+    ]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
+
+
+def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], keep: str = "first") -> DataFrame:
     """One row per key: the first (or last) under ``order``.
 
     The rank filter is applied map-side before the shuffle, so many copies of one key do not travel.
     Remaining ties are settled by the other columns, which makes reruns repeatable.
     """
-    rest = [c for c in df.columns if c not in key]
-    directions = list(order)
-    if keep == "last":
-        raise ValueError("pass descending order expressions instead of keep='last'")
-    tie = F.xxhash64(*rest) if rest else F.lit(0)
-    w = Window.partitionBy(*key).orderBy(*directions, tie)
+    if keep not in ("first", "last"):
+        raise ValueError("keep must be 'first' or 'last'")
+    if keep == "last":  # plain column names only
+        order = [F.col(c).desc_nulls_last() for c in order]
+    w = Window.partitionBy(*key).orderBy(*order, row_hash(df, key))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
@@ -51,8 +59,7 @@ def spread_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     holding a third of the data spreads over ``salts`` tasks if Spark shuffles the join. When the
     small side's measured size is below the broadcast threshold, Spark broadcasts it instead.
     """
-    rest = [c for c in df.columns if c not in on and not isinstance(df.schema[c].dataType, T.MapType)]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(row_hash(df, on), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 

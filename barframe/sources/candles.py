@@ -20,7 +20,7 @@ def read_ohlcv(spark: SparkSession, root: str, pair: str | None = None, interval
     path = f"{root}/ohlcv"
     if not exists(spark, path):
         raise FileNotFoundError(f"no candle table under {path}; land candles with upsert_ohlcv first")
-    df = spark.read.schema(CANDLE_KEYED.add("month", T.StringType())).parquet(path)
+    df = spark.read.schema(T.StructType([*CANDLE_KEYED.fields, T.StructField("month", T.StringType())])).parquet(path)
     for name, wanted in (("pair", pair), ("interval", interval)):
         if wanted is not None:
             df = df.filter(F.col(name) == wanted)

@@ -330,13 +330,13 @@ def _(spark, sf):
 
 
 @query("f10_f11_f12_scalars", """SELECT CASE event_type WHEN 'click' THEN '1h' WHEN 'view' THEN '5m' WHEN 'error' THEN '1w' ELSE 'x' END AS iv,
-  CASE event_type WHEN 'click' THEN 3600000 WHEN 'view' THEN 300000 WHEN 'error' THEN 604800000 END::BIGINT AS len,
+  CASE event_type WHEN 'click' THEN 3600000 WHEN 'view' THEN 300000 WHEN 'error' THEN 604800000 END::DOUBLE AS len,
   'feed_' || event_type AS slug, max(epoch_ms(date_trunc('second', ts)))::BIGINT AS at, count(*)::BIGINT AS n FROM events GROUP BY event_type""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     iv = F.when(F.col("event_type") == "click", "1h").when(F.col("event_type") == "view", "5m").when(F.col("event_type") == "error", "1w").otherwise("x")
     return e.select(
-        iv.alias("iv"), interval_ms(iv).alias("len"), source_slug(F.concat(F.lit("Feed "), "event_type")).alias("slug"),
+        iv.alias("iv"), interval_ms(iv).cast("double").alias("len"), source_slug(F.concat(F.lit("Feed "), "event_type")).alias("slug"),
         utc(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"),
     ).groupBy("iv", "len", "slug").agg(F.max(F.unix_millis("ts")).alias("at"), F.count(F.lit(1)).alias("n"))
 
@@ -402,11 +402,12 @@ def _(spark, sf):
     return _select(features.with_time_features(bars(spark, sf)), ["hod_sin", "hod_cos", "dow_sin", "dow_cos"])
 
 
-@query("w11_direction_label", f"""WITH {BARS} SELECT pair, {ms('open_time')}, (lead(close, 1) OVER w > close)::BIGINT AS y1,
-  (lead(close, 5) OVER w > close)::BIGINT AS y5 FROM bars WINDOW w AS (PARTITION BY pair ORDER BY bars.open_time)""")
+@query("w11_direction_label", f"""WITH {BARS} SELECT pair, {ms('open_time')}, (lead(close, 1) OVER w > close)::INT::DOUBLE AS y1,
+  (lead(close, 5) OVER w > close)::INT::DOUBLE AS y5 FROM bars WINDOW w AS (PARTITION BY pair ORDER BY bars.open_time)""")
 def _(spark, sf):
     one = labels.with_direction_label(positioned(spark, sf), 1, "y1", block=BLOCK)
-    return _select(labels.with_direction_label(one, 5, "y5", block=BLOCK), ["y1", "y5"])
+    both = labels.with_direction_label(one, 5, "y5", block=BLOCK)
+    return _select(both, [F.col(c).cast("double").alias(c) for c in ("y1", "y5")])
 
 
 @query("w12_return_label", f"""WITH {BARS} SELECT pair, {ms('open_time')}, {r('ln(lead(close) OVER w / close) AS next_ret')}
