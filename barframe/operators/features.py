@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.scalar import cyclic, finite, ratio, safe_ln
-from barframe.operators.series import BLOCK_ROWS, Frame, ema_memory, ema_steps, over_rows, with_position
+from barframe.operators.series import BLOCK_ROWS, Frame, Rolling, ema_memory, ema_steps, over_rows, with_position
 from barframe.schema import SERIES, TS
 
 WARMUP_ROWS = 50
@@ -30,31 +30,22 @@ def _returns(f: Frame, lags: Sequence[int]) -> dict[str, Column]:
     return {f"ret_{k}": safe_ln(ratio(F.col("close"), f.lag("close", k))) for k in lags}
 
 
-def _rolling(f: Frame, windows: Sequence[int]) -> dict[str, Column]:
+def _rolling(stats: Rolling, windows: Sequence[int]) -> dict[str, Column]:
     out = {}
     for w in windows:
-        win = f.rows(w - 1)
-        low, high = F.min("close").over(win), F.max("close").over(win)
-        out[f"sma_{w}"] = f.full(w, F.avg("close").over(win))
-        out[f"std_{w}"] = f.full(w, F.when(low == high, 0.0).otherwise(F.stddev_pop("close").over(win)))
-        out[f"band_pos_{w}"] = f.full(w, ratio(F.col("close") - low, high - low))
+        low, high = stats.low(w), stats.high(w)
+        out |= {f"sma_{w}": stats.mean(w), f"std_{w}": stats.std(w), f"band_pos_{w}": ratio(F.col("close") - low, high - low)}
     return out
 
 
-def _bollinger(f: Frame, width: int = 20, k: float = 2.0) -> dict[str, Column]:
-    win = f.rows(width - 1)
-    flat = F.min("close").over(win) == F.max("close").over(win)
-    mid, dev = F.avg("close").over(win), F.stddev_pop("close").over(win)
-    band = F.when(~flat, ratio(F.col("close") - (mid - dev * k), dev * (2 * k)))
-    return {"bb_pct_b": f.full(width, band)}
+def _bollinger(stats: Rolling, width: int = 20, k: float = 2.0) -> dict[str, Column]:
+    mid, dev = stats.mean(width), stats.std(width)
+    return {"bb_pct_b": ratio(F.col("close") - (mid - dev * k), dev * (2 * k))}
 
 
-def _volume(f: Frame, windows: Sequence[int]) -> dict[str, Column]:
-    out = {
-        f"vol_ratio_{w}": f.full(w, ratio(F.col("volume"), F.avg("volume").over(f.rows(w - 1)))) for w in windows
-    }
-    out["taker_buy_share"] = ratio(F.col("taker_buy_base"), F.col("volume"))
-    return out
+def _volume(stats: Rolling, windows: Sequence[int]) -> dict[str, Column]:
+    out = {f"vol_ratio_{w}": ratio(F.col("volume"), stats.mean(w)) for w in windows}
+    return out | {"taker_buy_share": ratio(F.col("taker_buy_base"), F.col("volume"))}
 
 
 def _true_range(f: Frame) -> dict[str, Column]:
@@ -131,7 +122,9 @@ def with_log_returns(df: DataFrame, lags: Sequence[int] = RETURN_LAGS, block: in
 
 def with_rolling_stats(df: DataFrame, windows: Sequence[int] = ROLLING, block: int = BLOCK_ROWS) -> DataFrame:
     """Mean, population deviation and band position over full windows."""
-    return over_rows(df, lambda f: _rolling(f, windows), before=max(windows) - 1, block=block)
+    stats = Rolling("c", "close", windows, extremes=True)
+    steps = [*stats.steps, lambda f: _rolling(stats, windows)]
+    return _public(over_rows(df, steps, before=max(windows) - 1, block=block))
 
 
 def with_rsi(df: DataFrame, period: int = 14, block: int = BLOCK_ROWS) -> DataFrame:
@@ -153,14 +146,16 @@ def with_atr(df: DataFrame, period: int = 14, block: int = BLOCK_ROWS) -> DataFr
 
 def with_bollinger(df: DataFrame, width: int = 20, k: float = 2.0, block: int = BLOCK_ROWS) -> DataFrame:
     """Position of the close inside the Bollinger band (``bb_pct_b``)."""
-    return over_rows(df, lambda f: _bollinger(f, width, k), before=width - 1, block=block)
+    stats = Rolling("c", "close", [width], extremes=True)
+    return _public(over_rows(df, [*stats.steps, lambda f: _bollinger(stats, width, k)], before=width - 1, block=block))
 
 
 def with_volume_features(
     df: DataFrame, windows: Sequence[int] = VOLUME_WINDOWS, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Volume relative to its rolling mean, and the taker share of volume."""
-    return over_rows(df, lambda f: _volume(f, windows), before=max(windows) - 1, block=block)
+    stats = Rolling("v", "volume", windows, spread=False)
+    return _public(over_rows(df, [*stats.steps, lambda f: _volume(stats, windows)], before=max(windows) - 1, block=block))
 
 
 def with_time_features(df: DataFrame, ts: str = TS) -> DataFrame:
@@ -172,32 +167,24 @@ def with_time_features(df: DataFrame, ts: str = TS) -> DataFrame:
 
 def with_realised_vol(df: DataFrame, bars: int, name: str | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """Population deviation of the last ``bars`` log returns; null with fewer earlier bars."""
-    return over_rows(df, realised_vol_steps({name or f"vol_{bars}": bars}), before=bars, block=block).drop("_ret")
+    return _public(over_rows(df, realised_vol_steps({name or f"vol_{bars}": bars}), before=bars, block=block))
 
 
-def realised_vol_steps(names: dict[str, int]):
-    """Steps computing several realised volatilities in one pass."""
+def _last_return(f: Frame) -> dict[str, Column]:
+    return {"_ret": safe_ln(ratio(F.col("close"), f.lag("close")))}
 
-    def vols(f: Frame) -> dict[str, Column]:
-        return {
-            name: F.when(
-                F.count("_ret").over(f.rows(n - 1)) == n, F.stddev_pop("_ret").over(f.rows(n - 1))
-            )
-            for name, n in names.items()
-        }
 
-    return [lambda f: {"_ret": safe_ln(ratio(F.col("close"), f.lag("close")))}, vols]
+def realised_vol_steps(names: dict[str, int]):
+    """Steps computing several realised volatilities in one pass."""
+    stats = Rolling("r", "_ret", list(names.values()))
+    return [_last_return, *stats.steps, lambda f: {name: stats.std(n) for name, n in names.items()}]
 
 
 def regime_inputs(df: DataFrame, vol_window: int = 24, block: int = BLOCK_ROWS) -> DataFrame:
     """``log_return`` and its rolling sample deviation; rows without both are dropped."""
-
-    def vol(f: Frame) -> dict[str, Column]:
-        win = f.rows(vol_window - 1)
-        return {"vol": F.when(F.count("log_return").over(win) == vol_window, F.stddev_samp("log_return").over(win))}
-
-    steps = [lambda f: {"log_return": safe_ln(ratio(F.col("close"), f.lag("close")))}, vol]
-    return over_rows(df, steps, before=vol_window, block=block).dropna(subset=["log_return", "vol"])
+    stats = Rolling("r", "_ret", [vol_window])
+    steps = [_last_return, *stats.steps, lambda f: {"log_return": F.col("_ret"), "vol": stats.std(vol_window, ddof=1)}]
+    return _public(over_rows(df, steps, before=vol_window, block=block)).dropna(subset=["log_return", "vol"])
 
 
 # --------------------------------------------------------------------------- whole feature frame
@@ -217,24 +204,26 @@ def compute_features(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     Input rows need ``pos`` (see ``with_position``); nothing is trimmed or dropped here.
     """
 
-    def plain(f: Frame) -> dict[str, Column]:
-        return {
-            **_returns(f, RETURN_LAGS), **_rolling(f, ROLLING), **_bollinger(f), **_volume(f, VOLUME_WINDOWS),
-            **_true_range(f), **_moves(f),
-        }
-
-    recursive = _merge(
+    closes = Rolling("c", "close", ROLLING, extremes=True)
+    volumes = Rolling("v", "volume", VOLUME_WINDOWS, spread=False)
+    averages = [
         ema_steps("_rsi_up", "_up", 1 / 14, 14), ema_steps("_rsi_down", "_down", 1 / 14, 14),
         ema_steps("atr_14", "_tr", 1 / 14, 14),
         ema_steps("_fast", "close", 2 / 13), ema_steps("_slow", "close", 2 / 27),
-    )
-    tail = [
+    ]
+    recursive = [
+        lambda f: {**_returns(f, RETURN_LAGS), **_true_range(f), **_moves(f)},
+        *_merge(*averages),
         lambda f: {"macd": F.col("_fast") - F.col("_slow"), "rsi_14": _rsi_value(14)},
         *ema_steps("macd_signal", "macd", 2 / 10),
-        lambda f: {"macd_hist": F.col("macd") - F.col("macd_signal")},
     ]
+    final = lambda f: {
+        "macd_hist": F.col("macd") - F.col("macd_signal"),
+        **_rolling(closes, ROLLING), **_bollinger(closes), **_volume(volumes, VOLUME_WINDOWS),
+    }
+    steps = [*_merge(recursive, closes.steps, volumes.steps), final]
     before = max(_macd_memory(12, 26, 9), ema_memory(1 / 14) + 1, max(ROLLING))
-    return with_time_features(_public(over_rows(df, [plain, *recursive, *tail], before=before, block=block)))
+    return with_time_features(_public(over_rows(df, steps, before=before, block=block)))
 
 
 def build_features(bars: DataFrame, drop_warmup: bool = True, block: int = BLOCK_ROWS) -> DataFrame:

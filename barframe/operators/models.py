@@ -348,29 +348,35 @@ def boosted_trees(
     return out
 
 
-def fit_anchor(
-    ds: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, frac: float = 0.9, c: float = 1.0
-) -> DataFrame:
-    """Fit on the first ``frac`` of each series and score every bar, flagging the held-out ones."""
-    cut = F.floor(F.col("n") * F.lit(float(frac)))
-    series = ds.groupBy(*SERIES).agg(F.max(cut).alias("cut")).collect()  # one row per series
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="features")
-    out = None
-    for s in series:
-        own = ds.filter((F.col("pair") == s["pair"]) & (F.col("interval") == s["interval"]))
-        train = own.filter(F.col("row") < s["cut"])
-        scaled_train = balance_weights(standardise(train, train, cols))
-        scaled = standardise(train, own, cols)
-        model = LogisticRegression(
-            labelCol="y", weightCol="weight", maxIter=500, regParam=1.0 / (c * max(1, s["cut"])), elasticNetParam=0.0,
-            standardization=False, tol=1e-9,
-        ).fit(vectors.transform(scaled_train))
-        scored = model.transform(vectors.transform(scaled)).withColumn("p_up", vector_to_array("probability")[1])
-        part = scored.select(*SERIES, TS, "row", "n", F.col("y").alias("y_true"), "p_up", (F.col("row") >= s["cut"]).alias("held_out"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no series to fit")
-    return out
+def fit_anchor(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: float = 0.9, alpha: float = 0.1) -> DataFrame:
+    """Fit the fusion model on the first ``frac`` of each series and score every bar.
+
+    Returns ``p_up``, the conformal set and ``held_out`` for bars after the cut. All series are fitted
+    together, as a walk-forward split with one fold.
+    """
+    cut = F.floor(F.col("n") * F.lit(float(frac))).cast("long")
+    anchored = ds.withColumn("initial", cut).withColumn("test", F.col("n") - F.col("initial") - GAP)
+    inputs, size = fusion_inputs(anchored, variant, dim)
+    groups = fit_logistic(inputs, size, True, max_folds=1)
+    scored = score_logistic(inputs.withColumn("fold", F.lit(0).cast("long")), groups, size)
+    calib = (F.col("row") < F.col("initial")) & (F.col("row") >= F.col("initial") - calibration_size(F.col("initial")))
+    held = scored.filter(calib & ~F.col("flat"))
+    thresholds = conformal_threshold(held.select(*SERIES, F.col("y").alias("y_true"), F.col("prob").alias("y_prob")), alpha, SERIES)
+    out = scored.select(
+        *SERIES, TS, F.col("y").alias("y_true"), F.col("prob").alias("y_prob"), (F.col("row") >= F.col("initial")).alias("held_out")
+    )
+    return with_conformal_set(out, thresholds, SERIES).withColumnRenamed("y_prob", "p_up").drop("threshold")
+
+
+def logistic_estimator(n_fit: int, c: float = 1.0) -> LogisticRegression:
+    """``spark.ml`` logistic regression minimising the same objective as ``fit_logistic`` for ``n_fit`` rows.
+
+    Expects scaled inputs in ``features`` and balanced weights in ``weight``.
+    """
+    return LogisticRegression(
+        labelCol="y", weightCol="weight", maxIter=500, regParam=1.0 / (c * max(1, n_fit)), elasticNetParam=0.0,
+        standardization=False, tol=1e-10,
+    )
 
 
 def prediction_at(preds: DataFrame, regimes: DataFrame, ts=None) -> DataFrame:

@@ -50,7 +50,8 @@ def bar_outcomes(preds: DataFrame, bars: DataFrame, block: int = BLOCK_ROWS) ->
     vols = over_rows(
         with_position(bars.select(*key, "close"), rows=block, total=None),
         realised_vol_steps({"vol_24": 24, "vol_168": 168}), before=168, block=block,
-    ).drop("_ret", "pos")
+    )
+    vols = vols.select(*key, "close", "vol_24", "vol_168")
     wanted = preds.select(*key, "p_up", "in_set_0", "in_set_1", *[c for c in ("regime",) if c in preds.columns])
     joined = with_position(vols.join(wanted, key), rows=block, total=None)
     up, down = F.col("in_set_1").cast("boolean"), F.col("in_set_0").cast("boolean")

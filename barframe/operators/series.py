@@ -168,6 +168,74 @@ def over_rows(
     return copied.filter(F.col("_blk") == own).drop("_blk", "_sub")
 
 
+# --------------------------------------------------------------------------- rolling statistics
+def _chain(widths: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Widths in build order, each with the earlier widths it is put together from (1 = the value itself)."""
+    have, out = [1], []
+    for target in sorted(set(widths)):
+        while target > 8 * have[-1]:
+            out.append((have[-1] * 5, [have[-1]] * 5))
+            have.append(have[-1] * 5)
+        parts, rest = [], target
+        for w in reversed(have):
+            parts += [w] * (rest // w)
+            rest %= w
+        if target > 1:
+            out.append((target, parts))
+            have.append(target)
+    return out
+
+
+class Rolling:
+    """Mean, spread and extremes of one column over full windows of several widths.
+
+    A window is put together from smaller, already computed ones with ``lag`` (20 = 10 + 10 rows
+    back), so a row costs a few steps instead of a pass over its window, and nothing is subtracted:
+    squared deviations are pooled from the parts' means. A null in a window makes the result null.
+    """
+
+    def __init__(self, name: str, x: str, widths: Sequence[int], extremes: bool = False, spread: bool = True):
+        self.name, self.x, self.extremes, self.spread = name, x, extremes, spread
+        self.steps = [self._step(w, parts) for w, parts in _chain(widths)]
+
+    def _col(self, kind: str, w: int) -> str:
+        return self.x if w == 1 and kind != "q" else f"_{self.name}_{kind}{w}"
+
+    def _step(self, width: int, parts: list[int]) -> Callable[[Frame], dict[str, Column]]:
+        def build(f: Frame) -> dict[str, Column]:
+            offsets = [sum(parts[:i]) for i in range(len(parts))]
+
+            def each(kind: str) -> list[Column]:
+                return [F.col(self._col(kind, w)) if o == 0 else f.lag(self._col(kind, w), o) for w, o in zip(parts, offsets)]
+
+            means = each("m")
+            mean = sum((m * (w / width) for m, w in zip(means[1:], parts[1:])), means[0] * (parts[0] / width))
+            out = {f"_{self.name}_m{width}": mean}
+            if self.spread:
+                inner = [F.lit(0.0) if w == 1 else c for c, w in zip(each("q") if max(parts) > 1 else means, parts)]
+                pooled = [q + (m - mean) * (m - mean) * float(w) for q, m, w in zip(inner, means, parts)]
+                out[f"_{self.name}_q{width}"] = sum(pooled[1:], pooled[0])
+            if self.extremes:
+                for kind, pick in (("lo", F.least), ("hi", F.greatest)):
+                    out[f"_{self.name}_{kind}{width}"] = F.when(mean.isNotNull(), pick(*each(kind)))
+            return out
+
+        return build
+
+    def mean(self, w: int) -> Column:
+        return F.col(self._col("m", w))
+
+    def low(self, w: int) -> Column:
+        return F.col(self._col("lo", w))
+
+    def high(self, w: int) -> Column:
+        return F.col(self._col("hi", w))
+
+    def std(self, w: int, ddof: int = 0) -> Column:
+        value = F.sqrt(F.col(self._col("q", w)) / float(w - ddof))
+        return F.when(self.low(w) == self.high(w), self.mean(w) * 0.0).otherwise(value) if self.extremes else value
+
+
 # --------------------------------------------------------------------------- exponential averages
 def ema_memory(alpha: float) -> int:
     """Rows after which ``(1 - alpha)^rows`` falls below 2^-80, i.e. out of double precision."""
@@ -180,9 +248,6 @@ def _sub_weighted(frame: Frame, x: Column, alpha: float) -> tuple[Column, Column
     """(local average inside the sub-block, weight of the state entering it) at each row."""
     q = 1.0 - alpha
     k = F.col(frame.pos) % _SUB
-    scale = min(1.0, 600.0 / (-math.log(q) * _SUB)) if q > 0 else 1.0
-    if scale < 1.0:
-        raise ValueError(f"alpha {alpha} decays too fast for sub-blocks of {_SUB} rows")
     first = x.isNotNull() & F.lag(x, 1).over(frame.order).isNull()
     gain = F.when(first, x).otherwise(x * alpha)
     weighted = F.sum(gain * F.pow(F.lit(q), -k.cast("double"))).over(
@@ -200,7 +265,11 @@ def ema_steps(name: str, x: str, alpha: float, min_periods: int = 0) -> list[Cal
     series only. Everything runs on the one sort of ``over_rows``; ``before`` must be at least
     ``ema_memory(alpha)``, beyond which a state's weight is below 2^-80 and cannot change a double.
     """
+    if alpha >= 1.0:
+        return [lambda frame: {name: F.col(x)}]
     q = 1.0 - alpha
+    if -math.log(q) * _SUB > 700.0:
+        raise ValueError(f"alpha {alpha} decays too fast for sub-blocks of {_SUB} rows")
     reach = max(1, math.ceil(ema_memory(alpha) / _SUB))
 
     def local(frame: Frame) -> dict[str, Column]:

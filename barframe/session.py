@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,22 @@ def get_session(app: str = "barframe", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in {**_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the tasks of ``spark`` (once per application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_barframe_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="barframe-ship-")) / "barframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._barframe_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -284,7 +284,7 @@ def _(spark, sf):
     from workload.fixtures import BLOCK, features
 
     feats = materialise(features(spark, sf), "features")
-    ds = materialise(splits.auto_folds(build_dataset(feats, block=BLOCK), n_folds=1, train_frac=0.8), "dataset")
+    ds = materialise(splits.auto_folds(build_dataset(feats, block=BLOCK), n_folds=2, train_frac=0.8), "dataset")
     cols = [c for c in FEATURE_COLUMNS if c.startswith(("ret_", "band_pos"))]
     return _quality(M.boosted_trees(ds, cols, max_folds=1, max_iter=3, max_depth=3))
 
