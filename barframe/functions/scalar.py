@@ -17,12 +17,12 @@ __all__ = [
 
 def ratio(a: Column, b: Column) -> Column:
     """``a / b`` with a zero denominator giving null."""
-    return a / F.nullif(b, F.lit(0.0))
+    return F.try_divide(a, b)
 
 
 def safe_ln(x: Column) -> Column:
-    """Natural log, null for values that are not positive."""
-    return F.when(x > 0, F.ln(x))
+    """Natural log, null for values that are not positive (as Spark's ``ln`` already is)."""
+    return F.ln(x)
 
 
 def finite(x: Column) -> Column:

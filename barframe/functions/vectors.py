@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also when used inside array lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(
@@ -31,10 +38,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def minmax(a: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
     """Scale to [lo, hi]; a flat array becomes zeros."""
-    low, high = F.array_min(a), F.array_max(a)
-    return F.when(high <= low, F.transform(a, lambda x: F.lit(0.0))).otherwise(
-        F.transform(a, lambda x: (x - low) / F.nullif(high - low, F.lit(0.0)) * (hi - lo) + lo)
-    )
+    bounds = F.struct(a.alias("a"), F.array_min(a).alias("low"), F.array_max(a).alias("high"))
+
+    def scale(b: Column) -> Column:
+        width = F.nullif(b["high"] - b["low"], F.lit(0.0))
+        return F.transform(b["a"], lambda x: F.coalesce((x - b["low"]) / width * (hi - lo) + lo, F.lit(0.0)))
+
+    return let(bounds, scale)
 
 
 def gramian(a: Column) -> tuple[Column, Column]:
@@ -45,7 +55,10 @@ def gramian(a: Column) -> tuple[Column, Column]:
     """
     scaled = F.transform(minmax(a), lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
     points = F.transform(scaled, lambda x: F.struct(x.alias("c"), F.sqrt(F.greatest(F.lit(0.0), 1 - x * x)).alias("s")))
-    grid = lambda f: F.transform(points, lambda p: F.transform(points, lambda q: f(p, q)))
+
+    def grid(cell: Callable[[Column, Column], Column]) -> Column:
+        return let(points, lambda ps: F.transform(ps, lambda p: F.transform(ps, lambda q: cell(p, q))))
+
     return (
         grid(lambda p, q: p["c"] * q["c"] - p["s"] * q["s"]),
         grid(lambda p, q: p["s"] * q["c"] - p["c"] * q["s"]),
@@ -54,23 +67,23 @@ def gramian(a: Column) -> tuple[Column, Column]:
 
 def quantile_edges(a: Column, bins: int = 8) -> Column:
     """Inner edges of ``bins`` linear-interpolated quantile bins."""
-    ordered = F.array_sort(a)
-    steps = F.sequence(F.lit(1), F.lit(bins - 1))
 
-    def edge(i: Column) -> Column:
-        at = (F.size(a) - 1) * i / F.lit(float(bins))
-        low = F.floor(at).cast("int")
-        x = F.element_at(ordered, low + 1)
-        y = F.element_at(ordered, F.least(low + 2, F.size(a)))
-        return x + (y - x) * (at - low)
+    def edges(ordered: Column) -> Column:
+        def edge(i: Column) -> Column:
+            at = (F.size(ordered) - 1) * i / F.lit(float(bins))
+            low = F.floor(at).cast("int")
+            x, y = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(ordered)))
+            return x + (y - x) * (at - low)
+
+        return F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), edge)
 
-    return F.transform(steps, edge)
+    return let(F.array_sort(a), edges)
 
 
 def quantile_bins(a: Column, bins: int = 8) -> Column:
     """Bin of each value: the number of inner edges at or below it."""
-    edges = quantile_edges(a, bins)
-    return F.transform(a, lambda x: F.size(F.filter(edges, lambda e: e <= x)))
+    held = F.struct(a.alias("a"), quantile_edges(a, bins).alias("e"))
+    return let(held, lambda h: F.transform(h["a"], lambda x: F.size(F.filter(h["e"], lambda e: e <= x))))
 
 
 def resample(a: Column, size: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,35 +31,7 @@ def markov_transitions(windows: DataFrame, values: str, key: list[str], bins: in
     return counts.join(totals, [*key, "bin"]).select(*key, "bin", "next_bin", "n", (F.col("n") / F.col("_t")).alias("p"))
 
 
-def markov_field(a: Column, bins: int = 8) -> Column:
-    """Markov transition field of a series: the transition probability between the bins of i and j."""
-    b = quantile_bins(a, bins)
-    packed = F.struct(b.alias("b"))
-
-    def field(holder: Column) -> Column:
-        seq = holder["b"]
-        moves = F.transform(
-            F.sequence(F.lit(1), F.size(seq) - 1), lambda i: F.element_at(seq, i) * bins + F.element_at(seq, i + 1)
-        )
-        cells = F.transform(
-            F.sequence(F.lit(0), F.lit(bins * bins - 1)), lambda c: F.size(F.filter(moves, lambda m: m == c))
-        )
-        rows = F.transform(
-            F.sequence(F.lit(0), F.lit(bins - 1)),
-            lambda r: F.aggregate(F.slice(cells, r * bins + 1, F.lit(bins)), F.lit(0), lambda x, y: x + y),
-        )
-        prob = F.transform(
-            cells, lambda c, i: c / F.greatest(F.lit(1), F.element_at(rows, F.floor(i / bins).cast("int") + 1))
-        )
-        held = F.transform(F.array(F.struct(seq.alias("b"), prob.alias("p"))), lambda h: F.transform(
-            h["b"], lambda i: F.transform(h["b"], lambda j: F.element_at(h["p"], i * bins + j + 1))
-        ))
-        return held[0]
-
-    return F.transform(F.array(packed), field)[0]
-
-
-def _field_batches(col: str, carry: list[str], size: int, bins: int):
+def _field_batches(col: str, carry: list[str], size: int, bins: int, planes_kept: tuple[int, ...] = (0, 1, 2)):
     """GASF, GADF and MTF planes of a batch of equally long windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +52,12 @@ def _field_batches(col: str, carry: list[str], size: int, bins: int):
             counts = np.bincount(pairs.ravel(), minlength=len(x) * bins * bins).reshape(len(x), bins, bins).astype(float)
             prob = counts / np.maximum(counts.sum(axis=2, keepdims=True), 1.0)
             transition = prob[np.arange(len(x))[:, None, None], state[:, :, None], state[:, None, :]]
-            planes = np.stack([summation, difference, transition], axis=1).astype(np.float32)
+            fields = (summation, difference, transition)
+            planes = np.stack([fields[i] for i in planes_kept], axis=1).astype(np.float32)
+            count = len(planes_kept)
             flat_planes = pa.array(planes.reshape(-1))
-            inner = pa.ListArray.from_arrays(np.arange(0, len(x) * 3 + 1, dtype=np.int32) * size * size, flat_planes)
-            images = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, dtype=np.int32) * 3, inner)
+            inner = pa.ListArray.from_arrays(np.arange(0, len(x) * count + 1, dtype=np.int32) * size * size, flat_planes)
+            images = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, dtype=np.int32) * count, inner)
             kept = [batch.column(batch.schema.get_field_index(n)) for n in carry]
             yield pa.RecordBatch.from_arrays([*kept, images], names=[*carry, "image"])
 
@@ -141,7 +115,7 @@ def encode_windows(
     """Images of collected windows, Arrow batch by Arrow batch.
 
     ``candle``: 3 x size x size uint8 as bytes. ``gaf``: Gramian summation, Gramian difference and
-    Markov field of the closes as three flat float planes. ``mtf``: the Markov field alone.
+    Markov field of the closes as three flat float planes. ``mtf``: the last plane alone.
     """
     carry = list(key)
     if encoder == "candle":
@@ -149,12 +123,11 @@ def encode_windows(
             _raster_batches(col, carry, size, body), _schema_of(windows, carry, T.BinaryType())
         )
     closes = windows.select(*carry, resample(F.col(col)["close"], size).alias("_close"))
-    if encoder == "mtf":
-        return closes.select(*carry, markov_field(F.col("_close"), bins).alias("image"))
-    if encoder == "gaf":
-        planes = T.ArrayType(T.ArrayType(T.FloatType()))
-        return closes.mapInArrow(_field_batches("_close", carry, size, bins), _schema_of(windows, carry, planes))
-    raise ValueError(f"unknown encoder {encoder!r}")
+    kept = {"gaf": (0, 1, 2), "mtf": (2,)}
+    if encoder not in kept:
+        raise ValueError(f"unknown encoder {encoder!r}")
+    planes = T.ArrayType(T.ArrayType(T.FloatType()))
+    return closes.mapInArrow(_field_batches("_close", carry, size, bins, kept[encoder]), _schema_of(windows, carry, planes))
 
 
 def gramian_summary(windows: DataFrame, key: list[str], col: str = "window", size: int = IMAGE) -> DataFrame:

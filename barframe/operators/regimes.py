@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barframe.operators.features import regime_inputs
 from barframe.operators.series import with_position
 from barframe.schema import SERIES, TS
+from barframe.session import materialise
 
 REGIME_BLOCK = 65_536
 _FLOOR = 1e-12
@@ -121,6 +122,24 @@ def _unpack(r, k: int) -> Hmm:
     )
 
 
+def _block_statistics(current: dict[tuple[str, str], Hmm]):
+    """Sufficient statistics of one block under its series' current model, as (name, i, value) rows."""
+    columns = ["pair", "interval", "name", "i", "value"]
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        model = current.get((key[0], key[1]))
+        if model is None:
+            return pd.DataFrame(columns=columns)
+        stats = _expect(g.sort_values("pos")[["log_return", "vol"]].to_numpy(), model)
+        if key[2] > 0:
+            stats["start"] = np.zeros_like(stats["start"])
+        return pd.DataFrame(
+            [(key[0], key[1], name, i, v) for name, a in stats.items() for i, v in enumerate(a.ravel())], columns=columns
+        )
+
+    return run
+
+
 def _fit_blocks(rows: DataFrame, k: int, n_iter: int, tol: float, block: int) -> dict[tuple[str, str], Hmm]:
     """EM for series longer than one block: statistics per block in the tasks, summed by Spark.
 
@@ -140,19 +159,7 @@ def _fit_blocks(rows: DataFrame, k: int, n_iter: int, tol: float, block: int) ->
             break
         current = {s: models[s] for s in active}
 
-        def expect(key, g: pd.DataFrame, current=current) -> pd.DataFrame:
-            model = current.get((key[0], key[1]))
-            if model is None:
-                return pd.DataFrame(columns=["pair", "interval", "name", "i", "value"])
-            stats = _expect(g.sort_values("pos")[["log_return", "vol"]].to_numpy(), model)
-            if key[2] > 0:
-                stats["start"] = np.zeros_like(stats["start"])
-            return pd.DataFrame(
-                [(key[0], key[1], name, i, v) for name, a in stats.items() for i, v in enumerate(a.ravel())],
-                columns=["pair", "interval", "name", "i", "value"],
-            )
-
-        parts = blocks.groupBy(*SERIES, "_blk").applyInPandas(expect, schema)
+        parts = blocks.groupBy(*SERIES, "_blk").applyInPandas(_block_statistics(current), schema)
         sums = parts.groupBy(*SERIES, "name", "i").agg(F.sum("value").alias("value")).collect()  # ~30 numbers per series
         gathered: dict[tuple[str, str], dict[str, dict[int, float]]] = {}
         for r in sums:
@@ -307,6 +314,6 @@ def label_regimes(
     """Regime of every bar after warm-up: ``pair, interval, open_time, regime`` (0 = lowest mean return)."""
     positioned = with_position(bars.select(*SERIES, TS, "close"), total=None)
     usable = regime_inputs(positioned, vol_window).drop("pos", "close")
-    inputs = with_position(usable)
+    inputs = materialise(with_position(usable), "regime-inputs")  # read by fitting and by both decoding passes
     models = fit_regimes(inputs, n_states, vol_window, train_frac, n_iter, tol, block)
     return decode_regimes(inputs, models, mode, block)

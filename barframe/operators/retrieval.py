@@ -17,6 +17,7 @@ from barframe.schema import SERIES, TS, regime_name
 
 QUERY_BATCH = 2048
 CORPUS_BLOCK = 65_536
+_SIDE = ("pair", "interval", "_us", "regime", "embedding")
 _MATCH = "pair string, interval string, q_us long, m_us long, similarity double, regime long"
 _DIGITS = 12  # similarities are compared at 12 decimals, so copies of a vector tie and time decides
 
@@ -133,7 +134,9 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, query_batch: int, options:
     hashed = lambda n: F.pmod(F.xxhash64(*SERIES, "_us"), F.lit(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     q = queries.withColumn("_q", hashed(q_blocks)).withColumn("_c", spread(c_blocks))
+    # renamed, so that queries and corpus read from the same table stay apart in the plan
     c = corpus.withColumn("_c", hashed(c_blocks)).withColumn("_q", spread(q_blocks))
+    c = c.select(*[F.col(n).alias(f"c{n}") for n in (*_SIDE, "_q", "_c")])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["pair", "interval", "q_us", "m_us", "similarity", "regime"]
@@ -141,10 +144,11 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, query_batch: int, options:
         schema = pa.schema(list(zip(names, types)))
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        found = list(_local_topk(_Queries(left), *options)(iter(right.combine_chunks().to_batches())))
+        corpus_rows = right.select([f"c{n}" for n in _SIDE]).rename_columns(list(_SIDE)).combine_chunks()
+        found = list(_local_topk(_Queries(left), *options)(iter(corpus_rows.to_batches())))
         return pa.Table.from_batches(found, schema) if found else schema.empty_table()
 
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(meet, _MATCH)
+    return q.groupBy("_q", "_c").cogroup(c.groupBy("c_q", "c_c")).applyInArrow(meet, _MATCH)
 
 
 def similar_bars(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barframe.schema import SERIES, TS, interval_ms
 
 BLOCK_ROWS = 8192
-_GROUP = 1024  # blocks per group in the two-level prefix
+SLOT_ROWS = 65_536
 _SUB = 256  # rows per sub-block of an exponential average
 _FORGET = math.log(2.0**80)
 
@@ -40,36 +40,20 @@ def block_prefix(
 ) -> DataFrame:
     """Add, for each column in ``ops``, its combination over all earlier blocks (``<col>_before``).
 
-    Two levels (within groups of 1,024 blocks, then over the groups), so that no task sorts every
-    block of a series. ``totals`` adds series-wide sums: ``{new column: summed column}``.
+    ``blocks`` holds one small row per block of thousands of rows, so even a series of 10^11 rows
+    comes to a few million rows here, which one task streams through in order. ``totals`` adds
+    series-wide sums: ``{new column: summed column}``.
     """
-    by, totals = list(by), totals or {}
-    grouped = blocks.withColumn("_g", F.floor(F.col(block) / _GROUP))
-    supers = grouped.groupBy(*by, "_g").agg(
-        *[_COMBINE[op][0](c).alias(f"_t_{c}") for c, op in ops.items()],
-        *[F.sum(c).alias(f"_n_{new}") for new, c in totals.items()],
-    )
-    outer = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    supers = supers.select(
-        *by, "_g",
-        *[_COMBINE[op][0](F.col(f"_t_{c}")).over(outer).alias(f"_s_{c}") for c, op in ops.items()],
-        *[F.sum(f"_n_{new}").over(Window.partitionBy(*by)).alias(new) for new in totals],
-    )
-    inner = Window.partitionBy(*by, "_g").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    within = grouped.select("*", *[_COMBINE[op][0](F.col(c)).over(inner).alias(f"_i_{c}") for c, op in ops.items()])
-    joined = within.join(supers, [*by, "_g"])
+    series = Window.partitionBy(*by)
+    earlier = series.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    neutral = {"sum": F.lit(0), "product": F.lit(1.0)}
     before = {}
     for c, op in ops.items():
-        inside, outside = F.col(f"_i_{c}"), F.col(f"_s_{c}")
-        if op == "sum":
-            before[f"{c}_before"] = F.coalesce(outside, F.lit(0)) + F.coalesce(inside, F.lit(0))
-        elif op == "product":
-            before[f"{c}_before"] = F.coalesce(outside, F.lit(1.0)) * F.coalesce(inside, F.lit(1.0))
-        else:
-            before[f"{c}_before"] = _COMBINE[op][1](outside, inside)
-    return joined.withColumns(before).drop(
-        "_g", *[f"_i_{c}" for c in ops], *[f"_s_{c}" for c in ops]
-    )
+        value = _COMBINE[op][0](F.col(c)).over(earlier)
+        before[f"{c}_before"] = F.coalesce(value, neutral[op]) if op in neutral else value
+    for new, c in (totals or {}).items():
+        before[new] = F.sum(c).over(series)
+    return blocks.withColumns(before)
 
 
 # --------------------------------------------------------------------------- positions
@@ -89,7 +73,7 @@ def with_position(
     total: str | None = "n_rows",
     order: Sequence[str] = (),
     span_ms: int | None = None,
-    rows: int = BLOCK_ROWS,
+    rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Number each series' rows from 0 in time order and attach the series length.
 
@@ -190,8 +174,8 @@ class Rolling:
     """Mean, spread and extremes of one column over full windows of several widths.
 
     A window is put together from smaller, already computed ones with ``lag`` (20 = 10 + 10 rows
-    back), so a row costs a few steps instead of a pass over its window, and nothing is subtracted:
-    squared deviations are pooled from the parts' means. A null in a window makes the result null.
+    back), so a row costs a few steps instead of a pass over its window. Squared deviations are pooled
+    from the parts and the distances of their means: a flat window has a spread of exactly 0. A null in a window makes the result null.
     """
 
     def __init__(self, name: str, x: str, widths: Sequence[int], extremes: bool = False, spread: bool = True):
@@ -209,15 +193,24 @@ class Rolling:
                 return [F.col(self._col(kind, w)) if o == 0 else f.lag(self._col(kind, w), o) for w, o in zip(parts, offsets)]
 
             means = each("m")
-            mean = sum((m * (w / width) for m, w in zip(means[1:], parts[1:])), means[0] * (parts[0] / width))
-            out = {f"_{self.name}_m{width}": mean}
+            share = [w / width for w in parts]
+            out = {f"_{self.name}_m{width}": sum((m * s for m, s in zip(means[1:], share[1:])), means[0] * share[0])}
             if self.spread:
-                inner = [F.lit(0.0) if w == 1 else c for c, w in zip(each("q") if max(parts) > 1 else means, parts)]
-                pooled = [q + (m - mean) * (m - mean) * float(w) for q, m, w in zip(inner, means, parts)]
-                out[f"_{self.name}_q{width}"] = sum(pooled[1:], pooled[0])
+                # sum of squared deviations = those inside the parts + pairwise distances of the part means
+                inner = [] if max(parts) == 1 else [c for c, w in zip(each("q"), parts) if w > 1]
+                gaps = [
+                    (means[i] - means[j]) * (means[i] - means[j]) * (parts[i] * parts[j] / width)
+                    for i in range(len(parts)) for j in range(i + 1, len(parts))
+                ]
+                terms = inner + gaps
+                out[f"_{self.name}_q{width}"] = sum(terms[1:], terms[0])
             if self.extremes:
                 for kind, pick in (("lo", F.least), ("hi", F.greatest)):
-                    out[f"_{self.name}_{kind}{width}"] = F.when(mean.isNotNull(), pick(*each(kind)))
+                    ends = each(kind)
+                    complete = ends[0].isNotNull()
+                    for end in ends[1:]:
+                        complete = complete & end.isNotNull()
+                    out[f"_{self.name}_{kind}{width}"] = F.when(complete, pick(*ends))
             return out
 
         return build
@@ -232,8 +225,7 @@ class Rolling:
         return F.col(self._col("hi", w))
 
     def std(self, w: int, ddof: int = 0) -> Column:
-        value = F.sqrt(F.col(self._col("q", w)) / float(w - ddof))
-        return F.when(self.low(w) == self.high(w), self.mean(w) * 0.0).otherwise(value) if self.extremes else value
+        return F.sqrt(F.col(self._col("q", w)) / float(w - ddof))
 
 
 # --------------------------------------------------------------------------- exponential averages
