@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +26,10 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Keyed processors need the RocksDB state store."""
+    """Keyed processors need the RocksDB state store; they are shipped by value, because the process
+    that plans a stateful query does not see files added to the application."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # --------------------------------------------------------------------------- sources and stateless steps

@@ -35,7 +35,7 @@ def _(spark, sf):
 
 
 @query("f22_position_size", """SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN 1e0 ELSE greatest(0.1e0, least(1e0, CASE WHEN o_orderkey % 5 = 0 THEN 1e0
-  ELSE (o_totalprice / 100000) / ((o_orderkey % 7) / 2e0) END)) END, 6) + 0.0 AS size_pct FROM orders""")
+  ELSE (o_totalprice / 100000) / ((o_orderkey % 7) / 2e0) END)) END, 9) + 0.0 AS size_pct FROM orders""", digits=9)
 def _(spark, sf):
     o = table(spark, sf, "orders")
     short = (F.col("o_orderkey") % 7) / F.lit(2.0)
