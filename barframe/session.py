@@ -18,6 +18,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.codegen.cache.maxEntries": "2000",  # feature plans hold more than 100 generated classes
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # call-site capture costs more than small plans
 }
 

@@ -85,8 +85,11 @@ def sink_upsert(
     ``every`` the query works through what is there and stops: a bounded replay.
     """
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+        batch.persist()  # the merge reads the batch twice
+        try:
             upsert(batch, root)
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
@@ -112,6 +115,7 @@ def sink_news_features(
     just the batch's bars and the lookback before them.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         span = batch.agg(F.min(TS).alias("lo"), F.max(TS).alias("hi")).collect()[0]
         if span["lo"] is None:
             return
@@ -121,6 +125,7 @@ def sink_news_features(
         )
         features = aggregate_news_for_bars(near, batch, lookback_ms, **options)
         features.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
