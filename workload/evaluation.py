@@ -214,7 +214,9 @@ def _(spark, sf):
 _THRESHOLD = f"""{PREDS}, ncf AS (SELECT pair, fold, CASE WHEN y_true = 1 THEN 1 - y_prob ELSE 1 - (1 - y_prob) END AS v FROM preds WHERE model = 'smooth'),
   sz AS (SELECT pair, fold, count(*) AS n, list_sort(list(v)) AS vs FROM ncf GROUP BY 1, 2),
   lv AS (SELECT *, (n - 1) * least(1e0, ceil((n + 1) * 0.9e0) / n) AS h FROM sz),
-  thr AS (SELECT pair, fold, n, vs[floor(h)::INT + 1] + (vs[ceil(h)::INT + 1] - vs[floor(h)::INT + 1]) * (h - floor(h)) AS threshold FROM lv)"""
+  thr AS (SELECT pair, fold, n, CASE WHEN n >= 32 THEN vs[floor(h)::INT + 1] + (vs[ceil(h)::INT + 1] - vs[floor(h)::INT + 1]) * (h - floor(h)) END AS threshold FROM lv),
+  s AS (SELECT p.pair, p.fold, y_true, CASE WHEN threshold IS NULL THEN (y_prob < 0.5)::INT ELSE (1 - (1 - y_prob) <= threshold)::INT END AS z,
+    CASE WHEN threshold IS NULL THEN (y_prob >= 0.5)::INT ELSE (1 - y_prob <= threshold)::INT END AS o FROM preds p JOIN thr USING (pair, fold) WHERE model = 'smooth')"""
 
 
 @query("m12_conformal_threshold", f"{RECURSIVE}{_THRESHOLD} SELECT pair, fold::BIGINT AS fold, n::BIGINT AS n_cal, {r('threshold', digits=9)} FROM thr", digits=9)
@@ -223,8 +225,7 @@ def _(spark, sf):
     return C.conformal_threshold(smooth).select("pair", "fold", "n_cal", "threshold")
 
 
-@query("f25_a06_conformal_sets", f"""{RECURSIVE}{_THRESHOLD}, s AS (SELECT p.pair, p.fold, y_true, (1 - (1 - y_prob) <= threshold)::INT AS z, (1 - y_prob <= threshold)::INT AS o
-    FROM preds p JOIN thr USING (pair, fold) WHERE model = 'smooth')
+@query("f25_a06_conformal_sets", f"""{RECURSIVE}{_THRESHOLD}
   SELECT pair, fold::BIGINT AS fold, count(*)::BIGINT AS n, {r('avg(CASE WHEN y_true = 1 THEN o ELSE z END) AS coverage', 'avg(z + o) AS avg_set_size', 'avg((z + o = 1)::INT) AS singletons')}
   FROM s GROUP BY 1, 2""")
 def _(spark, sf):
@@ -233,8 +234,7 @@ def _(spark, sf):
     return X.conformal_stats(sets, ["pair", "fold"])
 
 
-@query("a06_conformal_rollup", f"""{RECURSIVE}{_THRESHOLD}, s AS (SELECT p.pair, p.fold, y_true, (1 - (1 - y_prob) <= threshold)::INT AS z, (1 - y_prob <= threshold)::INT AS o
-    FROM preds p JOIN thr USING (pair, fold) WHERE model = 'smooth')
+@query("a06_conformal_rollup", f"""{RECURSIVE}{_THRESHOLD}
   SELECT pair, 'smooth' AS model, {r('avg(CASE WHEN y_true = 1 THEN o ELSE z END) AS cp_coverage', 'avg(z + o) AS cp_avg_set_size', 'avg((z + o = 1)::INT) AS cp_singleton_frac')}
   FROM s GROUP BY 1""")
 def _(spark, sf):
