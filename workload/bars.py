@@ -242,7 +242,7 @@ def _(spark, sf):
     return sinks.read_keyed(spark, root, "regimes", "vec", "1h").select(TS, "regime")
 
 
-@query("s19_ingest_stamp")
+@query("s19_ingest_stamp", f"WITH {BARS} SELECT pair, true AS on_millisecond, count(*)::BIGINT AS rows FROM bars GROUP BY 1")
 def _(spark, sf):
     stamp = candles.with_ingested_at(bars(spark, sf))
     return stamp.groupBy("pair").agg(

@@ -229,7 +229,7 @@ def _(spark, sf):
     return images.select("pair", TS, F.length("image").alias("bytes"), F.crc32("image").alias("crc"))
 
 
-@query("m17_embed_windows")
+@query("m17_embed_windows", f"WITH {BP} SELECT pair, {ms('open_time')}, 128::BIGINT AS dim, 1e0 AS norm FROM bp WHERE pos >= 63", digits=5)
 def _(spark, sf):
     emb = encode.embed_windows(windows(spark, sf, 64))
     return emb.select("pair", TS, F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm"))
