@@ -7,13 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barframe.schema import interval_ms
-
-__all__ = [
-    "cyclic", "finite", "interval_ms", "log_loss_term", "p_bin", "position_sign", "ratio", "safe_ln",
-    "signed_p", "source_slug", "utc", "verdict_accuracy", "verdict_trades",
-]
-
 
 def ratio(a: Column, b: Column) -> Column:
     """``a / b`` with a zero denominator giving null."""

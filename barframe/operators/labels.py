@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barframe.functions.scalar import ratio, safe_ln
 from barframe.operators.series import BLOCK_ROWS, over_rows, with_position
-from barframe.schema import SERIES, TS
 
 
 def _check(horizon: int) -> None:
@@ -54,6 +53,3 @@ def build_dataset(features: DataFrame, horizon: int = 1, block: int = BLOCK_ROWS
     return kept.withColumns(
         {"next_ret": F.coalesce(next_ret, F.lit(0.0)), "n": F.col("_all") - horizon}
     ).drop("_all", "_next")
-
-
-__all__ = ["build_dataset", "with_direction_label", "with_return_label", "SERIES", "TS"]

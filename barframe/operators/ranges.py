@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barframe.functions.scalar import ratio, safe_ln
 from barframe.operators.metrics import p_histogram
 from barframe.operators.series import BLOCK_ROWS, over_rows, with_position
-from barframe.schema import REGIME_NAMES, SERIES, TS
+from barframe.schema import REGIME_NAMES, TS
 
 
 def _between(df: DataFrame, ts: str, start, end) -> DataFrame:
@@ -82,8 +82,3 @@ def analyze_range(
         "predictions": range_predictions(log, start, end),
         "histogram": p_histogram(_between(log, TS, start, end), bins),
     }
-
-
-__all__ = [
-    "SERIES", "analyze_range", "range_news", "range_ohlc", "range_predictions", "range_regimes", "top_articles",
-]
