@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import packing, prefix_counts
+from barframe.llm import chat, mixing, packing, prefix_counts, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -38,3 +38,98 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
     return prefixes.filter("block = 0").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, seed=17)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op3_pareto_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap
+  FROM s),
+l AS (
+  SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r),
+t AS (
+  SELECT source, source_size, least(cap, coalesce(w * (SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap), cap)) AS target
+  FROM l),
+q AS (
+  SELECT d.*, source_size, target, (4 + floor(log2(size + 1)))::BIGINT AS q
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+lv AS (SELECT source, q, any_value(target) AS target, sum(size)::BIGINT AS words FROM q GROUP BY source, q),
+c0 AS (
+  SELECT source, q, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY q DESC
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / nullif(sum(words * q) OVER (PARTITION BY source ORDER BY q DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS c
+  FROM lv),
+c AS (SELECT source, arg_max(c, q) FILTER (c * q <= 2.0) AS c FROM c0 GROUP BY source),
+e AS (
+  SELECT q.*, least(2.0::DOUBLE, coalesce(c.c, 2.0::DOUBLE) * q) AS due FROM q JOIN c ON q.source IS NOT DISTINCT FROM c.source),
+u AS (
+  SELECT *, floor(due)::BIGINT AS whole, due - floor(due) AS p,
+    (('0x' || substr(md5(doc_id::VARCHAR || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM e),
+k AS (
+  SELECT *, CASE WHEN p > 0 THEN floor((u / (1 - u) * ((1 - p) / p)) / (1 + u / (1 - u) * ((1 - p) / p)) * 1099511627776.0::DOUBLE)::BIGINT END AS rank
+  FROM u),
+o AS (SELECT source, any_value(target) - sum(whole * size)::DOUBLE AS open FROM k GROUP BY source),
+g AS (SELECT source, rank, sum(size)::BIGINT AS words FROM k WHERE rank IS NOT NULL GROUP BY source, rank),
+f AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank)::BIGINT AS upto FROM g),
+b AS (
+  SELECT f.source, arg_min(CASE WHEN upto - open < open - (upto - words) THEN rank ELSE rank - 1 END, rank) AS last_rank
+  FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source WHERE upto >= open GROUP BY f.source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN rank IS NOT NULL AND (b.source_found IS NULL OR rank <= b.last_rank) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k LEFT JOIN (SELECT *, true AS source_found FROM b) b ON k.source IS NOT DISTINCT FROM b.source
+"""
+
+
+@query
+def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], turns.schema
+    )
+    return chat.digests(chat.render(chat.as_log(turns.unionByName(control))))
+
+
+ORACLES["op7_chat_events"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role AS r, coalesce(text, '') AS text, text AS t FROM conversations
+  UNION ALL
+  SELECT -7, k, ['user', 'assistant'][k + 1], ['user', 'assistant'][k + 1], '\### Assistant: </turn> ok', '' FROM range(2) x(k))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(regexp_replace(role, '([\\#<:' || chr(10) || '])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))
+    + length('### : </turn>') + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query
+def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256.0)
+    return topk.top_inner_products(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLES["op9_maxscore_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
