@@ -15,7 +15,7 @@ from barframe.llm.bpe import LONG_CONTRACTIONS, Splitter, load
 
 BLOCK = 1 << 16
 SHORT = 48  # bytes; longer pieces are rare, so their prefixes are not remembered
-REMEMBER = 1_000_000  # entries; a full memory is emptied, which costs time only
+REMEMBER = 500_000  # entries; a full memory is emptied, which costs time only
 _TWO_SPACES = regex.compile(r"\s\s")
 _SPACE = regex.compile(r"\s")
 
@@ -33,6 +33,7 @@ class PrefixCounter:
         self.names = {i: t for t, i in self.bpe.ranks.items()}
         self.longest = max(map(len, self.bpe.ranks))
         self.follows: dict[int, bool] = {}
+        self.insides: dict[int, tuple[tuple[int, int], ...]] = {}
         self.states: dict[bytes, tuple[int, int]] = {}
         self.known: dict[str, tuple[np.ndarray, int, int]] = {}
 
@@ -63,9 +64,31 @@ class PrefixCounter:
         self.states[data] = state
         return state
 
+    def _inside(self, token: int) -> tuple[tuple[int, int], ...]:
+        """(first token, count) of each proper prefix of a token."""
+        found = self.insides.get(token)
+        if found is None:
+            name = self.names[token]
+            parts = (self.bpe.piece(name[:k]) for k in range(1, len(name)))
+            found = self.insides[token] = tuple((p[0], len(p)) for p in parts)
+        return found
+
     def _byte_counts(self, data: bytes) -> list[int]:
-        if len(data) <= SHORT:
-            return [self._short(data[: i + 1])[1] for i in range(len(data))]
+        """A prefix that ends inside token j is tokens[:j] and that token's prefix wherever the two may follow each
+        other; only elsewhere does the recurrence look for the last token."""
+        out, last = [], None
+        for j, token in enumerate(self.bpe.piece(data)):
+            for first, count in self._inside(token):
+                out.append(j + count if last is None or self._may_follow(last, first) else 0)
+            out.append(j + 1)
+            last = token
+        if 0 in out:
+            if len(data) > SHORT:
+                return self._long(data)
+            out = [n or self._short(data[: k + 1])[1] for k, n in enumerate(out)]
+        return out
+
+    def _long(self, data: bytes) -> list[int]:
         lasts, counts, get = [-1], [0], self.bpe.ranks.get
         for end in range(1, len(data) + 1):
             for start in range(max(0, end - self.longest), end):
