@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, packing, prefix_counts, quality, topk
+from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -138,3 +138,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query
 def op2_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
