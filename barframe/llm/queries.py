@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, topk
+from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, repeats, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -143,3 +143,9 @@ def op2_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query
+def op4_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"), length=200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
