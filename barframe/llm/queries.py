@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, repeats, topk
+from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, repeats, suffix_tree, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -149,3 +149,8 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(table(spark, sf_dir, "documents"), length=200)
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), folds=7, fold=2)
