@@ -11,7 +11,7 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = U(0xC2B2AE3D27D4EB4F)
-SLICE = 1 << 22  # bytes hashed at a time
+SLICE = 1 << 20  # bytes hashed at a time
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
