@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, prefix_counts, quality, repeats, suffix_tree, topk
+from barframe.llm import chat, mixing, near_dedup, packing, personal_data, prefix_counts, quality, repeats, suffix_tree, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -154,3 +154,8 @@ def op4_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
+@query
+def op8_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
