@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.llm.shingles import _BASE, _BASE_INVERSE, U, mix
@@ -15,7 +15,8 @@ ANCHOR = 64  # bytes of an anchor
 FILTER_BITS = 27  # of the bounded filter of repeated anchors
 HOT = 50_000  # anchors at more places are divided further
 CHUNK = 1 << 21  # bytes sorted together
-SLICE = 1 << 22
+SLICE = 1 << 20
+SURE = 0  # in place of a context's count: a span already known to be repeated
 RUN = pa.schema([
     ("fp", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("size", pa.int64()),
     ("n", pa.int64()), ("bytes", pa.binary()),
@@ -107,34 +108,42 @@ def _runs(texts: pa.Array, length: int):
 def _count(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [grams[place] for _, _, grams, _, _, _, place, _ in _runs(b.column(0), length)]
+            found = [(grams[place], hashes.of(first, last + length)) for _, hashes, grams, _, first, last, place, _ in _runs(b.column(0), length)]
             if found:
-                fp, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], ["fp", "n"])
+                fp, ctx = (np.concatenate(x) for x in zip(*found))
+                _, at, n = np.unique(ctx, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(ctx[at].view(np.int64)), pa.array(n)], ["fp", "ctx", "n"])
 
     return run
 
 
-def _bits(group: pa.Table) -> pa.Table:
-    bits = np.zeros((2, 1 << 15), dtype=np.uint8)
-    bits[0, group.column("bit").to_numpy()] = 1
-    bits[1, group.column("bit").to_numpy()[group.column("hot").to_numpy(zero_copy_only=False)]] = 1
-    return pa.table({"block": group.column("block").slice(0, 1), "seen": [np.packbits(bits[0]).tobytes()], "hot": [np.packbits(bits[1]).tobytes()]})
+def _bits(key: tuple, group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 15, dtype=np.uint8)
+    bits[group.column("bit").to_numpy()] = 1
+    return pa.table({"map": [key[0].as_py()], "block": [key[1].as_py()], "bits": [np.packbits(bits).tobytes()]}, pa.schema([("map", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())]))
 
 
-def anchor_filter(texts: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit maps of the anchors found at two places or more, and at ``HOT`` or more, by the leading bits of their hash.
+def anchor_filter(texts: DataFrame, length: int) -> list[np.ndarray]:
+    """Bit maps of the contexts that occur twice, the anchors with several contexts, and those with ``HOT`` of them or more.
 
-    Their size is fixed. They only spare the shuffle anchors that occur once; what passes wrongly meets no partner later.
+    They hold leading bits of the hashes, and their size is fixed. They only spare the shuffle what occurs once: what
+    passes wrongly meets no partner later.
     """
-    counts = texts.select("text").mapInArrow(_count(length), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = F.shiftrightunsigned("fp", 64 - FILTER_BITS)
-    bits = counts.select(F.shiftright(place, 15).cast("int").alias("block"), place.bitwiseAND(32767).cast("int").alias("bit"), (F.col("n") >= HOT).alias("hot"))
-    rows = bits.groupBy("block").applyInArrow(_bits, "block int, seen binary, hot binary").collect()
-    maps = np.zeros((2, 1 << FILTER_BITS - 15, 4096), dtype=np.uint8)
-    for r in rows:
-        maps[0, r.block], maps[1, r.block] = np.frombuffer(r.seen, np.uint8), np.frombuffer(r.hot, np.uint8)
-    return maps[0].ravel(), maps[1].ravel()
+    counts = texts.select("text").mapInArrow(_count(length), "fp long, ctx long, n long").repartition(F.col("fp"))
+    contexts = counts.groupBy("fp", "ctx").agg(F.sum("n").alias("n"))
+    contexts = contexts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+    marked = [
+        F.when(test, F.struct(F.lit(k).alias("map"), F.col(name).alias("hash")))
+        for k, (test, name) in enumerate([(F.col("n") > 1, "ctx"), (F.col("c") > 1, "fp"), (F.col("c") >= HOT, "fp")])
+    ]
+    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bits = contexts.select(F.explode(F.array_compact(F.array(*marked))).alias("m")).select("m.*").select(
+        "map", F.shiftright(place, 15).cast("int").alias("block"), place.bitwiseAND(32767).cast("int").alias("bit")
+    )
+    maps = np.zeros((3, 1 << FILTER_BITS - 15, 4096), dtype=np.uint8)
+    for r in bits.distinct().groupBy("map", "block").applyInArrow(_bits, "map int, block int, bits binary").collect():
+        maps[r.map, r.block] = np.frombuffer(r.bits, np.uint8)
+    return [m.ravel() for m in maps]
 
 
 def _test(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -156,44 +165,66 @@ def _divided(hashes: _Hashes, fp, first, last, place, length: int):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _contexts(length: int, filters):
+def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching ranges of each owner as one."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    new = np.ones(len(order), dtype=bool)  # starts and ends both ascend: contexts of a text never contain each other
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(order)) - 1
+    return owner[at], start[at], end[last] if len(at) else end[:0]
+
+
+def _contexts(length: int, filters, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hot = filters.value
+        again, several, hot = filters.value
         for b in batches:
             docs, rows = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
             held, blobs = [], []
             for part, hashes, grams, text, first, last, place, shift in _runs(b.column(2), length):
-                fp = grams[place]
-                keep = np.flatnonzero(_test(seen, fp))
+                fp, ctx = grams[place], hashes.of(first, last + length)
+                keep = np.flatnonzero(_test(several, fp) | _test(again, ctx))
                 text, first, last, place, shift, fp = (x[keep] for x in (text, first, last, place, shift, fp))
                 crowded = _test(hot, fp)
                 if crowded.any():
                     c = np.flatnonzero(crowded)
                     some, keys, lo, hi = _divided(hashes, fp[c], first[c], last[c], place[c], length)
                     rest, more = np.flatnonzero(~crowded), c[some]
+                    mates = np.append(_test(several, fp[rest]), np.ones(len(more), dtype=bool))
                     first, last, fp = np.append(first[rest], lo), np.append(last[rest], hi), np.append(fp[rest], keys)
                     text, shift = np.append(text[rest], text[more]), np.append(shift[rest], shift[more])
+                else:
+                    mates = _test(several, fp)
                 ends = last + length
-                ctx = hashes.of(first, ends)
-                held.append((fp, ctx, text, first + shift, ends - first))
+                held.append((fp, hashes.of(first, ends), text, first + shift, ends - first))
                 raw = part.tobytes()
-                blobs += [raw[a:z] for a, z in zip(first.tolist(), ends.tolist())]
+                blobs += [raw[a:z] if m else None for a, z, m in zip(first.tolist(), ends.tolist(), mates.tolist())]
             if not held:
                 continue
             fp, ctx, text, start, size = (np.concatenate(x) for x in zip(*held))
-            # A string found again in this batch travels once; its other places are known to be repeated.
+            # A context found again in this batch travels once; its places here are known to be repeated.
             order = np.lexsort((start, docs[text], ctx))
             head = np.ones(len(order), dtype=bool)
             head[1:] = ctx[order][1:] != ctx[order][:-1]
             counts = np.diff(np.append(np.flatnonzero(head), len(order)))
             n = np.zeros(len(order), np.int64)
             n[order[head]] = counts
-            for lo in range(0, len(n), 1 << 15):
-                s = slice(lo, lo + (1 << 15))
-                arrays = [fp[s].view(np.int64), ctx[s].view(np.int64), docs[text[s]], rows[text[s]], start[s], size[s], n[s]]
-                blob = pa.array([x if k else None for x, k in zip(blobs[s], n[s].tolist())], pa.binary())
-                ids = pa.array(arrays[2], pa.int64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays[:2]), ids, *map(pa.array, arrays[3:]), blob], schema=RUN)
+            sure = np.flatnonzero(n == 0 if keep_first else n != 1)
+            owner, lo, hi = _merged(text[sure], start[sure], start[sure] + size[sure])
+            heads = np.flatnonzero(n)
+            none = np.zeros(len(owner), np.int64)
+            spread = mix(rows[owner].view(U) + lo.astype(U)).view(np.int64)
+            columns = [
+                np.append(fp[heads].view(np.int64), spread), np.append(ctx[heads].view(np.int64), none), np.append(docs[text[heads]], docs[owner]),
+                np.append(rows[text[heads]], rows[owner]), np.append(start[heads], lo), np.append(size[heads], hi - lo), np.append(n[heads], none + SURE),
+            ]
+            blob = [blobs[k] for k in heads.tolist()] + [None] * len(owner)
+            for at in range(0, len(columns[0]), 1 << 15):
+                s = slice(at, at + (1 << 15))
+                arrays = [pa.array(c[s]) for c in columns]
+                arrays[2] = pa.array(columns[2][s], pa.int64(), from_pandas=True) if keep_first else pa.nulls(len(arrays[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(blob[s], pa.binary())], schema=RUN)
 
     return run
 
@@ -245,15 +276,21 @@ def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def _search(length: int, keep_first: bool):
     def spans(t: pa.Table) -> list[tuple[int, int, int]]:
         fp, ctx, start, size, n, row = (t.column(c).to_numpy() for c in ("fp", "ctx", "start", "size", "n", "row"))
+        known = n == SURE
+        out = list(zip(row[known].tolist(), start[known].tolist(), (start + size)[known].tolist()))
+        t = t.filter(pa.array(~known))
+        if not len(t):
+            return out
+        fp, ctx, start, size, n, row = (x[~known] for x in (fp, ctx, start, size, n, row))
         new = np.ones(len(t), dtype=bool)  # sorted by fp, ctx, doc_id, row, start
         new[1:] = (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])
         heads = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         total = np.add.reduceat(n, heads)
-        again = total[group] > 1
+        repeated = total[group] > 1
         if keep_first:
-            again &= ~new
-        out = list(zip(row[again].tolist(), start[again].tolist(), (start + size)[again].tolist()))
+            repeated &= ~new
+        out += list(zip(row[repeated].tolist(), start[repeated].tolist(), (start + size)[repeated].tolist()))
         # Strings that share an anchor without being equal: suffix order finds what they have in common.
         mates = np.zeros(len(heads), dtype=bool)
         equal = fp[heads][1:] == fp[heads][:-1]
@@ -261,14 +298,13 @@ def _search(length: int, keep_first: bool):
         mates[:-1] |= equal
         chosen = np.flatnonzero(mates)
         if len(chosen):
-            carrier = np.maximum.reduceat(np.where(n > 0, np.arange(len(t)), -1), heads)[chosen]
-            contexts = t.column("bytes").take(pa.array(carrier)).to_pylist()
+            contexts = t.column("bytes").take(pa.array(heads[chosen])).to_pylist()
             sizes = np.array(list(map(len, contexts)))
             begin = np.cumsum(sizes) - sizes
             owner = heads[chosen]
             place = np.repeat(np.argsort(np.lexsort((start[owner], row[owner], t.column("doc_id").take(pa.array(owner)).to_numpy(zero_copy_only=False)))), sizes)
             found = repeated_starts(contexts, length, place if keep_first else None, keep_first)
-            open_ = ~again[owner]
+            open_ = ~repeated[owner]
             for k in np.flatnonzero(open_).tolist():
                 hits = np.flatnonzero(found[begin[k] : begin[k] + sizes[k]])
                 o = owner[k]
@@ -310,13 +346,14 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False)
     """``row, start, end``: bytes of ``rows`` (``doc_id, row, text``) covered by repeated strings of ``length`` bytes; spans may overlap.
 
     Every string of ``length`` bytes has an anchor, the smallest of its hashed ``ANCHOR``-byte substrings, so equal strings
-    meet under one anchor. Successive strings with one anchor travel together as one context, and only where the anchor
-    occurs twice. Equal contexts are one, first within a batch, then in the task that gathers an anchor; different
-    contexts of an anchor are searched by suffix order. Anchors at very many places are divided by the bytes beside them.
+    meet under one anchor. Successive strings with one anchor travel together as one context: as a hash, if the context
+    occurs twice, and with its bytes, if its anchor has other contexts too. Equal contexts are one, first within a batch,
+    then in the task that gathers an anchor; different contexts of an anchor are searched by suffix order. Anchors with
+    very many contexts are divided by the bytes beside them.
     """
     spark = rows.sparkSession
-    filters = spark.sparkContext.broadcast(anchor_filter(rows, length))  # fixed size: 2 * 2^FILTER_BITS bits
-    found = rows.select("doc_id", "row", "text").mapInArrow(_contexts(length, filters), RUN_SQL)
+    filters = spark.sparkContext.broadcast(anchor_filter(rows, length))  # fixed size: 3 * 2^FILTER_BITS bits
+    found = rows.select("doc_id", "row", "text").mapInArrow(_contexts(length, filters, keep_first), RUN_SQL)
     dealt = found.repartition(F.col("fp")).sortWithinPartitions("fp", "ctx", "doc_id", "row", "start")
     return dealt.mapInArrow(_search(length, keep_first), "row long, start long, end long")
 
