@@ -2,15 +2,61 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from barframe.llm import mixing, near_dedup, packing, personal_data, quality
+from barframe.session import materialise, ship_package
+
+VOCAB = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the robust outlier test keep."""
+    ship_package(spark)
+    return quality.good_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    ship_package(spark)
+    return near_dedup.one_of_each(docs, size=5, percent=80)
+
+
+def personal_data_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    ship_package(spark)
+    return personal_data.redacted_documents(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs, weights=(5, 2, 1), share=1.5, seed=17)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in sequences of 1024 tokens."""
+    ship_package(spark)
+    return packing.pack(docs, public_tokenizers.path(VOCAB), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data_redacted),
+    ("mixing", source_mix),
+    ("packing", packed_sequences),
+]
+# The robust fit, the similarity join and the packing aren't SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{k}")
     return docs
