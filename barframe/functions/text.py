@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barframe.schema import PAIR_TICKERS, SENTIMENT
 
@@ -43,64 +39,41 @@ def url_id(url: Column) -> Column:
     return F.substring(F.sha1(url), 1, 16)
 
 
-# Elements whose content is not text.
+# Elements whose content is not text, and the named characters that are decoded (the ampersand last).
 _HIDDEN = ("script", "style", "template")
+ENTITIES = {
+    "nbsp": 160, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "copy": 169, "reg": 174, "middot": 183, "laquo": 171, "raquo": 187,
+    "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "ldquo": 8220, "rdquo": 8221, "bull": 8226, "hellip": 8230,
+    "euro": 8364, "trade": 8482, "amp": 38,
+}
+HIDDEN_PATTERN = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in _HIDDEN)
+TAG_PATTERN = r"""(?s)<[/!?A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+SPACE_PATTERN = "[ \\t\\n\\r\\f\\x{00A0}]+"
 
 
-class _Text(HTMLParser):
-    """Collects the text parts of a page; script and style bodies are not text."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-        self.pending = ""
-
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        self.hidden += tag in _HIDDEN
-
-    def handle_endtag(self, tag):
-        self.flush()
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-
-    def handle_comment(self, data):
-        self.flush()
-
-    def handle_decl(self, decl):
-        self.flush()
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.pending += data
-
-    def flush(self):
-        text = self.pending.strip()
-        if text:
-            self.parts.append(text)
-        self.pending = ""
-
+def visible_text(html: Column) -> Column:
+    """Visible text of HTML: hidden elements, comments and tags become separators, then characters are decoded.
 
-def _page_text(html: str | None) -> str:
-    if not html:
-        return ""
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return " ".join(parser.parts)
+    Runs of white space become one space. Numbered characters and the names in ``ENTITIES`` are decoded, others stay.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN_PATTERN, " "), TAG_PATTERN, " ")
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
 
+    def decoded(so_far: Column, number: Column) -> Column:
+        code = number.cast("int")
+        fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(fits, F.replace(so_far, F.concat(F.lit("&#"), number, F.lit(";")), character)).otherwise(so_far)
 
-@F.pandas_udf(T.StringType())
-def _strip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for html in batches:
-        yield html.map(_page_text)
+    text = F.when(F.size(numbers) > 0, F.aggregate(numbers, text, decoded)).otherwise(text)
+    for name, code in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(chr(code)))
+    return F.trim(F.regexp_replace(text, SPACE_PATTERN, " "))
 
 
 def strip_html(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Visible text of an HTML column, parts joined by single spaces; null gives the empty string."""
-    return df.withColumn(out or col, _strip(F.col(col)))
+    """Visible text of an HTML column (see ``visible_text``); null gives the empty string."""
+    return df.withColumn(out or col, visible_text(F.col(col)))
 
 
 def scoring_text(title: Column, summary: Column) -> Column:

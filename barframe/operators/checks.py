@@ -31,8 +31,11 @@ def clamp_published(news: DataFrame) -> DataFrame:
 
 
 def bar_order(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Per series: strictly increasing ``open_time`` in arrival order, and no bar ingested before it opened."""
-    positioned = with_position(df, order=("ingested_at",), rows=block, total=None)
+    """Per series: strictly increasing ``open_time`` in arrival order, and no bar ingested before it opened.
+
+    Bars arrive in the order of ``ingested_at``; those of one instant count as sent in time order.
+    """
+    positioned = with_position(df, ts="ingested_at", order=(TS,), rows=block, total=None)
     stepped = over_rows(positioned, lambda f: {"_prev": f.lag(TS)}, before=1, block=block)
     increasing = F.bool_and(F.coalesce(F.col(TS) > F.col("_prev"), F.lit(True)))
     return stepped.groupBy(*SERIES).agg(
@@ -62,7 +65,7 @@ def missing_inputs(grid: DataFrame, tables: dict[str, DataFrame], key: Sequence[
     return out
 
 
-def pending_runs(grid: DataFrame, metrics: DataFrame, key: Sequence[str] = ("pair", "model")) -> DataFrame:
+def pending_runs(grid: DataFrame, metrics: DataFrame, key: Sequence[str] = (*SERIES, "model")) -> DataFrame:
     """Runs of the grid that have no finished metrics yet."""
     return grid.join(metrics.select(*key), list(key), "left_anti")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.operators.tables import spread_join
+from barframe.schema import SERIES
 
 MIN_CALIBRATION = 32
 _BINS = 4096
@@ -45,7 +46,7 @@ def quantile_per_group(df: DataFrame, by: Sequence[str], value: str, level: Colu
 
 
 def conformal_threshold(
-    calib: DataFrame, alpha: float = 0.1, by: Sequence[str] = ("pair", "fold"), min_rows: int = MIN_CALIBRATION
+    calib: DataFrame, alpha: float = 0.1, by: Sequence[str] = (*SERIES, "fold"), min_rows: int = MIN_CALIBRATION
 ) -> DataFrame:
     """Threshold per group from calibration rows with ``y_true`` and ``y_prob``.
 
@@ -67,7 +68,7 @@ def conformal_members(p: Column, threshold: Column) -> tuple[Column, Column]:
     return zero, one
 
 
-def with_conformal_set(preds: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("pair", "fold")) -> DataFrame:
+def with_conformal_set(preds: DataFrame, thresholds: DataFrame, by: Sequence[str] = (*SERIES, "fold")) -> DataFrame:
     """Add ``in_set_0`` and ``in_set_1``. Sets may hold zero, one or two classes.
 
     The small threshold table is joined on salted keys, so one hot group does not meet in one task.

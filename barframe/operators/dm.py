@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barframe.functions.scalar import signed_p
 from barframe.operators.series import over_rows, with_position
 
-PAIR_KEY = ("pair", "model_a", "model_b")
+PAIR_KEY = ("pair", "interval", "model_a", "model_b")
 
 
 def pair_predictions(preds: DataFrame) -> DataFrame:
@@ -22,7 +20,7 @@ def pair_predictions(preds: DataFrame) -> DataFrame:
     One shuffle: the models' predictions of a key meet in one small array (one slot per model) from
     which the ordered pairs are taken.
     """
-    key = ["pair", "open_time", "fold"]
+    key = ["pair", "interval", "open_time", "fold"]
     met = preds.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("model", "y_pred", "y_true"))).alias("m")
     )
@@ -83,39 +81,28 @@ def dm_statistic(
     return agg.select(*by, "n", stat.alias("dm_stat"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction (modified Lentz evaluation)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_fraction(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
-    for i in range(0, 20000):
-        m = i // 2
-        if i == 0:
-            num = 1.0
-        elif i % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + num / (c if abs(c) > tiny else tiny)
-        f *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * (f - 1.0)
-
-
-@F.pandas_udf(T.DoubleType())
-def student_t_two_sided(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided p-value of Student's t (applied to the few aggregated rows)."""
-    return pd.Series([
-        None if pd.isna(t) else _beta_fraction(v / 2.0, 0.5, v / (v + t * t)) for t, v in zip(stat, dof)
-    ], dtype="float64")
+_NODES = 2000
+
+
+def student_t_two_sided(stat: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t, by Simpson's rule.
+
+    With ``t = sqrt(v) tan(a)`` the density becomes ``cos(a) ** (v - 1)`` on a quarter turn; the p-value is the integral
+    beyond the statistic's angle over the whole. Both end where the integrand has fallen below exp(-72).
+    """
+    end = F.least(F.lit(math.pi / 2), 12 / F.sqrt(dof))
+    start = F.least(F.atan(F.abs(stat) / F.sqrt(dof)), end)
+
+    def integral(low: Column) -> Column:
+        step = (end - low) / _NODES
+
+        def term(total: Column, i: Column) -> Column:
+            factor = F.when((i == 0) | (i == _NODES), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return total + factor * F.exp((dof - 1) * F.log(F.greatest(F.cos(low + i * step), F.lit(1e-300))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_NODES)), F.lit(0.0), term) * step / 3
+
+    return F.when(stat.isNotNull(), integral(start) / integral(F.lit(0.0)))
 
 
 def diebold_mariano(
@@ -123,7 +110,7 @@ def diebold_mariano(
 ) -> DataFrame:
     """Statistic, two-sided p-value and verdict at 5 % for each model pair."""
     stats = dm_statistic(pairs, h, loss, by, min_rows)
-    p = student_t_two_sided("dm_stat", (F.col("n") - 1).cast("double"))
+    p = student_t_two_sided(F.col("dm_stat"), (F.col("n") - 1).cast("double"))
     verdict = (
         F.when(F.col("dm_stat").isNull(), "n too small for DM")
         .when(F.col("p_value") >= 0.05, "no significant difference")
@@ -133,26 +120,26 @@ def diebold_mariano(
 
 
 def dm_matrix(preds: DataFrame, models: list[str]) -> DataFrame:
-    """Antisymmetric matrix of signed p-values per pair: negative where the row's model wins."""
+    """Antisymmetric matrix of signed p-values per series: negative where the row's model wins."""
     tested = diebold_mariano(pair_predictions(preds)).withColumn(
         "sp", signed_p(F.col("dm_stat"), F.col("p_value"))
     )
-    upper = tested.select("pair", "model_a", "model_b", "sp")
-    lower = tested.select("pair", F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), (-F.col("sp")).alias("sp"))
+    upper = tested.select("pair", "interval", "model_a", "model_b", "sp")
+    lower = tested.select("pair", "interval", F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), (-F.col("sp")).alias("sp"))
     both = upper.unionByName(lower)
-    return both.groupBy("pair", F.col("model_a").alias("model")).pivot("model_b", models).agg(F.first("sp"))
+    return both.groupBy("pair", "interval", F.col("model_a").alias("model")).pivot("model_b", models).agg(F.first("sp"))
 
 
 def dm_cross(left: DataFrame, right: DataFrame, min_rows: int = 30) -> DataFrame:
     """Signed p (4 places, half-even) of every left model against every right model; null on small overlap.
 
-    The two prediction sets meet on (pair, open_time, fold), like ``pair_predictions``.
+    The two prediction sets meet on (pair, interval, open_time, fold), like ``pair_predictions``.
     """
-    key = ["pair", "open_time", "fold"]
+    key = ["pair", "interval", "open_time", "fold"]
     a = left.select(*key, F.col("model").alias("model_a"), "y_true", F.col("y_pred").alias("pred_a"))
     b = right.select(*key, F.col("model").alias("model_b"), F.col("y_pred").alias("pred_b"))
     tested = diebold_mariano(a.join(b, key), min_rows=min_rows)
     return tested.select(
-        "pair", F.col("model_a").alias("variant"), F.col("model_b").alias("baseline"), "n", "dm_stat",
+        "pair", "interval", F.col("model_a").alias("variant"), F.col("model_b").alias("baseline"), "n", "dm_stat",
         F.bround(signed_p(F.col("dm_stat"), F.col("p_value")), 4).alias("signed_p"),
     )

@@ -64,40 +64,48 @@ def _field_batches(col: str, carry: list[str], size: int, bins: int, planes_kept
     return run
 
 
-def render_candles(ohlc: np.ndarray, hw: int = IMAGE, body: float = 0.7) -> np.ndarray:
-    """Raster of one (T, 4) open/high/low/close window as (3, hw, hw) uint8."""
-    count = len(ohlc)
+def rasters(ohlc: np.ndarray, hw: int = IMAGE, body: float = 0.7) -> np.ndarray:
+    """Candlestick images of (n, T, 4) open/high/low/close windows as (n, 3, hw, hw) uint8.
+
+    A pixel shows the last candle that covers it, in the colour of its direction: by its wick (the centre column, from
+    high to low) or its body (``body`` of the candle's width, from open to close, two pixels high at least). Prices map
+    to rows linearly, the highest to row 0, rounded half to even; a window without any range counts as 1e-6 wide.
+    """
+    n, count = ohlc.shape[:2]
     if count > hw:
         raise ValueError(f"window of {count} bars is wider than the image ({hw})")
-    low, high = ohlc[:, 2].min(), ohlc[:, 1].max()
-    if high <= low:
-        high = low + 1e-6
-    rows = np.rint((high - ohlc) / (high - low) * (hw - 1)).astype(int)
-    width = hw / count
-    half = max(1, int(round(width * body / 2)))
-    image = np.empty((3, hw, hw), dtype=np.uint8)
-    image[:] = np.array(BACKGROUND, dtype=np.uint8)[:, None, None]
-    for i, (o, h, lo, c) in enumerate(rows):
-        centre = int((i + 0.5) * width)
-        colour = np.array(UP if ohlc[i, 3] >= ohlc[i, 0] else DOWN, dtype=np.uint8)[:, None]
-        image[:, h:lo + 1, centre] = colour
-        top, bottom = min(o, c), max(o, c)
-        if top == bottom:
-            bottom = min(hw - 1, top + 1)
-        image[:, top:bottom + 1, max(0, centre - half):min(hw, centre + half + 1)] = colour[:, :, None]
-    return image
-
-
-def _raster_batches(col: str, carry: list[str], hw: int, body: float):
+    top, bottom = ohlc[:, :, 1].max(axis=1), ohlc[:, :, 2].min(axis=1)
+    top = np.where(top > bottom, top, bottom + 1e-6)
+    level = np.rint((top[:, None, None] - ohlc) / (top - bottom)[:, None, None] * (hw - 1)).astype(int)
+    edges = np.sort(level[:, :, [0, 3]], axis=2)
+    edges[:, :, 1] = np.where(edges[:, :, 0] == edges[:, :, 1], np.minimum(hw - 1, edges[:, :, 1] + 1), edges[:, :, 1])
+    pixel, number = np.arange(hw), np.arange(count)
+    centre = ((number + 0.5) * (hw / count)).astype(int)
+    reach = max(1, round(hw / count * body / 2))
+    away = np.abs(pixel[None, :] - centre[:, None])  # candle x column
+    between = lambda lo, hi: (pixel >= lo[:, :, None]) & (pixel <= hi[:, :, None])  # noqa: E731  window x candle x row
+    wick = between(level[:, :, 1], level[:, :, 2])[:, :, :, None] & (away == 0)[None, :, None, :]
+    solid = between(edges[:, :, 0], edges[:, :, 1])[:, :, :, None] & (away <= reach)[None, :, None, :]
+    shown = ((wick | solid) * (number + 1).astype(np.int16)[None, :, None, None]).max(axis=1)  # 0: none
+    rising = np.concatenate([np.zeros((n, 1), bool), ohlc[:, :, 3] >= ohlc[:, :, 0]], axis=1)
+    kind = np.where(shown > 0, 1 + np.take_along_axis(rising, shown.reshape(n, -1).astype(int), axis=1).reshape(shown.shape), 0)
+    return np.array([BACKGROUND, DOWN, UP], dtype=np.uint8)[kind].transpose(0, 3, 1, 2)
+
+
+def _raster_batches(col: str, carry: list[str], hw: int, body: float, together: int = 32):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             column = batch.column(batch.schema.get_field_index(col))
             bars = column.flatten()
             ohlc = np.stack([bars.field(n).to_numpy(zero_copy_only=False) for n in ("open", "high", "low", "close")], axis=1)
-            ends = np.asarray(column.offsets) - column.offsets[0].as_py()
-            images = [render_candles(ohlc[a:b], hw, body).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            sizes = np.diff(np.asarray(column.offsets))
+            starts = np.cumsum(sizes) - sizes
+            images: list[bytes | None] = [None] * batch.num_rows
+            for size in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == size)
+                for part in np.array_split(rows, -(-len(rows) // together)):
+                    for row, image in zip(part, rasters(ohlc[starts[part, None] + np.arange(size)], hw, body)):
+                        images[row] = image.tobytes()
             kept = [batch.column(batch.schema.get_field_index(n)) for n in carry]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(images, pa.binary())], names=[*carry, "image"])
 

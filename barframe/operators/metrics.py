@@ -11,7 +11,8 @@ from barframe.functions.scalar import log_loss_term, p_bin, position_sign, verdi
 from barframe.operators.tables import top_n_per
 from barframe.schema import SERIES, TS, regime_name
 
-FOLD_KEY = ("pair", "model", "fold")
+RUN_KEY = (*SERIES, "model")
+FOLD_KEY = (*RUN_KEY, "fold")
 METRICS = [
     "accuracy", "precision", "recall", "f1", "mcc", "log_loss", "hit_rate", "pnl_log", "sharpe_per_bar",
 ]
@@ -45,7 +46,7 @@ def fold_metrics(preds: DataFrame, by: Sequence[str] = FOLD_KEY) -> DataFrame:
     )
 
 
-def aggregate_folds(metrics: DataFrame, by: Sequence[str] = ("pair", "model")) -> DataFrame:
+def aggregate_folds(metrics: DataFrame, by: Sequence[str] = RUN_KEY) -> DataFrame:
     """Row-weighted mean of each metric over folds; P&L is summed."""
     weighted = [
         (F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(m) if m != "pnl_log" else F.sum(m).alias(m)
@@ -66,7 +67,7 @@ def conformal_stats(preds: DataFrame, by: Sequence[str] = FOLD_KEY) -> DataFrame
     )
 
 
-def aggregate_conformal(stats: DataFrame, by: Sequence[str] = ("pair", "model")) -> DataFrame:
+def aggregate_conformal(stats: DataFrame, by: Sequence[str] = RUN_KEY) -> DataFrame:
     """Row-weighted conformal statistics over folds."""
     names = {"coverage": "cp_coverage", "avg_set_size": "cp_avg_set_size", "singletons": "cp_singleton_frac"}
     return stats.groupBy(*by).agg(
@@ -75,8 +76,8 @@ def aggregate_conformal(stats: DataFrame, by: Sequence[str] = ("pair", "model"))
 
 
 def summary_table(summary: DataFrame) -> DataFrame:
-    """One row per (pair, model), pair ascending, accuracy descending."""
-    return summary.orderBy(F.col("pair").asc(), F.col("accuracy").desc(), F.col("model").asc())
+    """One row per (series, model), series ascending, accuracy descending."""
+    return summary.orderBy(*[F.col(c).asc() for c in SERIES], F.col("accuracy").desc(), F.col("model").asc())
 
 
 def regime_summary(regimes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Baseline and fusion classifiers over walk-forward folds.
 
 Datasets carry ``pair, interval, open_time, row, n, y, next_ret`` and the feature columns
-(``labels.build_dataset``) plus ``initial`` and ``test`` (``splits.auto_folds``). Models return
+(``labels.build_dataset``) plus ``initial``, ``test`` and ``n_folds`` (``splits.auto_folds``); models take all
+folds unless ``max_folds`` asks for fewer. Models return
 predictions: ``pair, interval, model, fold, open_time, y_true, y_pred, y_prob, next_ret``.
 """
 
@@ -22,17 +23,22 @@ from pyspark.sql import functions as F
 from barframe.operators.conformal import conformal_threshold, with_conformal_set
 from barframe.operators.features import FEATURE_COLUMNS
 from barframe.operators.splits import calibration_size, walk_forward
-from barframe.operators.tables import spread_join
+from barframe.operators.tables import key_hash, spread_join
 from barframe.schema import SENTIMENT_FEATURES, SERIES, TS, regime_name
 
 GAP = 1
-MAX_FOLDS = 6
 Model = Callable[[DataFrame], DataFrame]
 
 
-def test_rows(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
+def folds_of(max_folds: int | None) -> Column:
+    """Folds per series: those of the dataset, or fewer where asked for."""
+    own = F.col("n_folds")
+    return own if max_folds is None else F.least(own, F.lit(max_folds).cast("long"))
+
+
+def test_rows(ds: DataFrame, max_folds: int | None = None) -> DataFrame:
     """Test rows of every fold."""
-    return walk_forward(ds, F.col("initial"), F.col("test"), gap=GAP, max_folds=max_folds)
+    return walk_forward(ds, F.col("initial"), F.col("test"), gap=GAP, max_folds=folds_of(max_folds))
 
 
 def as_predictions(df: DataFrame, model: str, prob: Column, *extra: str) -> DataFrame:
@@ -44,7 +50,7 @@ def as_predictions(df: DataFrame, model: str, prob: Column, *extra: str) -> Data
 
 
 # --------------------------------------------------------------------------- naive models
-def base_rates(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
+def base_rates(ds: DataFrame, max_folds: int | None = None) -> DataFrame:
     """Mean training label of every (series, fold).
 
     Rows are summed once per segment (initial part, then one segment per step) with map-side combine;
@@ -52,27 +58,27 @@ def base_rates(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
     """
     beyond = F.floor((F.col("row") - F.col("initial")) / F.col("test")) + 1
     segment = F.when(F.col("row") < F.col("initial"), F.lit(0)).otherwise(beyond).cast("long")
-    sums = ds.withColumn("fold", segment).filter(F.col("fold") < max_folds).groupBy(*SERIES, "fold").agg(
+    sums = ds.withColumn("fold", segment).filter(F.col("fold") < folds_of(max_folds)).groupBy(*SERIES, "fold").agg(
         F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_c")
     )
     w = Window.partitionBy(*SERIES).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     return sums.select(*SERIES, "fold", (F.sum("_s").over(w) / F.sum("_c").over(w)).alias("base_rate"))
 
 
-def majority(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
+def majority(ds: DataFrame, max_folds: int | None = None) -> DataFrame:
     """Predict the training share of up moves."""
     tested = spread_join(test_rows(ds, max_folds), base_rates(ds, max_folds), [*SERIES, "fold"])
     return as_predictions(tested, "naive_majority", F.col("base_rate"))
 
 
-def persistence(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
+def persistence(ds: DataFrame, max_folds: int | None = None) -> DataFrame:
     """Predict that the last move repeats."""
     return as_predictions(test_rows(ds, max_folds), "naive_persistence", (F.col("ret_1") > 0).cast("double"))
 
 
-def random_coin(ds: DataFrame, seed: int = 0, max_folds: int = MAX_FOLDS) -> DataFrame:
+def random_coin(ds: DataFrame, seed: int = 0, max_folds: int | None = None) -> DataFrame:
     """Uniform probabilities from a hash of the bar's key, repeatable whatever the partitioning."""
-    bits = F.pmod(F.xxhash64(*SERIES, TS, F.lit(seed)), F.lit(1 << 52))
+    bits = F.conv(F.substring(key_hash(ds, [*SERIES, TS], seed), 1, 13), 16, 10).cast("long")
     return as_predictions(test_rows(ds, max_folds), "naive_random", bits / F.lit(float(1 << 52)))
 
 
@@ -173,7 +179,7 @@ def _newton_partials(groups: dict[tuple[str, str], dict[int, Fit]], dim: int):
 
 def fit_logistic(
     ds: DataFrame, dim: int, conformal: bool = True, c: float = 1.0, calib_frac: float = 0.2,
-    max_folds: int = MAX_FOLDS, max_iter: int = 30, tol: float = 1e-9, min_rows: int = 32,
+    max_folds: int | None = None, max_iter: int = 30, tol: float = 1e-9, min_rows: int = 32,
 ) -> dict[tuple[str, str], dict[int, Fit]]:
     """Fit an L2 logistic regression with balanced classes for every (series, fold) at the same time.
 
@@ -183,7 +189,7 @@ def fit_logistic(
     reads the data about ten times in total, not once per model and iteration. Inputs are scaled by
     the fitting rows' mean and population deviation; the intercept is not penalised.
     """
-    folds = F.sequence(F.lit(0), F.lit(max_folds - 1))
+    folds = F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)
     rows = ds.withColumn("fold", F.explode(folds))
     train_end = F.col("initial") + F.col("fold") * F.col("test")
     valid = train_end + GAP + F.col("test") <= F.col("n")
@@ -276,19 +282,19 @@ def fusion_inputs(ds: DataFrame, variant: str, dim: int = 0) -> tuple[DataFrame,
     if "sent" in uses:
         parts.append(F.array(*[F.col(c).cast("double") for c in SENTIMENT_FEATURES]))
         size += len(SENTIMENT_FEATURES)
-    keep = [*SERIES, TS, "row", "n", "initial", "test", "y", "next_ret"]
+    keep = [*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret"]
     return ds.select(*keep, F.concat(*parts).alias("x")), size
 
 
 def fusion(
     ds: DataFrame, variant: str = "fusion_num", dim: int = 0, alpha: float = 0.1, calib_frac: float = 0.2,
-    max_folds: int = MAX_FOLDS,
+    max_folds: int | None = None,
 ) -> DataFrame:
     """Late-fusion logistic model with split-conformal sets: predictions plus ``in_set_0/1``."""
     inputs, size = fusion_inputs(ds, variant, dim)
     groups = fit_logistic(inputs, size, True, calib_frac=calib_frac, max_folds=max_folds)
     tested = test_rows(inputs, max_folds).withColumn("role", F.lit("test"))
-    calib = inputs.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(max_folds - 1)).cast("array<bigint>")))
+    calib = inputs.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)))
     train_end = (F.col("initial") + F.col("fold") * F.col("test")).cast("long")
     calib = calib.withColumn("train_end", train_end).withColumn("role", F.lit("calibration"))
     lower = F.col("train_end") - calibration_size(F.col("train_end"), calib_frac)
@@ -301,13 +307,13 @@ def fusion(
     return with_conformal_set(preds, thresholds, key)
 
 
-def sentiment_logistic(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
+def sentiment_logistic(ds: DataFrame, max_folds: int | None = None) -> DataFrame:
     """Logistic model on the sentiment columns, fitted and applied on bars with articles only.
 
     A series with fewer than 32 such training rows predicts its base rate; other bars without
     articles predict 0.5.
     """
-    keep = [*SERIES, TS, "row", "n", "initial", "test", "y", "next_ret", "sent_count"]
+    keep = [*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret", "sent_count"]
     x = F.array(*[F.col(c).cast("double") for c in SENTIMENT_FEATURES])
     inputs = ds.select(*keep, x.alias("x"))
     size = len(SENTIMENT_FEATURES)
@@ -321,16 +327,16 @@ def sentiment_logistic(ds: DataFrame, max_folds: int = MAX_FOLDS) -> DataFrame:
 
 # --------------------------------------------------------------------------- spark.ml models
 def boosted_trees(
-    ds: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, max_folds: int = MAX_FOLDS, max_iter: int = 400,
+    ds: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, max_folds: int | None = None, max_iter: int = 400,
     max_depth: int = 5, step: float = 0.05, subsample: float = 0.8, features: str = "0.8", seed: int = 0,
 ) -> DataFrame:
     """Gradient-boosted trees per (series, fold); each fit is a distributed ``spark.ml`` job."""
     vectors = VectorAssembler(inputCols=list(cols), outputCol="features")
-    grid = ds.groupBy(*SERIES).agg(*[F.max(c).alias(c) for c in ("n", "initial", "test")]).collect()  # one row per series
+    grid = ds.groupBy(*SERIES).agg(*[F.max(c).alias(c) for c in ("n", "initial", "test", "n_folds")]).collect()  # one row per series
     out = None
     tested = test_rows(ds, max_folds)
     for series in grid:
-        for fold in range(max_folds):
+        for fold in range(min(series["n_folds"], max_folds or series["n_folds"])):
             train_end = series["initial"] + fold * series["test"]
             if train_end + GAP + series["test"] > series["n"]:
                 break
@@ -355,7 +361,7 @@ def fit_anchor(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: f
     together, as a walk-forward split with one fold.
     """
     cut = F.floor(F.col("n") * F.lit(float(frac))).cast("long")
-    anchored = ds.withColumn("initial", cut).withColumn("test", F.col("n") - F.col("initial") - GAP)
+    anchored = ds.withColumn("initial", cut).withColumn("test", F.col("n") - F.col("initial") - GAP).withColumn("n_folds", F.lit(1).cast("long"))
     inputs, size = fusion_inputs(anchored, variant, dim)
     groups = fit_logistic(inputs, size, True, max_folds=1)
     scored = score_logistic(inputs.withColumn("fold", F.lit(0).cast("long")), groups, size)

@@ -162,10 +162,17 @@ def aggregate_news_for_bars(
     return both.select(*SERIES, TS, *cols)
 
 
-def check_no_future_news(bars: DataFrame, news: DataFrame, lookback_ms: int = DAY_MS, **options) -> DataFrame:
-    """Bars to which an article published at or after ``open_time`` contributed (must be empty)."""
-    features = aggregate_news_for_bars(news, bars, lookback_ms, with_last_at=True, **options)
-    return features.filter(F.col("sent_last_at") >= F.col(TS))
+def check_no_future_news(features: DataFrame, news: DataFrame, lookback_ms: int = DAY_MS, **options) -> DataFrame:
+    """Bars of a supplied sentiment table whose article count or mean differs from the strict window before the bar.
+
+    A table that let an article count at or after its publication bar, or lost one, shows up here; empty means passed.
+    """
+    key = [*SERIES, TS]
+    strict = aggregate_news_for_bars(news, features.select(*key), lookback_ms, **options)
+    strict = strict.select(*key, F.col("sent_count").alias("_n"), F.col("sent_mean").alias("_m"))
+    joined = features.join(strict, key, "left")
+    same = (F.col("sent_count") == F.col("_n")) & (F.abs(F.col("sent_mean") - F.col("_m")) <= 1e-9)
+    return joined.filter(~F.coalesce(same, F.lit(False))).select(*key, "sent_count", F.col("_n").alias("strict_count"))
 
 
 # --------------------------------------------------------------------------- alignment

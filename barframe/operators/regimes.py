@@ -8,6 +8,7 @@ very long series is decoded exactly without ever being in one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from barframe.operators.features import regime_inputs
 from barframe.operators.series import with_position
+from barframe.operators.tables import spread_join
 from barframe.schema import SERIES, TS
 from barframe.session import materialise
 
@@ -33,45 +35,102 @@ class Hmm:
     mean: np.ndarray
     var: np.ndarray
     fit_rows: int
+    converged: bool = False
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         d = x[:, None, :] - self.mean[None]
         return -0.5 * (np.log(2 * np.pi * self.var)[None] + d * d / self.var[None]).sum(axis=2)
 
 
-def _initial(x: np.ndarray, k: int) -> Hmm:
-    """Starting point: states at spread-out return quantiles, common variance, sticky transitions."""
-    order = np.argsort(x[:, 0], kind="stable")
-    groups = np.array_split(order, k)
-    mean = np.array([x[g].mean(axis=0) for g in groups])
-    var = np.maximum(np.array([x[g].var(axis=0) for g in groups]), _FLOOR) + 0.1 * x.var(axis=0) + _FLOOR
-    trans = np.full((k, k), 0.1 / max(1, k - 1))
-    np.fill_diagonal(trans, 0.9)
-    return Hmm(np.full(k, 1.0 / k), trans, mean, var, len(x))
-
-
-def _expect(x: np.ndarray, m: Hmm) -> dict[str, np.ndarray]:
-    """Sufficient statistics of one run of rows (scaled forward-backward)."""
-    logb = m.log_density(x)
-    top = logb.max(axis=1, keepdims=True)
-    b = np.exp(logb - top)
-    n, k = b.shape
-    alpha, beta, scale = np.empty((n, k)), np.empty((n, k)), np.empty(n)
-    a = m.start * b[0]
-    for t in range(n):
-        if t:
-            a = (alpha[t - 1] @ m.trans) * b[t]
-        scale[t] = a.sum() or _FLOOR
-        alpha[t] = a / scale[t]
-    beta[-1] = 1.0
-    for t in range(n - 2, -1, -1):
-        beta[t] = (m.trans @ (b[t + 1] * beta[t + 1])) / scale[t + 1]
+# --------------------------------------------------------------------------- one block, its rows cut into pieces that advance together
+def _steps(x: np.ndarray, m: Hmm, first: bool, log: bool) -> tuple[np.ndarray, float]:
+    """Step matrices of a block's rows as (pieces, length, K, K), and the sum of the row maxima taken out.
+
+    Row t's matrix leads from the state before it to its own, weighted by its density. A series' first row leads from
+    anywhere to the start distribution. The block is padded with steps that change nothing. About sqrt(n) pieces of
+    sqrt(n) rows advance together, so a pass takes sqrt(n) array operations.
+    """
+    density = m.log_density(x)
+    top = density.max(axis=1, keepdims=True)
+    density = density - top
+    n, k = density.shape
+    length = max(1, math.isqrt(n))
+    pieces = -(-n // length)
+    tiny = np.log(np.maximum(m.trans, 1e-300))
+    out = np.empty((pieces * length, k, k))
+    out[:n] = tiny[None] + density[:, None, :]
+    if first:
+        out[0] = np.log(np.maximum(m.start, 1e-300)) + density[0]
+    out[n:] = np.where(np.eye(k) > 0, 0.0, -np.inf)
+    return (out if log else np.exp(out)).reshape(pieces, length, k, k), float(top.sum())
+
+
+def _best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best-path product of log matrices: rows of ``a`` with columns of ``b``."""
+    return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
+
+
+def _message(steps: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of the whole block, matrices of its pieces), scaled."""
+    pieces = steps[:, 0]
+    for t in range(1, steps.shape[1]):
+        pieces = _best(pieces, steps[:, t]) if best else pieces @ steps[:, t]
+        top = pieces.max(axis=(1, 2), keepdims=True)
+        pieces = pieces - top if best else pieces / top
+    whole = pieces[0]
+    for piece in pieces[1:]:
+        whole = _best(whole, piece) if best else whole @ piece
+        whole = whole - whole.max() if best else whole / whole.max()
+    return whole, pieces
+
+
+def _forward(steps: np.ndarray, pieces: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state weights after every row, scales), from the weights before the block."""
+    entries = [entry / entry.sum()]
+    for piece in pieces[:-1]:
+        a = entries[-1] @ piece
+        entries.append(a / a.sum())
+    a = np.array(entries)
+    alpha, scale = np.empty(steps.shape[:3]), np.empty(steps.shape[:2])
+    for t in range(steps.shape[1]):
+        a = (a[:, None, :] @ steps[:, t])[:, 0]
+        scale[:, t] = a.sum(axis=1)
+        a = a / scale[:, t, None]
+        alpha[:, t] = a
+    return alpha, scale
+
+
+def _backward(steps: np.ndarray, pieces: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Weights of what follows every row, given those after the block."""
+    leaves = [leave / leave.sum()]
+    for piece in pieces[:0:-1]:
+        b = piece @ leaves[-1]
+        leaves.append(b / b.sum())
+    b = np.array(leaves[::-1])
+    beta = np.empty(steps.shape[:3])
+    for t in range(steps.shape[1] - 1, -1, -1):
+        beta[:, t] = b
+        b = (steps[:, t] @ b[:, :, None])[:, :, 0]
+        b = b / b.sum(axis=1, keepdims=True)
+    return beta
+
+
+def _expect(x: np.ndarray, m: Hmm, first: bool = True, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Sufficient statistics of one block, given the state weights before it and the weights of what follows."""
+    n, k = len(x), len(m.start)
+    entry = np.full(k, 1.0 / k) if entry is None else entry / entry.sum()
+    steps, top = _steps(x, m, first, False)
+    _, pieces = _message(steps, False)
+    alpha, scale = _forward(steps, pieces, entry)
+    beta = _backward(steps, pieces, np.ones(k) if leave is None else leave)
+    alpha, beta, flat = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n], steps.reshape(-1, k, k)[:n]
     post = alpha * beta
     post /= post.sum(axis=1, keepdims=True)
-    moved = m.trans * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) if n > 1 else np.zeros((k, k))
+    moves = np.concatenate([entry[None], alpha[:-1]])[:, :, None] * flat * beta[:, None, :]
+    moves /= moves.sum(axis=(1, 2), keepdims=True)
     return {
-        "start": post[0], "trans": moved, "weight": post.sum(axis=0), "first": post.T @ x, "second": post.T @ (x * x),
-        "loglik": np.array([np.log(scale).sum() + top.sum()]),
+        "start": post[0] if first else np.zeros(k), "trans": moves[int(first):].sum(axis=0), "weight": post.sum(axis=0),
+        "first": post.T @ x, "second": post.T @ (x * x), "loglik": np.array([np.log(scale.ravel()[:n]).sum() + top]),
     }
 
 
@@ -87,91 +146,123 @@ def _maximise(s: dict[str, np.ndarray], m: Hmm) -> Hmm:
 
 def _sorted(m: Hmm) -> Hmm:
     order = np.argsort(m.mean[:, 0], kind="stable")
-    return Hmm(m.start[order], m.trans[np.ix_(order, order)], m.mean[order], m.var[order], m.fit_rows)
+    return Hmm(m.start[order], m.trans[np.ix_(order, order)], m.mean[order], m.var[order], m.fit_rows, m.converged)
 
 
-def _fit_one(x: np.ndarray, k: int, n_iter: int, tol: float) -> tuple[Hmm, list[float]]:
-    """Expectation-maximisation over one bounded run of rows."""
-    m, history = _initial(x, k), []
+def _fit_one(x: np.ndarray, m: Hmm, n_iter: int, tol: float) -> tuple[Hmm, list[float]]:
+    """Expectation-maximisation of a series that is one block."""
+    history: list[float] = []
     for _ in range(n_iter):
         stats = _expect(x, m)
         history.append(float(stats["loglik"][0]))
         if len(history) > 1 and history[-1] - history[-2] < tol:
+            m.converged = True
             break
         m = _maximise(stats, m)
     return m, history
 
 
-_PARAMS = (
-    "pair string, interval string, start array<double>, trans array<double>, mean array<double>, "
-    "var array<double>, fit_rows long, loglik array<double>"
-)
-
+# --------------------------------------------------------------------------- starting point
+def _starting_points(rows: DataFrame, k: int) -> dict[tuple[str, str], Hmm]:
+    """Per series: states at the groups between the return quantiles of all fitting rows, sticky transitions.
 
-def _pack(key, m: Hmm, history) -> pd.DataFrame:
-    return pd.DataFrame(
-        [[key[0], key[1], m.start, m.trans.ravel(), m.mean.ravel(), m.var.ravel(), m.fit_rows, history]],
-        columns=["pair", "interval", "start", "trans", "mean", "var", "fit_rows", "loglik"],
+    A series with fewer rows than states, or with returns too equal to fill the groups, has no model.
+    """
+    levels = [(i + 1) / k for i in range(k - 1)]
+    cuts = rows.groupBy(*SERIES).agg(F.percentile_approx("log_return", levels, 1 << 14).alias("_cuts"))
+    grouped = spread_join(rows, cuts, SERIES).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("log_return"))))
+    sums = grouped.groupBy(*SERIES, "_g").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"s_{c}") for c in _INPUTS], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in _INPUTS],
     )
+    found: dict[tuple[str, str], list] = {}
+    for r in sums.collect():  # k rows per series
+        found.setdefault((r["pair"], r["interval"]), []).append(r)
+    models = {}
+    for series, groups in found.items():
+        if len(groups) < k:
+            continue
+        groups = sorted(groups, key=lambda r: r["_g"])
+        n = np.array([r["n"] for r in groups], dtype=float)[:, None]
+        s, q = (np.array([[r[f"{kind}_{c}"] for c in _INPUTS] for r in groups]) for kind in "sq")
+        mean = s / n
+        whole = s.sum(axis=0) / n.sum()
+        spread = np.maximum(q.sum(axis=0) / n.sum() - whole * whole, 0.0)
+        var = np.maximum(q / n - mean * mean, _FLOOR) + 0.1 * spread + _FLOOR
+        trans = np.full((k, k), 0.1 / max(1, k - 1))
+        np.fill_diagonal(trans, 0.9)
+        models[series] = Hmm(np.full(k, 1.0 / k), trans, mean, var, int(n.sum()))
+    return models
 
 
-def _unpack(r, k: int) -> Hmm:
-    return Hmm(
-        np.array(r["start"]), np.array(r["trans"]).reshape(k, k), np.array(r["mean"]).reshape(k, -1),
-        np.array(r["var"]).reshape(k, -1), r["fit_rows"],
-    )
+# --------------------------------------------------------------------------- blocks of long series
+_INPUTS = ("log_return", "vol")
+_EDGES = "pair string, interval string, _blk long, entry array<double>, leave array<double>"
 
 
-def _block_statistics(current: dict[tuple[str, str], Hmm]):
-    """Sufficient statistics of one block under its series' current model, as (name, i, value) rows."""
-    columns = ["pair", "interval", "name", "i", "value"]
+def _values(g: pd.DataFrame) -> np.ndarray:
+    return g.sort_values("pos")[list(_INPUTS)].to_numpy()
+
+
+def _messages(rows: DataFrame, models: dict[tuple[str, str], Hmm], best: bool) -> DataFrame:
+    """The K x K matrix of every block."""
+
+    def message(key, g: pd.DataFrame) -> pd.DataFrame:
+        steps, _ = _steps(_values(g), models[(key[0], key[1])], key[2] == 0, best)
+        return pd.DataFrame([[key[0], key[1], key[2], _message(steps, best)[0].ravel()]], columns=["pair", "interval", "_blk", "m"])
+
+    return rows.groupBy(*SERIES, "_blk").applyInPandas(message, "pair string, interval string, _blk long, m array<double>")
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        model = current.get((key[0], key[1]))
-        if model is None:
-            return pd.DataFrame(columns=columns)
-        stats = _expect(g.sort_values("pos")[["log_return", "vol"]].to_numpy(), model)
-        if key[2] > 0:
-            stats["start"] = np.zeros_like(stats["start"])
-        return pd.DataFrame(
-            [(key[0], key[1], name, i, v) for name, a in stats.items() for i, v in enumerate(a.ravel())], columns=columns
-        )
 
-    return run
+def _edges(messages: DataFrame, k: int) -> DataFrame:
+    """State weights before every block and weights of what follows it: one small row per block meets per series."""
 
+    def chained(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_blk")
+        mats = [np.array(v).reshape(k, k) for v in g["m"]]
+        entry, leave = [np.full(k, 1.0 / k)], [np.ones(k)]
+        for m in mats[:-1]:
+            a = entry[-1] @ m
+            entry.append(a / a.sum())
+        for m in mats[:0:-1]:
+            b = m @ leave[-1]
+            leave.append(b / b.sum())
+        return g[["pair", "interval", "_blk"]].assign(entry=entry, leave=leave[::-1])
 
-def _fit_blocks(rows: DataFrame, k: int, n_iter: int, tol: float, block: int) -> dict[tuple[str, str], Hmm]:
-    """EM for series longer than one block: statistics per block in the tasks, summed by Spark.
+    return messages.groupBy(*SERIES).applyInPandas(chained, _EDGES)
 
-    The first block gives the starting point. Blocks count as separate runs, so only the one
-    transition across each block boundary is left out of the statistics.
+
+def _fit_blocks(rows: DataFrame, models: dict[tuple[str, str], Hmm], n_iter: int, tol: float) -> dict[tuple[str, str], Hmm]:
+    """The same expectation-maximisation for series of several blocks.
+
+    Per step every block sends its matrix, gets back the weights before and after it, and returns its statistics, which
+    include the transition into it; Spark adds them up. The result is that of one block up to rounding.
     """
-    first = rows.filter(F.col("pos") < block).groupBy(*SERIES).applyInPandas(
-        lambda key, g: _pack(key, _initial(g.sort_values("pos")[["log_return", "vol"]].to_numpy(), k), []), _PARAMS
-    )
-    models = {(r["pair"], r["interval"]): _unpack(r, k) for r in first.collect()}
-    last: dict[tuple[str, str], float] = {}
-    active = set(models)
+    models, last, active = dict(models), {}, set(models)
+    k = len(next(iter(models.values())).start)
     schema = "pair string, interval string, name string, i int, value double"
-    blocks = rows.withColumn("_blk", F.floor(F.col("pos") / block))
     for _ in range(n_iter):
         if not active:
             break
         current = {s: models[s] for s in active}
+        own = rows.filter(F.concat_ws("|", *SERIES).isin(["|".join(s) for s in active]))
+
+        def statistics(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            stats = _expect(_values(g), current[(key[0], key[1])], key[2] == 0, np.array(e["entry"].iloc[0]), np.array(e["leave"].iloc[0]))  # noqa: B023
+            flat = [(key[0], key[1], name, i, v) for name, a in stats.items() for i, v in enumerate(a.ravel())]
+            return pd.DataFrame(flat, columns=["pair", "interval", "name", "i", "value"])
 
-        parts = blocks.groupBy(*SERIES, "_blk").applyInPandas(_block_statistics(current), schema)
-        sums = parts.groupBy(*SERIES, "name", "i").agg(F.sum("value").alias("value")).collect()  # ~30 numbers per series
+        edges = _edges(_messages(own, current, False), k)
+        parts = own.groupBy(*SERIES, "_blk").cogroup(edges.groupBy(*SERIES, "_blk")).applyInPandas(statistics, schema)
         gathered: dict[tuple[str, str], dict[str, dict[int, float]]] = {}
-        for r in sums:
+        for r in parts.groupBy(*SERIES, "name", "i").agg(F.sum("value").alias("value")).collect():  # about 30 numbers per series
             gathered.setdefault((r["pair"], r["interval"]), {}).setdefault(r["name"], {})[r["i"]] = r["value"]
         for series, named in gathered.items():
             flat = {name: np.array([v[i] for i in range(len(v))]) for name, v in named.items()}
-            stats = {
-                "start": flat["start"], "trans": flat["trans"].reshape(k, k), "weight": flat["weight"],
-                "first": flat["first"].reshape(k, -1), "second": flat["second"].reshape(k, -1),
-            }
-            loglik = float(flat["loglik"][0])
+            stats = {name: a.reshape(k, -1) if name in ("trans", "first", "second") else a for name, a in flat.items()}
+            loglik = float(stats["loglik"][0])
             if series in last and loglik - last[series] < tol:
+                models[series].converged = True
                 active.discard(series)
                 continue
             last[series] = loglik
@@ -185,126 +276,117 @@ def fit_regimes(
 ) -> dict[tuple[str, str], Hmm]:
     """Fit one model per series on its first ``max(8 vol_window, int(train_frac n))`` rows.
 
-    ``inputs`` needs ``pos, n_rows, log_return, vol``. Series whose fitting rows fit in one block are
-    fitted side by side in one job; longer ones by distributed EM. States are numbered by ascending
-    mean return.
+    ``inputs`` needs ``pos, n_rows, log_return, vol``. Series of one block are fitted side by side in one job, longer ones
+    block by block with the same steps, so ``block`` changes the work per task and not the model. States are numbered by
+    ascending mean return; ``converged`` tells whether the likelihood settled within ``n_iter`` steps.
     """
     wanted = F.least(F.col("n_rows"), F.greatest(F.lit(8 * vol_window), F.floor(F.col("n_rows") * F.lit(float(train_frac)))))
     rows = inputs.withColumn("_fit", wanted).filter(F.col("pos") < F.col("_fit"))
+    points = _starting_points(rows, n_states)
+    params = "pair string, interval string, start array<double>, trans array<double>, mean array<double>, var array<double>, converged boolean"
 
     def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("pos")[["log_return", "vol"]].to_numpy()
-        return _pack(key, *_fit_one(x, n_states, n_iter, tol))
-
-    short = rows.filter(F.col("_fit") <= block).groupBy(*SERIES).applyInPandas(fit, _PARAMS)
-    models = {(r["pair"], r["interval"]): _unpack(r, n_states) for r in short.collect()}  # one row per series
-    long = rows.filter(F.col("_fit") > block)
-    if long.limit(1).count():
-        models.update(_fit_blocks(long, n_states, n_iter, tol, block))
+        columns = ["pair", "interval", "start", "trans", "mean", "var", "converged"]
+        point = points.get((key[0], key[1]))
+        if point is None:
+            return pd.DataFrame(columns=columns)
+        m, _ = _fit_one(_values(g), point, n_iter, tol)
+        return pd.DataFrame([[key[0], key[1], m.start, m.trans.ravel(), m.mean.ravel(), m.var.ravel(), m.converged]], columns=columns)
+
+    models = {}
+    for r in rows.filter(F.col("_fit") <= block).groupBy(*SERIES).applyInPandas(fit, params).collect():  # one row per series
+        point = points[(r["pair"], r["interval"])]
+        trans, mean, var = (np.array(r[c]).reshape(n_states, -1) for c in ("trans", "mean", "var"))
+        models[(r["pair"], r["interval"])] = Hmm(np.array(r["start"]), trans, mean, var, point.fit_rows, r["converged"])
+    long = {s: m for s, m in points.items() if m.fit_rows > block}
+    if long:
+        blocks = rows.filter(F.col("_fit") > block).withColumn("_blk", F.floor(F.col("pos") / block))
+        models.update(_fit_blocks(blocks, long, n_iter, tol))
     return {series: _sorted(m) for series, m in models.items()}
 
 
-def _chain(matrix: np.ndarray, x: np.ndarray, m: Hmm, first: bool, best: bool) -> np.ndarray:
-    """Messages through a block: best path scores (``best``) or log probabilities, from each entry state."""
-    logb, logt = m.log_density(x), np.log(np.maximum(m.trans, 1e-300))
-    logs = np.log(np.maximum(m.start, 1e-300))
-    join = np.max if best else (lambda v, axis: np.logaddexp.reduce(v, axis=axis))
-    for t in range(len(x)):
-        if t == 0 and first:
-            matrix = np.repeat((logs + logb[0])[None, :], len(logs), axis=0)
-        else:
-            matrix = join(matrix[:, :, None] + logt[None], axis=1) + logb[t][None]
-    return matrix
-
-
-def _blocks_chained(messages: pd.DataFrame, k: int, best: bool) -> pd.DataFrame:
-    """Entry and exit of every block of one series from the blocks' K x K messages."""
-    messages = messages.sort_values("_blk")
-    mats = [np.array(v).reshape(k, k) for v in messages["m"]]
-    scores = [mats[0][0]]
-    for mat in mats[1:]:
-        step = scores[-1][:, None] + mat
-        nxt = step.max(axis=0) if best else np.logaddexp.reduce(step, axis=0)
-        scores.append(nxt - nxt.max())
-    exits = [0] * len(mats)
-    exits[-1] = int(np.argmax(scores[-1]))
-    for b in range(len(mats) - 1, 0, -1):
-        exits[b - 1] = int(np.argmax(scores[b - 1] + mats[b][:, exits[b]]))
-    entries = [np.zeros(k)] + scores[:-1]
-    return pd.DataFrame({
-        "pair": messages["pair"], "interval": messages["interval"], "_blk": messages["_blk"],
-        "entry_state": [0] + exits[:-1], "exit_state": exits, "entry": entries,
-    })
+# --------------------------------------------------------------------------- decoding
+def _ends(messages: DataFrame, k: int) -> DataFrame:
+    """States before and at the end of every block on the best path."""
+
+    def chained(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_blk")
+        mats = [np.array(v).reshape(k, k) for v in g["m"]]
+        scores = [np.zeros(k)]
+        for m in mats:
+            step = (scores[-1][:, None] + m).max(axis=0)
+            scores.append(step - step.max())
+        states = [int(np.argmax(scores[-1]))]
+        for score, m in zip(scores[-2::-1], mats[::-1]):
+            states.append(int(np.argmax(score + m[:, states[-1]])))
+        states = states[::-1]
+        one = np.eye(k)
+        return g[["pair", "interval", "_blk"]].assign(entry=[one[s] for s in states[:-1]], leave=[one[s] for s in states[1:]])
+
+    return messages.groupBy(*SERIES).applyInPandas(chained, _EDGES)
 
 
 def _decode(x: np.ndarray, m: Hmm, first: bool, entry: int, leave: int) -> np.ndarray:
-    """Best path through a block with known entry and exit states."""
-    logb, logt = m.log_density(x), np.log(np.maximum(m.trans, 1e-300))
-    n, k = logb.shape
-    back = np.zeros((n, k), dtype=np.int8)
-    score = np.log(np.maximum(m.start, 1e-300)) + logb[0] if first else logt[entry] + logb[0]
-    for t in range(1, n):
-        step = score[:, None] + logt
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + logb[t]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = leave
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """Best path through a block with known states before and at the end."""
+    steps, _ = _steps(x, m, first, True)
+    _, pieces = _message(steps, True)
+    k = len(m.start)
+    scores = [np.where(np.arange(k) == entry, 0.0, -np.inf)]
+    for piece in pieces:
+        step = (scores[-1][:, None] + piece).max(axis=0)
+        scores.append(step - step.max())
+    ends = [leave]
+    for score, piece in zip(scores[-2:0:-1], pieces[:0:-1]):
+        ends.append(int(np.argmax(score + piece[:, ends[-1]])))
+    state, score = np.array(ends[::-1]), np.array(scores[:-1])
+    back = np.empty(steps.shape[:3], dtype=np.int8)
+    for t in range(steps.shape[1]):
+        step = score[:, :, None] + steps[:, t]
+        back[:, t] = step.argmax(axis=1)
+        score = step.max(axis=1)
+        score = score - score.max(axis=1, keepdims=True)
+    path = np.empty(steps.shape[:2], dtype=np.int64)
+    every = np.arange(len(path))
+    for t in range(steps.shape[1] - 1, -1, -1):
+        path[:, t] = state
+        state = back[every, t, state]
+    return path.ravel()[: len(x)]
 
 
 def _filter(x: np.ndarray, m: Hmm, first: bool, entry: np.ndarray) -> np.ndarray:
     """Likeliest state given rows up to each one only."""
-    logb, logt = m.log_density(x), np.log(np.maximum(m.trans, 1e-300))
-    out = np.empty(len(x), dtype=np.int64)
-    score = entry
-    for t in range(len(x)):
-        if t == 0 and first:
-            score = np.log(np.maximum(m.start, 1e-300)) + logb[0]
-        else:
-            score = np.logaddexp.reduce(score[:, None] + logt, axis=0) + logb[t]
-        score = score - score.max()
-        out[t] = score.argmax()
-    return out
+    steps, _ = _steps(x, m, first, False)
+    alpha, _ = _forward(steps, _message(steps, False)[1], entry)
+    return alpha.reshape(-1, alpha.shape[2])[: len(x)].argmax(axis=1)
 
 
 def decode_regimes(inputs: DataFrame, models: dict[tuple[str, str], Hmm], mode: str = "viterbi", block: int = REGIME_BLOCK) -> DataFrame:
     """Label every row of ``inputs``: the most likely path (``viterbi``, uses the whole series) or the
-    likeliest state given the past only (``filtered``, safe to use as a feature)."""
+    likeliest state given the past only (``filtered``, safe to use as a feature). Rows of series without a model get null."""
     if mode not in ("viterbi", "filtered"):
         raise ValueError("mode must be 'viterbi' or 'filtered'")
+    schema = f"pair string, interval string, {TS} timestamp, regime smallint"
+    every = inputs.select(*SERIES, TS)
     if not models:
-        raise ValueError("no fitted series")
+        return every.withColumn("regime", F.lit(None).cast("smallint"))
     k = len(next(iter(models.values())).start)
     best = mode == "viterbi"
-    rows = inputs.select(*SERIES, TS, "pos", "log_return", "vol").withColumn("_blk", F.floor(F.col("pos") / block))
-    start = np.where(np.eye(k) > 0, 0.0, -np.inf)
-
-    def message(key, g: pd.DataFrame) -> pd.DataFrame:
-        m = models[(key[0], key[1])]
-        x = g.sort_values("pos")[["log_return", "vol"]].to_numpy()
-        mat = _chain(start, x, m, key[2] == 0, best)
-        return pd.DataFrame([[key[0], key[1], key[2], mat.ravel()]], columns=["pair", "interval", "_blk", "m"])
-
-    chained = rows.groupBy(*SERIES, "_blk").applyInPandas(
-        message, "pair string, interval string, _blk long, m array<double>"
-    ).groupBy(*SERIES).applyInPandas(
-        lambda g: _blocks_chained(g, k, best),
-        "pair string, interval string, _blk long, entry_state int, exit_state int, entry array<double>",
-    )
-
-    def label(key, g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        m, g, c = models[(key[0], key[1])], g.sort_values("pos"), c.iloc[0]
-        x, first = g[["log_return", "vol"]].to_numpy(), key[2] == 0
-        if best:
-            states = _decode(x, m, first, int(c["entry_state"]), int(c["exit_state"]))
-        else:
-            states = _filter(x, m, first, np.array(c["entry"]))
+    fitted = inputs.sparkSession.createDataFrame([s for s in models], "pair string, interval string")
+    known = spread_join(inputs, fitted, SERIES)
+    rows = known.select(*SERIES, TS, "pos", *_INPUTS).withColumn("_blk", F.floor(F.col("pos") / block))
+    messages = _messages(rows, models, best)
+    edges = _ends(messages, k) if best else _edges(messages, k)
+
+    def label(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        m, g = models[(key[0], key[1])], g.sort_values("pos")
+        entry, leave, first = np.array(e["entry"].iloc[0]), np.array(e["leave"].iloc[0]), key[2] == 0
+        x = g[list(_INPUTS)].to_numpy()
+        states = _decode(x, m, first, int(entry.argmax()), int(leave.argmax())) if best else _filter(x, m, first, entry)
         return pd.DataFrame({"pair": key[0], "interval": key[1], TS: g[TS], "regime": states.astype("int16")})
 
-    grouped = rows.groupBy(*SERIES, "_blk").cogroup(chained.groupBy(*SERIES, "_blk"))
-    return grouped.applyInPandas(label, f"pair string, interval string, {TS} timestamp, regime smallint")
+    labelled = rows.groupBy(*SERIES, "_blk").cogroup(edges.groupBy(*SERIES, "_blk")).applyInPandas(label, schema)
+    others = every.join(fitted, list(SERIES), "left_anti").withColumn("regime", F.lit(None).cast("smallint"))
+    return labelled.unionByName(others)
 
 
 def label_regimes(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barframe.functions.vectors import l2_normalise
 from barframe.operators.series import over_rows, with_position
-from barframe.operators.tables import latest_common_key, top_n_per
+from barframe.operators.tables import key_hash, latest_common_key, top_n_per
 from barframe.operators.windows import collect_windows
 from barframe.schema import SERIES, TS, regime_name
 
@@ -229,17 +229,17 @@ def attach_windows(matches: DataFrame, bars: DataFrame, window: int = 64, block:
 
 # --------------------------------------------------------------------------- evaluation
 def sample_bars(df: DataFrame, n: int, seed: int = 0, key: Sequence[str] = (*SERIES, TS)) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of the key, in time order: repeatable on any layout."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).orderBy(*key)
+    """``n`` rows chosen by a seeded hash of the key, in time order: repeatable on any layout and engine."""
+    return df.orderBy(key_hash(df, key, seed), *key).limit(n).orderBy(*key)
 
 
 def retrieval_votes(
-    vectors: DataFrame, labels: DataFrame, k: int = 10, test_frac: float = 0.2, max_test: int | None = 2000, seed: int = 0
+    vectors: DataFrame, labels: DataFrame, k: int = 10, test_frac: float = 0.2, max_test: int | None = None, seed: int = 0
 ) -> DataFrame:
     """Majority vote of each held-out bar's nearest earlier bars, with and without the regime filter.
 
     ``labels`` holds ``pair, interval, open_time, next_dir``. Test bars are the last ``test_frac`` of
-    the bars having vector and label, at most ``max_test`` of them. A query with fewer than
+    the bars having vector and label, or ``max_test`` sampled ones if that is given. A query with fewer than
     ``max(3, k // 2)`` matches has no vote; a tied vote counts as down.
     """
     key = [*SERIES, TS]
@@ -275,7 +275,7 @@ def hit_rates(votes: DataFrame) -> DataFrame:
 
 
 def evaluate_retrieval(
-    vectors: DataFrame, labels: DataFrame, k: int = 10, test_frac: float = 0.2, max_test: int | None = 2000, seed: int = 0
+    vectors: DataFrame, labels: DataFrame, k: int = 10, test_frac: float = 0.2, max_test: int | None = None, seed: int = 0
 ) -> DataFrame:
     """Hit rates of history-only retrieval, with and without the regime filter."""
     return hit_rates(retrieval_votes(vectors, labels, k, test_frac, max_test, seed))

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 def auto_folds(df: DataFrame, n_folds: int = 6, train_frac: float = 0.5, n: str = "n") -> DataFrame:
-    """Add ``initial`` (first training size) and ``test`` (fold size) from the series length."""
+    """Add ``initial`` (first training size), ``test`` (fold size) and ``n_folds`` from the series length."""
     initial = F.floor(F.col(n) * F.lit(float(train_frac))).cast("long")
     test = F.greatest(F.lit(1), F.expr(f"({n} - initial) div {n_folds}")).cast("long")
-    return df.withColumn("initial", initial).withColumn("test", test)
+    return df.withColumn("initial", initial).withColumn("test", test).withColumn("n_folds", F.lit(n_folds).cast("long"))
 
 
-def fold_count(initial: Column, test: Column, step: Column, n: Column, gap: int, max_folds: int | None) -> Column:
+def fold_count(initial: Column, test: Column, step: Column, n: Column, gap: int, max_folds: Column | int | None) -> Column:
     """Folds whose whole test window fits: the last one is lost when the gap pushes it past the end."""
     fits = F.floor((n - initial - gap - test) / step) + 1
     fits = F.greatest(F.lit(0), F.when(initial + gap + test <= n, fits).otherwise(0))
-    return (F.least(fits, F.lit(max_folds)) if max_folds is not None else fits).cast("long")
+    return (fits if max_folds is None else F.least(fits, max_folds if isinstance(max_folds, Column) else F.lit(max_folds))).cast("long")
 
 
 def walk_forward(
@@ -26,7 +26,7 @@ def walk_forward(
     test: Column | int,
     step: Column | int | None = None,
     gap: int = 1,
-    max_folds: int | None = None,
+    max_folds: Column | int | None = None,
     row: str = "row",
     n: str = "n",
 ) -> DataFrame:
@@ -60,11 +60,6 @@ def fold_table(df: DataFrame, by: list[str], gap: int = 1, max_folds: int | None
     )
 
 
-def train_rows(df: DataFrame, fold: int, row: str = "row") -> DataFrame:
-    """Training rows of one fold (needs ``initial`` and ``test``)."""
-    return df.filter(F.col(row) < F.col("initial") + fold * F.col("test"))
-
-
 def phase_splits(df: DataFrame, n_phases: int = 3, holdout: float = 0.1, row: str = "row", n: str = "n") -> DataFrame:
     """Cut each series into ``n_phases`` equal phases; the tail of each is its holdout.
 

@@ -21,6 +21,13 @@ def row_hash(df: DataFrame, leave_out: Sequence[str] = ()) -> Column:
     return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
 
 
+def key_hash(df: DataFrame, key: Sequence[str], seed: int = 0) -> Column:
+    """Seeded hexadecimal hash of a key, the same in any engine: md5 of its parts as text (times in microseconds) and the seed."""
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    parts = [(F.unix_micros(c) if c in times else F.col(c)).cast("string") for c in key]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+
+
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], keep: str = "first") -> DataFrame:
     """One row per key: the first (or last) under ``order``.
 

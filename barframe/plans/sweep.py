@@ -47,7 +47,7 @@ def model_dataset(
 
 
 def fusion_models(
-    emb: DataFrame | None = None, sent: DataFrame | None = None, dim: int = 0, max_folds: int = M.MAX_FOLDS
+    emb: DataFrame | None = None, sent: DataFrame | None = None, dim: int = 0, max_folds: int | None = None
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The fusion variants whose inputs are at hand, as sweep models."""
     have = {"cnn": emb is not None, "sent": sent is not None}
@@ -99,12 +99,12 @@ def run_sweep(
 
 
 def sweep_summary(preds: DataFrame) -> DataFrame:
-    """Fold metrics rolled up per (pair, model), with conformal columns where sets exist."""
+    """Fold metrics rolled up per (series, model), with conformal columns where sets exist."""
     summary = aggregate_folds(fold_metrics(preds))
     if "in_set_0" not in preds.columns:
         return summary
     cover = aggregate_conformal(conformal_stats(preds.filter(F.col("in_set_0").isNotNull())))
-    return summary.join(cover, ["pair", "model"], "left")
+    return summary.join(cover, [*SERIES, "model"], "left")
 
 
 def refit(bars: DataFrame, emb: DataFrame, dataset: DataFrame | None = None, **regime_options) -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,12 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.codegen.cache.maxEntries": "2000",  # feature plans hold more than 100 generated classes
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # call-site capture costs more than small plans
 }
 
+_RECORDERS: list[list[str]] = []
+
 
 def get_session(app: str = "barframe", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session with UTC time, AQE and skew handling switched on."""
@@ -66,7 +68,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/barframe/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/barframe/{label}-{uuid.uuid4().hex[:12]}"
+    for paths in _RECORDERS:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded_scratch(paths: list[str]) -> Iterator[list[str]]:
+    """Collects the scratch paths handed out in the block, so that their owner can ``remove`` them when done."""
+    _RECORDERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDERS.remove(paths)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored stage on its file system."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -82,9 +103,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on its file system (local paths and any Hadoop scheme)."""
-    if "://" not in path:
-        return os.path.exists(path)
+    """Whether ``path`` exists on the file system that Spark itself resolves it on."""
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -11,10 +11,13 @@ from barframe.schema import CANDLE_KEYED, INTERVAL_MS, SERIES, TS
 from barframe.session import exists
 
 
-def read_ohlcv(spark: SparkSession, root: str, pair: str | None = None, interval: str | None = None) -> DataFrame:
+def read_ohlcv(
+    spark: SparkSession, root: str, pair: str | None = None, interval: str | None = None, start: str | None = None, end: str | None = None
+) -> DataFrame:
     """Stored candles, one row per (pair, interval, open_time), the earliest ingested kept.
 
-    ``pair`` and ``interval`` prune partition folders. Raises ``FileNotFoundError`` when the table
+    ``pair``, ``interval`` and the month of ``start`` and ``end`` (closed range of open times, as ISO text) prune
+    partition folders. Raises ``FileNotFoundError`` when the table
     or the requested series is absent.
     """
     path = f"{root}/ohlcv"
@@ -26,6 +29,9 @@ def read_ohlcv(spark: SparkSession, root: str, pair: str | None = None, interval
             df = df.filter(F.col(name) == wanted)
     if (pair or interval) and df.limit(1).count() == 0:
         raise FileNotFoundError(f"no candles for pair={pair} interval={interval} under {path}")
+    for bound, keep in ((start, lambda c, v: c >= v), (end, lambda c, v: c <= v)):
+        if bound is not None:
+            df = df.filter(keep(F.col("month"), F.lit(bound[:7])) & keep(F.col(TS), F.lit(bound).cast("timestamp")))
     return dedupe(df.drop("month"), [*SERIES, TS], [F.col("ingested_at").asc_nulls_last()])
 
 
@@ -94,14 +100,16 @@ def parse_kline_messages(df: DataFrame, value: str, keep: tuple[str, ...] = ())
 
     Messages that are not JSON or carry no kline are skipped. Missing optional fields get their
     defaults: quote volume, trades and taker quote 0, taker base half the volume, ``is_closed`` false.
-    Field names differ by case only (t/T, v/V, q/Q), so each is read by its exact JSON path.
+    Field names differ by case only (t/T, v/V, q/Q), so the message is parsed into a map, once.
     """
     bare = F.get_json_object(value, "$.k")
     kline = F.coalesce(F.get_json_object(value, "$.data.k"), bare)
-    parsed = df.select(*keep, kline.alias("_k")).filter(F.col("_k").isNotNull())
+    # a map keeps keys apart that differ by case; exploding its one-entry array keeps the parse from being repeated per field
+    entries = F.explode(F.array(F.from_json(kline, "map<string,string>"))).alias("_k")
+    parsed = df.select(*keep, entries).filter(F.col("_k").isNotNull())
 
     def field(name: str, kind: str) -> Column:
-        return F.get_json_object("_k", f"$.{name}").try_cast(kind)
+        return F.try_element_at("_k", F.lit(name)).try_cast(kind)
 
     volume = field("v", "double")
     out = parsed.select(

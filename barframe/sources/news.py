@@ -11,13 +11,20 @@ from barframe.schema import NEWS
 from barframe.session import exists
 
 
-def read_news(spark: SparkSession, root: str) -> DataFrame:
-    """Every stored article; an empty frame when nothing was landed yet."""
+def read_news(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Stored articles; an empty frame when nothing was landed yet.
+
+    ``start`` and ``end`` (closed range of publication times, as ISO text) open the days between them only.
+    """
     path = f"{root}/news"
     schema = T.StructType(NEWS.fields + [T.StructField("date", T.StringType())])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    news = spark.read.schema(schema).parquet(path)
+    for bound, keep in ((start, lambda c, v: c >= v), (end, lambda c, v: c <= v)):
+        if bound is not None:
+            news = news.filter(keep(F.col("date"), F.lit(bound[:10])) & keep(F.col("published_at"), F.lit(bound).cast("timestamp")))
+    return news
 
 
 def with_decoded_sentiment(news: DataFrame) -> DataFrame:
@@ -31,9 +38,9 @@ def with_decoded_sentiment(news: DataFrame) -> DataFrame:
     )
 
 
-def read_scored_news(spark: SparkSession, root: str) -> DataFrame:
-    """Stored articles with decoded sentiment, oldest first."""
-    return with_decoded_sentiment(read_news(spark, root)).orderBy("published_at", "id")
+def read_scored_news(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Stored articles with decoded sentiment, in no particular order."""
+    return with_decoded_sentiment(read_news(spark, root, start, end))
 
 
 def normalise_news(feed: DataFrame, ingested_at: str = "ingested_at") -> DataFrame:

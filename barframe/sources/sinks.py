@@ -26,13 +26,26 @@ def _upsert(
     if exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path)
         touched = df.select(*partitions).distinct()
-        old = stored.join(touched, list(partitions), "left_semi")
+        old = _pruned(stored, touched, partitions).join(touched, list(partitions), "left_semi")
     else:
         old = df.limit(0)
     merged = merge(old, df, key, order, keep).select(df.columns)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
 
 
+def _pruned(stored: DataFrame, touched: DataFrame, partitions: Sequence[str], most: int = 4096) -> DataFrame:
+    """``stored`` limited to the values of the touched partitions as literals, so that the scan opens no other folder.
+
+    Partition values are few per batch; a batch that touches more than ``most`` partitions reads the table instead.
+    """
+    values = touched.limit(most + 1).collect()
+    if len(values) > most:
+        return stored
+    for name in partitions:
+        stored = stored.filter(F.col(name).isin(sorted({r[name] for r in values if r[name] is not None})))
+    return stored
+
+
 def merge_candles(existing: DataFrame, new: DataFrame) -> DataFrame:
     """One row per candle, the latest ingested; a tie goes to the new batch."""
     return merge(existing, new, _CANDLE_KEY, ["ingested_at"], "latest")
@@ -70,8 +83,8 @@ def upsert_news(df: DataFrame, root: str) -> None:
 
 
 def upsert_embeddings(df: DataFrame, root: str) -> None:
-    """Upsert vectors into ``<root>/embeddings``."""
-    _upsert(df, f"{root}/embeddings", list(SERIES), _CANDLE_KEY, [], "latest")
+    """Upsert vectors into ``<root>/embeddings``, partitioned by pair, interval and month."""
+    _upsert(with_month(df), f"{root}/embeddings", [*SERIES, "month"], _CANDLE_KEY, [], "latest")
 
 
 def write_keyed(df: DataFrame, root: str, kind: str) -> None:
@@ -88,8 +101,9 @@ def read_keyed(
     if not exists(spark, path):
         raise FileNotFoundError(f"no {kind} table under {path}{hint}")
     schema = {"embeddings": EMBEDDING, "regimes": REGIME}.get(kind)
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
+    df = spark.read.parquet(path)
+    if schema:  # a month folder, if there is one, only divides the files
+        df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     for name, wanted in (("pair", pair), ("interval", interval)):
         if wanted is not None:
             df = df.filter(F.col(name) == wanted)
@@ -109,20 +123,23 @@ def wide_to_array(df: DataFrame, prefix: str = "e", out: str = "embedding") -> D
 
 # --------------------------------------------------------------------------- predictions and metrics
 def write_predictions(preds: DataFrame, root: str) -> None:
-    """Store predictions as ``<root>/predictions/pair=/model=``."""
+    """Store predictions as ``<root>/predictions/pair=/interval=/model=``."""
     (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("pair", "model").parquet(f"{root}/predictions"))
+     .partitionBy(*SERIES, "model").parquet(f"{root}/predictions"))
 
 
-def read_predictions(spark: SparkSession, root: str, pair: str | None = None) -> DataFrame:
+def read_predictions(spark: SparkSession, root: str, pair: str | None = None, interval: str | None = None) -> DataFrame:
     """Predictions of every model, the model name taken from the folder."""
     df = spark.read.parquet(f"{root}/predictions")
-    return df.filter(F.col("pair") == pair) if pair is not None else df
+    for name, wanted in (("pair", pair), ("interval", interval)):
+        if wanted is not None:
+            df = df.filter(F.col(name) == wanted)
+    return df
 
 
 def metrics_documents(summary: DataFrame, folds: DataFrame, conformal: DataFrame | None = None) -> DataFrame:
-    """One nested document per (pair, model): ``summary`` struct and ``folds`` array."""
-    key = ["pair", "model"]
+    """One nested document per (series, model): ``summary`` struct and ``folds`` array."""
+    key = [*SERIES, "model"]
     inner = [c for c in folds.columns if c not in key]
     packed = folds.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*inner))).alias("folds"))
     docs = summary.select(*key, F.struct(*summary.columns).alias("summary")).join(packed, key)
@@ -134,9 +151,9 @@ def metrics_documents(summary: DataFrame, folds: DataFrame, conformal: DataFrame
 
 
 def write_metrics(docs: DataFrame, root: str) -> None:
-    """Store metrics documents as JSON below ``<root>/metrics/pair=/model=``."""
+    """Store metrics documents as JSON below ``<root>/metrics/pair=/interval=/model=``."""
     (docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("pair", "model").json(f"{root}/metrics"))
+     .partitionBy(*SERIES, "model").json(f"{root}/metrics"))
 
 
 def read_metrics(spark: SparkSession, root: str, multi_line: bool = False, schema: T.StructType | None = None) -> DataFrame:

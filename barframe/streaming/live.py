@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from barframe.operators.features import FEATURE_COLUMNS, with_time_features
 from barframe.operators.news import DAY_MS, aggregate_news_for_bars, score_news, unscored
@@ -55,9 +55,16 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return reader.parquet(path)
 
 
-def drop_resent(candles: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Drop candles sent again within the watermark delay; later re-sends are settled by the upsert."""
-    return candles.withWatermark(TS, delay).dropDuplicatesWithinWatermark([*SERIES, TS])
+def drop_resent(candles: DataFrame, delay: str = "2 hours", order: str = "ingested_at") -> DataFrame:
+    """One row per candle, the latest by ``order`` of those sent within the watermark delay.
+
+    A candle comes out once the watermark has passed it; re-sends after that are settled by the upsert.
+    """
+    key = [*SERIES, TS]
+    row = F.struct(*[F.col(c) for c in candles.columns if c not in key]).alias("_row")
+    latest = candles.withWatermark(TS, delay).select(*key, F.col(order).alias("_order"), row)
+    latest = latest.groupBy(*key).agg(F.max_by("_row", "_order").alias("_row"))
+    return latest.select(*[c if c in key else F.col(f"_row.{c}") for c in candles.columns])
 
 
 def stream_bars(events: DataFrame, delay: str = "10 minutes", ts: str = "ts", **options) -> DataFrame:
@@ -116,31 +123,60 @@ def sink_news_features(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        span = batch.agg(F.min(TS).alias("lo"), F.max(TS).alias("hi")).collect()[0]
-        if span["lo"] is None:
-            return
-        near = news().filter(
-            (F.col("published_at") >= F.lit(span["lo"]) - F.expr(f"INTERVAL {lookback_ms // 1000} SECONDS"))
-            & (F.col("published_at") < F.lit(span["hi"]))
-        )
-        features = aggregate_news_for_bars(near, batch, lookback_ms, **options)
-        features.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            span = batch.agg(F.min(F.unix_micros(TS)).alias("lo"), F.max(F.unix_micros(TS)).alias("hi")).collect()[0]
+            if span["lo"] is None:
+                return
+            lo, hi = F.timestamp_micros(F.lit(span["lo"] - 1000 * lookback_ms)), F.timestamp_micros(F.lit(span["hi"]))
+            near = news()
+            if "date" in near.columns:  # stored by day: opens the days of the window only
+                near = near.filter(F.col("date").between(F.date_format(lo, "yyyy-MM-dd"), F.date_format(hi, "yyyy-MM-dd")))
+            near = near.filter((F.col("published_at") >= lo) & (F.col("published_at") < hi))
+            features = aggregate_news_for_bars(near, batch, lookback_ms, **options)
+            features.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
     )
 
 
-def stream_status(query: StreamingQuery) -> dict[str, Any]:
-    """Messages read, rows handed to the sink and time of the last batch."""
-    progress = query.recentProgress
-    return {
-        "running": query.isActive,
-        "messages_seen": sum(p["numInputRows"] for p in progress),
-        "batches": len(progress),
-        "last_batch_at": progress[-1]["timestamp"] if progress else None,
-    }
+class _Totals(StreamingQueryListener):
+    """Totals of every query since ``watch_progress``, however many batches it has run."""
+
+    def __init__(self) -> None:
+        self.by_run: dict[str, dict[str, Any]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_run.setdefault(str(event.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        totals = self.by_run.setdefault(str(p.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
+        totals["messages_seen"] += p.numInputRows
+        totals["batches"] += p.numInputRows > 0
+        totals["last_batch_at"] = p.timestamp
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def watch_progress(spark: SparkSession) -> None:
+    """Start counting the progress of the session's queries (once); call before starting a query."""
+    if not hasattr(spark, "_barframe_totals"):
+        spark._barframe_totals = _Totals()
+        spark.streams.addListener(spark._barframe_totals)
+
+
+def stream_status(query: StreamingQuery, spark: SparkSession) -> dict[str, Any]:
+    """Messages read in all batches of this run, batches with input, time of the last batch."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)  # progress arrives by the session's event bus
+    totals = spark._barframe_totals.by_run.get(str(query.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
+    return {"running": query.isActive, **totals}
 
 
 # --------------------------------------------------------------------------- keyed state: features

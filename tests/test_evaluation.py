@@ -9,29 +9,24 @@ from pyspark.sql import functions as F
 
 from barframe.operators import conformal, dm, metrics
 from barframe.operators import models as M
-from barframe.operators.dm import _beta_fraction
+from barframe.operators.splits import auto_folds, fold_table
 from barframe.schema import SERIES, TS
 
 
-def t_two_sided(t, v):
-    return _beta_fraction(v / 2, 0.5, v / (v + t * t))
-
-
-def test_student_t_known_values():
-    assert t_two_sided(0.0, 10) == pytest.approx(1.0)
-    assert t_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-12)  # Cauchy
-    assert t_two_sided(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-12)
-    assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-9)
-    assert t_two_sided(1.959963985, 1e7) == pytest.approx(0.05, abs=1e-6)
+def test_student_t_known_values(spark):
+    known = [(0.0, 10.0, 1.0), (1.0, 1.0, 0.5), (2.0, 2.0, 1 - 2 / math.sqrt(6)), (2.228138852, 10.0, 0.05), (1.959963985, 1e7, 0.05), (-1.0, 1.0, 0.5)]
+    rows = spark.createDataFrame(known, "t double, v double, p double")
+    for r in rows.select("p", dm.student_t_two_sided(F.col("t"), F.col("v")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=1e-7)
 
 
 def preds(spark, rows):
-    return spark.createDataFrame(rows, "pair string, model string, fold long, open_time timestamp, y_true long, y_pred long, y_prob double, next_ret double")
+    return spark.createDataFrame(rows, "pair string, interval string, model string, fold long, open_time timestamp, y_true long, y_pred long, y_prob double, next_ret double")
 
 
 def make(model, truth, guess, prob=None, ret=0.01):
     t0 = datetime(2024, 1, 1)
-    return [("A", model, 0, t0 + timedelta(hours=i), y, g, 0.5 if prob is None else prob[i], ret) for i, (y, g) in enumerate(zip(truth, guess))]
+    return [("A", "1h", model, 0, t0 + timedelta(hours=i), y, g, 0.5 if prob is None else prob[i], ret) for i, (y, g) in enumerate(zip(truth, guess))]
 
 
 def test_one_class_fold_and_zero_spread(spark):
@@ -41,6 +36,28 @@ def test_one_class_fold_and_zero_spread(spark):
     assert none["precision"] == 0.0 and none["f1"] == 0.0 and none["log_loss"] == pytest.approx(-math.log(1e-7))
 
 
+def test_intervals_stay_apart(spark):
+    """Hourly and daily bars of one pair share times, but never a group."""
+    rows = make("a", [1, 0] * 12, [1] * 24) + make("b", [1, 0] * 12, [0] * 24)
+    hourly = preds(spark, rows)
+    both = hourly.unionByName(hourly.withColumn("interval", F.lit("1d")).withColumn("y_pred", F.lit(1).cast("long")))
+    pairs = dm.pair_predictions(both)
+    assert pairs.count() == 48
+    alone = dm.diebold_mariano(dm.pair_predictions(hourly)).collect()
+    assert dm.diebold_mariano(pairs).filter("interval = '1h'").collect() == alone
+    folds = metrics.fold_metrics(both)
+    assert {(r["interval"], r["n"]) for r in folds.collect()} == {("1h", 24), ("1d", 24)}
+    assert metrics.aggregate_folds(folds).count() == 4
+
+
+def test_folds_follow_the_dataset(spark):
+    ds = auto_folds(dataset(spark).drop("initial", "test", "n_folds"), n_folds=10)
+    tested = M.test_rows(ds).select("fold").distinct().count()
+    assert tested == fold_table(ds, ["pair"], max_folds=10).count() == 10 - (400 - 200) % 10 - 1
+    assert M.majority(ds).select("fold").distinct().count() == tested
+    assert M.test_rows(ds, 3).select("fold").distinct().count() == 3
+
+
 def test_dm_edges(spark):
     both = preds(spark, make("a", [1] * 6, [1] * 6) + make("b", [1] * 6, [0] * 6))
     small = dm.diebold_mariano(dm.pair_predictions(both)).collect()[0]
@@ -57,7 +74,7 @@ def test_conformal_quantile_equals_numpy(spark):
     groups = {"x": rng.uniform(size=501), "y": np.repeat(0.25, 300), "z": np.round(rng.uniform(size=97), 2), "w": rng.uniform(size=31)}
     rows = [(k, 0, 0, float(v)) for k, vs in groups.items() for v in vs]
     calib = spark.createDataFrame(rows, "pair string, fold long, y_true long, y_prob double")
-    got = {r["pair"]: r for r in conformal.conformal_threshold(calib).collect()}
+    got = {r["pair"]: r for r in conformal.conformal_threshold(calib, by=("pair", "fold")).collect()}
     for k, vs in groups.items():
         n = len(vs)
         level = min(1.0, math.ceil((n + 1) * 0.9) / n)
@@ -70,7 +87,7 @@ def test_conformal_quantile_equals_numpy(spark):
 def test_conformal_sets_can_be_empty_or_double(spark):
     df = spark.createDataFrame([("A", 0, 0.5), ("A", 0, 0.9)], "pair string, fold long, y_prob double")
     thr = lambda v: spark.createDataFrame([("A", 0, v)], "pair string, fold long, threshold double")
-    sizes = lambda v: sorted(r["in_set_0"] + r["in_set_1"] for r in conformal.with_conformal_set(df, thr(v)).collect())
+    sizes = lambda v: sorted(r["in_set_0"] + r["in_set_1"] for r in conformal.with_conformal_set(df, thr(v), ("pair", "fold")).collect())
     assert sizes(0.3) == [0, 1] and sizes(0.95) == [2, 2] and sizes(None) == [1, 1]
 
 
@@ -78,8 +95,8 @@ def dataset(spark, n=400, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 3)) * [1, 5, 100] + [0, 3, -50]
     y = (rng.uniform(size=n) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
-    rows = [("A", "1h", datetime(2024, 1, 1) + timedelta(hours=i), i, n, n // 2, n // 12, int(y[i]), 0.0, *map(float, x[i])) for i in range(n)]
-    return spark.createDataFrame(rows, f"pair string, interval string, {TS} timestamp, row long, n long, initial long, test long, y long, next_ret double, a double, b double, c double")
+    rows = [("A", "1h", datetime(2024, 1, 1) + timedelta(hours=i), i, n, n // 2, n // 12, 6, int(y[i]), 0.0, *map(float, x[i])) for i in range(n)]
+    return spark.createDataFrame(rows, f"pair string, interval string, {TS} timestamp, row long, n long, initial long, test long, n_folds long, y long, next_ret double, a double, b double, c double")
 
 
 def test_grouped_newton_equals_spark_ml(spark):

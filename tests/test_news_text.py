@@ -39,7 +39,9 @@ def test_macro_tickers_ties_and_empty(spark):
     assert lone["sent_std"] == 0.0 and lone["sent_min"] == lone["sent_max"] == 0.1
     empty = N.aggregate_news_for_bars(news, bar(spark, at=T0 + timedelta(days=9))).collect()[0]
     assert empty["sent_count"] == 0 and empty["sent_mean"] == 0.0
-    assert N.check_no_future_news(bar(spark), news).count() == 0
+    right = N.aggregate_news_for_bars(news, bar(spark))
+    assert N.check_no_future_news(right, news).count() == 0
+    assert N.check_no_future_news(right.withColumn("sent_count", F.col("sent_count") + 1), news).count() == 1
 
 
 def test_malformed_sentiment_is_left_out(spark):

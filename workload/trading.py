@@ -14,7 +14,7 @@ from barframe.schema import SERIES, TS
 from barframe.session import materialise, scratch_path
 from barframe.streaming import live
 from workload.bars import kline_lines
-from workload.fixtures import BARS, BLOCK, EQUITY, FEATURES, NEWS, OUTCOME, TICKERS, VEC, bars, dataset, news, position_inputs, table, vectors
+from workload.fixtures import BARS, BLOCK, DATASET, EQUITY, FEATURES, NEWS, OUTCOME, TICKERS, VEC, bars, dataset, news, position_inputs, table, vectors
 from workload.registry import ms, query, r
 
 RECURSIVE = "WITH RECURSIVE "
@@ -188,7 +188,6 @@ def _(spark, sf):
 # --------------------------------------------------------------------------- live path
 def _finish(stream_query):
     stream_query.awaitTermination()
-    return live.stream_status(stream_query)
 
 
 def _landed(spark, df, label):
@@ -212,13 +211,16 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/ohlcv").select("pair", TS, "close", "volume", "trades")
 
 
-@query("x04_drop_resent", f"WITH {BARS} SELECT pair, {ms('open_time')} FROM bars")
+@query("x04_drop_resent", f"""WITH {BARS} SELECT pair, {ms('open_time')}, {r('close + (trades % 3) AS close')} FROM bars
+  WHERE open_time <= (SELECT max(open_time) FROM bars) - INTERVAL 2 HOUR""")
 def _(spark, sf):
-    twice = bars(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    path, out = _landed(spark, twice, "resent"), scratch_path(spark, "unique")
-    stream = live.drop_resent(live.stream_table(spark, path, twice.schema), "60 days")
-    _finish(live.sink_parquet(stream, out, f"{out}-checkpoint"))
-    return spark.read.parquet(out).select("pair", TS)
+    # every candle comes up to three times, each copy corrected and ingested later, in no order
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("trades") % 3))
+    sent = bars(spark, sf).withColumn("copy", copy).withColumn("close", F.col("close") + F.col("copy"))
+    sent = sent.withColumn("ingested_at", F.timestamp_millis(F.unix_millis(TS) + F.col("copy") * 1000)).repartition(3, "copy")
+    path, out = _landed(spark, sent, "resent"), scratch_path(spark, "unique")
+    _finish(live.sink_parquet(live.drop_resent(live.stream_table(spark, path, sent.schema)), out, f"{out}-checkpoint"))
+    return spark.read.parquet(out).select("pair", TS, "close")
 
 
 @query("x05_stream_bars", f"""WITH {BARS} SELECT pair, {ms('open_time')}, {r('open', 'high', 'low', 'close', 'volume')}, trades::BIGINT AS trades FROM bars
@@ -275,22 +277,26 @@ def _(spark, sf):
     return spark.read.parquet(out).select("doc_id", decode_sentiment(F.col("sentiment"))["ensemble"].alias("ensemble"))
 
 
-@query("x12_stream_status", "SELECT count(*)::BIGINT AS messages_seen, 1::BIGINT AS batches, false AS running FROM events")
+@query("x12_stream_status", "SELECT count(*)::BIGINT AS messages_seen, 5::BIGINT AS batches, false AS running FROM events")
 def _(spark, sf):
     raw = spark.read.parquet(f"{sf}/events.parquet").schema
-    out = scratch_path(spark, "status")
-    q = live.sink_parquet(live.stream_table(spark, sf, raw, glob="events.parquet"), out, f"{out}-checkpoint")
-    status = _finish(q)
+    out, copies = scratch_path(spark, "status"), scratch_path(spark, "status-in")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5, "event_id").write.parquet(copies)
+    live.watch_progress(spark)
+    q = live.sink_parquet(live.stream_table(spark, copies, raw, max_files=1), out, f"{out}-checkpoint")
+    _finish(q)
+    status = live.stream_status(q, spark)
     return spark.range(1).select(*[F.lit(status[c]).alias(c) for c in ("messages_seen", "batches", "running")])
 
 
-@query("m20_refit")
+@query("m20_refit", f"""{RECURSIVE}{DATASET} SELECT pair, count(*) FILTER (pos >= 24)::BIGINT AS rows, 'regimes' AS step FROM bp GROUP BY pair
+  UNION ALL SELECT pair, count(*) FILTER (pos >= 63)::BIGINT, 'vectors' FROM bp GROUP BY pair UNION ALL SELECT pair, count(*)::BIGINT, 'anchor' FROM ds GROUP BY pair""")
 def _(spark, sf):
     from workload.retrieval import windows
     from barframe.operators.encode import embed_windows
 
     emb = embed_windows(windows(spark, sf, 64))
-    out = refit(bars(spark, sf), emb, dataset(spark, sf), n_iter=30)
+    out = refit(bars(spark, sf), emb, dataset(spark, sf))
     parts = None
     for name in ("regimes", "vectors", "anchor"):
         row = out[name].groupBy("pair").agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(name))
