@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from barframe.llm import mixing, near_dedup, personal_data, quality
+from barframe.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,9 @@ def test_stages_follow_their_operators(spark):
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
-        docs = stage(spark, docs, SF).cache()
+        path = scratch_path(spark, "stage")
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
         assert docs.columns == columns and docs.dtypes == before.dtypes
         kept[name] = docs
         rows = [r.doc_id for r in docs.collect()]
@@ -35,5 +38,7 @@ def test_run_and_no_rows(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
+        path = scratch_path(spark, "empty")
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
     assert docs.count() == 0
