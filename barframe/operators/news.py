@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.text import decode_sentiment, ensemble_score, pairs_of, scoring_text
-from barframe.schema import PAIR_TICKERS, SENTIMENT_FEATURES, SERIES, TS
+from barframe.schema import INTERVAL_MS, PAIR_TICKERS, SENTIMENT_FEATURES, SERIES, TS
 
 DAY_MS = 86_400_000
 _BLOCK_BUCKETS = 4096
@@ -94,7 +95,7 @@ def aggregate_news_for_bars(
     lookback_ms: int = DAY_MS,
     include_macro: bool = True,
     tickers: dict[str, list[str]] | None = None,
-    grid_ms: int = 3_600_000,
+    grid_ms: int | None = None,
     with_last_at: bool = False,
 ) -> DataFrame:
     """Sentiment of the articles in ``[open_time - lookback, open_time)`` for every bar.
@@ -104,18 +105,24 @@ def aggregate_news_for_bars(
     Bars and buckets are then unioned and read through one RANGE frame per (pair, block of buckets);
     buckets within the lookback of the next block are copied into it. There is no join.
 
-    ``grid_ms`` must divide the lookback and every bar's open time; other bars raise an error.
+    ``grid_ms`` must divide the lookback and every bar's open time; other bars raise an error. By default it is the
+    greatest common divisor of the lookback, an hour and the bars' intervals.
     """
+    if grid_ms is None:
+        known = [INTERVAL_MS[r["interval"]] for r in bars.select("interval").distinct().collect() if r["interval"] in INTERVAL_MS]
+        grid_ms = math.gcd(lookback_ms, 3_600_000, *known)  # intervals are a handful of names
     if lookback_ms % grid_ms:
         raise ValueError("grid_ms must divide lookback_ms")
     mapping = PAIR_TICKERS if tickers is None else tickers
     sentiment = decode_sentiment(F.col("sentiment"))
     macro = F.coalesce(F.size("tickers"), F.lit(0)) <= 0
     macro_target = F.array(F.lit(_MACRO)) if include_macro else F.array().cast("array<string>")
-    routed = news.select(
-        "id", F.col("published_at"), sentiment.alias("sent"),
+    # exploding the one parsed payload keeps the parse from being repeated by the filter and behind the pairs
+    parsed = news.select("id", "published_at", "tickers", F.explode(F.array(sentiment)).alias("sent")).filter(F.col("sent").isNotNull())
+    routed = parsed.select(
+        "id", "published_at", "sent",
         F.explode(F.when(macro, macro_target).otherwise(pairs_of(F.col("tickers"), mapping))).alias("pair"),
-    ).filter(F.col("sent").isNotNull())
+    )
     scored = routed.select(
         "pair", "id", "published_at", F.coalesce("sent.ensemble", F.lit(0.0)).alias("score"),
         F.coalesce("sent.confidence", F.lit(0.0)).alias("conf"),

@@ -186,7 +186,7 @@ _NUMERIC = [c for c in FEATURE_COLUMNS if c not in ("hod_sin", "hod_cos", "dow_s
 FEATURE_STREAM = T.StructType(
     [T.StructField("pair", T.StringType()), T.StructField("interval", T.StringType()), T.StructField(TS, T.TimestampType())]
     + [T.StructField(c, T.DoubleType()) for c in [*_BAR, *_NUMERIC, "vol_24", "vol_168"]]
-    + [T.StructField("pos", T.LongType())]
+    + [T.StructField("pos", T.LongType()), T.StructField("late", T.BooleanType())]
 )
 
 
@@ -249,44 +249,60 @@ class _BarState:
 
 
 class _FeatureProcessor(StatefulProcessor):
-    """Keeps the tail of one series and emits the features of each new bar."""
+    """Keeps the tail of one series, and bars newer than the holding time, and emits the features of each bar in order."""
+
+    def __init__(self, hold_ms: int):
+        self.hold = hold_ms * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
-            "tail", "last bigint, seen bigint, closes array<double>, volumes array<double>, averages array<double>"
+            "tail", "times array<bigint>, seen bigint, closes array<double>, volumes array<double>, averages array<double>, "
+            "held_at array<bigint>, held array<double>"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).drop_duplicates(TS, keep="last").sort_values(TS)
-        last, tail = None, _BarState(0, [], [], [])
+        waiting: dict[int, list[float]] = {}
+        times: list[int] = []
+        tail = _BarState(0, [], [], [])
         if self.state.exists():
-            last, seen, closes, volumes, averages = self.state.get()
-            tail = _BarState(seen, list(closes), list(volumes), list(averages))
-        out = []
-        for row in batch.itertuples(index=False):
-            at = getattr(row, TS).value
-            if last is not None and at <= last:
-                continue  # this bar is in the state already: a re-sent or replayed candle
-            last = at
-            bar = {c: float(getattr(row, c)) for c in _BAR}
-            out.append({"pair": key[0], "interval": key[1], TS: getattr(row, TS), **bar, **tail.add(bar), "pos": tail.seen - 1})
+            kept, seen, closes, volumes, averages, held_at, held = self.state.get()
+            times, tail = list(kept), _BarState(seen, list(closes), list(volumes), list(averages))
+            waiting = {at: list(held[k * len(_BAR) : (k + 1) * len(_BAR)]) for k, at in enumerate(held_at)}
+        for part in rows:
+            waiting.update(zip(part[TS].astype("datetime64[ns]").astype("int64").tolist(), part[_BAR].astype(float).to_numpy().tolist()))
+        newest, known, out = max([*times[-1:], *waiting]), set(times), []
+        for at in sorted(waiting):
+            if at > newest - self.hold and self.hold:
+                break  # an earlier bar may still come
+            values = waiting.pop(at)
+            if at in known:
+                continue  # a candle sent again
+            late = bool(times) and at < times[-1]
+            bar = dict(zip(_BAR, values))
+            own = {"pos": None} if late else {**tail.add(bar), "pos": tail.seen - 1}
+            out.append({"pair": key[0], "interval": key[1], TS: pd.Timestamp(at), **bar, **own, "late": late})
+            if not late:
+                times = [*times, at][-_KEEP:]
+        held_at = sorted(waiting)
+        self.state.update((times, tail.seen, tail.closes, tail.volumes, list(tail.averages.values()), held_at, [v for at in held_at for v in waiting[at]]))
         if out:
-            self.state.update((last, tail.seen, tail.closes, tail.volumes, list(tail.averages.values())))
-            yield pd.DataFrame(out)[[f.name for f in FEATURE_STREAM.fields]]
+            frame = pd.DataFrame(out).reindex(columns=[f.name for f in FEATURE_STREAM.fields])
+            yield frame.astype({"pos": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_features(candles: DataFrame) -> DataFrame:
+def stream_features(candles: DataFrame, hold_ms: int = 0) -> DataFrame:
     """Features of each new closed candle from keyed state; values equal the batch features.
 
-    The state of a series is its last 169 closes, 50 volumes and six running averages, whatever its
-    length. Bars at or before the newest one seen are skipped.
+    The state of a series is its last 169 closes, 50 volumes and six running averages, whatever its length, and the bars
+    of the last ``hold_ms``: these wait for earlier ones still on their way. A bar that comes after a newer one was
+    worked in is returned without features, as ``late``; one whose time is in the state already is a re-sent candle.
     """
     use_state_store(candles.sparkSession)
     raw = candles.select(*SERIES, TS, *_BAR).groupBy(*SERIES).transformWithStateInPandas(
-        statefulProcessor=_FeatureProcessor(), outputStructType=FEATURE_STREAM, outputMode="Append", timeMode="None"
+        statefulProcessor=_FeatureProcessor(hold_ms), outputStructType=FEATURE_STREAM, outputMode="Append", timeMode="None"
     )
     clean = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in [*_NUMERIC, "vol_24", "vol_168"]}
     return with_time_features(raw.withColumns(clean))

@@ -71,3 +71,14 @@ def test_scoring_leaves_scored_rows(spark):
     rows = spark.createDataFrame([("rally profit", "", None), ("crash", "", '{"ensemble":0.3}'), ("  ", "", "")], "title string, summary string, sentiment string")
     out = [json.loads(r["sentiment"]) for r in N.score_news(rows).collect()]
     assert out[0]["ensemble"] == 1.0 and out[1] == {"ensemble": 0.3} and out[2]["confidence"] == 0.0
+
+
+def test_news_window_on_quarter_hour_bars(spark):
+    """Bars of fifteen minutes take the articles of the 24 hours before each, hourly bars in the same table too."""
+    times = [T0 + timedelta(minutes=15 * k) for k in range(200)]
+    bars = spark.createDataFrame([("A", "15m", t) for t in times] + [("A", "1h", t) for t in times[::4]], "pair string, interval string, open_time timestamp")
+    at = [T0 + timedelta(minutes=7 * k) for k in range(300)]
+    rows = [(str(k), t, ["A"], json.dumps({"ensemble": 0.5, "confidence": 0.1, "cryptobert": 0.0, "finbert": 0.0})) for k, t in enumerate(at)]
+    news = spark.createDataFrame(rows, "id string, published_at timestamp, tickers array<string>, sentiment string")
+    for r in N.aggregate_news_for_bars(news, bars, tickers={"A": ["A"]}).collect():
+        assert r["sent_count"] == sum(r["open_time"] - timedelta(hours=24) <= t < r["open_time"] for t in at)

@@ -101,6 +101,22 @@ def test_stream_features_equal_batch_over_restarts(spark):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-8, atol=1e-9, err_msg=c)
 
 
+@pytest.mark.parametrize("hold", [0, 120])
+def test_bars_out_of_order_wait_or_come_out_as_late(spark, hold):
+    bars = candles.normalise_candles(spark.createDataFrame(random_bars(181, 5, gaps=0)))
+    ordered = with_position(bars, total=None)
+    path, out = scratch_path(spark, "late"), scratch_path(spark, "late-out")
+    for keep in (F.col("pos") >= 100, F.col("pos") < 100):  # each restart reads one more file, the newer bars first
+        ordered.filter(keep).drop("pos").coalesce(1).write.mode("append").parquet(path)
+        stream = live.stream_features(live.stream_table(spark, path, bars.schema), hold * 3_600_000)
+        finish(live.sink_parquet(stream, out, f"{out}-checkpoint"))
+    got = spark.read.parquet(out)
+    if not hold:
+        assert got.count() == 181 and got.filter("late").count() == 100
+    else:  # all bars but those of the last 120 hours, in order
+        assert got.filter("late").count() == 0 and sorted(r["pos"] for r in got.collect()) == list(range(61))
+
+
 def test_stream_positions_equal_batch(spark, outcomes):
     rows = outcomes.select(*SERIES, TS, "close", "p_up", "in_set_0", "in_set_1", "vol_24", "vol_168", "pos")
     path, out = land(spark, rows, "preds", [F.col("pos") < 150, F.col("pos") >= 150]), scratch_path(spark, "pos")

@@ -243,7 +243,7 @@ def _(spark, sf):
     closed = _closed(spark, sf)
     path, out = _landed(spark, closed, "closed"), scratch_path(spark, "stream-features")
     _finish(live.sink_parquet(live.stream_features(live.stream_table(spark, path, closed.schema)), out, f"{out}-checkpoint"))
-    rows = spark.read.parquet(out).filter(F.col("pos") >= 50).dropna(subset=FEATURE_COLUMNS)
+    rows = spark.read.parquet(out).filter((F.col("pos") >= 50) & ~F.col("late")).dropna(subset=FEATURE_COLUMNS)
     return rows.select("pair", TS, *_STREAMED)
 
 
