@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from barframe.functions.vectors import l2_normalise
 from barframe.operators.series import over_rows, with_position
-from barframe.operators.tables import key_hash, latest_common_key, top_n_per
+from barframe.operators.tables import key_hash, latest_common_key, spread_join, top_n_per
 from barframe.operators.windows import collect_windows
 from barframe.schema import SERIES, TS, regime_name
+from barframe.session import materialise
 
-QUERY_BATCH = 2048
-CORPUS_BLOCK = 65_536
+TILE = 2048  # rows of a block of queries or of corpus vectors
 _SIDE = ("pair", "interval", "_us", "regime", "embedding")
 _MATCH = "pair string, interval string, q_us long, m_us long, similarity double, regime long"
 _DIGITS = 12  # similarities are compared at 12 decimals, so copies of a vector tie and time decides
@@ -123,57 +123,47 @@ def _codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(planes.shape[1]))
 
 
-def _grid_topk(queries: DataFrame, corpus: DataFrame, query_batch: int, options: tuple) -> DataFrame:
-    """Every block of queries against every block of the corpus, as one cogrouped shuffle.
-
-    Rows are dealt to blocks by a hash of their key, so blocks have bounded size whatever the series.
-    Query blocks are copied once per corpus block and the other way round.
-    """
-    q_blocks = max(1, -(-queries.count() * 2 // query_batch))
-    c_blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    hashed = lambda n: F.pmod(F.xxhash64(*SERIES, "_us"), F.lit(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    q = queries.withColumn("_q", hashed(q_blocks)).withColumn("_c", spread(c_blocks))
-    # renamed, so that queries and corpus read from the same table stay apart in the plan
-    c = corpus.withColumn("_c", hashed(c_blocks)).withColumn("_q", spread(q_blocks))
-    c = c.select(*[F.col(n).alias(f"c{n}") for n in (*_SIDE, "_q", "_c")])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["pair", "interval", "q_us", "m_us", "similarity", "regime"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        schema = pa.schema(list(zip(names, types)))
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        corpus_rows = right.select([f"c{n}" for n in _SIDE]).rename_columns(list(_SIDE)).combine_chunks()
-        found = list(_local_topk(_Queries(left), *options)(iter(corpus_rows.to_batches())))
-        return pa.Table.from_batches(found, schema) if found else schema.empty_table()
-
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("c_q", "c_c")).applyInArrow(meet, _MATCH)
+def _tiled(rows: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows with their block ``own`` by a hash of the key, once for every block ``other`` of the same series' other side."""
+    placed = spread_join(rows, sizes, SERIES).withColumn(own, F.pmod(F.xxhash64(*SERIES, "_us"), F.col(f"n{own}")).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))).drop("n_q", "n_c")
 
 
 def similar_bars(
     queries: DataFrame, vectors: DataFrame, k: int = 10, same_regime: bool = True, exclude_seconds: int = 0,
-    history_only: bool = False, planes: np.ndarray | None = None, query_batch: int = QUERY_BATCH,
+    history_only: bool = False, planes: np.ndarray | None = None, tile: int = TILE,
 ) -> DataFrame:
     """The ``k`` most similar bars of each query bar, within its series. Exact unless ``planes`` is given.
 
-    Filters (regime, minimum distance in time, strictly earlier) apply before ranking. Up to
-    ``query_batch`` queries are shipped to the tasks and the corpus is read once; more queries meet the
-    corpus block by block through a shuffle. Either way a task multiplies two bounded blocks and
-    returns only its best ``k`` per query: no pair of vectors becomes a row. Ties in similarity go to
-    the earlier bar.
+    Filters (regime, minimum distance in time, strictly earlier) apply before ranking. Each series' queries and vectors
+    are dealt into blocks of about ``tile`` rows by a hash of the bar; every block of queries meets every block of vectors
+    of its own series in a task, which multiplies them and returns its best ``k`` per query: no pair of vectors becomes a
+    row. Ties in similarity go to the earlier bar.
     """
-    spark = vectors.sparkSession
     regime = F.col("regime").cast("long").alias("regime")
     wanted = queries.select(*SERIES, F.unix_micros(TS).alias("_us"), regime, F.col("embedding").cast("array<double>"))
     corpus = vectors.select(*SERIES, F.unix_micros(TS).alias("_us"), regime, F.col("embedding").cast("array<double>"))
     options = (k, same_regime, exclude_seconds * 1_000_000, history_only, planes)
-    head = wanted.limit(query_batch + 1).toArrow()
-    if head.num_rows <= query_batch:
-        shipped = spark.sparkContext.broadcast(_Queries(head))
-        parts = corpus.mapInArrow(lambda it: _local_topk(shipped.value, *options)(it), _MATCH)
-    else:
-        parts = _grid_topk(wanted, corpus, query_batch, options)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+
+    sizes = materialise(blocks(wanted, "n_q").join(blocks(corpus, "n_c"), list(SERIES)), "tiles")
+    left = _tiled(wanted, sizes, "_q", "_c")
+    # renamed, so that queries and corpus read from the same table stay apart in the plan
+    right = _tiled(corpus, sizes, "_c", "_q")
+    right = right.select(*[F.col(n).alias(f"c{n}") for n in (*_SIDE, "_q", "_c")])
+    names = ["pair", "interval", "q_us", "m_us", "similarity", "regime"]
+    schema = pa.schema(list(zip(names, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()])))
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return schema.empty_table()
+        rows = others.select([f"c{n}" for n in _SIDE]).rename_columns(list(_SIDE)).combine_chunks()
+        found = list(_local_topk(_Queries(some), *options)(iter(rows.to_batches())))
+        return pa.Table.from_batches(found, schema) if found else schema.empty_table()
+
+    parts = left.groupBy(*SERIES, "_q", "_c").cogroup(right.groupBy("cpair", "cinterval", "c_q", "c_c")).applyInArrow(meet, _MATCH)
     order = [F.col("similarity").desc(), F.col("m_us").asc()]
     ranked = top_n_per(parts, ["pair", "interval", "q_us"], order, k, rank="rank")
     regime = F.when(F.col("regime") >= 0, F.col("regime").cast("int"))
@@ -216,6 +206,20 @@ def with_anchor(requested: DataFrame, vectors: DataFrame, regimes: DataFrame) ->
     )
 
 
+def similar(requested: DataFrame, vectors: DataFrame, k: int = 10, **filters) -> DataFrame:
+    """The ``k`` most similar bars of each requested bar, or of its series' latest indexed bar where it has no vector.
+
+    ``requested``: ``pair, interval, open_time``. Result: these, ``query_time``, ``substituted``, and a row per match with
+    ``rank``, ``match_time``, ``similarity``, ``regime``.
+    """
+    resolved = with_anchor(requested, vectors, vectors)
+    key = [*SERIES, "query_time"]
+    index = vectors.withColumnRenamed(TS, "query_time")
+    queries = resolved.select(*key).distinct().join(index, key).withColumnRenamed("query_time", TS)
+    found = similar_bars(queries, vectors, k, **filters).withColumnRenamed(TS, "match_time")
+    return resolved.join(found, key).select(*SERIES, TS, "query_time", "substituted", "rank", "match_time", "similarity", "regime")
+
+
 def attach_windows(matches: DataFrame, bars: DataFrame, window: int = 64, block: int = 8192) -> DataFrame:
     """Add each match's last ``window`` OHLC bars and the outcome of the next one; too-early matches drop."""
     keep = [*SERIES, TS, "open", "high", "low", "close"]

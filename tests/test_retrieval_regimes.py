@@ -41,13 +41,23 @@ def brute(x, regime, q, k, same, history):
 def test_topk_equals_brute_force(spark, batch, same, history):
     df, x = corpus(spark)
     regime = np.array([i % 3 if i % 10 else 2 for i in range(len(x))])
-    got = retrieval.similar_bars(df, df, 7, same_regime=same, history_only=history, query_batch=batch).toPandas()
+    got = retrieval.similar_bars(df, df, 7, same_regime=same, history_only=history, tile=batch).toPandas()
     for q in range(0, len(x), 17):
         mine = got[got["query_time"] == T0 + timedelta(hours=q)].sort_values("rank")
         ids = [int((t - T0) / timedelta(hours=1)) for t in mine[TS]]
         assert ids == brute(x, regime, q, 7, same, history), q
 
 
+def test_series_meet_only_themselves(spark):
+    df, _ = corpus(spark, 60, copies=0)
+    two = df.unionByName(df.withColumn("pair", F.lit("B")).withColumn("embedding", F.transform("embedding", lambda v: -v)))
+    out = retrieval.similar_bars(two, two, 3, same_regime=False, tile=16)
+    alone = retrieval.similar_bars(df, df, 3, same_regime=False)
+    assert out.filter("pair = 'A'").exceptAll(alone).count() == 0 and out.count() == 2 * alone.count()
+    blocks = retrieval._tiled(two.withColumn("_us", F.unix_micros(TS)), spark.createDataFrame([("A", "1h", 4, 4), ("B", "1h", 2, 1)], "pair string, interval string, n_q int, n_c int"), "_q", "_c")
+    assert blocks.select("pair", "_q", "_c").distinct().count() == 4 * 4 + 2 * 1
+
+
 def test_exclusion_is_strict_and_approximate_is_a_subset(spark):
     df, _ = corpus(spark)
     out = retrieval.similar_bars(df, df, 200, same_regime=False, exclude_seconds=3600).toPandas()

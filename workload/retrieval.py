@@ -80,7 +80,7 @@ def _(spark, sf):
   SELECT {ms('qt AS query_time', 'ct AS open_time')}, rank::BIGINT AS rank, {r('sim AS similarity')} FROM k""")
 def _(spark, sf):
     vecs = materialise(indexed(spark, sf), "vectors")
-    found = retrieval.similar_bars(vecs, vecs, 3, same_regime=False, history_only=True, query_batch=100)
+    found = retrieval.similar_bars(vecs, vecs, 3, same_regime=False, history_only=True, tile=100)
     return found.select("query_time", TS, "rank", "similarity")
 
 
@@ -118,14 +118,16 @@ def _(spark, sf):
 
 
 @query("r05_similar_with_anchor", f"""WITH {_INDEX}, req AS (SELECT TIMESTAMP '2024-01-01' + to_hours((i * 37)::INT) AS t FROM range(40) x(i)),
-  z AS (SELECT t, CASE WHEN v.open_time IS NOT NULL THEN t ELSE (SELECT max(open_time) FROM idx) END AS qt, v.open_time IS NULL AS sub FROM req LEFT JOIN vec v ON v.open_time = t)
-  SELECT {ms('t AS open_time', 'qt AS query_time')}, sub AS substituted FROM z""")
+  z AS (SELECT t, CASE WHEN i.open_time IS NOT NULL THEN t ELSE (SELECT max(open_time) FROM idx) END AS qt, i.open_time IS NULL AS sub FROM req LEFT JOIN idx i ON i.open_time = t),
+  m AS (SELECT t, qt, sub, c.open_time AS ct, {_SIM} AS sim FROM z JOIN idx q ON q.open_time = qt JOIN idx c ON c.regime = q.regime),
+  k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY sim DESC, ct) AS rank FROM m QUALIFY rank <= 5)
+  SELECT {ms('t AS open_time', 'qt AS query_time', 'ct AS match_time')}, sub AS substituted, rank::BIGINT AS rank, {r('sim AS similarity')} FROM k""")
 def _(spark, sf):
-    emb, reg = vectors(spark, sf)
     wanted = spark.range(40).select(
         F.lit("vec").alias("pair"), F.lit("1h").alias("interval"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("id") * 37 * 3_600_000).alias(TS)
     )
-    return retrieval.with_anchor(wanted, emb, reg).select(TS, "query_time", "substituted")
+    found = retrieval.similar(wanted, materialise(indexed(spark, sf), "vectors"), 5)
+    return found.select(TS, "query_time", "match_time", "substituted", "rank", "similarity")
 
 
 @query("r06_j10_match_windows", f"""WITH {BP}, x AS (SELECT *, lead(close) OVER (PARTITION BY pair ORDER BY pos) AS nc,
