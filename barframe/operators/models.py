@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barframe.operators.conformal import conformal_threshold, with_conformal_set
@@ -25,6 +25,7 @@ from barframe.operators.features import FEATURE_COLUMNS
 from barframe.operators.splits import calibration_size, walk_forward
 from barframe.operators.tables import key_hash, spread_join
 from barframe.schema import SENTIMENT_FEATURES, SERIES, TS, regime_name
+from barframe.session import materialise
 
 GAP = 1
 Model = Callable[[DataFrame], DataFrame]
@@ -122,17 +123,12 @@ class Fit:
     std: np.ndarray | None = None
     coef: np.ndarray | None = None  # intercept last
     class_weight: tuple[float, float] = (1.0, 1.0)
+    converged: bool = False
 
     @property
     def degenerate(self) -> bool:
         return self.coef is None
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        if self.degenerate:
-            return np.full(len(x), self.base_rate)
-        z = (x - self.mean) / self.std @ self.coef[:-1] + self.coef[-1]
-        return 0.5 * (1.0 + np.tanh(0.5 * z))
-
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index("x"))
@@ -237,32 +233,46 @@ def fit_logistic(
             size = float(np.max(np.abs(step)))
             fit.coef = fit.coef - (step if size <= 5.0 else step * (5.0 / size))
             if size < tol:
+                fit.converged = True
                 open_groups.discard((series, fold))
     return groups
 
 
-def _score_batches(groups: dict[tuple[str, str], dict[int, Fit]], dim: int, carry: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch, dim)
-            keys = batch.select(["pair", "interval", "fold"]).to_pandas()
-            prob = np.zeros(len(keys))
-            flat = np.zeros(len(keys), dtype=bool)
-            for (pair, interval, fold), at in keys.groupby(["pair", "interval", "fold"], sort=False).indices.items():
-                fit = groups.get((pair, interval), {}).get(fold)
-                prob[at] = fit.probability(x[at]) if fit else 0.5
-                flat[at] = fit is None or fit.degenerate
-            cols = [batch.column(batch.schema.get_field_index(n)) for n in carry]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(prob), pa.array(flat)], names=[*carry, "prob", "flat"])
+MODEL_SQL = "pair string, interval string, fold long, weights array<double>, bias double, base_rate double, fit_end long, converged boolean"
 
-    return run
 
+def model_table(spark: SparkSession, groups: dict[tuple[str, str], dict[int, Fit]]) -> DataFrame:
+    """Fitted models as rows, to store and to apply to other bars: one per series and fold.
+
+    Scaling is folded into the weights: the score of inputs x is ``sum(weights * x) + bias``. A degenerate fit has no
+    weights and predicts its base rate.
+    """
+    rows = []
+    for (pair, interval), folds in groups.items():
+        for fold, f in folds.items():
+            weights, bias = None, None
+            if not f.degenerate:
+                scaled = f.coef[:-1] / f.std
+                weights, bias = scaled.tolist(), float(f.coef[-1] - scaled @ f.mean)
+            rows.append((pair, interval, int(fold), weights, bias, float(f.base_rate), int(f.fit_end), f.converged))
+    return spark.createDataFrame(rows, MODEL_SQL)
 
-def score_logistic(df: DataFrame, groups: dict[tuple[str, str], dict[int, Fit]], dim: int) -> DataFrame:
-    """Add ``prob`` (up probability) and ``flat`` (degenerate fold) to rows with ``fold`` and ``x``."""
-    carry = [c for c in df.columns if c != "x"]
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)
-    return df.mapInArrow(_score_batches(groups, dim, carry), f"{schema}, prob double, flat boolean")
+
+def score_with(models: DataFrame, rows: DataFrame, by: Sequence[str] = (*SERIES, "fold")) -> DataFrame:
+    """Add ``prob`` (up probability) and ``flat`` (no weights) to rows with ``x``, from a model table, in batch or stream.
+
+    The few model rows are joined on salted keys; the score itself is a Column expression. Rows without a model get 0.5.
+    """
+    kept = [c for c in rows.columns if c != "x"]
+    joined = spread_join(rows, models.select(*by, "weights", "bias", "base_rate"), by, "left")
+    z = F.aggregate(F.zip_with("x", "weights", lambda a, w: a * w), F.col("bias"), lambda t, v: t + v)
+    prob = F.when(F.col("weights").isNull(), F.coalesce("base_rate", F.lit(0.5))).otherwise(1 / (1 + F.exp(-z)))
+    return joined.select(*kept, prob.alias("prob"), F.col("weights").isNull().alias("flat"))
+
+
+def score_logistic(df: DataFrame, groups: dict[tuple[str, str], dict[int, Fit]]) -> DataFrame:
+    """``score_with`` for fits at hand; rows have ``fold`` and ``x``."""
+    return score_with(model_table(df.sparkSession, groups), df)
 
 
 # Ablation variants and the inputs they use besides the numeric features.
@@ -273,6 +283,13 @@ VARIANTS = {
 
 def fusion_inputs(ds: DataFrame, variant: str, dim: int = 0) -> tuple[DataFrame, int]:
     """Assemble the input array ``x`` of a variant (aligned ``embedding`` / sentiment columns expected)."""
+    x, size = input_array(variant, dim)
+    keep = [*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret"]
+    return ds.select(*keep, x.alias("x")), size
+
+
+def input_array(variant: str = "fusion_num", dim: int = 0) -> tuple[Column, int]:
+    """(input array of a variant from aligned feature columns, its length)."""
     uses = VARIANTS[variant]
     parts = [F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS])]
     size = len(FEATURE_COLUMNS)
@@ -282,8 +299,7 @@ def fusion_inputs(ds: DataFrame, variant: str, dim: int = 0) -> tuple[DataFrame,
     if "sent" in uses:
         parts.append(F.array(*[F.col(c).cast("double") for c in SENTIMENT_FEATURES]))
         size += len(SENTIMENT_FEATURES)
-    keep = [*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret"]
-    return ds.select(*keep, F.concat(*parts).alias("x")), size
+    return F.concat(*parts), size
 
 
 def fusion(
@@ -292,6 +308,7 @@ def fusion(
 ) -> DataFrame:
     """Late-fusion logistic model with split-conformal sets: predictions plus ``in_set_0/1``."""
     inputs, size = fusion_inputs(ds, variant, dim)
+    inputs = materialise(inputs, "fusion-inputs")  # read once per Newton step
     groups = fit_logistic(inputs, size, True, calib_frac=calib_frac, max_folds=max_folds)
     tested = test_rows(inputs, max_folds).withColumn("role", F.lit("test"))
     calib = inputs.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)))
@@ -299,7 +316,7 @@ def fusion(
     calib = calib.withColumn("train_end", train_end).withColumn("role", F.lit("calibration"))
     lower = F.col("train_end") - calibration_size(F.col("train_end"), calib_frac)
     calib = calib.filter((F.col("row") >= lower) & (F.col("row") < F.col("train_end")))
-    scored = score_logistic(tested.unionByName(calib), groups, size)
+    scored = score_logistic(tested.unionByName(calib), groups)
     key = [*SERIES, "fold"]
     held = scored.filter((F.col("role") == "calibration") & ~F.col("flat"))
     thresholds = conformal_threshold(held.select(*key, F.col("y").alias("y_true"), F.col("prob").alias("y_prob")), alpha, key)
@@ -315,10 +332,10 @@ def sentiment_logistic(ds: DataFrame, max_folds: int | None = None) -> DataFrame
     """
     keep = [*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret", "sent_count"]
     x = F.array(*[F.col(c).cast("double") for c in SENTIMENT_FEATURES])
-    inputs = ds.select(*keep, x.alias("x"))
+    inputs = materialise(ds.select(*keep, x.alias("x")), "sentiment-inputs")
     size = len(SENTIMENT_FEATURES)
     groups = fit_logistic(inputs.filter(F.col("sent_count") > 0), size, False, max_folds=max_folds)
-    scored = score_logistic(test_rows(inputs, max_folds), groups, size)
+    scored = score_logistic(test_rows(inputs, max_folds), groups)
     rates = base_rates(ds, max_folds)
     joined = spread_join(scored, rates, [*SERIES, "fold"], "left")
     prob = F.when(F.col("flat"), F.col("base_rate")).when(F.col("sent_count") > 0, F.col("prob")).otherwise(0.5)
@@ -354,24 +371,44 @@ def boosted_trees(
     return out
 
 
-def fit_anchor(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: float = 0.9, alpha: float = 0.1) -> DataFrame:
-    """Fit the fusion model on the first ``frac`` of each series and score every bar.
+def _anchored(ds: DataFrame, variant: str, dim: int, frac: float) -> tuple[DataFrame, int]:
+    """Inputs with one fold: all rows before the cut at ``frac`` of each series."""
+    cut = F.floor(F.col("n") * F.lit(float(frac))).cast("long")
+    anchored = ds.withColumn("initial", cut).withColumn("test", F.col("n") - F.col("initial") - GAP)
+    inputs, size = fusion_inputs(anchored.withColumn("n_folds", F.lit(1).cast("long")), variant, dim)
+    return materialise(inputs, "anchor-inputs"), size
+
 
-    Returns ``p_up``, the conformal set and ``held_out`` for bars after the cut. All series are fitted
-    together, as a walk-forward split with one fold.
+def anchor_model(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: float = 0.9, alpha: float = 0.1) -> DataFrame:
+    """The fusion model fitted on the first ``frac`` of each series, with its conformal ``threshold``: a row per series.
+
+    Store it (any table format) and apply it to later bars with ``predict_bars``, in batch or stream.
     """
-    cut = F.floor(F.col("n") * F.lit(float(frac))).cast("long")
-    anchored = ds.withColumn("initial", cut).withColumn("test", F.col("n") - F.col("initial") - GAP).withColumn("n_folds", F.lit(1).cast("long"))
-    inputs, size = fusion_inputs(anchored, variant, dim)
-    groups = fit_logistic(inputs, size, True, max_folds=1)
-    scored = score_logistic(inputs.withColumn("fold", F.lit(0).cast("long")), groups, size)
-    calib = (F.col("row") < F.col("initial")) & (F.col("row") >= F.col("initial") - calibration_size(F.col("initial")))
-    held = scored.filter(calib & ~F.col("flat"))
-    thresholds = conformal_threshold(held.select(*SERIES, F.col("y").alias("y_true"), F.col("prob").alias("y_prob")), alpha, SERIES)
-    out = scored.select(
-        *SERIES, TS, F.col("y").alias("y_true"), F.col("prob").alias("y_prob"), (F.col("row") >= F.col("initial")).alias("held_out")
-    )
-    return with_conformal_set(out, thresholds, SERIES).withColumnRenamed("y_prob", "p_up").drop("threshold")
+    inputs, size = _anchored(ds, variant, dim, frac)
+    return _with_threshold(inputs, fit_logistic(inputs, size, True, max_folds=1), alpha)
+
+
+def _with_threshold(inputs: DataFrame, groups: dict[tuple[str, str], dict[int, Fit]], alpha: float) -> DataFrame:
+    models = model_table(inputs.sparkSession, groups).drop("fold")
+    lower = F.col("initial") - calibration_size(F.col("initial"))
+    calib = score_with(models, inputs.filter((F.col("row") < F.col("initial")) & (F.col("row") >= lower)), SERIES)
+    held = calib.filter(~F.col("flat")).select(*SERIES, F.col("y").alias("y_true"), F.col("prob").alias("y_prob"))
+    return models.join(conformal_threshold(held, alpha, SERIES).select(*SERIES, "threshold"), list(SERIES), "left")
+
+
+def predict_bars(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """``p_up`` and the conformal set ``in_set_0/1`` of any bars with inputs ``x`` (see ``input_array``), from ``anchor_model`` rows."""
+    scored = score_with(models, rows, SERIES).withColumnRenamed("prob", "y_prob").drop("flat")
+    return with_conformal_set(scored, models, SERIES).withColumnRenamed("y_prob", "p_up").drop("threshold")
+
+
+def fit_anchor(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: float = 0.9, alpha: float = 0.1) -> DataFrame:
+    """Fit the anchor model and score every bar of the dataset: ``p_up``, the conformal set and ``held_out`` after the cut."""
+    inputs, size = _anchored(ds, variant, dim, frac)
+    models = materialise(_with_threshold(inputs, fit_logistic(inputs, size, True, max_folds=1), alpha), "anchor-model")
+    held_out = (F.col("row") >= F.col("initial")).alias("held_out")
+    out = predict_bars(models, inputs.select(*SERIES, TS, F.col("y").alias("y_true"), held_out, "x"))
+    return out.select(*SERIES, TS, "y_true", "p_up", "held_out", "in_set_0", "in_set_1")
 
 
 def logistic_estimator(n_fit: int, c: float = 1.0) -> LogisticRegression:

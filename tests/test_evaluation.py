@@ -11,6 +11,8 @@ from barframe.operators import conformal, dm, metrics
 from barframe.operators import models as M
 from barframe.operators.splits import auto_folds, fold_table
 from barframe.schema import SERIES, TS
+from barframe.session import materialise, scratch_path
+from barframe.streaming import live
 
 
 def test_student_t_known_values(spark):
@@ -109,11 +111,30 @@ def test_grouped_newton_equals_spark_ml(spark):
     np.testing.assert_allclose(fits[0].coef[:3], model.coefficients.toArray(), atol=1e-5)
     assert fits[0].coef[3] == pytest.approx(model.intercept, abs=1e-5)
     probs = model.transform(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(scaled)).select(vector_to_array("probability")[1].alias("p"), TS)
-    ours = M.score_logistic(inputs.filter("row < 200").withColumn("fold", F.lit(0).cast("long")), {("A", "1h"): fits}, 3)
+    ours = M.score_logistic(inputs.filter("row < 200").withColumn("fold", F.lit(0).cast("long")), {("A", "1h"): fits})
     worst = probs.join(ours, TS).agg(F.max(F.abs(F.col("p") - F.col("prob"))).alias("d")).collect()[0]["d"]
     assert worst < 1e-5
 
 
+def test_stored_model_scores_later_bars_in_batch_and_stream(spark, monkeypatch):
+    monkeypatch.setattr(M, "FEATURE_COLUMNS", ["a", "b", "c"])
+    ds = dataset(spark, 600)
+    models = materialise(M.anchor_model(ds), "model")
+    row = models.first()
+    assert row["converged"] and len(row["weights"]) == 3 and 0 < row["threshold"] < 1
+    whole = M.fit_anchor(ds)
+    x, _ = M.input_array()
+    later = ds.filter("row >= 500").select(*SERIES, TS, x.alias("x"))
+    batch = M.predict_bars(models, later)
+    both = batch.join(whole.select(TS, F.col("p_up").alias("p"), F.col("in_set_0").alias("i0"), F.col("in_set_1").alias("i1")), TS)
+    assert both.count() == 100 and both.filter("abs(p - p_up) > 1e-9 OR i0 <> in_set_0 OR i1 <> in_set_1").count() == 0
+    path, out = scratch_path(spark, "bars"), scratch_path(spark, "scored")
+    later.repartition(3).write.parquet(path)
+    stream = M.predict_bars(models, live.stream_table(spark, path, later.schema, max_files=1))
+    live.sink_parquet(stream, out, f"{out}-checkpoint").awaitTermination()
+    assert spark.read.parquet(out).select(TS, "p_up").exceptAll(batch.select(TS, "p_up")).count() == 0
+
+
 def test_degenerate_fold_predicts_base_rate(spark):
     ds = dataset(spark).withColumn("y", F.lit(1).cast("long")).withColumn("x", F.array("a", "b", "c"))
     fits = M.fit_logistic(ds, 3, conformal=True, max_folds=1)[("A", "1h")]
