@@ -17,7 +17,8 @@ from barframe.session import materialise
 
 WIDTH = 64  # minwise tokens in a sketch
 LEAF = 256  # larger nodes branch
-BLOCK = 1024  # rows of a block of a dense node
+BLOCK = 1024  # rows of a block of a dense node, at most
+BLOCK_SHINGLES = 1 << 20  # and about so many shingles
 DEPTH = 4
 DENSE = 0.4  # mean similarity to its pivot at which a node is compared rather than branched
 MARK_BITS = 1 << 22
@@ -261,7 +262,9 @@ def _leaves(classes: DataFrame, percent: int, recall: float) -> DataFrame:
         large = large.unionByName(part)
     # Dense nodes of several trees with one pivot are one leaf. Leaves beyond a block are compared block by block.
     small = small.distinct().withColumns({"block": F.lit(0), "blocks": F.lit(1)})
-    counts = large.distinct().groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows, volume = F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES
+    sized = large.distinct().join(classes.select("key", "size"), "key")
+    counts = sized.groupBy("leaf").agg(F.ceil(F.greatest(rows, volume)).cast("int").alias("blocks"))
     large = large.distinct().join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     return small.unionByName(large.select("leaf", "key", "block", "blocks"))
 
@@ -269,7 +272,7 @@ def _leaves(classes: DataFrame, percent: int, recall: float) -> DataFrame:
 def links(docs: DataFrame, signs: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
     """Links ``a, b`` between class keys that connect exactly what the links of all similar pairs connect."""
     classes = materialise(
-        signs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes"
+        signs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "classes"
     )
     leaves = materialise(_leaves(classes, percent, recall), "leaves")
     members = leaves.select("key").distinct().join(classes.select("key", "doc_id"), "key")
