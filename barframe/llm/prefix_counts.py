@@ -76,10 +76,19 @@ class PrefixCounter:
     def _byte_counts(self, data: bytes) -> list[int]:
         """A prefix that ends inside token j is tokens[:j] and that token's prefix wherever the two may follow each
         other; only elsewhere does the recurrence look for the last token."""
-        out, last = [], None
+        out, last, follows, insides = [], None, self.follows, self.insides
         for j, token in enumerate(self.bpe.piece(data)):
-            for first, count in self._inside(token):
-                out.append(j + count if last is None or self._may_follow(last, first) else 0)
+            inside = insides.get(token)
+            if inside is None:
+                inside = self._inside(token)
+            if last is None:
+                out += [count for _, count in inside]
+            else:
+                for first, count in inside:
+                    fits = follows.get(last << 20 | first)
+                    if fits is None:
+                        fits = self._may_follow(last, first)
+                    out.append(j + count if fits else 0)
             out.append(j + 1)
             last = token
         if 0 in out:
@@ -102,7 +111,7 @@ class PrefixCounter:
     def _piece_counts(self, piece: str) -> np.ndarray:
         data = piece.encode()
         counts = self._byte_counts(data)
-        if piece in LONG_CONTRACTIONS:  # cut short, it splits into the apostrophe and a letter
+        if len(data) == 3 and piece in LONG_CONTRACTIONS:  # cut short, it splits into the apostrophe and a letter
             counts[1] = 2
         if len(data) == len(piece):
             return np.array(counts, dtype=np.int32)
@@ -115,7 +124,7 @@ class PrefixCounter:
             self.states.clear()
             self.follows.clear()
         counts = self._piece_counts(piece)
-        entry = (counts, len(counts), int(counts[-1]))
+        entry = (counts, len(piece), int(counts[-1]))
         if len(piece) <= SHORT:
             self.known[piece] = entry
         return entry
