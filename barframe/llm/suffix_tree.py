@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,24 +13,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.shingles import U, hashed_words
+from barframe.llm.shingles import U, hashed_words, mix
 from barframe.session import materialise
 
-COMMON = 5e-7  # share of all tokens from which a word is common: at most 2 million words
-CONTEXT = 5e-5  # share from which a sequence may be a context: at most 20,000 of each length
-SYMBOL = 0.01  # share of a context's followers from which one may be tested; CONTEXT * SYMBOL = COMMON
+COMMON = 5e-7  # share of all tokens from which a word's count is broadcast (at most 2 million words); others are joined
+CONTEXT = 0.0  # least share of all tokens of a context, besides LEAST; 0 leaves the choice to the divergence test
+SYMBOL = 0.0  # least share of a context's followers of a tested one, besides a count of 2
+LEAST = 10  # occurrences of a context: with fewer, hardly any divergence reaches EVIDENCE * log N
 DEPTH = 3
 RATIO = 1.5  # least ratio to the parent's probability, either way, of a follower with a probability of its own
 EVIDENCE = 10.0  # times log N: least log-likelihood gain of a context over its parent
 DISCOUNT = 0.5
-ID_BITS = 21
+CACHE = 1_000_000  # rows up to which a table is broadcast instead of joined; the result is the same
 END = np.int64(-0x61C8864680B583EB)  # stands for the end among the hashes of words
-BUCKETS = 256
+BEGIN = np.int64(0x3C79AC492BA7B653)  # precedes each text
+_STEP = U(0x9E3779B97F4A7C15)
+_KEYS = [*[f"c{d}" for d in range(1, DEPTH + 1)], *[f"g{d}" for d in range(1, DEPTH + 1)]]
 SCORED_SQL = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "rare array<struct<word: long, n: long>>"
+    "rare array<struct<word: long, n: long, open: long>>, "
+    f"grams array<struct<word: long, {', '.join(f'{k}: long' for k in _KEYS)}, n: long>>"
 )
-_RARE = pa.struct([("word", pa.int64()), ("n", pa.int64())])
+_RARE = pa.struct([(c, pa.int64()) for c in ("word", "n", "open")])
+_GRAMS = pa.struct([(c, pa.int64()) for c in ("word", *_KEYS, "n")])
 
 
 class Lookup:
@@ -95,51 +101,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(total)], ["word", "n"])
 
 
-def _chains(ids: np.ndarray, owner: np.ndarray, begin: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the packed ids of the ``depth`` tokens before it (-1 where there are fewer or one is not common).
+def _next(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a context followed by a word; a context of one word has the word's hash as its key."""
+    return mix(context.astype(np.int64).view(U) * _STEP + word.astype(np.int64).view(U)).view(np.int64)
 
-    A text is preceded by one begin, so only the first token has it as its direct context.
-    """
-    n = len(ids)
-    key, valid = np.zeros(n, np.int64), np.ones(n, dtype=bool)
-    for back in range(depth, 0, -1):
-        before = np.full(n, -1, np.int64)
-        same = np.zeros(n, dtype=bool)
-        if n > back:
-            same[back:] = owner[back:] == owner[:-back]
-            before[back:] = np.where(same[back:], ids[:-back], -1)
-        inner = np.zeros(n, dtype=bool)  # exactly at the begin: the text's first token lies back - 1 before
-        if back == 1:
-            inner = ~same
-        elif n > back - 1:
-            inner[back - 1 :] = owner[back - 1 :] == owner[: n - back + 1]
-            inner &= ~same
-        before[inner] = begin
-        valid &= before >= 0
-        key = key << ID_BITS | np.maximum(before, 0)
-    return np.where(valid, key, -1), valid
+
+def _chains(tokens: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length of contexts: (key of each token's context, key of context and token, the same for the context's longest
+    suffix, whether the text reaches back so far). A text is preceded by one begin."""
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = owner[1:] != owner[:-1]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+    shorter = tokens
+    for depth in range(1, DEPTH + 1):
+        context = np.roll(shorter, 1)
+        if depth == 1:
+            context[first] = BEGIN
+        longer = _next(context, tokens)
+        yield context, longer, shorter, place >= depth - 1
+        shorter = longer
 
 
 @dataclass
 class Tree:
-    """A fitted tree: small tables of bounded size. State 0 is the root; contexts are packed ids, oldest first."""
+    """What every scoring task holds: counts of the common words and, where they are at most CACHE, states and moves.
+
+    State 0 is the root; a state's parent is its longest suffix that is one.
+    """
 
     n: int = 0  # training tokens
     v: int = 0  # distinct ones
     discount: float = DISCOUNT
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the common ones, by id
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the common ones
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    texts: int = 0
-    levels: list = field(default_factory=list)  # per length: (contexts, state numbers)
+    whole: bool = True  # whether states and moves are held
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the states' contexts
     parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     back: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log10 of the back-off weight
-    moves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # state << ID_BITS | id
+    moves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # keys of contexts with a follower
     logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 probability of each move
 
-    @property
-    def begin(self) -> int:
-        return len(self.words)
-
     def root_log(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability without context: absolute discounting, the discounts being the unknown word's."""
         if not self.n:
@@ -151,202 +153,220 @@ class Tree:
         return np.log10((counts + 1.0) / (self.n + self.v + 1.0))
 
 
-def _followers(words: Lookup, begin: int, contexts: np.ndarray, depth: int):
-    """Counts of what follows the given contexts, as sorted blobs per bucket of pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lookup(contexts)
-        for b in batches:
-            held = []
-            for tokens, owner in _tokens(b.column(0)):
-                ids = words.find(tokens.view(U))
-                state = known.find(_chains(ids, owner, begin, depth)[0].view(U))
-                some = (state >= 0) & (ids >= 0)
-                held.append(np.unique(state[some] << ID_BITS | ids[some], return_counts=True))
-            if not held:
-                continue
-            pairs, counts = (np.concatenate(x) for x in zip(*held))
-            pair, place = np.unique(pairs, return_inverse=True)
-            total = np.bincount(place, counts, len(pair)).astype(np.int32)
-            bucket = (pair.astype(U) * U(0x9E3779B97F4A7C15) >> U(56)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            rows = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-            blobs = [pa.array((x[o].tobytes() for _, o in rows), pa.binary()) for x in (pair, total)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *blobs], ["bucket", "pairs", "counts"])
-
-    return run
-
-
-def _merge(least: np.ndarray):
-    """Sums the counts of a bucket's pairs; keeps those with ``least[context]`` or more."""
+def move_logs(tree: Tree, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log10 probability of common words after states: the state's own, or backed off to its parents, down to the root.
+    Ids of -1 get the back-off weights alone."""
+    moves, states = Lookup(tree.moves.view(U)), states.copy()
+    out, open_ = np.zeros(len(states)), np.ones(len(states), dtype=bool)
+    todo = np.flatnonzero(states > 0)
+    while len(todo):
+        found = moves.find(_next(tree.keys[states[todo]], tree.words[ids[todo]] if len(tree.words) else ids[todo]).view(U))
+        hit = (found >= 0) & (ids[todo] >= 0)
+        out[todo[hit]] += tree.logs[found[hit]]
+        open_[todo[hit]] = False
+        todo = todo[~hit]
+        out[todo] += tree.back[states[todo]]
+        states[todo] = tree.parent[states[todo]]
+        todo = todo[states[todo] > 0]
+    common = open_ & (ids >= 0)
+    out[common] += tree.root_log(tree.counts[ids[common]])
+    return out
 
-    def done(pairs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        keep = counts >= least[pairs >> ID_BITS]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(counts[keep])], ["pair", "n"])
 
-    def merged(parts: list) -> list:
-        pairs, counts = (np.concatenate(x) for x in zip(*parts))
-        pair, place = np.unique(pairs, return_inverse=True)
-        return [(pair, np.bincount(place, counts, len(pair)).astype(np.int64))]
+def _followers(depth: int, contexts):
+    """Counts of contexts of one length with what follows: of the given contexts, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, fresh, last = [], 0, None
+        known = Lookup(contexts.value.view(U)) if contexts is not None else None
         for b in batches:
-            for bucket, pairs, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                if last is not None and bucket != last:
-                    yield done(*merged(parts)[0])
-                    parts, fresh = [], 0
-                last = bucket
-                parts.append((np.frombuffer(pairs.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)))
-                fresh += len(parts[-1][0])
-                if fresh > 1 << 21:
-                    parts, fresh = merged(parts), 0
-        if parts:
-            yield done(*merged(parts)[0])
+            for tokens, owner in _tokens(b.column(0)):
+                context, gram, shorter, valid = next(islice(_chains(tokens, owner), depth - 1, None))
+                at = np.flatnonzero(valid)
+                if known is not None:
+                    at = at[known.find(context[at].view(U)) >= 0]
+                keys, where, counts = np.unique(gram[at], return_index=True, return_counts=True)
+                where = at[where]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, context[where], shorter[where], counts)], ["g", "ctx", "sg", "n"])
 
     return run
 
 
-def _extend(tree: Tree, contexts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, counts: np.ndarray, depth: int) -> None:
-    """Adds the contexts of one length that say something their parents don't.
+def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(states, grams) of one length of contexts.
 
-    For every tested follower the probability is compared with the parent's; a context is retained if the followers whose
-    probability departs by RATIO gain enough log likelihood together. Those get (count - DISCOUNT) / total; the rest of
-    the mass goes to all others in proportion to the parent, so every state's distribution sums to 1.
+    ``above`` holds the grams one shorter: key ``g``, count ``n``, log10 probability ``lp`` and the keys ``t1, t2`` of
+    their suffixes as contexts. For every follower the probability is compared with the one without the oldest word; a
+    context is retained if the followers whose probability departs by RATIO gain enough log likelihood together. Those get
+    (count - DISCOUNT) / total; the rest of the mass goes to all others in proportion to the shorter context, so every
+    state's distribution sums to 1. A context needs no retained suffix.
     """
-    tail = contexts & ((1 << ID_BITS * (depth - 1)) - 1)
-    parents = np.zeros(len(contexts), np.int64)
-    if depth > 1:
-        above, numbers = tree.levels[depth - 2]
-        at = Lookup(above).find(tail.view(U))
-        parents = np.where(at >= 0, numbers[np.maximum(at, 0)] if len(numbers) else -1, -1)
-    owner, symbol = pairs >> ID_BITS, pairs & ((1 << ID_BITS) - 1)
-    usable = parents[owner] >= 0
-    owner, symbol, counts = owner[usable], symbol[usable], counts[usable]
-    above_log = move_logs(tree, parents[owner], symbol)
-    p = (counts - DISCOUNT) / totals[owner]
-    tested = (counts >= SYMBOL * totals[owner]) & (counts >= 2) & (np.abs(np.log10(p) - above_log) >= math.log10(RATIO))
-    gain = np.bincount(owner, np.where(tested, counts * (np.log(p) - above_log * math.log(10)), 0), len(contexts))
+    sc = train.sparkSession.sparkContext
+    allowed = above.filter(F.col("n") >= max(CONTEXT * n, float(LEAST)))
+    few = allowed.count() <= CACHE
+    contexts = sc.broadcast(np.sort(allowed.select("g").toPandas()["g"].to_numpy(np.int64))) if few else None
+    counted = train.select("text").mapInArrow(_followers(depth, contexts), "g long, ctx long, sg long, n long")
+    # One row per context and follower; what occurs once is never tested.
+    counted = counted.groupBy("g").agg(F.min("ctx").alias("ctx"), F.min("sg").alias("sg"), F.sum("n").alias("n")).filter("n >= 2")
+    totals = allowed.select(F.col("g").alias("ctx"), F.col("n").alias("total"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
+    parents = above.select(F.col("g").alias("sg"), F.col("lp").alias("up"), F.col("t1").alias("t2"))
+    p = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
+    tested = (F.col("n") >= F.lit(SYMBOL) * F.col("total")) & (F.abs(F.log10(p) - F.col("up")) >= math.log10(RATIO))
+    rows = counted.join(totals, "ctx").join(parents, "sg").withColumns({"p": p, "tested": tested})
+    rows = materialise(rows, "followers")
+    theirs = F.pow(F.lit(10.0), F.col("up"))
+    states = rows.filter("tested").groupBy("ctx").agg(
+        *[F.min(c).alias(c) for c in ("total", "s1", "s2")], F.sum("p").alias("own"), F.sum(theirs).alias("theirs"), F.sum("n").alias("of"),
+        F.sum(F.col("n") * (F.log("p") - F.col("up") * math.log(10))).alias("gain"),
+    )
+    weight = F.greatest(1 - F.col("own"), F.lit(1e-12)) / F.greatest(1 - F.col("theirs"), F.lit(1e-12))
     # The gain of the departures alone, less what the changed rest of the mass loses.
-    own = np.bincount(owner, np.where(tested, p, 0), len(contexts))
-    theirs = np.bincount(owner, np.where(tested, 10.0**above_log, 0), len(contexts))
-    rest = totals - np.bincount(owner, np.where(tested, counts, 0), len(contexts))
-    weight = np.maximum(1 - own, 1e-12) / np.maximum(1 - theirs, 1e-12)
-    gain += rest * np.log(weight)
-    kept = np.flatnonzero((gain >= EVIDENCE * math.log(max(tree.n, 2))) & (parents >= 0))
-    number = np.full(len(contexts), -1, np.int64)
-    number[kept] = len(tree.parent) + np.arange(len(kept))
-    tree.levels.append((contexts[kept], number[kept]))
-    tree.parent, tree.back = np.append(tree.parent, parents[kept]), np.append(tree.back, np.log10(weight[kept]))
-    moved = tested & (number[owner] >= 0)
-    tree.moves = np.append(tree.moves, number[owner[moved]] << ID_BITS | symbol[moved])
-    tree.logs = np.append(tree.logs, np.log10(p[moved]))
-
-
-def move_logs(tree: Tree, states: np.ndarray, ids: np.ndarray, moves: Lookup | None = None, rare: bool = False) -> np.ndarray:
-    """log10 probability of ids after states: the state's own, or backed off to the next shorter suffix, down to the root.
-    With ``rare``, ids of -1 get the back-off weights alone."""
-    moves = moves or Lookup(tree.moves)
-    out, todo = np.zeros(len(states)), np.flatnonzero(states > 0)
-    root = np.ones(len(states), dtype=bool)
-    states = states.copy()
-    while len(todo):
-        found = moves.find(np.where(ids[todo] >= 0, states[todo] << ID_BITS | np.maximum(ids[todo], 0), -1).view(U))
-        hit = found >= 0
-        out[todo[hit]] += tree.logs[found[hit]]
-        root[todo[hit]] = False
-        todo = todo[~hit]
-        out[todo] += tree.back[states[todo]]
-        states[todo] = tree.parent[states[todo]]
-        todo = todo[states[todo] > 0]
-    common = root & (ids >= 0)
-    out[common] += tree.root_log(tree.counts[ids[common]])
-    return out
+    gain = F.col("gain") + (F.col("total") - F.col("of")) * F.log(weight)
+    states = states.filter(gain >= EVIDENCE * math.log(max(n, 2))).select("ctx", F.log10(weight).alias("back"), "s1", "s2")
+    states = materialise(states, "states")
+    out = rows.join(states.select("ctx", "back"), "ctx", "left")
+    move = F.col("back").isNotNull() & F.col("tested")
+    lp = F.when(move, F.log10("p")).otherwise(F.col("up") + F.coalesce("back", F.lit(0.0)))
+    grams = materialise(out.select("g", "n", lp.alias("lp"), F.col("sg").alias("t1"), "t2", move.alias("move")), "grams")
+    return states, grams
 
 
-def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
-    """(tree, counts of all words) from the texts in ``train.text``.
+def _empty(df: DataFrame, columns: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], columns)
+
+
+def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
+    """(tree, counts of all words, states ``key, back``, moves ``key, log``) from the texts in ``train.text``.
 
-    One pass counts words; each length of contexts takes another, counting the common followers of the sequences that
-    make up CONTEXT of all tokens. Their number, and so the tree's size, is bounded by the shares; counts are over
-    everything.
+    One pass counts words; each length of contexts takes another. Every context that occurs LEAST times is tested, so
+    states and moves grow with the texts. They are tables by key; the tree holds them if they are few.
     """
     counts = materialise(train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v, ones, twos = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+    n, v, ones, twos, texts = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1)),
+        F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("n"))), F.lit(0)),
     ).first()
     tree = Tree(n=int(n), v=int(v))
     if ones + twos:
         tree.discount = min(max(ones / (ones + 2 * twos), 0.05), 0.95)
     common = counts.filter(F.col("n") >= max(2.0, COMMON * n)).toPandas().sort_values("word")  # at most 1 / COMMON rows
     tree.words, tree.counts = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    end = np.flatnonzero(tree.words == END)
-    tree.texts = int(tree.counts[end[0]]) if len(end) else int(counts.filter(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    words, floor = Lookup(tree.words.view(U)), max(CONTEXT * n, 2.0)
-    enough = np.flatnonzero((tree.counts >= floor) & (tree.words != END))
-    contexts, totals = enough.astype(np.int64), tree.counts[enough]
-    if tree.texts >= floor:
-        contexts, totals = np.append(contexts, tree.begin), np.append(totals, tree.texts)
-    for depth in range(1, DEPTH + 1):
-        if not len(contexts):
-            break
-        least = np.minimum(np.maximum(SYMBOL * totals, 2), floor)
-        packed = train.select("text").mapInArrow(_followers(words, tree.begin, contexts, depth), "bucket int, pairs binary, counts binary")
-        dealt = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-        found = dealt.mapInArrow(_merge(least), "pair long, n long").toPandas().sort_values("pair")  # at most 1 / (CONTEXT * SYMBOL) rows
-        pairs, numbers = found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        _extend(tree, contexts, totals, pairs, numbers, depth)
-        # Longer contexts end in a sequence that is frequent itself, by an id that is no end.
-        ends = tree.words[np.minimum(pairs & ((1 << ID_BITS) - 1), len(tree.words) - 1)] == END
-        longer = np.flatnonzero((numbers >= floor) & ~ends)
-        contexts, totals = contexts[pairs[longer] >> ID_BITS] << ID_BITS | pairs[longer] & ((1 << ID_BITS) - 1), numbers[longer]
-        kept, _ = tree.levels[-1]
-        # A state needs its suffix as a parent, which only a retained context can be.
-        suffix = contexts & ((1 << ID_BITS * depth) - 1)
-        fine = np.isin(suffix, kept)
-        contexts, totals = contexts[fine], totals[fine]
-    return tree, counts
+    states, moves = _empty(train, "key long, back double, s1 long, s2 long"), _empty(train, "key long, log double")
+    if n:
+        none = F.lit(None).cast("long")
+        begin = train.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("word"), F.lit(int(texts)).alias("n"))
+        root = F.log10((F.col("n") - F.lit(tree.discount)) / float(n))
+        above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"), none.alias("t1"), none.alias("t2"))
+        for depth in range(1, DEPTH + 1):
+            more, above = _level(train, depth, above, n)
+            states = states.unionByName(more.withColumnRenamed("ctx", "key"))
+            moves = moves.unionByName(above.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log")))
+    tree.whole = states.count() + moves.count() <= CACHE
+    if tree.whole:
+        held, more = states.fillna(0, ["s1", "s2"]).toPandas(), moves.toPandas()
+        keys = held["key"].to_numpy(np.int64)
+        tree.keys, tree.back = np.append(np.int64(0), keys), np.append(0.0, held["back"].to_numpy(float))
+        known, parent = Lookup(keys.view(U)), np.zeros(len(keys), np.int64)
+        for name in ("s2", "s1"):  # the longer suffix last; none is 0
+            found = known.find(held[name].to_numpy(np.int64).view(U))
+            parent = np.where(found >= 0, found + 1, parent)
+        tree.parent = np.append(np.int64(0), parent)
+        tree.moves, tree.logs = more["key"].to_numpy(np.int64), more["log"].to_numpy(float)
+    return tree, counts, states, moves
+
+
+def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
+    """(tree, counts of all words): see ``model``."""
+    return model(train)[:2]
+
+
+def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by text and key, where each distinct pair begins in it, number of each)."""
+    order = np.lexsort((key, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    at = np.flatnonzero(new)
+    return order, at, np.diff(np.append(at, len(order)))
+
+
+def _lists(parts: list, kind: pa.StructType, n: int) -> pa.ListArray:
+    """Lists of structs per text from (text numbers, columns...) in the order of texts."""
+    owners, *columns = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * (1 + len(kind))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
+    arrays = [pa.array(c.astype(np.int64)) for c in columns]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        words, moves = Lookup(tree.words.view(U)), Lookup(tree.moves)
-        levels = [(Lookup(c.view(U)), numbers) for c, numbers in tree.levels]
-        base = tree.base_log(tree.counts)
+        words, moves, states = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:]))
+        base, root, back = tree.base_log(tree.counts), tree.root_log(tree.counts), tree.back[1:]
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             n = b.num_rows
             sums = np.zeros((4, n))
             rare: list = []
+            grams: list = []
             for tokens, owner in _tokens(b.column(2)):
                 ids = words.find(tokens.view(U))
-                state = np.zeros(len(ids), np.int64)
-                for depth, (known, numbers) in enumerate(levels, 1):  # the longest suffix that is a state
-                    found = known.find(_chains(ids, owner, tree.begin, depth)[0].view(U))
-                    state = np.where(found >= 0, numbers[np.maximum(found, 0)] if len(numbers) else 0, state)
                 common = ids >= 0
-                logs = move_logs(tree, state, ids, moves)
+                logs, open_ = np.zeros(len(ids)), np.ones(len(ids), dtype=bool)
+                chains = list(_chains(tokens, owner))
+                if tree.whole:
+                    for context, gram, _, valid in reversed(chains):
+                        todo = np.flatnonzero(open_ & valid)
+                        state = states.find(context[todo].view(U))
+                        todo, state = todo[state >= 0], state[state >= 0]
+                        found = moves.find(gram[todo].view(U))
+                        hit = found >= 0
+                        logs[todo[hit]] += tree.logs[found[hit]]
+                        open_[todo[hit]] = False
+                        logs[todo[~hit]] += back[state[~hit]]
+                    some = np.flatnonzero(open_ & common)
+                    logs[some] += root[ids[some]]
+                else:  # all lengths of a token's context go to the tables, each distinct one of a text once
+                    longest = tokens
+                    for _, gram, _, valid in chains:
+                        longest = np.where(valid, gram, longest)
+                    order, at, times = _distinct(owner, longest)
+                    one = order[at]
+                    parts = [np.where(v, x, BEGIN)[one] for k in (0, 1) for c in chains for x, v in [(c[k], c[3])]]
+                    grams.append((owner[one], tokens[one], *parts, times))
+                    open_[:] = False
                 for k, x in enumerate((np.ones(len(ids)), common, np.where(common, base[np.maximum(ids, 0)] if len(base) else 0, 0), logs)):
                     sums[k] += np.bincount(owner, x, n)
                 others = np.flatnonzero(~common)
-                order = others[np.lexsort((tokens[others], owner[others]))]
-                if len(order):
-                    new = np.ones(len(order), dtype=bool)
-                    new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-                    at = np.flatnonzero(new)
-                    rare.append((owner[order][at], tokens[order][at], np.diff(np.append(at, len(order)))))
-            owners, hashes, times = (np.concatenate(x) for x in zip(*rare)) if rare else [np.zeros(0, np.int64)] * 3
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes), pa.array(times.astype(np.int64))], fields=list(_RARE)))
-            arrays = [pa.array(number + np.arange(n)), b.column(0), b.column(1), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *map(pa.array, sums[2:]), lists]
+                if len(others):
+                    order, at, times = _distinct(owner[others], tokens[others])
+                    order = others[order]
+                    rare.append((owner[order][at], tokens[order][at], times, np.add.reduceat(open_[order].astype(np.int64), at)))
+            arrays = [pa.array(number + np.arange(n)), b.column(0), b.column(1), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *map(pa.array, sums[2:])]
             number += n
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, _lists(rare, _RARE, n), _lists(grams, _GRAMS, n)],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "grams"],
+            )
 
     return run
 
 
+def _joined(scored: DataFrame, counts: DataFrame, states: DataFrame, moves: DataFrame, root) -> DataFrame:
+    """``row, g``: the sums of log10 probabilities by joins with states and moves, each distinct context and word once."""
+    flat = scored.select("row", F.explode("grams").alias("x")).select("row", "x.*").withColumn("key", F.col(f"g{DEPTH}"))
+    for d in range(DEPTH - 1, 0, -1):  # near a text's begin the longer contexts are missing, BEGIN in their places
+        flat = flat.withColumn("key", F.when(F.col("key") == int(BEGIN), F.col(f"g{d}")).otherwise(F.col("key")))
+    flat = flat.select("row", "key", "n", "word", *_KEYS)
+    found = flat.groupBy("key").agg(*[F.min(c).alias(c) for c in ("word", *_KEYS)])
+    for d in range(1, DEPTH + 1):
+        found = found.join(states.select(F.col("key").alias(f"c{d}"), F.col("back").alias(f"b{d}")), f"c{d}", "left")
+        found = found.join(moves.select(F.col("key").alias(f"g{d}"), F.col("log").alias(f"m{d}")), f"g{d}", "left")
+    found = found.join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    log = root(F.coalesce("c", F.lit(0)))
+    for d in range(1, DEPTH + 1):
+        log = F.coalesce(f"m{d}", log + F.coalesce(f"b{d}", F.lit(0.0)))
+    return flat.select("row", "key", "n").join(found.select("key", log.alias("log")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("g"))
+
+
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -355,28 +375,34 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     probability under the suffix tree (see ``fit``): each token after the longest retained context that precedes it,
     backing off to shorter ones. Words unknown to the training texts are one symbol.
 
-    Common words are looked up in a table of bounded size; the others are joined to the counts of all words. Null texts
+    Common words are looked up in a table of bounded size; the others are joined to the counts of all words. So are states
+    and moves where they are more than CACHE. Null texts
     are empty (an end alone), a row with a null id is a training text, repeated rows count each. Without training texts
     every token is the unknown symbol, of probability 1.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    tree, counts = fit(rows.filter("NOT held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON, CONTEXT and SYMBOL
+    tree, counts, states, moves = model(rows.filter("NOT held_out"))
+    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
     scored = materialise(rows.mapInArrow(_score(shared), SCORED_SQL), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"), "r.open")
     joined = rare.join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     known = F.when(c > 0, F.col("times")).otherwise(0)
     total, discount = float(max(tree.n, 1)), tree.discount
     unknown = discount * tree.v / total if tree.n else 1.0
-    root = F.log10(F.when(c > 0, (c - F.lit(discount)) / total).otherwise(F.lit(unknown)))
+
+    def root(c):
+        return F.log10(F.when(c > 0, (c - F.lit(discount)) / total).otherwise(F.lit(unknown)))
+
     sums = joined.groupBy("row").agg(
         F.sum(known).alias("k"),
         F.sum(F.col("times") * F.log10((c + 1.0) / float(tree.n + tree.v + 1))).alias("b"),
-        F.sum(F.col("times") * root).alias("s"),
+        F.sum(F.col("open") * root(c)).alias("s"),
     )
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.drop("rare", "grams").join(sums, "row", "left")
+    if not tree.whole:
+        out = out.join(_joined(scored, counts, states, moves, root), "row", "left").withColumn("s", F.coalesce("g", F.lit(0.0)))
 
     def plus(name: str, more: str, kind: str):
         return (F.col(name) + F.coalesce(more, F.lit(0))).cast(kind).alias(name)

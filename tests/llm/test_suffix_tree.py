@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barframe.llm import suffix_tree as st
@@ -158,3 +159,52 @@ def test_lookup():
     place = {int(k): i for i, k in enumerate(keys)}
     assert table.find(asked).tolist() == [place.get(int(k), -1) for k in asked]
     assert st.Lookup(keys[:0]).find(asked[:3]).tolist() == [-1] * 3
+
+
+def word_key(word):
+    return int(next(st._tokens(pa.array([word])))[0][0])
+
+
+def test_contexts_of_a_small_share_are_states(spark):
+    """40 occurrences in some million tokens: under any share, but far beyond the evidence asked for."""
+    rng = np.random.default_rng(3)
+    filler = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 1000)) for _ in range(1000)]
+    docs = [*filler, *["alpha beta gamma"] * 40]
+    tree, _ = st.fit(spark.createDataFrame([(t,) for t in docs], "text string"))
+    assert 40 < 5e-5 * tree.n
+    alpha, beta = (word_key(w) for w in ("alpha", "beta"))
+    assert {alpha, beta} <= set(tree.keys.tolist())
+
+
+def test_a_context_needs_no_retained_suffix(spark):
+    """After "b" every word is as frequent as anywhere; with the word before "b", half of them never come."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(200):
+        numbers = rng.integers(0, 21, 1000)
+        for k in range(2, 1000):
+            if numbers[k - 1] == 20:
+                numbers[k] = 20 if rng.random() < 1 / 21 else rng.integers(0, 10) + 10 * (numbers[k - 2] >= 10)
+        texts.append(" ".join("b" if k == 20 else f"w{k}" for k in numbers))
+    tree, _ = st.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    x, b = word_key("w3"), word_key("b")
+    keys = tree.keys.tolist()
+    longer = int(st._next(np.array([x]), np.array([b]))[0])
+    assert b not in keys and longer in keys and tree.parent[keys.index(longer)] == 0
+
+
+def test_joined_tables_score_as_broadcast_ones(spark):
+    docs = spark.createDataFrame([*enumerate(corpus(1500)), (None, "once upon a time"), (7, None)], "doc_id long, text string").repartition(5)
+
+    def scores():
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in st.score(docs).collect())
+
+    held, cache = scores(), st.CACHE
+    st.CACHE = 0
+    try:
+        joined = scores()
+    finally:
+        st.CACHE = cache
+    assert len(held) == len(joined)
+    for a, b in zip(held, joined):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
