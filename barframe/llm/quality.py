@@ -13,9 +13,10 @@ from barframe.session import materialise
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
-#: Least standard deviation of each transformed statistic: smaller differences never make an outlier by themselves. With
-#: the last two, repetition alone, within what the base rules allow, stays below the default limit.
-FLOORS = (0.1, 0.25, 0.2, 0.1)
+#: Least standard deviation of each transformed statistic, low enough that each can reject alone, also where no other text
+#: of a group repeats anything.
+FLOORS = (0.02, 0.05, 0.05, 0.05)
+CONFIDENCE = 0.999  # of the query; tests hold the operators and the pipeline to their own default
 DIM = len(FLOORS)
 FINE = 64  # bins per doubling of a distance
 
@@ -195,3 +196,17 @@ def good_documents(docs: DataFrame, core: float = 0.75, steps: int = 4, confiden
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = materialise(_described(docs, [row]), "quality-described")
     return _judge(rows, core, steps, confidence, least).filter("kept").select("_row.*")
+
+
+def rejections(docs: DataFrame, core: float = 0.75, steps: int = 4, confidence: float = CONFIDENCE, least: int = 60) -> DataFrame:
+    """Per ``lang`` and ``source``: ``n`` documents that pass the base rules and have a distance, the share ``rejected`` and,
+    as ``by_`` each transformed statistic, the share that this statistic rejects even if taken alone."""
+    rows = materialise(_described(docs, [F.col("lang"), F.col("source")]), "quality-described")
+    judged = _judge(rows, core, steps, confidence, least).filter("distance IS NOT NULL")
+    limit, names = math.sqrt(chi2_quantile(confidence)), ("word_length", "symbols", "dup_lines", "repeat_words")
+    alone = []
+    for i, name in enumerate(names):
+        deviation = F.sqrt(sum((F.col(f"l{i}{j}") * F.col(f"l{i}{j}") for j in range(i + 1)), F.lit(0.0)))
+        beyond = F.abs(F.col(f"x{i}") - F.col(f"m{i}")) > limit * deviation
+        alone.append(F.avg(beyond.cast("int")).alias(f"by_{name}"))
+    return judged.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.avg((~F.col("kept")).cast("int")).alias("rejected"), *alone)

@@ -137,7 +137,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @query
 def op2_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents"), confidence=quality.CONFIDENCE)
 
 
 @query

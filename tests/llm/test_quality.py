@@ -115,3 +115,26 @@ def test_good_documents_are_rows_themselves(spark):
     assert quality.quality(docs.limit(0)).count() == 0
     few = quality.quality(docs.limit(20)).collect()
     assert all(r.distance is None and r.kept != r.base_failed for r in few)
+
+
+def test_each_statistic_can_reject_alone(spark):
+    """Texts of a source that repeats nothing, and one with each kind of excess, within the base rules."""
+    rng = random.Random(4)
+
+    def lines(n):
+        return [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(12)) for _ in range(n)]
+
+    rows = [(k, "\n".join(lines(10))) for k in range(150)]
+    long = lines(10)
+    rows.append((1000, "\n".join(x for line in long for x in (line, "a b", "a b"))))  # repeated lines
+    rows.append((1001, "\n".join(long[:7] + [" ".join(long[0].split() + long[1].split()) + " z"])))  # repeated windows
+    rows.append((1002, "\n".join(line.replace("a", "#") for line in long)))  # symbols
+    rows.append((1003, "\n".join(line.replace("a", "aaaaaaaa") for line in long)))  # long words
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    for confidence in (quality.CONFIDENCE, 1 - 1e-12):
+        kept = {r.doc_id: r.kept for r in quality.quality(docs, confidence=confidence).filter("NOT base_failed").collect()}
+        assert len(kept) == 154 and not any(kept[k] for k in range(1000, 1004))
+        assert sum(kept[k] for k in range(150)) >= 145
+    found = quality.rejections(docs).first()
+    assert found.n == 154 and found.rejected >= 4 / 154
+    assert min(found.by_word_length, found.by_symbols, found.by_dup_lines, found.by_repeat_words) >= 1 / 154 - 1e-9
