@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, personal_data, prefix_counts, quality, repeats, suffix_tree, topk
+from barframe.llm import chat, mixing, near_dedup, packing, personal_data, prefix_counts, quality, repair, repeats, suffix_tree, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -161,6 +161,82 @@ def op8_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def _before(way: str, cost: str, letter: str) -> str:
+    """SQL of a way (nine digits of cost, then its audit) with an edit before it; '~' is no way."""
+    return f"CASE WHEN {way} = '~' THEN '~' ELSE lpad((substr({way}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({way}, 10) END"
+
+
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+  FROM k, t),
+e AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM d) WHERE d <> 0),
+f AS (
+  SELECT *, left(role, 1) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+  FROM e),
+g AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY rn) AS li
+  FROM f),
+h AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (li IS NOT NULL AND li || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id),
+w AS (
+  SELECT conv_id, n AS rn, '000000000' AS s0, '000000010II' AS s1, '000000005I' AS s2, '000000000' AS s3 FROM h
+  UNION ALL
+  SELECT conv_id, rn - 1, least(s0, {_before("n2", "5", "I")}), least(s1, {_before("n2", "5", "I")}), n2, least(s3, {_before("s2", "5", "I")})
+  FROM (SELECT *, least(s2, {_before("s3", "5", "I")}) AS n2 FROM (
+    SELECT conv_id, rn,
+      least({_before("s0", "2", "D")}, CASE WHEN stays THEN least({_before("s2", "more + 1", "R")},
+        CASE i WHEN 's' THEN {_before("s1", "more", "K")} WHEN 'u' THEN {_before("s2", "more", "K")} ELSE '~' END) ELSE '~' END) AS s0,
+      least({_before("s1", "2", "D")}, CASE WHEN stays THEN least({_before("s2", "more + 1", "R")},
+        CASE i WHEN 'u' THEN {_before("s2", "more", "K")} ELSE '~' END) ELSE '~' END) AS s1,
+      least({_before("s2", "2", "D")}, CASE WHEN stays THEN least({_before("s3", "more + 1", "R")},
+        CASE i WHEN 'a' THEN {_before("s3", "more", "K")} ELSE '~' END) ELSE '~' END) AS s2,
+      least({_before("s3", "2", "D")}, CASE WHEN stays THEN least({_before("s2", "more + 1", "R")},
+        CASE i WHEN 'u' THEN {_before("s2", "more", "K")} ELSE '~' END) ELSE '~' END) AS s3
+    FROM (
+      SELECT w.conv_id, w.rn, w.s0, w.s1, w.s2, w.s3, g.i, g.fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN g.fault = 'truncated' THEN 5 ELSE 0 END AS more
+      FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.rn = g.rn)))),
+a AS (SELECT conv_id, substr(s0, 1, 9)::BIGINT AS cost, substr(s0, 10) AS audit FROM w WHERE rn = 0),
+-- At these costs an inserted turn never pays: its neighbour can go instead. So the k-th letter is the k-th row's.
+l AS (
+  SELECT g.*, substr(audit, g.rn::BIGINT, 1) AS letter FROM g JOIN a ON g.conv_id IS NOT DISTINCT FROM a.conv_id),
+m AS (
+  SELECT *, count(*) FILTER (letter <> 'K' OR i <> 's') OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM l WHERE letter <> 'D'),
+r AS (
+  SELECT conv_id, string_agg((CASE WHEN letter = 'K' THEN role WHEN before % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY rn) AS whole
+  FROM m GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN h ON c.conv_id IS NOT DISTINCT FROM h.conv_id
+LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 ORACLES["op6_chosen_path"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
