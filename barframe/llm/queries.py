@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, personal_data, prefix_counts, quality, repair, repeats, suffix_tree, topk
+from barframe.llm import chat, mixing, near_dedup, packing, passages, personal_data, prefix_counts, quality, repair, repeats, suffix_tree, topk
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -237,6 +237,29 @@ LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
 
+@query
+def op13_doubled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.without_repeated_windows(table(spark, sf_dir, "documents"), length=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_doubled_windows"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+p AS (SELECT r, doc_id, doc, unnest(range(1, len(ws) + 1)) AS k, ws FROM w),
+g AS (SELECT r, doc, k, array_to_string(ws[k:k + 12], ' ') AS gram FROM p WHERE k + 12 <= len(ws)),
+f AS (SELECT gram, min(doc) AS lo FROM g GROUP BY gram HAVING min(doc) < max(doc)),
+s AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS k FROM g JOIN f USING (gram) WHERE lo < doc),
+l AS (
+  SELECT w.r, string_agg(ws[p.k], ' ' ORDER BY p.k) AS kept, count(*) AS n
+  FROM w JOIN (SELECT r, k FROM p) p ON w.r = p.r LEFT JOIN s ON s.r = p.r AND s.k = p.k WHERE s.r IS NULL GROUP BY w.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN l ON l.r = w.r
+"""
+
+
 ORACLES["op6_chosen_path"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(

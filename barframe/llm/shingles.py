@@ -72,12 +72,12 @@ def _slices(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         text = upto
 
 
-def hashed_words(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the text, hashes of its words in order), A-Z lower-cased; null is empty."""
+def hashed_words(texts: pa.StringArray, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, hashes of its words in order), A-Z lower-cased unless told otherwise; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(texts) else np.zeros(0, np.uint8)
-    data, bounds = _LOWER[data], bounds - bounds[0]
+    data, bounds = _LOWER[data] if lower else data, bounds - bounds[0]
     held: list[np.ndarray] = []
     for part, inner, numbers, ended in _slices(data, bounds):
         hashes, counts = word_hashes(part, inner)
