@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import chat, mixing, near_dedup, packing, passages, personal_data, prefix_counts, quality, repair, repeats, suffix_tree, topk
+from barframe.llm import (
+    chat, mixing, near_dedup, packing, passages, personal_data, prefix_counts, quality, repair, repeats, suffix_tree, topk, whitening,
+)
 from barframe.session import ship_package
 
 QUERIES = {}
@@ -260,6 +262,11 @@ FROM w LEFT JOIN l ON l.r = w.r
 """
 
 
+@query
+def op12_contour_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
 ORACLES["op6_chosen_path"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
