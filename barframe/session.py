@@ -91,15 +91,22 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the plans run in the block go when their plan ends, rather than when the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings for the plans run in the block; keys have ``__`` in place of dots and no ``spark.sql`` in front."""
+    keys = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the plans run in the block go when their plan ends, rather than when the driver next collects garbage."""
+    return settings(spark, classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
