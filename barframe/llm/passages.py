@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.common import SPACES
 from barframe.llm.repeats import anchors
 from barframe.llm.shingles import _STEP, U, hashed_words, mix
-from barframe.session import materialise
+from barframe.session import materialise, settings
 
-_WORDS = re.compile(SPACES)
 SHORTEST = 6  # a first length is never shorter
 LAST = (1 << 63) - 1  # stands for a null id, which counts as the last
+HASHED = "64m"  # largest part of a join's smaller side that a task holds as a hash table
 GROUPED = 1 << 20  # words hashed together before equal windows of them are counted
 COUNTS = pa.schema([("h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 RUNS = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
@@ -127,8 +125,9 @@ def _windows(length: int):
 
 
 def _repeated(counts: DataFrame) -> DataFrame:
-    """``h, lo``: hashes of windows found in two documents, with the first of these."""
-    least = counts.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """``h, lo``: hashes of windows found in two documents, with the first of these. The tasks have counted equal ones
+    together, so that no second combination precedes the shuffle: of a hash every task sends a row per GROUPED words."""
+    least = counts.repartition(F.col("h")).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return least.filter("lo < hi").select("h", "lo")
 
 
@@ -156,6 +155,7 @@ def repeated_windows(rows: DataFrame, length: int = 13, longest: bool = False) -
     Counts combine in the tasks before they are shuffled, candidates meet the counts by a join, whose large keys Spark
     splits. Windows are compared by 64-bit hashes. A row stands for a document's text, rows of one ``doc`` are one document.
     """
+    spark = rows.sparkSession
     levels = lengths(length)
     size = levels[:2][-1]
     counts = rows.select("doc", "text").mapInArrow(_seeds(levels[0], size), "h long, lo long, hi long")
@@ -163,7 +163,8 @@ def repeated_windows(rows: DataFrame, length: int = 13, longest: bool = False) -
     runs = rows.select("row", "text").mapInArrow(_runs(levels[0], size), "h long, row long, first int, n int")
     held = runs.join(seeds, "h").groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     texts = rows.select("row", "doc", "text").join(held, "row")
-    windows = materialise(texts.mapInArrow(_windows(size), "h long, row long, doc long, start int"), "windows")
+    with settings(spark, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):  # spares sorting the runs where seeds are few
+        windows = materialise(texts.mapInArrow(_windows(size), "h long, row long, doc long, start int"), "windows")
     windows = _again(windows)
     for longer in levels[2:]:
         windows = _again(materialise(_extended(materialise(windows, "survivors"), size, longer), "windows"))
@@ -183,8 +184,9 @@ def _leave(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for doc, text, starts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                words = [w for w in _WORDS.split(text.as_py() or "") if w]
+            texts = b.column(1).cast(pa.binary())
+            for doc, text, starts in zip(b.column(0).to_pylist(), texts, b.column(2)):
+                words = (text.as_py() or b"").split()  # bytes are split at ASCII white space, as the words are
                 drop = np.zeros(len(words) + 1, np.int64)
                 if starts.is_valid:
                     at = np.unique(starts.values.to_numpy())
@@ -192,7 +194,7 @@ def _leave(length: int):
                     drop[at + length] -= 1
                 gone = np.cumsum(drop[:-1]) > 0
                 kept = words if not gone.any() else [words[k] for k in np.flatnonzero(~gone).tolist()]
-                out.append((doc, len(words), int(gone.sum()), " ".join(kept)))
+                out.append((doc, len(words), int(gone.sum()), b" ".join(kept).decode()))
                 size += len(out[-1][3])
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), LEFT)], schema=LEFT)
@@ -215,5 +217,7 @@ def without_repeated_windows(docs: DataFrame, length: int = 13) -> DataFrame:
     rows = docs.select("doc_id", doc.alias("doc"), "text", F.xxhash64("doc_id", "text").alias("row"))
     found = repeated_windows(rows.select("row", "doc", "text"), length)
     starts = found.filter("lo < doc").groupBy("row").agg(F.collect_set("start").alias("starts"))
+    with settings(docs.sparkSession, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+        starts = materialise(starts, "starts")
     joined = rows.join(starts, "row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_leave(length), LEFT_SQL)
