@@ -21,9 +21,8 @@ BLOCK = 1024  # rows of a block of a dense node, at most
 BLOCK_SHINGLES = 1 << 20  # and about so many shingles
 DEPTH = 4
 DENSE = 0.4  # mean similarity to its pivot at which a node is compared rather than branched
-MARK_BITS = 1 << 22
-SIGN_SQL = "doc_id long, n_shingles long, key long, sketch array<int>"
-SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sketch", pa.list_(pa.int32()))])
+SIGN_SQL = "anon boolean, id long, n_shingles long, key long, sketch array<int>"
+SIGN = pa.schema([("anon", pa.bool_()), ("id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sketch", pa.list_(pa.int32()))])
 _RNG = np.random.default_rng(20240601)
 _A = _RNG.integers(1 << 62, dtype=np.uint64, size=WIDTH) * U(2) + U(1)
 _B = _RNG.integers(1 << 63, dtype=np.uint64, size=WIDTH)
@@ -46,15 +45,15 @@ def set_key(found: np.ndarray) -> int:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, counts, keys, sketches = b.column(0), [], [], []
-            for _, hashes in hashed_words(b.column(1)):
+            counts, keys, sketches = [], [], []
+            for _, hashes in hashed_words(b.column(2)):
                 found = shingle_set(hashes, size)
                 counts.append(len(found))
                 keys.append(set_key(found))
                 sketches.append(sketch(found))
             flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * WIDTH), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), lists], schema=SIGN)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), lists], schema=SIGN)
 
     return run
 
@@ -197,26 +196,21 @@ def _compare(percent: int):
     return run
 
 
-def _sets(size: int, marks: bytes):
-    """Shingle sets of the documents whose id is marked."""
-    wanted = np.unpackbits(np.frombuffer(marks, np.uint8))
+def _sets(size: int):
+    """Shingle sets of texts that have the set named by their ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.flatnonzero(wanted[b.column(2).to_numpy()])
-            for lo in range(0, len(rows), 512):
-                part = b.take(pa.array(rows[lo : lo + 512]))
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 sets = [shingle_set(hashes, size) for _, hashes in hashed_words(part.column(1))]
-                arrays = [part.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array((s.tobytes() for s in sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "found"])
+                same = pa.array(np.array([set_key(s) for s in sets], np.int64) == part.column(0).to_numpy())
+                arrays = [part.column(0), pa.array((s.tobytes() for s in sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "found"]).filter(same)
 
     return run
 
 
-def _mark() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).cast("int")
-
-
 def _agreement(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e) / F.lit(float(WIDTH))
 
@@ -241,14 +235,15 @@ def _leaves(classes: DataFrame, percent: int, recall: float) -> DataFrame:
         crowded = materialise(entries.join(sizes, "node"), f"paths-{depth}")
         small = crowded.filter(F.col("n") <= LEAF).join(classes.select("key", "sketch"), "key").select("node", "key", "sketch")
         dealt = small.repartition(F.col("node")).sortWithinPartitions("node")
-        out.append(dealt.mapInArrow(_sift(least), "leaf long, key long").distinct())
+        out.append(materialise(dealt.mapInArrow(_sift(least), "leaf long, key long").distinct(), f"small-{depth}"))
         big = crowded.filter(F.col("n") > LEAF).drop("n").join(classes.select("key", "sketch"), "key")
         pivots = big.groupBy("node").agg(F.min("key").alias("key")).join(classes.select("key", F.col("sketch").alias("p")), "key")
         near = big.join(pivots.select("node", F.col("key").alias("pivot"), "p"), "node")
         means = near.groupBy("node", "pivot").agg(F.avg(_agreement("sketch", "p")).alias("mean"))
         last = F.lit(depth == DEPTH) | (F.col("mean") >= DENSE)
         means = materialise(means.withColumn("last", last), f"nodes-{depth}")
-        dense.append(big.select("node", "key").join(means.filter("last").select("node", "pivot"), "node").select(F.col("pivot").alias("leaf"), "key"))
+        last = big.select("node", "key").join(means.filter("last").select("node", "pivot"), "node").select(F.col("pivot").alias("leaf"), "key")
+        dense.append(materialise(last, f"dense-{depth}"))
         if depth == DEPTH or not means.filter("NOT last").limit(1).count():
             break
         spot = [F.pmod(F.xxhash64("node", F.lit(c)), F.lit(WIDTH)).cast("int") for c in (1, 2)]
@@ -263,26 +258,34 @@ def _leaves(classes: DataFrame, percent: int, recall: float) -> DataFrame:
     # Dense nodes of several trees with one pivot are one leaf. Leaves beyond a block are compared block by block.
     small = small.distinct().withColumns({"block": F.lit(0), "blocks": F.lit(1)})
     rows, volume = F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES
-    sized = large.distinct().join(classes.select("key", "size"), "key")
+    large = materialise(large.distinct(), "dense")
+    sized = large.join(classes.select("key", "size"), "key")
     counts = sized.groupBy("leaf").agg(F.ceil(F.greatest(rows, volume)).cast("int").alias("blocks"))
-    large = large.distinct().join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    large = large.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     return small.unionByName(large.select("leaf", "key", "block", "blocks"))
 
 
-def links(docs: DataFrame, signs: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
+def _name(of: str = "") -> list[Column]:
+    """A document's name: its id, or for want of one a hash of its text, ``anon``. Names sort with ids first."""
+    doc_id, text = F.col(f"{of}doc_id"), F.col(f"{of}text")
+    return [doc_id.isNull().alias("anon"), F.coalesce(doc_id, F.xxhash64(text)).alias("id")]
+
+
+def _classes(signs: DataFrame) -> DataFrame:
+    """One row per distinct set, named by its least document."""
+    held = signs.filter("n_shingles > 0").groupBy("key")
+    least = held.agg(F.min(F.struct("anon", "id")).alias("name"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    return least.select("key", "name.*", "sketch", "size")
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
     """Links ``a, b`` between class keys that connect exactly what the links of all similar pairs connect."""
-    classes = materialise(
-        signs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "classes"
-    )
     leaves = materialise(_leaves(classes, percent, recall), "leaves")
-    members = leaves.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-    marked = members.select(_mark().alias("m")).distinct().toPandas()["m"].to_numpy()  # at most MARK_BITS numbers
-    bits = np.zeros(MARK_BITS, dtype=np.uint8)
-    bits[marked] = 1
-    read = docs.select("doc_id", "text", _mark().alias("m")).mapInArrow(
-        _sets(size, np.packbits(bits).tobytes()), "doc_id long, key long, found binary"
-    )
-    sets = materialise(read.join(members.withColumnRenamed("doc_id", "own"), "key").filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("key", "found"), "sets")
+    # A set is built from its class's least document, which alone is read: texts meet the wanted names before that.
+    members = leaves.select("key").distinct().join(classes.select("key", "anon", "id"), "key")
+    read = docs.filter("text IS NOT NULL").select(*_name(), "text").join(members, ["anon", "id"])
+    sets = read.select("key", "text").mapInArrow(_sets(size), "key long, found binary")
+    sets = materialise(sets.dropDuplicates(["key"]), "sets")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = leaves.withColumn("other", F.explode(others)).select(
         "leaf", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
@@ -291,6 +294,19 @@ def links(docs: DataFrame, signs: DataFrame, size: int, percent: int, recall: fl
     return dealt.mapInArrow(_compare(percent), "a long, b long")
 
 
+def _members(docs: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
+    """``anon, id, n_shingles, component`` (the name of the least document reachable) of each row."""
+    signs = materialise(docs.select(*_name(), "text").mapInArrow(_sign(size), SIGN_SQL), "signs")
+    classes = materialise(_classes(signs), "classes")
+    roots = components(links(docs, classes, size, percent, recall))
+    named = classes.join(roots, F.col("key") == F.col("vertex"), "left").select("key", F.struct("anon", "id").alias("name"), F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("name").alias("component"))
+    chosen = materialise(named.join(least, "root").select("key", "component"), "components")
+    joined = signs.select("anon", "id", "n_shingles", "key").join(chosen, "key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.struct("anon", "id"))
+    return joined.select("anon", "id", "n_shingles", component.alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 1 - 1e-6) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row, by sets of ``size``-word shingles.
 
@@ -302,22 +318,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: f
     become all their pairs; components of the links give the smallest id reachable.
 
     Texts with fewer words are one shingle of all their words. Texts without words, and null, have no shingles and are
-    their own component. Rows repeating an id share it as one document would. A null id is reported as null.
+    their own component. Rows repeating an id share it as one document would. Rows with a null id are documents named by
+    their texts, which come after all ids: they stay if no row with an id, nor another of them with a smaller hash, is reachable.
     """
-    signs = materialise(docs.select("doc_id", "text").mapInArrow(_sign(size), SIGN_SQL), "signs")
-    roots = components(links(docs, signs, size, percent, recall))
-    of_class = signs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    named = of_class.join(roots, F.col("key") == F.col("vertex"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    chosen = materialise(named.join(least, "root").select("key", "component"), "components")
-    joined = signs.select("doc_id", "n_shingles", "key").join(chosen, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = _members(docs, size, percent, recall)
+    return found.select(
+        F.when(~F.col("anon"), F.col("id")).alias("doc_id"), "n_shingles",
+        F.when(~F.col("component.anon"), F.col("component.id")).alias("component_id"), (F.struct("anon", "id") == F.col("component")).alias("kept"),
+    )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 1 - 1e-6) -> DataFrame:
     """The documents kept by ``near_duplicates``, with all their columns; repeated rows of one id and text stay once."""
-    kept = near_duplicates(docs, size, percent, recall).filter("kept").select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+    kept = _members(docs, size, percent, recall).filter(F.struct("anon", "id") == F.col("component"))
+    kept = kept.groupBy("anon", "id").agg(F.count(F.lit(1)).alias("n"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    rows = whole.select("d", *_name("d.")).join(kept, ["anon", "id"])
+    # Only names on several rows need a look at their texts; these meet by a hash, so that texts don't travel as keys.
+    once = rows.filter("n = 1").select("d")
+    several = rows.filter("n > 1").withColumn("h", F.sha2(F.coalesce("d.text", F.lit("")), 256))
+    several = several.withColumn("h", F.when(F.col("d.text").isNotNull(), F.col("h")).otherwise("")).dropDuplicates(["anon", "id", "h"])
+    return once.unionByName(several.select("d")).select("d.*")

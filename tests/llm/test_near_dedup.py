@@ -71,6 +71,25 @@ def test_one_of_each_keeps_rows_whole(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_and_clashing_names(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    one, two, three = (" ".join(rng.choices(words, k=80)) for _ in range(3))
+    near = one.replace(one.split()[40], "changed", 1)
+    rows = [(3, one), (None, one), (None, near), (None, two), (None, two), (None, two + " more"), (4, two + " x"), (None, three), (None, three), (None, None), (None, ""), (9, None), (9, three + " a b c d")]
+    extra = "_kept int, _place int, n int, id string, anon int, h int, key int, component int, name int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "i", 5, 6, 7, 8, 9) for r in rows], f"doc_id long, text string, {extra}")
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    found = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    wanted = sorted((str(a), str(b)) for a, b in [(3, one), (4, two + " x"), (None, None), (None, ""), (9, None), (9, three + " a b c d")])
+    assert found == wanted and {r.n for r in kept.collect()} == {3}
+    flags = near_dedup.near_duplicates(docs).collect()
+    assert len(flags) == len(rows) and {r.component_id for r in flags if r.n_shingles and r.doc_id is None} == {3, 4, 9}
+    only = near_dedup.one_of_each(spark.createDataFrame([(None, two, "a"), (None, two + " x", "b"), (None, two, "c")], "doc_id long, text string, lang string"))
+    assert only.count() == 1
+
+
 def test_hashed_words_cut_long_texts_at_white_space(monkeypatch):
     texts = ["", None, "a b  c", "Long " * 50 + "x" * 120 + " end", " lead", "b\x1cc d", "é É"]
     whole = [h.tolist() for _, h in shingles.hashed_words(pa.array(texts))]

@@ -96,13 +96,11 @@ def corpus(n=700):
     return [*texts, None, "", "É\xa0x  y\x0bz", "ONCE UPON a"]
 
 
-@pytest.fixture(scope="module")
-def shares():
+@pytest.fixture
+def shares(monkeypatch):
     """Larger shares, so that a small corpus has rare words and contexts of every length."""
-    before = (st.COMMON, st.CONTEXT)
-    st.COMMON, st.CONTEXT = 2e-4, 3e-3
-    yield
-    st.COMMON, st.CONTEXT = before
+    monkeypatch.setattr(st, "COMMON", 2e-4)
+    monkeypatch.setattr(st, "CONTEXT", 3e-3)
 
 
 def test_scores_match_the_plain_model(spark, shares):
