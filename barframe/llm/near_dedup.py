@@ -236,7 +236,7 @@ def _leaves(classes: DataFrame, percent: int, recall: float) -> DataFrame:
         small = crowded.filter(F.col("n") <= LEAF).join(classes.select("key", "sketch"), "key").select("node", "key", "sketch")
         dealt = small.repartition(F.col("node")).sortWithinPartitions("node")
         out.append(materialise(dealt.mapInArrow(_sift(least), "leaf long, key long").distinct(), f"small-{depth}"))
-        big = crowded.filter(F.col("n") > LEAF).drop("n").join(classes.select("key", "sketch"), "key")
+        big = materialise(crowded.filter(F.col("n") > LEAF).drop("n").join(classes.select("key", "sketch"), "key"), f"large-{depth}")
         pivots = big.groupBy("node").agg(F.min("key").alias("key")).join(classes.select("key", F.col("sketch").alias("p")), "key")
         near = big.join(pivots.select("node", F.col("key").alias("pivot"), "p"), "node")
         means = near.groupBy("node", "pivot").agg(F.avg(_agreement("sketch", "p")).alias("mean"))
