@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -65,10 +66,9 @@ def _keep_best(sim, at, regime, k):
     return sim[best], at[best], regime[best]
 
 
-def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history_only: bool, planes=None):
+def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        q_codes = _codes(q.vectors, planes) if planes is not None else None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -76,7 +76,6 @@ def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history
             table = batch.select(["pair", "interval", "_us", "regime"]).to_pandas()
             at_all = table["_us"].to_numpy(np.int64)
             regime_all = table["regime"].fillna(-1).to_numpy(np.int64)
-            codes = _codes(vectors, planes) if planes is not None else None
             for key, rows in table.groupby(["pair", "interval"], sort=False).indices.items():
                 wanted = q.series.get(key)
                 if wanted is None:
@@ -91,8 +90,6 @@ def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history
                         ok &= at < q.at[i]
                     if exclude_us > 0:
                         ok &= np.abs(at - q.at[i]) >= exclude_us
-                    if codes is not None:
-                        ok &= (codes[rows] == q_codes[i]).any(axis=1)
                     found = np.flatnonzero(ok)
                     if i in best:
                         have = best[i]
@@ -117,42 +114,27 @@ def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history
     return run
 
 
-def _codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Sign patterns of the vectors against each table's hyperplanes, packed to one integer per table."""
-    bits = np.einsum("nd,tpd->ntp", vectors, planes) >= 0
-    return bits @ (1 << np.arange(planes.shape[1]))
-
-
-def _tiled(rows: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
-    """Rows with their block ``own`` by a hash of the key, once for every block ``other`` of the same series' other side."""
-    placed = spread_join(rows, sizes, SERIES).withColumn(own, F.pmod(F.xxhash64(*SERIES, "_us"), F.col(f"n{own}")).cast("int"))
+def _tiled(rows: DataFrame, sizes: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
+    """Rows with their block ``own`` by a hash of the key, once for every block ``other`` of the same group's other side."""
+    placed = spread_join(rows, sizes, by).withColumn(own, F.pmod(F.xxhash64(*SERIES, "_us"), F.col(f"n{own}")).cast("int"))
     return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))).drop("n_q", "n_c")
 
 
-def similar_bars(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, same_regime: bool = True, exclude_seconds: int = 0,
-    history_only: bool = False, planes: np.ndarray | None = None, tile: int = TILE,
-) -> DataFrame:
-    """The ``k`` most similar bars of each query bar, within its series. Exact unless ``planes`` is given.
+def _side(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*SERIES, F.unix_micros(TS).alias("_us"), F.col("regime").cast("long").alias("regime"), F.col("embedding").cast("array<double>"), *more)
 
-    Filters (regime, minimum distance in time, strictly earlier) apply before ranking. Each series' queries and vectors
-    are dealt into blocks of about ``tile`` rows by a hash of the bar; every block of queries meets every block of vectors
-    of its own series in a task, which multiplies them and returns its best ``k`` per query: no pair of vectors becomes a
-    row. Ties in similarity go to the earlier bar.
-    """
-    regime = F.col("regime").cast("long").alias("regime")
-    wanted = queries.select(*SERIES, F.unix_micros(TS).alias("_us"), regime, F.col("embedding").cast("array<double>"))
-    corpus = vectors.select(*SERIES, F.unix_micros(TS).alias("_us"), regime, F.col("embedding").cast("array<double>"))
-    options = (k, same_regime, exclude_seconds * 1_000_000, history_only, planes)
+
+def _meetings(wanted: DataFrame, corpus: DataFrame, by: list[str], k: int, options: tuple, tile: int) -> DataFrame:
+    """The best ``k`` of each query among the vectors of its groups ``by``, block by block; a vector is in one group only."""
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
 
-    sizes = materialise(blocks(wanted, "n_q").join(blocks(corpus, "n_c"), list(SERIES)), "tiles")
-    left = _tiled(wanted, sizes, "_q", "_c")
+    sizes = materialise(blocks(wanted, "n_q").join(blocks(corpus, "n_c"), by), "tiles")
+    left = _tiled(wanted, sizes, by, "_q", "_c")
     # renamed, so that queries and corpus read from the same table stay apart in the plan
-    right = _tiled(corpus, sizes, "_c", "_q")
-    right = right.select(*[F.col(n).alias(f"c{n}") for n in (*_SIDE, "_q", "_c")])
+    right = _tiled(corpus, sizes, by, "_c", "_q")
+    right = right.select(*[F.col(n).alias(f"c{n}") for n in right.columns])
     names = ["pair", "interval", "q_us", "m_us", "similarity", "regime"]
     schema = pa.schema(list(zip(names, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()])))
 
@@ -160,10 +142,11 @@ def similar_bars(
         if not some.num_rows or not others.num_rows:
             return schema.empty_table()
         rows = others.select([f"c{n}" for n in _SIDE]).rename_columns(list(_SIDE)).combine_chunks()
-        found = list(_local_topk(_Queries(some), *options)(iter(rows.to_batches())))
+        found = list(_local_topk(_Queries(some), k, *options)(iter(rows.to_batches())))
         return pa.Table.from_batches(found, schema) if found else schema.empty_table()
 
-    parts = left.groupBy(*SERIES, "_q", "_c").cogroup(right.groupBy("cpair", "cinterval", "c_q", "c_c")).applyInArrow(meet, _MATCH)
+    keys = [*by, "_q", "_c"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*[f"c{c}" for c in keys])).applyInArrow(meet, _MATCH)
     order = [F.col("similarity").desc(), F.col("m_us").asc()]
     ranked = top_n_per(parts, ["pair", "interval", "q_us"], order, k, rank="rank")
     regime = F.when(F.col("regime") >= 0, F.col("regime").cast("int"))
@@ -173,6 +156,20 @@ def similar_bars(
     )
 
 
+def similar_bars(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, same_regime: bool = True, exclude_seconds: int = 0,
+    history_only: bool = False, tile: int = TILE,
+) -> DataFrame:
+    """The ``k`` most similar bars of each query bar, within its series, exactly.
+
+    Filters (regime, minimum distance in time, strictly earlier) apply before ranking. Each series' queries and vectors
+    are dealt into blocks of about ``tile`` rows by a hash of the bar; every block of queries meets every block of vectors
+    of its own series in a task, which multiplies them and returns its best ``k`` per query: no pair of vectors becomes a
+    row. Ties in similarity go to the earlier bar.
+    """
+    return _meetings(_side(queries), _side(vectors), list(SERIES), k, (same_regime, exclude_seconds * 1_000_000, history_only), tile)
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """Exact top-k by cosine, no filters (the query itself may match)."""
     none = F.lit(None).cast("int")
@@ -180,16 +177,77 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
     return similar_bars(fill(queries), fill(corpus), k, same_regime=False)
 
 
-def hyperplanes(dim: int, tables: int = 8, bits: int = 6, seed: int = 0) -> np.ndarray:
-    """Random hyperplanes for ``approximate_topk``."""
-    return np.random.default_rng(seed).normal(size=(tables, bits, dim))
+# --------------------------------------------------------------------------- candidate search
+def choose_leaders(vectors: DataFrame, seed: int = 0, most: int = 16_384) -> DataFrame:
+    """About the square root of each series' vectors, drawn by a seeded hash of the bar: the heads of the index's lists.
+
+    ``most`` bounds the sample of a series; beyond it lists grow instead. Adds ``n_leaders``.
+    """
+    many = F.least(F.lit(most), F.ceil(F.sqrt(F.count(F.lit(1))))).cast("int")
+    sizes = vectors.groupBy(*SERIES).agg(many.alias("n_leaders"))
+    order = [key_hash(vectors, (*SERIES, TS), seed), F.col(TS)]
+    drawn = top_n_per(vectors, SERIES, order, most, rank="_draw")
+    return drawn.join(sizes, list(SERIES)).filter(F.col("_draw") <= F.col("n_leaders")).drop("_draw")
+
+
+def build_index(vectors: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Every vector with ``leader``, the time of the leader most similar to it: a vector is in one list."""
+    nearest = similar_bars(vectors, leaders, 1, same_regime=False)
+    nearest = nearest.select(*SERIES, F.col("query_time").alias(TS), F.col(TS).alias("leader"))
+    return vectors.join(nearest, [*SERIES, TS])
+
+
+def store_index(vectors: DataFrame, path: str, seed: int = 0, most: int = 16_384) -> None:
+    """Persist an index below ``path``: ``leaders`` and ``lists``, both by series, a list's vectors next to each other."""
+    choose_leaders(vectors, seed, most).write.mode("overwrite").partitionBy(*SERIES).parquet(f"{path}/leaders")
+    leaders = vectors.sparkSession.read.parquet(f"{path}/leaders")
+    lists = build_index(vectors, leaders).repartition(*SERIES, "leader").sortWithinPartitions(*SERIES, "leader", TS)
+    lists.write.mode("overwrite").partitionBy(*SERIES).parquet(f"{path}/lists")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(leaders, lists) of a stored index."""
+    return spark.read.parquet(f"{path}/leaders"), spark.read.parquet(f"{path}/lists")
+
+
+def probe_lists(queries: DataFrame, leaders: DataFrame, probe: int | float) -> DataFrame:
+    """``pair, interval, query_time, leader``: the lists that each query looks into, those of its nearest leaders.
+
+    ``probe`` is their number, or below 1 their share of the series' leaders.
+    """
+    most = leaders.agg(F.coalesce(F.max("n_leaders"), F.lit(1))).first()[0]  # one number
+    share = probe < 1
+    found = similar_bars(queries, leaders, math.ceil(probe * most) if share else int(probe), same_regime=False)
+    found = found.select(*SERIES, "query_time", F.col(TS).alias("leader"), "rank")
+    if share:
+        sizes = leaders.groupBy(*SERIES).agg(F.max("n_leaders").alias("n_leaders"))
+        found = spread_join(found, sizes, SERIES).filter(F.col("rank") <= F.ceil(F.lit(float(probe)) * F.col("n_leaders")))
+    return found.select(*SERIES, "query_time", "leader")
 
 
 def approximate_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 0, **filters
+    queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int = 10, same_regime: bool = True, exclude_seconds: int = 0,
+    history_only: bool = False, tile: int = TILE,
 ) -> DataFrame:
-    """Top-k among candidates sharing at least one hash bucket with the query (may miss neighbours)."""
-    return similar_bars(queries, vectors, k, planes=hyperplanes(dim, tables, bits, seed), **filters)
+    """Top-k among the vectors of the lists that each query probes; may miss neighbours in other lists.
+
+    Queries meet lists by a join on (series, list). A list beyond ``tile`` rows, or one probed by more queries, is divided
+    into blocks, so that no task holds a whole list. Candidates are ranked by their exact similarity.
+    """
+    asked = queries.withColumn("query_time", F.col(TS)).join(probes, [*SERIES, "query_time"])
+    options = (same_regime, exclude_seconds * 1_000_000, history_only)
+    return _meetings(_side(asked, "leader"), _side(lists, "leader"), [*SERIES, "leader"], k, options, tile)
+
+
+def search_cost(probes: DataFrame, lists: DataFrame) -> DataFrame:
+    """``pair, interval, compared, all_pairs``: pairs of vectors that ``approximate_topk`` multiplies, and an exact search would."""
+    key = [*SERIES, "leader"]
+    met = probes.groupBy(*key).agg(F.count(F.lit(1)).alias("q")).join(lists.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key)
+    compared = met.groupBy(*SERIES).agg(F.sum(F.col("q") * F.col("c")).alias("compared"))
+    asked = probes.select(*SERIES, "query_time").distinct().groupBy(*SERIES).agg(F.count(F.lit(1)).alias("q"))
+    held = lists.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("c"))
+    every = asked.join(held, list(SERIES)).select(*SERIES, (F.col("q") * F.col("c")).alias("all_pairs"))
+    return compared.join(every, list(SERIES))
 
 
 def with_anchor(requested: DataFrame, vectors: DataFrame, regimes: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,19 @@ _PRODUCERS = {"embeddings": "embed_windows", "features_sentiment": "aggregate_ne
 def _upsert(
     df: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], order: Sequence[str], keep: str
 ) -> None:
-    """Merge ``df`` into the partitioned table at ``path``, rewriting only the partitions it touches."""
+    """Merge ``df`` into the partitioned table at ``path``, rewriting only the partitions it touches.
+
+    Null is a partition value like others. Folders can't tell an empty string from null, so it becomes null.
+    """
     spark = df.sparkSession
+    texts = [f.name for f in df.schema.fields if f.name in partitions and isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in texts})
     if exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path)
         touched = df.select(*partitions).distinct()
-        old = _pruned(stored, touched, partitions).join(touched, list(partitions), "left_semi")
+        wanted = touched.select(*[F.col(c).alias(f"_{c}") for c in partitions])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partitions])
+        old = _pruned(stored, touched, partitions).join(wanted, same, "left_semi")
     else:
         old = df.limit(0)
     merged = merge(old, df, key, order, keep).select(df.columns)
@@ -42,7 +51,9 @@ def _pruned(stored: DataFrame, touched: DataFrame, partitions: Sequence[str], mo
     if len(values) > most:
         return stored
     for name in partitions:
-        stored = stored.filter(F.col(name).isin(sorted({r[name] for r in values if r[name] is not None})))
+        known = sorted({r[name] for r in values if r[name] is not None})
+        wanted = F.col(name).isin(known) if known else F.lit(False)
+        stored = stored.filter(wanted | F.col(name).isNull() if any(r[name] is None for r in values) else wanted)
     return stored
 
 

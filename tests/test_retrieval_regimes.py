@@ -54,18 +54,58 @@ def test_series_meet_only_themselves(spark):
     out = retrieval.similar_bars(two, two, 3, same_regime=False, tile=16)
     alone = retrieval.similar_bars(df, df, 3, same_regime=False)
     assert out.filter("pair = 'A'").exceptAll(alone).count() == 0 and out.count() == 2 * alone.count()
-    blocks = retrieval._tiled(two.withColumn("_us", F.unix_micros(TS)), spark.createDataFrame([("A", "1h", 4, 4), ("B", "1h", 2, 1)], "pair string, interval string, n_q int, n_c int"), "_q", "_c")
+    blocks = retrieval._tiled(two.withColumn("_us", F.unix_micros(TS)), spark.createDataFrame([("A", "1h", 4, 4), ("B", "1h", 2, 1)], "pair string, interval string, n_q int, n_c int"), ["pair", "interval"], "_q", "_c")
     assert blocks.select("pair", "_q", "_c").distinct().count() == 4 * 4 + 2 * 1
 
 
-def test_exclusion_is_strict_and_approximate_is_a_subset(spark):
+def test_exclusion_is_strict(spark):
     df, _ = corpus(spark)
     out = retrieval.similar_bars(df, df, 200, same_regime=False, exclude_seconds=3600).toPandas()
     gap = (out[TS] - out["query_time"]).abs()
     assert gap.min() == timedelta(hours=1)  # the next bar stays, only the bar itself goes
-    planes = retrieval.hyperplanes(8)
-    near = retrieval.similar_bars(df, df, 5, same_regime=False, planes=planes)
-    assert 0 < near.count() <= 5 * 240
+
+
+def clustered(spark, n=1200, groups=24, dim=16):
+    """Vectors around a few directions, in two series of unequal length."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(groups, dim))
+    vectors = (centres[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, dim))).astype(np.float32)
+    rows = [("A" if k % 4 else "B", "1h", T0 + timedelta(hours=k), k % 3, v.tolist()) for k, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, f"pair string, interval string, {TS} timestamp, regime int, embedding array<float>")
+
+
+def test_index_finds_neighbours_with_few_comparisons(spark, tmp_path):
+    df = clustered(spark)
+    retrieval.store_index(df, str(tmp_path), seed=1)
+    leaders, lists = retrieval.read_index(spark, str(tmp_path))
+    assert {r["pair"]: r["count"] for r in leaders.groupBy("pair").count().collect()} == {"A": 30, "B": 18}
+    assert lists.count() == df.count() and lists.select("pair", TS).distinct().count() == df.count()
+    probes = retrieval.probe_lists(df, leaders, 4)
+    assert probes.count() == 4 * df.count()
+    # under filters the nearest bars left may lie further away, early bars' in any list
+    for recall, options in ((0.9, {"same_regime": False}), (0.8, {"same_regime": True, "exclude_seconds": 7200, "history_only": True})):
+        exact = retrieval.similar_bars(df, df, 5, **options)
+        near = retrieval.approximate_topk(df, lists, probes, 5, tile=64, **options)
+        key = ["pair", "query_time", TS]
+        assert exact.join(near, key, "left_semi").count() >= recall * exact.count()
+        assert near.groupBy("pair", "query_time").count().agg({"count": "max"}).first()[0] <= 5
+        kept = near.select(*key).join(lists.select("pair", TS, "leader"), ["pair", TS])
+        assert kept.join(probes, ["pair", "query_time", "leader"], "left_anti").count() == 0
+    cost = retrieval.search_cost(probes, lists).agg({"compared": "sum", "all_pairs": "sum"}).first()
+    assert cost["sum(compared)"] < 0.35 * cost["sum(all_pairs)"] and cost["sum(all_pairs)"] == 900 * 900 + 300 * 300
+
+
+def test_all_lists_probed_is_exact_and_blocks_do_not_matter(spark):
+    df = clustered(spark, 200)
+    leaders = retrieval.choose_leaders(df, most=6)
+    lists = retrieval.build_index(df, leaders)
+    probes = retrieval.probe_lists(df, leaders, 0.999)
+    exact = retrieval.similar_bars(df, df, 4, same_regime=False).drop("regime_name").collect()
+    for tile in (7, 2048):
+        near = retrieval.approximate_topk(df, lists, probes, 4, same_regime=False, tile=tile).drop("regime_name").collect()
+        assert sorted(map(tuple, near)) == sorted(map(tuple, exact))
+    empty = df.limit(0)
+    assert retrieval.build_index(empty, retrieval.choose_leaders(empty)).count() == 0
 
 
 def test_tied_votes_count_as_down(spark):

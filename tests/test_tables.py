@@ -120,3 +120,40 @@ def test_upsert_opens_only_the_touched_folders(spark):
     months = {r["m"]: r["c"] for r in read_ohlcv(spark, root).groupBy(F.month("open_time").alias("m")).agg(F.max("close").alias("c")).collect()}
     assert len(months) == 3 and months[2] == 1.0 and months[1] > 1.0
     assert read_ohlcv(spark, root, start="2020-02-10", end="2020-02-20").count() == 241
+
+
+def test_null_partitions_keep_their_stored_rows(spark):
+    """Three upserts of articles without a date or source, then the same for candles and vectors."""
+    root, day = scratch_path(spark, "t"), datetime(2024, 3, 1)
+
+    def articles(*rows):
+        return spark.createDataFrame(
+            [(u, s, u, u, "", d, day, [], {}, None) for u, s, d in rows],
+            "id string, source string, title string, url string, summary string, published_at timestamp, ingested_at timestamp, "
+            "tickers array<string>, raw_sentiment map<string,bigint>, sentiment string",
+        )
+
+    def stored():
+        return sorted((r.url, r.source, r.date) for r in spark.read.parquet(f"{root}/news").collect())
+
+    sinks.upsert_news(articles(("a", "x", None), ("b", "x", None), ("c", "x", day)), root)
+    sinks.upsert_news(articles(("d", "x", None), ("a", "x", None)), root)
+    assert [u for u, _, _ in stored()] == ["a", "b", "c", "d"]
+    sinks.upsert_news(articles(("e", "x", None), ("f", "x", day), ("g", None, None), ("h", "", day)), root)
+    sinks.upsert_news(articles(("i", None, None), ("j", "", day), ("k", "y", day)), root)
+    assert [u for u, _, _ in stored()] == list("abcdefghijk")
+    assert {d for u, _, d in stored() if u in "abdegi"} == {None}
+
+    vectors = spark.createDataFrame([("A", "1h", None, [1.0]), ("A", "1h", day, [2.0])], "pair string, interval string, open_time timestamp, embedding array<float>")
+    sinks.upsert_embeddings(vectors, root)
+    sinks.upsert_embeddings(vectors.withColumn("interval", F.lit("4h")).filter("open_time IS NULL"), root)
+    sinks.upsert_embeddings(vectors.withColumn("pair", F.lit(None).cast("string")), root)
+    sinks.upsert_embeddings(vectors.filter("open_time IS NULL").withColumn("embedding", F.array(F.lit(5.0).cast("float"))), root)
+    found = spark.read.parquet(f"{root}/embeddings").collect()
+    assert len(found) == 5 and sum(r.embedding == [5.0] for r in found) == 1
+    bars = full(spark, random_bars(50, gaps=0)).withColumn("open_time", F.when(F.hour("open_time") > 0, F.col("open_time")))
+    sinks.upsert_ohlcv(bars, root)
+    before = spark.read.parquet(f"{root}/ohlcv").count()
+    sinks.upsert_ohlcv(bars.filter("open_time IS NULL").withColumn("pair", F.lit("Z")), root)
+    sinks.upsert_ohlcv(bars.filter("open_time IS NULL"), root)
+    assert spark.read.parquet(f"{root}/ohlcv").count() == before + 1

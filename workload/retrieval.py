@@ -140,14 +140,31 @@ def _(spark, sf):
     return found.select("pair", TS, closes.alias("close_sum"), "next_close", F.col("next_direction").cast("double").alias("next_direction"))
 
 
-@query("r07_approximate_topk", f"""WITH {_INDEX}, n AS (SELECT count(*) AS n FROM idx) SELECT sum(least(10, n))::BIGINT AS wanted, true AS enough FROM idx, n""")
+# Leaders by hash order, lists by the most similar leader, probes by the nearest seven tenths: all plain SQL.
+@query("r07_approximate_topk", f"""WITH {_INDEX}, z AS (SELECT *, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY md5('vec|1h|' || epoch_us(open_time)::VARCHAR || '|3'), open_time) AS draw FROM idx),
+  l AS (SELECT * FROM z WHERE draw <= ceil(sqrt(n))), s AS (SELECT count(*) AS nl FROM l),
+  x AS (SELECT q.open_time AS t, c.open_time AS leader, row_number() OVER (PARTITION BY q.open_time ORDER BY {_SIM} DESC, c.open_time) AS rank FROM idx q JOIN l c ON true),
+  list AS (SELECT t, leader FROM x WHERE rank = 1), probe AS (SELECT t, leader FROM x, s WHERE rank <= ceil(0.7::DOUBLE * nl)),
+  cand AS (SELECT probe.t AS qt, list.t AS ct FROM probe JOIN list USING (leader)),
+  m AS (SELECT q.open_time AS qt, c.open_time AS ct, {_SIM} AS sim FROM idx q JOIN idx c ON true),
+  k AS (SELECT qt, ct, row_number() OVER (PARTITION BY qt ORDER BY sim DESC, ct) AS rank FROM m QUALIFY rank <= 10),
+  a AS (SELECT m.*, row_number() OVER (PARTITION BY m.qt ORDER BY sim DESC, m.ct) AS rank FROM m JOIN cand USING (qt, ct) QUALIFY rank <= 10),
+  h AS (SELECT count(*) AS wanted, count(a.ct) AS found FROM k LEFT JOIN a USING (qt, ct))
+  SELECT wanted::BIGINT AS wanted, found::BIGINT AS found, found >= 0.9 * wanted AS enough, (SELECT count(*) FROM cand)::BIGINT AS compared,
+    (SELECT count(*) FROM m)::BIGINT AS all_pairs, {r('(SELECT sum(sim) FROM a) AS similarity', digits=4)} FROM h""", digits=4)
 def _(spark, sf):
-    vecs = materialise(indexed(spark, sf), "vectors")
+    vecs, path = materialise(indexed(spark, sf), "vectors"), scratch_path(spark, "index")
+    retrieval.store_index(vecs, path, seed=3)
+    leaders, lists = retrieval.read_index(spark, path)
+    probes = materialise(retrieval.probe_lists(vecs, leaders, 0.7), "probes")
     exact = retrieval.similar_bars(vecs, vecs, 10, same_regime=False)
-    near = retrieval.approximate_topk(vecs, vecs, 10, dim=64, tables=16, bits=3, same_regime=False)
+    near = materialise(retrieval.approximate_topk(vecs, lists, probes, 10, same_regime=False), "near")
     key = ["query_time", TS]
     hits = exact.select(*key).join(near.select(*key, F.lit(1).alias("hit")), key, "left")
-    return hits.agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    counted = hits.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    cost = retrieval.search_cost(probes, lists).agg(F.sum("compared").alias("compared"), F.sum("all_pairs").alias("all_pairs"))
+    return counted.join(cost).join(near.agg(F.sum("similarity").alias("similarity")))
 
 
 # --------------------------------------------------------------------------- regimes
