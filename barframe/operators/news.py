@@ -89,6 +89,39 @@ def _partials(scored: DataFrame) -> DataFrame:
     )
 
 
+def _windowed(bars: DataFrame, buckets: DataFrame, span: int) -> DataFrame:
+    """Statistics of the ``span`` buckets before each bar's, in a constant number of steps per row whatever the span.
+
+    The bucket axis is cut into segments of ``span``. A window then is the end of one segment, from its first bucket on, and
+    the beginning of the next: both come from running totals inside segments, forwards and backwards. A mark at the
+    window's first bucket stands where the backward total is read. One shuffle by (pair, block of whole segments).
+    """
+    marks = bars.groupBy("pair", "_blk", "bucket").agg(F.lit(True).alias("_mark")).select("pair", (F.col("bucket") - span).alias("bucket"), "_blk")
+    both = bars.unionByName(buckets, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_seg", F.floor(F.col("bucket") / span)).repartition("pair", "_blk")
+    segment = Window.partitionBy("pair", "_blk", "_seg")
+    before = segment.orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    onward = segment.orderBy(F.col("bucket").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    pick = {"n": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max, "last": F.max, "cs": F.sum}
+
+    def totals(over) -> Column:
+        return F.struct(*[f(c).over(over).alias(c) for c, f in pick.items()])
+
+    both = both.withColumns({"_late": totals(before), "_early": totals(onward)})
+    start = Window.partitionBy("pair", "_blk").orderBy("bucket").rangeBetween(-span, -span)
+    both = both.withColumn("_early", F.first("_early").over(start)).filter(F.col(TS).isNotNull())
+
+    def joined(c: str) -> Column:
+        late, early = F.col(f"_late.{c}"), F.col(f"_early.{c}")
+        if c == "last":
+            return F.coalesce(late, early)  # the later segment's articles are the later ones
+        if pick[c] is F.sum:
+            return F.when(late.isNotNull() | early.isNotNull(), F.coalesce(late, F.lit(0)) + F.coalesce(early, F.lit(0)))
+        return (F.least if c == "lo" else F.greatest)(late, early)
+
+    return both.select(*SERIES, TS, *[joined(c).alias(c) for c in pick])
+
+
 def aggregate_news_for_bars(
     news: DataFrame,
     bars: DataFrame,
@@ -102,8 +135,9 @@ def aggregate_news_for_bars(
 
     Articles are first summed into buckets of ``grid_ms`` per pair (macro articles once, and only
     their bucket rows are copied to the pairs), which caps the rows of a hot pair at one per bucket.
-    Bars and buckets are then unioned and read through one RANGE frame per (pair, block of buckets);
-    buckets within the lookback of the next block are copied into it. There is no join.
+    Bars and buckets are then unioned per (pair, block of buckets) and read through running totals (see ``_windowed``);
+    buckets within the lookback of the next block are copied into it. There is no join, and a bar costs the same however
+    many buckets its window has.
 
     ``grid_ms`` must divide the lookback and every bar's open time; other bars raise an error. By default it is the
     greatest common divisor of the lookback, an hour and the bars' intervals.
@@ -134,23 +168,16 @@ def aggregate_news_for_bars(
     )
     # a bar at bucket b reads buckets [b - span, b - 1]
     span = lookback_ms // grid_ms
-    size = max(_BLOCK_BUCKETS, span)
+    size = span * max(1, _BLOCK_BUCKETS // span)  # blocks hold whole segments of span buckets
     block = F.floor(F.col("bucket") / size)
-    spills = F.when(F.col("bucket") % size >= size - span, block + 1)
+    spills = F.when(F.pmod(F.col("bucket"), F.lit(size)) >= size - span, block + 1)
     buckets = buckets.withColumn("_blk", F.explode(F.array_compact(F.array(block, spills))))
     open_ms = F.unix_millis(TS)
     aligned = F.when(open_ms % grid_ms == 0, F.floor(open_ms / grid_ms)).otherwise(
         F.raise_error(F.lit("bar open_time is not on the news grid; choose a smaller grid_ms")).cast("long")
     )
     keys = bars.select(*SERIES, TS, aligned.alias("bucket")).withColumn("_blk", F.floor(F.col("bucket") / size))
-    both = keys.unionByName(buckets, allowMissingColumns=True)
-    frame = Window.partitionBy("pair", "_blk").orderBy("bucket").rangeBetween(-span, -1)
-    n, s, ss = (F.sum(c).over(frame) for c in ("n", "s", "ss"))
-    lo, hi, last = F.min("lo").over(frame), F.max("hi").over(frame), F.max("last").over(frame)
-    both = both.select(
-        *SERIES, TS, n.alias("n"), s.alias("s"), ss.alias("ss"), lo.alias("lo"), hi.alias("hi"),
-        last.alias("last"), F.sum("cs").over(frame).alias("cs"),
-    ).filter(F.col(TS).isNotNull())
+    both = _windowed(keys, buckets, span)
     mean = F.col("s") / F.col("n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))
     zero = F.lit(0.0)

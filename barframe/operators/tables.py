@@ -42,8 +42,10 @@ def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], kee
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def merge(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str], keep: str) -> DataFrame:
-    """Union two batches and keep one row per key.
+def merge(
+    existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str], keep: str, batch: str | None = None
+) -> DataFrame:
+    """Union two batches and keep one row per key; ``batch`` names a column of 1 for rows of ``new``, else 0.
 
     ``keep="latest"`` takes the highest ``order`` values, a tie going to ``new``; ``keep="earliest"``
     takes the lowest, a tie going to ``existing``.
@@ -56,7 +58,8 @@ def merge(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequen
         raise ValueError("keep must be 'latest' or 'earliest'")
     sort = [F.col(c).desc_nulls_last() if latest else F.col(c).asc_nulls_last() for c in order]
     sort.append(F.col("_batch").desc() if latest else F.col("_batch").asc())
-    return dedupe(both, key, sort).drop("_batch")
+    kept = dedupe(both, key, sort)
+    return kept.withColumnRenamed("_batch", batch) if batch else kept.drop("_batch")
 
 
 def spread_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from barframe.operators.tables import dedupe
 from barframe.schema import CANDLE_KEYED, INTERVAL_MS, SERIES, TS
-from barframe.session import exists
+from barframe.session import exists, settings
 
 
 def read_ohlcv(
@@ -50,6 +50,28 @@ def latest_open_time(df: DataFrame) -> DataFrame:
     return df.groupBy(*SERIES).agg(F.max(TS).alias("latest"))
 
 
+def stored_high_water(spark: SparkSession, root: str, pair: str | None = None, interval: str | None = None) -> DataFrame:
+    """High-water mark of each stored (pair, interval), whatever the length of its history.
+
+    Folder names tell the newest month of each series; only the time column of those months is read.
+    Raises ``FileNotFoundError`` when there is no table; an unknown series has no row.
+    """
+    path = f"{root}/ohlcv"
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no candle table under {path}; land candles with upsert_ohlcv first")
+    with settings(spark, sources__partitionColumnTypeInference__enabled="false"):
+        # a file listing: the names of all files, the content of none
+        listed = spark.read.format("binaryFile").load(path).select(*SERIES, "month").distinct()
+        for name, wanted in (("pair", pair), ("interval", interval)):
+            if wanted is not None:
+                listed = listed.filter(F.col(name) == wanted)
+        newest = listed.groupBy(*SERIES).agg(F.max("month").alias("month")).filter("month IS NOT NULL").collect()  # a row per series
+    stored = spark.read.schema(T.StructType([*CANDLE_KEYED.fields, T.StructField("month", T.StringType())])).parquet(path)
+    name = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x1e")) for c in (*SERIES, "month")])
+    wanted = ["\x1f".join("\x1e" if r[c] is None else r[c] for c in (*SERIES, "month")) for r in newest]
+    return latest_open_time(stored.filter(name.isin(wanted) if wanted else F.lit(False)))
+
+
 def plan_backfill(
     ohlcv: DataFrame, listing: DataFrame, intervals: list[str], now_ms: int, page_size: int = 1000
 ) -> DataFrame:

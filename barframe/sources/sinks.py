@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,12 @@ _PRODUCERS = {"embeddings": "embed_windows", "features_sentiment": "aggregate_ne
 
 def _upsert(
     df: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], order: Sequence[str], keep: str
-) -> None:
+) -> int:
     """Merge ``df`` into the partitioned table at ``path``, rewriting only the partitions it touches.
 
-    Null is a partition value like others. Folders can't tell an empty string from null, so it becomes null.
+    Returns how many rows of ``df`` are in the table now: not those that repeat a key in it or lose to a stored row. They are
+    counted while the table is written. Null is a partition value like others. Folders can't tell an empty string
+    from null, so it becomes null.
     """
     spark = df.sparkSession
     texts = [f.name for f in df.schema.fields if f.name in partitions and isinstance(f.dataType, T.StringType)]
@@ -38,8 +40,10 @@ def _upsert(
         old = _pruned(stored, touched, partitions).join(wanted, same, "left_semi")
     else:
         old = df.limit(0)
-    merged = merge(old, df, key, order, keep).select(df.columns)
+    written = Observation()
+    merged = merge(old, df, key, order, keep, batch="_new").observe(written, F.sum("_new").alias("rows")).select(df.columns)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+    return written.get["rows"] or 0
 
 
 def _pruned(stored: DataFrame, touched: DataFrame, partitions: Sequence[str], most: int = 4096) -> DataFrame:
@@ -72,10 +76,10 @@ def merge_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
     return merge(existing, new, _CANDLE_KEY, [], "latest")
 
 
-def upsert_ohlcv(df: DataFrame, root: str) -> None:
+def upsert_ohlcv(df: DataFrame, root: str) -> int:
     """Upsert candles into ``<root>/ohlcv``, partitioned by pair, interval and month."""
     fixed = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in CANDLE_KEYED.fields])
-    _upsert(with_month(fixed), f"{root}/ohlcv", ["pair", "interval", "month"], _CANDLE_KEY, ["ingested_at"], "latest")
+    return _upsert(with_month(fixed), f"{root}/ohlcv", ["pair", "interval", "month"], _CANDLE_KEY, ["ingested_at"], "latest")
 
 
 def with_news_partition(df: DataFrame) -> DataFrame:
@@ -85,17 +89,17 @@ def with_news_partition(df: DataFrame) -> DataFrame:
     )
 
 
-def upsert_news(df: DataFrame, root: str) -> None:
+def upsert_news(df: DataFrame, root: str) -> int:
     """Upsert articles into ``<root>/news``, partitioned by source and day; deduped within a source-day."""
-    _upsert(
+    return _upsert(
         with_news_partition(df), f"{root}/news", ["source", "date"], ["source", "date", "url"],
         ["published_at", "ingested_at"], "earliest",
     )
 
 
-def upsert_embeddings(df: DataFrame, root: str) -> None:
+def upsert_embeddings(df: DataFrame, root: str) -> int:
     """Upsert vectors into ``<root>/embeddings``, partitioned by pair, interval and month."""
-    _upsert(with_month(df), f"{root}/embeddings", [*SERIES, "month"], _CANDLE_KEY, [], "latest")
+    return _upsert(with_month(df), f"{root}/embeddings", [*SERIES, "month"], _CANDLE_KEY, [], "latest")
 
 
 def write_keyed(df: DataFrame, root: str, kind: str) -> None:

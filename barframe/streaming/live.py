@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import numpy as np
@@ -84,30 +85,35 @@ def _trigger(every: str | None) -> dict[str, Any]:
 
 def sink_upsert(
     stream: DataFrame, root: str, checkpoint: str, every: str | None = None,
-    upsert: Callable[[DataFrame, str], None] = upsert_ohlcv, mode: str = "append",
+    upsert: Callable[[DataFrame, str], int] = upsert_ohlcv, mode: str = "append",
 ) -> StreamingQuery:
-    """Upsert each micro-batch into the stored table.
+    """Upsert each micro-batch into the stored table; ``stream_status`` tells how many of its rows were persisted.
 
     The upsert is keyed, so a replayed micro-batch (after a lost driver) changes nothing. Without
     ``every`` the query works through what is there and stops: a bounded replay.
     """
+    persisted = {"rows_persisted": 0, "last_persist_at": None}
+
     def write(batch: DataFrame, _: int) -> None:
         batch.persist()  # the merge reads the batch twice
         try:
-            upsert(batch, root)
+            persisted["rows_persisted"] += upsert(batch, root)
+            persisted["last_persist_at"] = datetime.now(timezone.utc).isoformat()
         finally:
             batch.unpersist()
 
-    return (
+    query = (
         stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(**_trigger(every)).start()
     )
+    _PERSISTED[str(query.runId)] = persisted
+    return query
 
 
 def sink_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append each micro-batch to a Parquet folder (exactly once by the file sink's log)."""
+    """Append each micro-batch to a Parquet folder (exactly once by the file sink's log), counting its rows for ``stream_status``."""
     return (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        stream.observe("persisted", F.count(F.lit(1)).alias("rows")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(**_trigger(every)).start()
     )
 
@@ -142,6 +148,10 @@ def sink_news_features(
     )
 
 
+_NOTHING = {"messages_seen": 0, "batches": 0, "last_batch_at": None, "rows_persisted": 0, "last_persist_at": None}
+_PERSISTED: dict[str, dict[str, Any]] = {}  # by run, of sinks that write for themselves
+
+
 class _Totals(StreamingQueryListener):
     """Totals of every query since ``watch_progress``, however many batches it has run."""
 
@@ -149,14 +159,18 @@ class _Totals(StreamingQueryListener):
         self.by_run: dict[str, dict[str, Any]] = {}
 
     def onQueryStarted(self, event) -> None:
-        self.by_run.setdefault(str(event.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
+        self.by_run.setdefault(str(event.runId), dict(_NOTHING))
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        totals = self.by_run.setdefault(str(p.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
+        totals = self.by_run.setdefault(str(p.runId), dict(_NOTHING))
         totals["messages_seen"] += p.numInputRows
         totals["batches"] += p.numInputRows > 0
         totals["last_batch_at"] = p.timestamp
+        written = p.observedMetrics.get("persisted")
+        if written is not None and written["rows"]:
+            totals["rows_persisted"] += written["rows"]
+            totals["last_persist_at"] = p.timestamp
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -173,10 +187,10 @@ def watch_progress(spark: SparkSession) -> None:
 
 
 def stream_status(query: StreamingQuery, spark: SparkSession) -> dict[str, Any]:
-    """Messages read in all batches of this run, batches with input, time of the last batch."""
+    """Messages read in all batches of this run, batches with input, time of the last batch; rows persisted by its sink and when."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)  # progress arrives by the session's event bus
-    totals = spark._barframe_totals.by_run.get(str(query.runId), {"messages_seen": 0, "batches": 0, "last_batch_at": None})
-    return {"running": query.isActive, **totals}
+    run = str(query.runId)
+    return {"running": query.isActive, **spark._barframe_totals.by_run.get(run, _NOTHING), **_PERSISTED.get(run, {})}
 
 
 # --------------------------------------------------------------------------- keyed state: features

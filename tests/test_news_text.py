@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barframe.functions import text as X
@@ -82,3 +83,27 @@ def test_news_window_on_quarter_hour_bars(spark):
     news = spark.createDataFrame(rows, "id string, published_at timestamp, tickers array<string>, sentiment string")
     for r in N.aggregate_news_for_bars(news, bars, tickers={"A": ["A"]}).collect():
         assert r["sent_count"] == sum(r["open_time"] - timedelta(hours=24) <= t < r["open_time"] for t in at)
+
+
+def test_windows_equal_direct_sums_across_segments(spark):
+    """Random news and bars on both sides of the epoch, spans that do and don't divide the blocks."""
+    rng = np.random.default_rng(4)
+    zero = datetime(1970, 1, 1)
+    at = [zero + timedelta(seconds=int(x)) for x in rng.integers(-400_000, 400_000, 300)]
+    scores = rng.uniform(-1, 1, 300).round(6)
+    rows = [(f"{k:03}", t, ["A"] if k % 5 else None, json.dumps({"ensemble": s, "confidence": abs(s)})) for k, (t, s) in enumerate(zip(at, scores))]
+    news = spark.createDataFrame(rows, "id string, published_at timestamp, tickers array<string>, sentiment string")
+    times = [zero + timedelta(hours=int(h)) for h in rng.integers(-150, 150, 80)]
+    bars = spark.createDataFrame([("A", "1h", t) for t in {*times}] + [("B", "4h", times[0])], f"pair string, interval string, {TS} timestamp")
+    for hours, grid in ((24, 3_600_000), (7, 1_800_000), (1, 3_600_000)):
+        found = N.aggregate_news_for_bars(news, bars, hours * 3_600_000, tickers={"A": ["A"], "B": ["B"]}, grid_ms=grid, with_last_at=True).collect()
+        assert len(found) == len({*times}) + 1
+        for r in found:
+            inside = [(t, f"{k:03}", s) for k, (t, s) in enumerate(zip(at, scores)) if r[TS] - timedelta(hours=hours) <= t < r[TS] and (r["pair"] == "A" or k % 5 == 0)]
+            values = np.array([s for _, _, s in inside])
+            assert r["sent_count"] == len(inside)
+            if len(inside):
+                want = [values.mean(), values.std(), values.min(), values.max(), max(inside)[2], abs(values).mean()]
+                got = [r[c] for c in ("sent_mean", "sent_std", "sent_min", "sent_max", "sent_last", "sent_conf_mean")]
+                np.testing.assert_allclose(got, want, atol=1e-9)
+                assert r["sent_last_at"] == max(inside)[0]

@@ -1,4 +1,6 @@
 from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,23 @@ def test_null_partitions_keep_their_stored_rows(spark):
     sinks.upsert_ohlcv(bars.filter("open_time IS NULL").withColumn("pair", F.lit("Z")), root)
     sinks.upsert_ohlcv(bars.filter("open_time IS NULL"), root)
     assert spark.read.parquet(f"{root}/ohlcv").count() == before + 1
+
+
+def test_high_water_reads_the_newest_month_only(spark):
+    root = scratch_path(spark, "t")
+    with pytest.raises(FileNotFoundError):
+        candles.stored_high_water(spark, root)
+    bars = full(spark, random_bars(3000, gaps=0))
+    old = bars.filter(F.month(TS) == 1).withColumn("pair", F.lit("gone"))
+    sinks.upsert_ohlcv(bars.unionByName(old).unionByName(bars.withColumn("interval", F.lit("12"))), root)
+    marks = candles.stored_high_water(spark, root)
+    wanted = {tuple(r) for r in candles.latest_open_time(candles.read_ohlcv(spark, root)).collect()}
+    assert {tuple(r) for r in marks.collect()} == wanted and len(wanted) == 3
+    months = sorted({f.parent.name for f in Path(root, "ohlcv", "pair=A").rglob("*.parquet")})
+    assert len(months) > 3
+    for file in Path(root, "ohlcv").rglob("*.parquet"):  # whoever opens an older month fails
+        if file.parent.name != ("month=2020-01" if "pair=gone" in str(file) else months[-1]):
+            file.write_bytes(b"not parquet")
+    assert {tuple(r) for r in candles.stored_high_water(spark, root).collect()} == wanted
+    assert [r["pair"] for r in candles.stored_high_water(spark, root, "gone").collect()] == ["gone"]
+    assert candles.stored_high_water(spark, root, "none").count() == 0

@@ -137,3 +137,7 @@ def test_upsert_sink_and_status(spark):
     status = live.stream_status(q, spark)
     spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert status["messages_seen"] == 2 * bars.count() and status["batches"] == 2 and not status["running"]
+    assert status["rows_persisted"] == 2 * bars.count() and status["last_persist_at"]  # the later of equal rows wins in each batch
+    stale = land(spark, bars.withColumn("ingested_at", F.lit("2020-01-01").cast("timestamp")), "stale", [F.lit(True)])
+    q = finish(live.sink_upsert(live.stream_table(spark, stale, bars.schema), root, f"{root}-checkpoint-2"))
+    assert live.stream_status(q, spark)["rows_persisted"] == 0 and live.stream_status(q, spark)["messages_seen"] == bars.count()

@@ -194,7 +194,9 @@ def _(spark, sf):
 
 @query("s11_high_water", f"""WITH {BARS} SELECT pair, "interval", {ms('max(open_time) AS latest')} FROM bars GROUP BY 1, 2""")
 def _(spark, sf):
-    return candles.latest_open_time(bars(spark, sf))
+    root = scratch_path(spark, "marks")
+    sinks.upsert_ohlcv(stamped(spark, sf), root)
+    return candles.stored_high_water(spark, root)
 
 
 @query("s12_backfill_plan", f"""WITH {BARS}, hw AS (SELECT pair, max(open_time) AS latest FROM bars GROUP BY 1),

@@ -277,7 +277,10 @@ def _(spark, sf):
     return spark.read.parquet(out).select("doc_id", decode_sentiment(F.col("sentiment"))["ensemble"].alias("ensemble"))
 
 
-@query("x12_stream_status", "SELECT count(*)::BIGINT AS messages_seen, 5::BIGINT AS batches, false AS running FROM events")
+# The upsert sink gets every candle three times in each of two batches: it persists one row per candle and batch.
+@query("x12_stream_status", f"""WITH {BARS}, n AS (SELECT count(*)::BIGINT AS n FROM bars), e AS (SELECT count(*)::BIGINT AS e FROM events)
+  SELECT e AS messages_seen, 5::BIGINT AS batches, false AS running, e AS rows_persisted, 6 * n AS candles_seen, 2 * n AS candles_persisted, n AS candles_stored,
+    e > 0 AS persisted FROM n, e""")
 def _(spark, sf):
     raw = spark.read.parquet(f"{sf}/events.parquet").schema
     out, copies = scratch_path(spark, "status"), scratch_path(spark, "status-in")
@@ -285,8 +288,20 @@ def _(spark, sf):
     live.watch_progress(spark)
     q = live.sink_parquet(live.stream_table(spark, copies, raw, max_files=1), out, f"{out}-checkpoint")
     _finish(q)
-    status = live.stream_status(q, spark)
-    return spark.range(1).select(*[F.lit(status[c]).alias(c) for c in ("messages_seen", "batches", "running")])
+    seen = live.stream_status(q, spark)
+    root, landed = scratch_path(spark, "candles"), scratch_path(spark, "candles-in")
+    closed = bars(spark, sf).withColumn("ingested_at", F.col(TS))
+    sent = closed.withColumn("again", F.explode(F.array(*map(F.lit, range(3))))).drop("again")
+    for _ in range(2):
+        sent.coalesce(1).write.mode("append").parquet(landed)
+    q = live.sink_upsert(live.stream_table(spark, landed, sent.schema, max_files=1), root, f"{root}-checkpoint")
+    _finish(q)
+    kept = live.stream_status(q, spark)
+    stored = spark.read.parquet(f"{root}/ohlcv").count()
+    columns = {c: seen[c] for c in ("messages_seen", "batches", "running", "rows_persisted")}
+    columns |= {"candles_seen": kept["messages_seen"], "candles_persisted": kept["rows_persisted"], "candles_stored": stored}
+    columns["persisted"] = seen["last_persist_at"] is not None and kept["last_persist_at"] is not None
+    return spark.range(1).select(*[F.lit(v).alias(c) for c, v in columns.items()])
 
 
 @query("m20_refit", f"""{RECURSIVE}{DATASET} SELECT pair, count(*) FILTER (pos >= 24)::BIGINT AS rows, 'regimes' AS step FROM bp GROUP BY pair
