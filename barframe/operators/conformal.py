@@ -9,38 +9,52 @@ from pyspark.sql import functions as F
 
 from barframe.operators.tables import spread_join
 from barframe.schema import SERIES
+from barframe.session import materialise
 
 MIN_CALIBRATION = 32
-_BINS = 4096
+BITS = 12  # of a value that a round of selection looks at
+SORTED = 65_536  # distinct values of a cell that are sorted in one task
 
 
-def quantile_per_group(df: DataFrame, by: Sequence[str], value: str, level: Column, out: str = "quantile") -> DataFrame:
+def quantile_per_group(df: DataFrame, by: Sequence[str], value: str, level: Column, out: str = "quantile", most: int = SORTED) -> DataFrame:
     """Exact linear-interpolated quantile of a [0, 1] value, at a level that depends on the group's size.
 
-    ``level`` is an expression over ``n`` (rows in the group). Equal values are counted map-side, the
-    counts are laid into 4,096 bins, and only the bins holding the two wanted ranks are sorted: no
-    task ever sees a whole group. Returns ``by, n, out``.
+    ``level`` is an expression over ``n`` (rows in the group). Equal values are counted, then the two wanted ranks are
+    found digit by digit: values are summed by their next 12 bits inside the cells that hold a wanted rank, until such a cell has
+    at most ``most`` distinct values, which alone are sorted. However close the values lie, no task sees a group or sorts
+    a large cell. Returns ``by, n, out``; null values don't count.
     """
     by = list(by)
-    counted = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("_bin", F.least(F.floor(F.col("_v") * _BINS), F.lit(_BINS - 1)))
-    bins = counted.groupBy(*by, "_bin").agg(F.sum("_c").alias("_bc"))
-    per = Window.partitionBy(*by)
-    before = per.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumns({"n": F.sum("_bc").over(per), "_before": F.coalesce(F.sum("_bc").over(before), F.lit(0))})
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = materialise(counted, "values")
+
+    def cell(digits: int) -> Column:
+        return F.floor(F.col("_v") * float(1 << BITS * digits))  # exact: a power of two
+
+    def placed(bins: DataFrame, within: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*within).orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        return bins.withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
+
+    sums = [F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_distinct")]
+    bins = placed(counted.groupBy(*by, cell(1).alias("_next")).agg(*sums), by).withColumn("n", F.sum("_bc").over(Window.partitionBy(*by)))
     at = (F.col("n") - 1) * level
-    bins = bins.withColumns({"_lo": F.floor(at), "_hi": F.ceil(at), "_w": at - F.floor(at)})
-    holds = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc"))
-    hit = bins.filter(holds(F.col("_lo")) | holds(F.col("_hi"))).drop("_bc")
-    inside = counted.join(hit, [*by, "_bin"])
-    upto = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0))
-    ranked = inside.withColumn("_first", first)
-    covers = lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_c"))
-    picked = ranked.groupBy(*by).agg(
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("_t"), r.cast("long").alias("_rank")) for k, r in enumerate((F.floor(at), F.ceil(at)))]))
+    bins = bins.select(*by, "_next", "_bc", "_distinct", "_before", "n", (at - F.floor(at)).alias("_w"), ranks.alias("_r")).select("*", "_r.*").drop("_r")
+    holds = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bc"))
+    found = [*by, "n", "_w", "_t", F.col("_next").alias("_cell"), (F.col("_rank") - F.col("_before")).alias("_rank"), "_distinct"]
+    targets = materialise(bins.filter(holds).select(*found), "cells")
+    digits = 1
+    while digits < 5 and (targets.agg(F.max("_distinct")).first()[0] or 0) > most:
+        inside = spread_join(counted.withColumn("_cell", cell(digits)), targets.select(*by, "_cell").distinct(), [*by, "_cell"])
+        bins = placed(inside.groupBy(*by, "_cell", cell(digits + 1).alias("_next")).agg(*sums), [*by, "_cell"])
+        targets = materialise(bins.join(targets.drop("_distinct"), [*by, "_cell"]).filter(holds).select(*found), "cells")
+        digits += 1
+    inside = spread_join(counted.withColumn("_cell", cell(digits)), targets.select(*by, "_cell").distinct(), [*by, "_cell"])
+    upto = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumnRenamed("_c", "_bc")
+    picked = ranked.join(targets, [*by, "_cell"]).filter(holds).groupBy(*by).agg(
         F.max("n").alias("n"), F.max("_w").alias("_w"),
-        F.max(F.when(covers(F.col("_lo")), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(F.col("_hi")), F.col("_v"))).alias("_b"),
+        *[F.max(F.when(F.col("_t") == k, F.col("_v"))).alias(c) for k, c in enumerate(("_a", "_b"))],
     )
     return picked.select(*by, "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(out))
 

@@ -86,6 +86,21 @@ def test_conformal_quantile_equals_numpy(spark):
             assert got[k]["threshold"] == pytest.approx(np.quantile(vs, level), abs=1e-12)
 
 
+def test_close_values_are_selected_digit_by_digit(spark):
+    """All values within 1e-4 of a half, one group within 1e-12 of it, one of tiny values: no cell of more than 16 is sorted."""
+    rng = np.random.default_rng(2)
+    groups = {
+        "close": 0.5 + rng.uniform(-1e-4, 1e-4, 4000), "closer": 0.5 + rng.uniform(-1e-12, 1e-12, 3000), "ends": rng.choice([0.0, 1.0, 1 - 2**-53], 900),
+        "tiny": rng.uniform(0, 1e-13, 500), "same": np.full(700, 1 / 3), "one": np.array([0.7]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None)], "pair string, v double").repartition(6)
+    for level in (0.0, 0.37, 0.9, 1.0):
+        got = {r["pair"]: r for r in conformal.quantile_per_group(df, ["pair"], "v", F.lit(level), most=16).collect()}
+        for k, vs in groups.items():
+            assert got[k]["n"] == len(vs) and got[k]["quantile"] == pytest.approx(np.quantile(vs, level), rel=1e-15, abs=1e-30), (k, level)
+    assert conformal.quantile_per_group(df.limit(0), ["pair"], "v", F.lit(0.5)).count() == 0
+
+
 def test_conformal_sets_can_be_empty_or_double(spark):
     df = spark.createDataFrame([("A", 0, 0.5), ("A", 0, 0.9)], "pair string, fold long, y_prob double")
     thr = lambda v: spark.createDataFrame([("A", 0, v)], "pair string, fold long, threshold double")
