@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barframe.operators import boosting
 from barframe.operators.conformal import conformal_threshold, with_conformal_set
 from barframe.operators.features import FEATURE_COLUMNS
 from barframe.operators.splits import calibration_size, walk_forward
@@ -342,33 +342,21 @@ def sentiment_logistic(ds: DataFrame, max_folds: int | None = None) -> DataFrame
     return as_predictions(joined, "sentiment_logreg", prob)
 
 
-# --------------------------------------------------------------------------- spark.ml models
+# --------------------------------------------------------------------------- boosted trees
 def boosted_trees(
-    ds: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, max_folds: int | None = None, max_iter: int = 400,
-    max_depth: int = 5, step: float = 0.05, subsample: float = 0.8, features: str = "0.8", seed: int = 0,
+    ds: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, max_folds: int | None = None, options: boosting.Boosting = boosting.Boosting(),
+    in_task: int = 2_000_000,
 ) -> DataFrame:
-    """Gradient-boosted trees per (series, fold); each fit is a distributed ``spark.ml`` job."""
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="features")
-    grid = ds.groupBy(*SERIES).agg(*[F.max(c).alias(c) for c in ("n", "initial", "test", "n_folds")]).collect()  # one row per series
-    out = None
-    tested = test_rows(ds, max_folds)
-    for series in grid:
-        for fold in range(min(series["n_folds"], max_folds or series["n_folds"])):
-            train_end = series["initial"] + fold * series["test"]
-            if train_end + GAP + series["test"] > series["n"]:
-                break
-            own = lambda df: df.filter((F.col("pair") == series["pair"]) & (F.col("interval") == series["interval"]))
-            train = vectors.transform(own(ds).filter(F.col("row") < train_end))
-            model = GBTClassifier(
-                labelCol="y", maxIter=max_iter, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-                featureSubsetStrategy=features, seed=seed,
-            ).fit(train)
-            scored = model.transform(vectors.transform(own(tested).filter(F.col("fold") == fold)))
-            preds = as_predictions(scored, "boosted_trees", vector_to_array("probability")[1])
-            out = preds if out is None else out.unionByName(preds)
-    if out is None:
-        raise ValueError("no fold fits the data")
-    return out
+    """Gradient-boosted trees of every series and fold at once (see ``boosting``), predicting each fold's test rows."""
+    x = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+    inputs = materialise(ds.select(*SERIES, TS, "row", "n", "initial", "test", "n_folds", "y", "next_ret", x), "boosting-inputs")
+    folds = inputs.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)))
+    train_end = F.col("initial") + F.col("fold") * F.col("test")
+    train = folds.filter((train_end + GAP + F.col("test") <= F.col("n")) & (F.col("row") < train_end) & F.col("y").isNotNull())
+    models, borders = boosting.fit(train.select(*boosting.KEY, "row", "y", "x"), len(cols), options, in_task)
+    tested = test_rows(inputs, max_folds).select(*SERIES, TS, "fold", "row", "y", "next_ret", "x")
+    scored = boosting.score(tested, models, borders, (*boosting.KEY, TS, "y", "next_ret"), options)
+    return as_predictions(scored, "boosted_trees", F.col("prob"))
 
 
 def _anchored(ds: DataFrame, variant: str, dim: int, frac: float) -> tuple[DataFrame, int]:
@@ -411,6 +399,7 @@ def fit_anchor(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac: f
     return out.select(*SERIES, TS, "y_true", "p_up", "held_out", "in_set_0", "in_set_1")
 
 
+# --------------------------------------------------------------------------- spark.ml
 def logistic_estimator(n_fit: int, c: float = 1.0) -> LogisticRegression:
     """``spark.ml`` logistic regression minimising the same objective as ``fit_logistic`` for ``n_fit`` rows.
 
