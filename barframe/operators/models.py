@@ -9,14 +9,12 @@ predictions: ``pair, interval, model, fold, open_time, y_true, y_pred, y_prob, n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.operators import boosting
@@ -25,7 +23,7 @@ from barframe.operators.features import FEATURE_COLUMNS
 from barframe.operators.splits import calibration_size, walk_forward
 from barframe.operators.tables import key_hash, spread_join
 from barframe.schema import SENTIMENT_FEATURES, SERIES, TS, regime_name
-from barframe.session import materialise
+from barframe.session import materialise, settings
 
 GAP = 1
 Model = Callable[[DataFrame], DataFrame]
@@ -113,61 +111,103 @@ def standardise(train: DataFrame, apply_to: DataFrame, cols: Sequence[str], by:
 
 
 # --------------------------------------------------------------------------- logistic regression, all groups at once
-@dataclass
-class Fit:
-    """Fitted coefficients of one (series, fold) on scaled inputs, or the base rate of a degenerate one."""
+MODEL_SQL = "pair string, interval string, fold long, weights array<double>, bias double, base_rate double, fit_end long, converged boolean"
+_BLOCK = 4096  # rows of a stored block of inputs
+_BLOCK_SQL = "pair string, interval string, rows binary, y binary, x binary"
+_FIT_SQL = (
+    "pair string, interval string, fold long, train_end long, fit_end long, base_rate double, n_fit long, n_up long, "
+    "mean array<double>, std array<double>, coef array<double>, open boolean, converged boolean"
+)
+_SUM_SQL = "pair string, interval string, fold long, g array<double>"
+_FIT_KEY = [*SERIES, "fold"]
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """A block of rows as one row of matrices."""
+    x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    blobs = [np.ascontiguousarray(v).tobytes() for v in (table.column("row").to_numpy().astype(np.int64), table.column("y").to_numpy().astype(np.float64), x)]
+    columns = [[table.column(c)[0].as_py()] for c in SERIES] + [[b] for b in blobs]
+    kinds = [pa.string(), pa.string(), *[pa.binary()] * 3]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [*SERIES, "rows", "y", "x"])
 
-    base_rate: float
-    fit_end: int
-    mean: np.ndarray | None = None
-    std: np.ndarray | None = None
-    coef: np.ndarray | None = None  # intercept last
-    class_weight: tuple[float, float] = (1.0, 1.0)
-    converged: bool = False
 
-    @property
-    def degenerate(self) -> bool:
-        return self.coef is None
+def _counts(rows: np.ndarray, y: np.ndarray, x: np.ndarray, fit: dict) -> np.ndarray:
+    train, used = rows < fit["train_end"], rows < fit["fit_end"]
+    return np.concatenate([[train.sum(), y[train].sum(), used.sum(), y[used].sum()], x[used].sum(axis=0)])
 
 
-def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index("x"))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
+def _squares(rows: np.ndarray, y: np.ndarray, x: np.ndarray, fit: dict) -> np.ndarray:
+    return ((x[rows < fit["fit_end"]] - fit["mean"]) ** 2).sum(axis=0)
 
 
-def _newton_partials(groups: dict[tuple[str, str], dict[int, Fit]], dim: int):
-    """Per task: gradient and Hessian sums of every (series, fold) its rows train."""
+def _newton(rows: np.ndarray, y: np.ndarray, x: np.ndarray, fit: dict) -> np.ndarray:
+    """Gradient and Hessian, flat."""
+    used, coef = rows < fit["fit_end"], np.array(fit["coef"])
+    xs, yu = (x[used] - fit["mean"]) / fit["std"], y[used]
+    p = 0.5 * (1.0 + np.tanh(0.5 * (xs @ coef[:-1] + coef[-1])))
+    n, up = fit["n_fit"], fit["n_up"]
+    weight = np.where(yu == 1, n / (2.0 * up), n / (2.0 * (n - up)))
+    design = np.hstack([xs, np.ones((len(xs), 1))])
+    hessian = (design * (weight * p * (1 - p))[:, None]).T @ design
+    return np.concatenate([design.T @ (weight * (p - yu)), hessian.ravel()])
+
+
+def _partials(measure):
+    """Per task: sums of ``measure`` over the rows of its blocks, for every fit of their series."""
+
+    def emit(sums: dict) -> pa.RecordBatch:
+        keys = list(sums)
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=[*_FIT_KEY, "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str, int], np.ndarray] = {}
+        sums: dict = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch, dim)
-            table = batch.select(["pair", "interval", "row", "y"]).to_pandas()
-            for key, at in table.groupby(["pair", "interval"], sort=False).indices.items():
-                rows, y = table["row"].to_numpy()[at], table["y"].to_numpy()[at].astype(float)
-                for fold, fit in groups.get(key, {}).items():
-                    used = rows < fit.fit_end
-                    if fit.degenerate or not used.any():
-                        continue
-                    xs, yu = (x[at[used]] - fit.mean) / fit.std, y[used]
-                    p = 0.5 * (1.0 + np.tanh(0.5 * (xs @ fit.coef[:-1] + fit.coef[-1])))
-                    weight = np.where(yu == 1, fit.class_weight[1], fit.class_weight[0])
-                    design = np.hstack([xs, np.ones((len(xs), 1))])
-                    gradient = design.T @ (weight * (p - yu))
-                    hessian = (design * (weight * p * (1 - p))[:, None]).T @ design
-                    flat = np.concatenate([gradient, hessian.ravel()])
-                    full = (*key, fold)
-                    sums[full] = sums[full] + flat if full in sums else flat
+            for r in batch.to_pylist():
+                rows, y = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["y"])
+                x = np.frombuffer(r["x"]).reshape(len(rows), -1)
+                for fit in r["fits"]:
+                    if rows.min() < fit["train_end"]:
+                        key, flat = (r["pair"], r["interval"], fit["fold"]), measure(rows, y, x, fit)
+                        sums[key] = sums[key] + flat if key in sums else flat
+            if len(sums) > 256:
+                yield emit(sums)
+                sums = {}
         if sums:
-            keys = list(sums)
+            yield emit(sums)
+
+    return run
+
+
+def _summed(blocks: DataFrame, fits: DataFrame, measure) -> DataFrame:
+    """``g``: the sums of ``measure`` per fit, one pass over the blocks; a series' fits meet its blocks by a join."""
+    inside = [c for c in fits.columns if c not in SERIES]
+    held = fits.groupBy(*SERIES).agg(F.collect_list(F.struct(*inside)).alias("fits"))
+    parts = spread_join(blocks, held, SERIES).mapInArrow(_partials(measure), _SUM_SQL)
+    total = parts.groupBy(*_FIT_KEY).agg(Summarizer.metrics("sum").summary(array_to_vector(F.col("g"))).alias("s"))
+    return total.select(*_FIT_KEY, vector_to_array("s.sum").alias("g"))
+
+
+def _solve(dim: int, c: float, tol: float):
+    """One step of every fit, in the tasks."""
+    penalty = np.append(np.full(dim, 1.0 / c), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coefs, done = [], []
+            for coef, g in zip(batch.column("coef").to_pylist(), batch.column("g").to_pylist()):
+                flat, coef = np.array(g), np.array(coef)
+                gradient = flat[: dim + 1] + penalty * coef
+                hessian = flat[dim + 1:].reshape(dim + 1, dim + 1) + np.diag(penalty)
+                step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+                size = float(np.max(np.abs(step)))
+                coefs.append((coef - (step if size <= 5.0 else step * (5.0 / size))).tolist())
+                done.append(size < tol)
+            kept = [batch.column(f) for f in ("pair", "interval", "fold", "train_end", "fit_end", "base_rate", "n_fit", "n_up", "mean", "std")]
+            done = pa.array(done, pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]),
-                    pa.array([k[2] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.list_(pa.float64())),
-                ],
-                names=["pair", "interval", "fold", "g"],
+                [*kept, pa.array(coefs, pa.list_(pa.float64())), pa.array([not d.as_py() for d in done], pa.bool_()), done],
+                names=[*(f.split()[0] for f in _FIT_SQL.split(", "))],
             )
 
     return run
@@ -176,86 +216,52 @@ def _newton_partials(groups: dict[tuple[str, str], dict[int, Fit]], dim: int):
 def fit_logistic(
     ds: DataFrame, dim: int, conformal: bool = True, c: float = 1.0, calib_frac: float = 0.2,
     max_folds: int | None = None, max_iter: int = 30, tol: float = 1e-9, min_rows: int = 32,
-) -> dict[tuple[str, str], dict[int, Fit]]:
-    """Fit an L2 logistic regression with balanced classes for every (series, fold) at the same time.
-
-    ``ds`` holds ``pair, interval, row, n, initial, test, y`` and the inputs as ``x array<double>``.
-    Each Newton step is one pass: tasks sum gradients and Hessians of their rows, Spark adds them up
-    per group, the driver solves one small system per group. So a sweep over all series and folds
-    reads the data about ten times in total, not once per model and iteration. Inputs are scaled by
-    the fitting rows' mean and population deviation; the intercept is not penalised.
+) -> DataFrame:
+    """Fit an L2 logistic regression with balanced classes for every (series, fold) at the same time: a model table.
+
+    ``ds`` holds ``pair, interval, row, n, initial, test, n_folds, y`` and the inputs as ``x array<double>``; they are
+    stored in blocks once. Each Newton step is one pass: the fits, a table, meet the blocks of their series, tasks sum gradients and
+    Hessians, Spark adds them up per fit, tasks solve the small systems and the result is the next table. The driver
+    only learns whether a fit is open. So a sweep over all series and folds reads the data about ten times in total,
+    not once per model and iteration. Inputs are scaled by the fitting rows' mean and population deviation; the
+    intercept is not penalised. ``converged`` is false where ``max_iter`` ended a fit; fits with fewer than ``min_rows`` rows or
+    one class have no weights and predict their base rate.
     """
-    folds = F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)
-    rows = ds.withColumn("fold", F.explode(folds))
-    train_end = F.col("initial") + F.col("fold") * F.col("test")
-    valid = train_end + GAP + F.col("test") <= F.col("n")
-    rows = rows.withColumn("train_end", train_end).filter(valid & (F.col("row") < F.col("train_end")))
+    spark = ds.sparkSession
+    blocks = ds.select(*SERIES, "row", "y", "x", F.floor(F.col("row") / _BLOCK).alias("blk"))
+    blocks = materialise(blocks.groupBy(*SERIES, "blk").applyInArrow(_pack, _BLOCK_SQL), "blocks")
+    grid = ds.groupBy(*SERIES).agg(*[F.max(k).alias(k) for k in ("n", "initial", "test", "n_folds")])
+    grid = grid.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)))
+    train_end = (F.col("initial") + F.col("fold") * F.col("test")).cast("long")
+    grid = grid.withColumn("train_end", train_end).filter(F.col("train_end") + GAP + F.col("test") <= F.col("n"))
     n_cal = calibration_size(F.col("train_end"), calib_frac) if conformal else F.lit(0)
-    rows = rows.withColumn("fit_end", F.col("train_end") - n_cal)
-    fitting = F.col("row") < F.col("fit_end")
-    key = [*SERIES, "fold"]
-    # population moments per input, JVM-side, for all groups in one aggregation
-    vector = array_to_vector(F.col("x"))
-    counts = rows.groupBy(*key, "fit_end").agg(
-        F.avg("y").alias("base_rate"), F.count_if(fitting).alias("n_fit"), F.count_if(fitting & (F.col("y") == 1)).alias("n_up"),
-    )
-    moments = rows.filter(fitting).groupBy(*key).agg(
-        Summarizer.metrics("mean", "variance").summary(vector).alias("s")
-    ).select(*key, vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"))
-    groups: dict[tuple[str, str], dict[int, Fit]] = {}
-    for r in counts.join(moments, key, "left").collect():  # one row per series and fold
-        fit = Fit(base_rate=r["base_rate"], fit_end=r["fit_end"])
-        n, up = r["n_fit"], r["n_up"]
-        if n >= min_rows and 0 < up < n:
-            fit.mean = np.array(r["mean"])
-            fit.std = np.sqrt(np.array(r["var"]) * (n - 1) / n) + 1e-8
-            fit.coef = np.zeros(dim + 1)
-            fit.class_weight = (n / (2.0 * (n - up)), n / (2.0 * up))
-        groups.setdefault((r["pair"], r["interval"]), {})[r["fold"]] = fit
-    data = ds.select(*SERIES, "row", "y", "x")
-    schema = "pair string, interval string, fold long, g array<double>"
-    penalty = np.append(np.full(dim, 1.0 / c), 0.0)
-    open_groups = {(s, k) for s, fs in groups.items() for k, f in fs.items() if not f.degenerate}
-    for _ in range(max_iter):
-        if not open_groups:
-            break
-        active = {s: {k: f for k, f in fs.items() if (s, k) in open_groups} for s, fs in groups.items()}
-        parts = data.mapInArrow(_newton_partials(active, dim), schema)
-        summed = parts.groupBy(*key).agg(
-            Summarizer.metrics("sum").summary(array_to_vector(F.col("g"))).alias("s")
-        ).select(*key, vector_to_array("s.sum").alias("g"))
-        for r in summed.collect():  # one small system per series and fold
-            series, fold = (r["pair"], r["interval"]), r["fold"]
-            fit, flat = groups[series][fold], np.array(r["g"])
-            gradient = flat[: dim + 1] + penalty * fit.coef
-            hessian = flat[dim + 1:].reshape(dim + 1, dim + 1) + np.diag(penalty)
-            step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-            size = float(np.max(np.abs(step)))
-            fit.coef = fit.coef - (step if size <= 5.0 else step * (5.0 / size))
-            if size < tol:
-                fit.converged = True
-                open_groups.discard((series, fold))
-    return groups
-
-
-MODEL_SQL = "pair string, interval string, fold long, weights array<double>, bias double, base_rate double, fit_end long, converged boolean"
-
-
-def model_table(spark: SparkSession, groups: dict[tuple[str, str], dict[int, Fit]]) -> DataFrame:
-    """Fitted models as rows, to store and to apply to other bars: one per series and fold.
-
-    Scaling is folded into the weights: the score of inputs x is ``sum(weights * x) + bias``. A degenerate fit has no
-    weights and predicts its base rate.
-    """
-    rows = []
-    for (pair, interval), folds in groups.items():
-        for fold, f in folds.items():
-            weights, bias = None, None
-            if not f.degenerate:
-                scaled = f.coef[:-1] / f.std
-                weights, bias = scaled.tolist(), float(f.coef[-1] - scaled @ f.mean)
-            rows.append((pair, interval, int(fold), weights, bias, float(f.base_rate), int(f.fit_end), f.converged))
-    return spark.createDataFrame(rows, MODEL_SQL)
+    fits = materialise(grid.select(*_FIT_KEY, "train_end", (F.col("train_end") - n_cal).cast("long").alias("fit_end")), "fits")
+    with settings(spark, execution__arrow__maxRecordsPerBatch="16"):  # a row is a block
+        part = [F.slice("g", 5, dim) if k == 4 else F.col("g")[k] for k in range(5)]
+        n = part[2].cast("long")
+        moments = fits.join(_summed(blocks, fits, _counts), _FIT_KEY).select(
+            *fits.columns, (part[1] / part[0]).alias("base_rate"), n.alias("n_fit"), part[3].cast("long").alias("n_up"),
+            F.transform(part[4], lambda v: v / part[2]).alias("mean"),
+        )
+        moments = materialise(moments, "moments")
+        usable = (F.col("n_fit") >= min_rows) & (F.col("n_up") > 0) & (F.col("n_up") < F.col("n_fit"))
+        std = F.transform("g", lambda v: F.sqrt(v / F.col("n_fit")) + 1e-8)
+        spread = _summed(blocks, moments.filter(usable).select(*_FIT_KEY, "train_end", "fit_end", "mean"), _squares)
+        fits = moments.join(spread, _FIT_KEY, "left").select(
+            *moments.columns, std.alias("std"), F.when(usable, F.array_repeat(F.lit(0.0), dim + 1)).alias("coef"), usable.alias("open"), F.lit(False).alias("converged"),
+        )
+        fits = materialise(fits, "fits")
+        for _ in range(max_iter):
+            if not fits.filter("open").limit(1).count():
+                break
+            live = fits.filter("open")
+            sums = _summed(blocks, live.select(*_FIT_KEY, "train_end", "fit_end", "n_fit", "n_up", "mean", "std", "coef"), _newton)
+            solved = live.join(sums, _FIT_KEY).select(*live.columns, "g").mapInArrow(_solve(dim, c, tol), _FIT_SQL)
+            fits = materialise(fits.filter("NOT open").unionByName(solved), "fits")
+    scaled = F.zip_with(F.slice("coef", 1, dim), "std", lambda a, s: a / s)
+    centre = F.aggregate(F.zip_with("weights", "mean", lambda a, m: a * m), F.lit(0.0), lambda t, v: t + v)
+    models = fits.withColumn("weights", scaled).withColumn("bias", F.element_at("coef", -1) - centre)
+    return models.select(*_FIT_KEY, "weights", "bias", "base_rate", "fit_end", "converged")
 
 
 def score_with(models: DataFrame, rows: DataFrame, by: Sequence[str] = (*SERIES, "fold")) -> DataFrame:
@@ -270,11 +276,6 @@ def score_with(models: DataFrame, rows: DataFrame, by: Sequence[str] = (*SERIES,
     return joined.select(*kept, prob.alias("prob"), F.col("weights").isNull().alias("flat"))
 
 
-def score_logistic(df: DataFrame, groups: dict[tuple[str, str], dict[int, Fit]]) -> DataFrame:
-    """``score_with`` for fits at hand; rows have ``fold`` and ``x``."""
-    return score_with(model_table(df.sparkSession, groups), df)
-
-
 # Ablation variants and the inputs they use besides the numeric features.
 VARIANTS = {
     "fusion_num": (), "fusion_num_cnn": ("cnn",), "fusion_num_sent": ("sent",), "fusion_num_cnn_sent": ("cnn", "sent"),
@@ -309,14 +310,14 @@ def fusion(
     """Late-fusion logistic model with split-conformal sets: predictions plus ``in_set_0/1``."""
     inputs, size = fusion_inputs(ds, variant, dim)
     inputs = materialise(inputs, "fusion-inputs")  # read once per Newton step
-    groups = fit_logistic(inputs, size, True, calib_frac=calib_frac, max_folds=max_folds)
+    models = fit_logistic(inputs, size, True, calib_frac=calib_frac, max_folds=max_folds)
     tested = test_rows(inputs, max_folds).withColumn("role", F.lit("test"))
     calib = inputs.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), folds_of(max_folds) - 1)))
     train_end = (F.col("initial") + F.col("fold") * F.col("test")).cast("long")
     calib = calib.withColumn("train_end", train_end).withColumn("role", F.lit("calibration"))
     lower = F.col("train_end") - calibration_size(F.col("train_end"), calib_frac)
     calib = calib.filter((F.col("row") >= lower) & (F.col("row") < F.col("train_end")))
-    scored = score_logistic(tested.unionByName(calib), groups)
+    scored = score_with(models, tested.unionByName(calib))
     key = [*SERIES, "fold"]
     held = scored.filter((F.col("role") == "calibration") & ~F.col("flat"))
     thresholds = conformal_threshold(held.select(*key, F.col("y").alias("y_true"), F.col("prob").alias("y_prob")), alpha, key)
@@ -334,8 +335,8 @@ def sentiment_logistic(ds: DataFrame, max_folds: int | None = None) -> DataFrame
     x = F.array(*[F.col(c).cast("double") for c in SENTIMENT_FEATURES])
     inputs = materialise(ds.select(*keep, x.alias("x")), "sentiment-inputs")
     size = len(SENTIMENT_FEATURES)
-    groups = fit_logistic(inputs.filter(F.col("sent_count") > 0), size, False, max_folds=max_folds)
-    scored = score_logistic(test_rows(inputs, max_folds), groups)
+    models = fit_logistic(inputs.filter(F.col("sent_count") > 0), size, False, max_folds=max_folds)
+    scored = score_with(models, test_rows(inputs, max_folds))
     rates = base_rates(ds, max_folds)
     joined = spread_join(scored, rates, [*SERIES, "fold"], "left")
     prob = F.when(F.col("flat"), F.col("base_rate")).when(F.col("sent_count") > 0, F.col("prob")).otherwise(0.5)
@@ -376,8 +377,8 @@ def anchor_model(ds: DataFrame, variant: str = "fusion_num", dim: int = 0, frac:
     return _with_threshold(inputs, fit_logistic(inputs, size, True, max_folds=1), alpha)
 
 
-def _with_threshold(inputs: DataFrame, groups: dict[tuple[str, str], dict[int, Fit]], alpha: float) -> DataFrame:
-    models = model_table(inputs.sparkSession, groups).drop("fold")
+def _with_threshold(inputs: DataFrame, models: DataFrame, alpha: float) -> DataFrame:
+    models = models.drop("fold")
     lower = F.col("initial") - calibration_size(F.col("initial"))
     calib = score_with(models, inputs.filter((F.col("row") < F.col("initial")) & (F.col("row") >= lower)), SERIES)
     held = calib.filter(~F.col("flat")).select(*SERIES, F.col("y").alias("y_true"), F.col("prob").alias("y_prob"))

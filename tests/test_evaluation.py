@@ -119,14 +119,17 @@ def dataset(spark, n=400, seed=0):
 def test_grouped_newton_equals_spark_ml(spark):
     ds = dataset(spark)
     inputs = ds.withColumn("x", F.array("a", "b", "c"))
-    fits = M.fit_logistic(inputs, 3, conformal=False, max_folds=2)[("A", "1h")]
+    fits = M.fit_logistic(inputs, 3, conformal=False, max_folds=2)
     train = ds.filter(F.col("row") < 200)
     scaled = M.balance_weights(M.standardise(train, train, ["a", "b", "c"]))
     model = M.logistic_estimator(200).fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(scaled))
-    np.testing.assert_allclose(fits[0].coef[:3], model.coefficients.toArray(), atol=1e-5)
-    assert fits[0].coef[3] == pytest.approx(model.intercept, abs=1e-5)
+    stats = M.scaling_stats(train, ["a", "b", "c"]).first()
+    fit = fits.filter("fold = 0").first()
+    np.testing.assert_allclose(np.array(fit["weights"]) * stats["std"], model.coefficients.toArray(), atol=1e-5)
+    assert fit["bias"] + np.dot(fit["weights"], stats["mean"]) == pytest.approx(model.intercept, abs=1e-5)
+    assert fits.filter("NOT converged").count() == 0 and fits.count() == 2
     probs = model.transform(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(scaled)).select(vector_to_array("probability")[1].alias("p"), TS)
-    ours = M.score_logistic(inputs.filter("row < 200").withColumn("fold", F.lit(0).cast("long")), {("A", "1h"): fits})
+    ours = M.score_with(fits, inputs.filter("row < 200").withColumn("fold", F.lit(0).cast("long")))
     worst = probs.join(ours, TS).agg(F.max(F.abs(F.col("p") - F.col("prob"))).alias("d")).collect()[0]["d"]
     assert worst < 1e-5
 
@@ -152,8 +155,21 @@ def test_stored_model_scores_later_bars_in_batch_and_stream(spark, monkeypatch):
 
 def test_degenerate_fold_predicts_base_rate(spark):
     ds = dataset(spark).withColumn("y", F.lit(1).cast("long")).withColumn("x", F.array("a", "b", "c"))
-    fits = M.fit_logistic(ds, 3, conformal=True, max_folds=1)[("A", "1h")]
-    assert fits[0].degenerate and fits[0].base_rate == 1.0
+    fit = M.fit_logistic(ds, 3, conformal=True, max_folds=1).first()
+    assert fit["weights"] is None and fit["base_rate"] == 1.0 and not fit["converged"]
+
+
+def test_fits_in_blocks_of_many_series_are_one_fit_each(spark, monkeypatch):
+    ds = dataset(spark).withColumn("x", F.array("a", "b", "c"))
+    alone = {r["fold"]: r for r in M.fit_logistic(ds, 3, max_folds=3).collect()}
+    monkeypatch.setattr(M, "_BLOCK", 37)
+    many = ds.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: k.cast("string"))))
+    found = M.fit_logistic(many, 3, max_folds=3).collect()
+    assert len(found) == 41 * len(alone) and len(alone) == 3
+    for r in found:
+        np.testing.assert_allclose(r["weights"], alone[r["fold"]]["weights"], rtol=1e-7)
+        assert r["bias"] == pytest.approx(alone[r["fold"]]["bias"], rel=1e-7) and r["base_rate"] == pytest.approx(alone[r["fold"]]["base_rate"])
+    assert M.fit_logistic(ds.limit(0), 3).count() == 0
 
 
 def test_walk_forward_never_trains_on_test_rows(spark):
