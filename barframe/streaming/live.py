@@ -204,16 +204,16 @@ FEATURE_STREAM = T.StructType(
 )
 
 
-def _div(a: float, b: float) -> float:
-    return a / b if b else math.nan
+_CHUNK = 128  # bars of a running average evaluated at a time
 
 
-def _log_ratio(a: float, b: float) -> float:
-    return math.log(a / b) if b and a / b > 0 else math.nan
+def _div(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quotients, nan for a zero divisor."""
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=np.asarray(b) != 0)
 
 
 class _BarState:
-    """Tail of a series plus its running averages; one ``add`` per new bar."""
+    """Tail of a series plus its running averages; ``extend`` evaluates any number of new bars from them at once."""
 
     AVERAGES = ("up", "down", "tr", "fast", "slow", "signal")
 
@@ -221,44 +221,75 @@ class _BarState:
         self.seen, self.closes, self.volumes = seen, closes, volumes
         self.averages = dict(zip(self.AVERAGES, averages or [math.nan] * len(self.AVERAGES)))
 
-    def _ema(self, name: str, x: float, alpha: float) -> float:
-        last = self.averages[name]
-        self.averages[name] = x if math.isnan(last) else alpha * x + (1 - alpha) * last
-        return self.averages[name]
-
-    def add(self, bar: dict[str, float]) -> dict[str, float]:
-        prev = self.closes[-1] if self.closes else math.nan
-        close, n = bar["close"], self.seen
-        self.seen += 1
-        self.closes = [*self.closes, close][-_KEEP:]
-        self.volumes = [*self.volumes, bar["volume"]][-50:]
-        c, v = np.array(self.closes), np.array(self.volumes)
-        out = {f"ret_{k}": _log_ratio(close, c[-1 - k]) if len(c) > k else math.nan for k in (1, 2, 3, 5, 10, 20)}
-        for w in (5, 10, 20, 50):
-            win = c[-w:]
-            full = len(win) == w
-            low, high = win.min(), win.max()
-            out[f"sma_{w}"] = win.mean() if full else math.nan
-            out[f"std_{w}"] = (win.std() if high > low else 0.0) if full else math.nan
-            out[f"band_pos_{w}"] = _div(close - low, high - low) if full else math.nan
-        out["bb_pct_b"] = _div(close - (out["sma_20"] - 2 * out["std_20"]), 4 * out["std_20"])
-        for w in (10, 50):
-            out[f"vol_ratio_{w}"] = _div(bar["volume"], v[-w:].mean()) if len(v) >= w else math.nan
-        out["taker_buy_share"] = _div(bar["taker_buy_base"], bar["volume"])
-        spans = [abs(bar["high"] - bar["low"])]
-        if n:
-            spans += [abs(bar["high"] - prev), abs(bar["low"] - prev)]
-            up, down = self._ema("up", max(close - prev, 0.0), 1 / 14), self._ema("down", max(prev - close, 0.0), 1 / 14)
-        true_range = self._ema("tr", max(spans), 1 / 14)
-        rs = _div(up, down) if n >= 14 else math.nan
-        out["rsi_14"] = 100 - 100 / (1 + rs)
-        out["atr_14"] = true_range if n >= 13 else math.nan
-        out["macd"] = self._ema("fast", close, 2 / 13) - self._ema("slow", close, 2 / 27)
-        out["macd_signal"] = self._ema("signal", out["macd"], 2 / 10)
-        out["macd_hist"] = out["macd"] - out["macd_signal"]
-        for bars in (24, 168):
-            tail = c[-bars - 1:]
-            out[f"vol_{bars}"] = float(np.log(tail[1:] / tail[:-1]).std()) if len(tail) == bars + 1 and (tail > 0).all() else math.nan
+    def _ema(self, name: str, x: np.ndarray, alpha: float) -> np.ndarray:
+        """y = alpha x + (1 - alpha) y before, started by the first x: per chunk a weighted sum of its x and the decayed y before."""
+        out, last = np.empty(len(x)), self.averages[name]
+        done = 0
+        if math.isnan(last) and len(x):
+            out[0] = last = x[0]
+            done = 1
+        powers = (1 - alpha) ** np.arange(_CHUNK + 1)
+        weights = np.tril(alpha * powers[np.abs(np.subtract.outer(np.arange(_CHUNK), np.arange(_CHUNK)))])
+        for lo in range(done, len(x), _CHUNK):
+            part = x[lo : lo + _CHUNK]
+            out[lo : lo + len(part)] = weights[: len(part), : len(part)] @ part + powers[1 : len(part) + 1] * last
+            last = out[lo + len(part) - 1]
+        self.averages[name] = float(last)
+        return out
+
+    def extend(self, bars: np.ndarray) -> dict[str, np.ndarray]:
+        """Features of the new bars, rows of ``_BAR`` in time order, and the state after them."""
+        _, high, low, close, volume, taker = bars.T
+        m, had = len(bars), len(self.closes)
+        c, v = np.append(self.closes, close), np.append(self.volumes, volume)
+        n = self.seen + np.arange(m)
+
+        def windows(x: np.ndarray, width: int, tail: int, measure) -> np.ndarray:
+            """A measure of the ``width`` values up to each new bar; nan where there are fewer."""
+            x, short = x[max(tail - width + 1, 0) :], max(width - 1 - tail, 0)
+            out = np.full(m, np.nan)
+            if len(x) >= width:
+                out[short:] = measure(np.lib.stride_tricks.sliding_window_view(x, width))
+            return out
+
+        def before(k: int) -> np.ndarray:
+            return np.append(np.full(max(k - had, 0), np.nan), c[max(had - k, 0) : had - k + m])[:m] if had - k + m > 0 else np.full(m, np.nan)
+
+        with np.errstate(all="ignore"):
+            out = {}
+            for k in (1, 2, 3, 5, 10, 20):
+                ratio = _div(close, before(k))
+                out[f"ret_{k}"] = np.log(np.where(ratio > 0, ratio, np.nan))
+            for w in (5, 10, 20, 50):
+                least, most = (windows(c, w, had, lambda x, f=f: f(x, axis=1)) for f in (np.min, np.max))
+                out[f"sma_{w}"] = windows(c, w, had, lambda x: x.mean(axis=1))
+                out[f"std_{w}"] = np.where(most > least, windows(c, w, had, lambda x: x.std(axis=1)), most - least)
+                out[f"band_pos_{w}"] = _div(close - least, most - least)
+            out["bb_pct_b"] = _div(close - (out["sma_20"] - 2 * out["std_20"]), 4 * out["std_20"])
+            for w in (10, 50):
+                out[f"vol_ratio_{w}"] = _div(volume, windows(v, w, len(self.volumes), lambda x: x.mean(axis=1)))
+            out["taker_buy_share"] = _div(taker, volume)
+            prev = before(1)
+            later = n > 0
+            moves = (close - prev)[later]
+            rs = np.full(m, np.nan)
+            up, down = self._ema("up", np.maximum(moves, 0.0), 1 / 14), self._ema("down", np.maximum(-moves, 0.0), 1 / 14)
+            rs[later] = _div(up, down)
+            spans = np.abs(np.stack([high - low, high - prev, low - prev]))
+            spans[1:, ~later] = 0.0
+            true_range = self._ema("tr", spans.max(axis=0), 1 / 14)
+            out["rsi_14"] = np.where(n >= 14, 100 - 100 / (1 + rs), np.nan)
+            out["atr_14"] = np.where(n >= 13, true_range, np.nan)
+            out["macd"] = self._ema("fast", close, 2 / 13) - self._ema("slow", close, 2 / 27)
+            out["macd_signal"] = self._ema("signal", out["macd"], 2 / 10)
+            out["macd_hist"] = out["macd"] - out["macd_signal"]
+            positive = np.where(c > 0, c, np.nan)
+            moved = np.log(positive[1:] / positive[:-1])
+            for width in (24, 168):  # moves lag closes by one; a first bar has none
+                spread = windows(np.append(np.nan, moved) if had == 0 else moved, width, had if had == 0 else had - 1, lambda x: x.std(axis=1))
+                out[f"vol_{width}"] = spread
+        self.seen += m
+        self.closes, self.volumes = c[-_KEEP:].tolist(), v[-50:].tolist()
         return out
 
 
@@ -284,24 +315,25 @@ class _FeatureProcessor(StatefulProcessor):
             waiting = {at: list(held[k * len(_BAR) : (k + 1) * len(_BAR)]) for k, at in enumerate(held_at)}
         for part in rows:
             waiting.update(zip(part[TS].astype("datetime64[ns]").astype("int64").tolist(), part[_BAR].astype(float).to_numpy().tolist()))
-        newest, known, out = max([*times[-1:], *waiting]), set(times), []
-        for at in sorted(waiting):
-            if at > newest - self.hold and self.hold:
-                break  # an earlier bar may still come
-            values = waiting.pop(at)
-            if at in known:
-                continue  # a candle sent again
-            late = bool(times) and at < times[-1]
-            bar = dict(zip(_BAR, values))
-            own = {"pos": None} if late else {**tail.add(bar), "pos": tail.seen - 1}
-            out.append({"pair": key[0], "interval": key[1], TS: pd.Timestamp(at), **bar, **own, "late": late})
-            if not late:
-                times = [*times, at][-_KEEP:]
+        newest, known = max([*times[-1:], *waiting]), set(times)
+        ready = [at for at in sorted(waiting) if not self.hold or at <= newest - self.hold]  # before later ones an earlier bar may still come
+        bars = {at: waiting.pop(at) for at in ready}
+        fresh = [at for at in ready if at not in known]  # the others are candles sent again
+        late = [at for at in fresh if times and at < times[-1]]
+        new = fresh[len(late) :]
         held_at = sorted(waiting)
+        if fresh:
+            values = np.array([bars[at] for at in fresh])
+            frame = pd.DataFrame({"pair": key[0], "interval": key[1], TS: pd.to_datetime(fresh)} | dict(zip(_BAR, values.T)))
+            frame["late"] = np.arange(len(fresh)) < len(late)
+            frame["pos"] = pd.array([None] * len(late) + list(range(tail.seen, tail.seen + len(new))), "Int64")
+            if new:
+                for name, column in tail.extend(values[len(late) :]).items():
+                    frame[name] = np.append(np.full(len(late), np.nan), column)
+            times = [*times, *new][-_KEEP:]
         self.state.update((times, tail.seen, tail.closes, tail.volumes, list(tail.averages.values()), held_at, [v for at in held_at for v in waiting[at]]))
-        if out:
-            frame = pd.DataFrame(out).reindex(columns=[f.name for f in FEATURE_STREAM.fields])
-            yield frame.astype({"pos": "Int64"})
+        if fresh:
+            yield frame.reindex(columns=[f.name for f in FEATURE_STREAM.fields])
 
     def close(self) -> None:
         pass

@@ -203,36 +203,36 @@ def _(spark, sf):
 
 # --------------------------------------------------------------------------- encoders
 _CLOSES = f"""{BP}, wn AS (SELECT pair, open_time, list(close) OVER w AS c FROM bp
-    WINDOW w AS (PARTITION BY pair ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)),
-  c16 AS (SELECT * FROM wn WHERE len(c) = 16)"""
+    WINDOW w AS (PARTITION BY pair ORDER BY pos ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
+  cw AS (SELECT * FROM wn WHERE len(c) = 64)"""
 
 
-def windows(spark, sf, length=16):
+def windows(spark, sf, length=64):
     return collect_windows(positioned(spark, sf), ("open", "high", "low", "close"), length, block=BLOCK)
 
 
-@query("f15_minmax", f"""WITH {_CLOSES} SELECT pair, {ms('open_time')}, {r('list_sum([CASE WHEN list_max(c) > list_min(c) THEN 2 * (x - list_min(c)) / (list_max(c) - list_min(c)) - 1 ELSE 0 END for x in c]) AS total')} FROM c16""")
+@query("f15_minmax", f"""WITH {_CLOSES} SELECT pair, {ms('open_time')}, {r('list_sum([CASE WHEN list_max(c) > list_min(c) THEN 2 * (x - list_min(c)) / (list_max(c) - list_min(c)) - 1 ELSE 0 END for x in c]) AS total')} FROM cw""")
 def _(spark, sf):
     scaled = V.minmax(F.col("window.close"))
     return windows(spark, sf).select("pair", TS, F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("f16_gramian", f"""WITH {_CLOSES}, p AS (SELECT pair, open_time, [acos(greatest(-1, least(1, 2 * (x - list_min(c)) / (list_max(c) - list_min(c)) - 1))) for x in c] AS a FROM c16 WHERE list_max(c) > list_min(c))
+@query("f16_gramian", f"""WITH {_CLOSES}, p AS (SELECT pair, open_time, [acos(greatest(-1, least(1, 2 * (x - list_min(c)) / (list_max(c) - list_min(c)) - 1))) for x in c] AS a FROM cw WHERE list_max(c) > list_min(c))
   SELECT pair, {ms('open_time')}, {r('list_sum([list_sum([cos(u + v) for v in a]) for u in a]) AS gasf_sum', 'list_sum([cos(2 * u) for u in a]) AS gasf_trace',
-   'list_sum([list_sum([sin(u - v) for v in a]) for u in a]) * 0 AS gadf_sum', '0 AS gadf_trace', digits=4)}, {r('sin(a[1] - a[16]) AS gadf_corner', digits=4)} FROM p""", digits=4)
+   'list_sum([list_sum([sin(u - v) for v in a]) for u in a]) * 0 AS gadf_sum', '0 AS gadf_trace', digits=4)}, {r('sin(a[1] - a[64]) AS gadf_corner', digits=4)} FROM p""", digits=4)
 def _(spark, sf):
     w = windows(spark, sf)
-    sums = encode.gramian_summary(w, ["pair", TS], size=16)
-    corner = w.select("pair", TS, V.gramian(F.col("window.close"))[1][0][15].alias("gadf_corner"))
+    sums = encode.gramian_summary(w, ["pair", TS], size=64)
+    corner = w.select("pair", TS, V.gramian(F.col("window.close"))[1][0][63].alias("gadf_corner"))
     return sums.join(corner, ["pair", TS])
 
 
-_BINS = f"""{_CLOSES}, s AS (SELECT pair, open_time, c, list_sort(c) AS o FROM c16),
-  ed AS (SELECT *, [o[floor(15 * k / 8e0)::INT + 1] + (o[least(floor(15 * k / 8e0)::INT + 2, 16)] - o[floor(15 * k / 8e0)::INT + 1]) * (15 * k / 8e0 - floor(15 * k / 8e0)) for k in range(1, 8)] AS es FROM s),
+_BINS = f"""{_CLOSES}, s AS (SELECT pair, open_time, c, list_sort(c) AS o FROM cw),
+  ed AS (SELECT *, [o[floor(63 * k / 8e0)::INT + 1] + (o[least(floor(63 * k / 8e0)::INT + 2, 64)] - o[floor(63 * k / 8e0)::INT + 1]) * (63 * k / 8e0 - floor(63 * k / 8e0)) for k in range(1, 8)] AS es FROM s),
   bn AS (SELECT pair, open_time, [len([e for e in es if e <= x]) for x in c] AS b FROM ed)"""
 
 
-@query("f17_markov_transitions", f"""WITH {_BINS}, mv AS (SELECT pair, open_time, b[i] AS bin, b[i + 1] AS next_bin FROM bn, range(1, 16) t(i)),
+@query("f17_markov_transitions", f"""WITH {_BINS}, mv AS (SELECT pair, open_time, b[i] AS bin, b[i + 1] AS next_bin FROM bn, range(1, 64) t(i)),
   ct AS (SELECT pair, open_time, bin, next_bin, count(*) AS n FROM mv GROUP BY ALL)
   SELECT pair, {ms('open_time')}, bin::BIGINT AS bin, next_bin::BIGINT AS next_bin, n::BIGINT AS n, {r('n / sum(n) OVER (PARTITION BY pair, open_time, bin) AS p')} FROM ct""")
 def _(spark, sf):
@@ -240,23 +240,23 @@ def _(spark, sf):
     return encode.markov_transitions(w, "c", ["pair", TS])
 
 
-@query("f18_resample", f"""WITH {_CLOSES} SELECT pair, {ms('open_time')}, {r('c[1] AS first', 'c[4] + (c[5] - c[4]) * (5 * 15 / 24e0 - 3) AS sixth', 'c[16] AS last')}, 25::BIGINT AS size FROM c16""")
+@query("f18_resample", f"""WITH {_CLOSES} SELECT pair, {ms('open_time')}, {r('c[1] AS first', 'c[14] + (c[15] - c[14]) * (5 * 63 / 24e0 - 13) AS sixth', 'c[64] AS last')}, 25::BIGINT AS size FROM cw""")
 def _(spark, sf):
     out = V.resample(F.col("window.close"), 25)
     return windows(spark, sf).select("pair", TS, out[0].alias("first"), out[5].alias("sixth"), out[24].alias("last"), F.size(out).alias("size"))
 
 
 # The field holds the transition share of every pair of bars' bins: shares weighted by how often both bins occur.
-@query("f17_markov_field", f"""WITH {_BINS}, mv AS (SELECT pair, open_time, b[i] AS bin, b[i + 1] AS next_bin FROM bn, range(1, 16) t(i)),
+@query("f17_markov_field", f"""WITH {_BINS}, mv AS (SELECT pair, open_time, b[i] AS bin, b[i + 1] AS next_bin FROM bn, range(1, 64) t(i)),
   ct AS (SELECT pair, open_time, bin, next_bin, count(*) AS n FROM mv GROUP BY ALL),
   sh AS (SELECT *, n / sum(n) OVER (PARTITION BY pair, open_time, bin) AS p FROM ct),
   oc AS (SELECT pair, open_time, unnest(b) AS bin FROM bn), cn AS (SELECT pair, open_time, bin, count(*) AS k FROM oc GROUP BY ALL)
-  SELECT sh.pair, {ms('sh.open_time AS open_time')}, 256::BIGINT AS pixels, {r('sum(p * x.k * y.k) AS total', digits=2)} FROM sh
+  SELECT sh.pair, {ms('sh.open_time AS open_time')}, 4096::BIGINT AS pixels, {r('sum(p * x.k * y.k) AS total', digits=2)} FROM sh
   JOIN cn x ON x.pair = sh.pair AND x.open_time = sh.open_time AND x.bin = sh.bin JOIN cn y ON y.pair = sh.pair AND y.open_time = sh.open_time AND y.bin = sh.next_bin
   GROUP BY sh.pair, sh.open_time""", digits=2)
 def _(spark, sf):
     w = windows(spark, sf)
-    field = encode.encode_windows(w, "mtf", size=16)
+    field = encode.encode_windows(w, "mtf")
     total = F.aggregate(F.col("image")[0], F.lit(0.0), lambda a, x: a + x)
     return field.select("pair", TS, F.size(F.col("image")[0]).alias("pixels"), total.alias("total"))
 
@@ -264,16 +264,14 @@ def _(spark, sf):
 # cos(u + v) summed over all pairs is (sum c)^2 - (sum s)^2; sin(u - v) sums to 0.
 @query("f20_encode_gaf", f"""WITH {BP}, wn AS (SELECT pair, open_time, list(close) OVER w AS c FROM bp WINDOW w AS (PARTITION BY pair ORDER BY pos ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
   x AS (SELECT *, list_transform(c, lambda v: CASE WHEN list_max(c) > list_min(c) THEN (v - list_min(c)) / (list_max(c) - list_min(c)) * 2 - 1 ELSE 0 END) AS z FROM wn WHERE len(c) = 64)
-  SELECT pair, {ms('open_time')}, 4096::BIGINT AS pixels, {r('list_sum(z) * list_sum(z) - pow(list_sum(list_transform(z, lambda v: sqrt(greatest(0, 1 - v * v)))), 2) AS gasf_sum', digits=4)},
-    true AS summation, true AS difference, true AS stochastic FROM x""", digits=4)
+  SELECT pair, {ms('open_time')}, 4096::BIGINT AS pixels, {r('list_sum(z) * list_sum(z) - pow(list_sum(list_transform(z, lambda v: sqrt(greatest(0, 1 - v * v)))), 2) AS gasf_sum', '0 AS gadf_sum', digits=2)},
+    true AS stochastic FROM x""", digits=2)
 def _(spark, sf):
-    held = windows(spark, sf, 64)
-    images = encode.encode_windows(held, "gaf").join(encode.gramian_summary(held, [*SERIES, TS]), [*SERIES, TS])
+    images = encode.encode_windows(windows(spark, sf, 64), "gaf")
     total = lambda c: F.aggregate(F.col("image")[c], F.lit(0.0), lambda a, x: a + x)
     field = F.col("image")[2]
     return images.select(
-        "pair", TS, F.size(F.col("image")[0]).alias("pixels"), "gasf_sum", (F.abs(total(0) - F.col("gasf_sum")) < 0.01).alias("summation"),
-        (F.abs(total(1) - F.col("gadf_sum")) < 0.01).alias("difference"),
+        "pair", TS, F.size(F.col("image")[0]).alias("pixels"), total(0).alias("gasf_sum"), total(1).alias("gadf_sum"),
         ((F.array_min(field) >= 0) & (F.array_max(field) <= 1)).alias("stochastic"),
     )
 
@@ -298,12 +296,24 @@ def _(spark, sf):
     return emb.select("pair", TS, F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm"))
 
 
-@query("a22_channel_stats", f"""WITH {_CLOSES} SELECT t.ch::BIGINT AS channel, {r('avg(x * (ch + 1)) AS mean', 'stddev_pop(x * (ch + 1)) AS std', digits=4)}
-  FROM (SELECT unnest(c) AS x FROM c16), range(3) t(ch) GROUP BY ch""", digits=4)
+# Sums over all pixels of the two Gramian planes are closed forms of the angles' cosines and sines; the Markov plane's come from its shares.
+@query("a22_channel_stats", f"""WITH {_BINS}, z AS (SELECT pair, open_time, list_transform(c, lambda v: CASE WHEN list_max(c) > list_min(c)
+      THEN greatest(-1, least(1, (v - list_min(c)) / (list_max(c) - list_min(c)) * 2 - 1)) ELSE 0 END) AS z FROM cw),
+  t AS (SELECT list_sum(z) AS c, list_sum([sqrt(1 - v * v) for v in z]) AS s, list_sum([v * v for v in z]) AS cc, list_sum([1 - v * v for v in z]) AS ss,
+    list_sum([v * sqrt(1 - v * v) for v in z]) AS cs FROM z),
+  g AS (SELECT c * c - s * s AS g0, cc * cc + ss * ss - 2 * cs * cs AS q0, 0 AS g1, 2 * ss * cc - 2 * cs * cs AS q1 FROM t),
+  mv AS (SELECT pair, open_time, b[i] AS bin, b[i + 1] AS next_bin FROM bn, range(1, 64) t(i)), ct AS (SELECT pair, open_time, bin, next_bin, count(*) AS n FROM mv GROUP BY ALL),
+  sh AS (SELECT *, n / sum(n) OVER (PARTITION BY pair, open_time, bin) AS p FROM ct),
+  oc AS (SELECT pair, open_time, unnest(b) AS bin FROM bn), cn AS (SELECT pair, open_time, bin, count(*) AS k FROM oc GROUP BY ALL),
+  mk AS (SELECT sum(p * x.k * y.k) AS g, sum(p * p * x.k * y.k) AS q FROM sh JOIN cn x ON x.pair = sh.pair AND x.open_time = sh.open_time AND x.bin = sh.bin
+    JOIN cn y ON y.pair = sh.pair AND y.open_time = sh.open_time AND y.bin = sh.next_bin),
+  n AS (SELECT count(*) * 4096e0 AS n FROM cw),
+  m AS (SELECT 0 AS channel, sum(g0) / any_value(n) AS mean, sum(q0) / any_value(n) AS q FROM g, n UNION ALL SELECT 1, sum(g1) / any_value(n), sum(q1) / any_value(n) FROM g, n
+    UNION ALL SELECT 2, g / n, q / n FROM mk, n)
+  SELECT channel::BIGINT AS channel, {r('mean', 'sqrt(q - mean * mean) AS std', digits=4)} FROM m""", digits=4)
 def _(spark, sf):
-    plane = lambda c: F.transform("window.close", lambda x: x * c)
-    planes = F.array(plane(1), plane(2), plane(3))
-    return channel_stats(windows(spark, sf).select(planes.alias("image")))
+    images = encode.encode_windows(windows(spark, sf), "gaf").select("image")
+    return channel_stats(images)
 
 
 @query("w11_next_direction", f"""WITH {BARS} SELECT pair, {ms('open_time')}, (lead(close) OVER w > close)::INT AS next_dir

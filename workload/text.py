@@ -111,17 +111,24 @@ def _share(words: str, lists) -> str:
     return f"CASE WHEN {up} + {down} > 0 THEN ({up} - {down}) / ({up} + {down})::DOUBLE ELSE 0e0 END"
 
 
-@query("m16_score_news", f"""WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS done, source || '. ' || text || CASE doc_id % 4 WHEN 0 THEN ' rally gain loss' WHEN 1 THEN ' crash fear up'
+# Source and whole text of every document, with some of the scorer's words; every third is scored already.
+SCORED_SQL = f"""WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS done, source || '. ' || text || CASE doc_id % 4 WHEN 0 THEN ' rally gain loss' WHEN 1 THEN ' crash fear up'
     WHEN 2 THEN ' bullish growth' ELSE '' END AS body FROM documents),
   w AS (SELECT doc_id, done, string_split_regex(lower(body), '[^a-z]+') AS ws FROM t),
-  s AS (SELECT doc_id, done, {_share('ws', _FIRST)} AS a, {_share('ws', _SECOND)} AS b FROM w)
-  SELECT doc_id, {r('CASE WHEN done THEN 0.25 ELSE (a + b) / 2 END AS ensemble', 'CASE WHEN done THEN 0.5 ELSE (abs(a) + abs(b)) / 2 END AS confidence')} FROM s""")
-def _(spark, sf):
+  s AS (SELECT doc_id, done, {_share('ws', _FIRST)} AS a, {_share('ws', _SECOND)} AS b FROM w)"""
+
+
+def to_score(spark, sf):
     tail = F.element_at(F.array(*[F.lit(x) for x in (" rally gain loss", " crash fear up", " bullish growth", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    docs = table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("title"), F.concat("text", tail).alias("summary"),
         F.when(F.col("doc_id") % 3 == 0, F.lit('{"ensemble":0.25,"confidence":0.5}')).alias("sentiment"),
     )
+
+
+@query("m16_score_news", f"{SCORED_SQL} SELECT doc_id, {r('CASE WHEN done THEN 0.25 ELSE (a + b) / 2 END AS ensemble', 'CASE WHEN done THEN 0.5 ELSE (abs(a) + abs(b)) / 2 END AS confidence')} FROM s")
+def _(spark, sf):
+    docs = to_score(spark, sf)
     s = decode_sentiment(F.col("sentiment"))
     return N.score_news(docs).select("doc_id", s["ensemble"].alias("ensemble"), s["confidence"].alias("confidence"))
 

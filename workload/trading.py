@@ -8,6 +8,7 @@ from barframe.functions.text import decode_sentiment
 from barframe.operators import metrics as X
 from barframe.operators import positions as P
 from barframe.operators import ranges as R
+from barframe.operators.features import FEATURE_COLUMNS
 from barframe.operators.series import with_position
 from barframe.plans.sweep import refit
 from barframe.schema import SERIES, TS
@@ -16,6 +17,7 @@ from barframe.streaming import live
 from workload.bars import kline_lines
 from workload.fixtures import BARS, BLOCK, DATASET, EQUITY, FEATURES, NEWS, OUTCOME, TICKERS, VEC, bars, dataset, news, position_inputs, table, vectors
 from workload.registry import ms, query, r
+from workload.text import SCORED_SQL, to_score
 
 RECURSIVE = "WITH RECURSIVE "
 
@@ -233,13 +235,11 @@ def _(spark, sf):
     return spark.read.parquet(out).select("pair", TS, "open", "high", "low", "close", "volume", "trades")
 
 
-_STREAMED = ["ret_1", "ret_20", "sma_50", "std_20", "band_pos_10", "bb_pct_b", "vol_ratio_50", "taker_buy_share", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14", "dow_sin"]
+_STREAMED = FEATURE_COLUMNS
 
 
 @query("x06_x09_stream_features", f"{RECURSIVE}{FEATURES} SELECT pair, {ms('open_time')}, {r(*_STREAMED)} FROM feat")
 def _(spark, sf):
-    from barframe.operators.features import FEATURE_COLUMNS
-
     closed = _closed(spark, sf)
     path, out = _landed(spark, closed, "closed"), scratch_path(spark, "stream-features")
     _finish(live.sink_parquet(live.stream_features(live.stream_table(spark, path, closed.schema)), out, f"{out}-checkpoint"))
@@ -266,15 +266,13 @@ def _(spark, sf):
     return spark.read.parquet(out).select("pair", TS, "decision", "balance", "traded")
 
 
-@query("x11_stream_scoring", """SELECT doc_id, round(CASE doc_id % 3 WHEN 0 THEN 1.0 ELSE -0.5 END, 6) + 0.0 AS ensemble FROM documents WHERE doc_id % 4 <> 0""")
+@query("x11_stream_scoring", f"{SCORED_SQL} SELECT doc_id, {r('(a + b) / 2 AS ensemble', '(abs(a) + abs(b)) / 2 AS confidence')} FROM s WHERE NOT done")
 def _(spark, sf):
-    title = F.when(F.col("doc_id") % 3 == 0, F.lit("rally profit")).otherwise(F.lit("crash update"))
-    docs = table(spark, sf, "documents").select(
-        "doc_id", title.alias("title"), F.lit("").alias("summary"), F.when(F.col("doc_id") % 4 == 0, F.lit("{}")).alias("sentiment")
-    )
+    docs = to_score(spark, sf)
     path, out = _landed(spark, docs, "docs"), scratch_path(spark, "scored")
     _finish(live.sink_parquet(live.stream_scored_news(live.stream_table(spark, path, docs.schema)), out, f"{out}-checkpoint"))
-    return spark.read.parquet(out).select("doc_id", decode_sentiment(F.col("sentiment"))["ensemble"].alias("ensemble"))
+    s = decode_sentiment(F.col("sentiment"))
+    return spark.read.parquet(out).select("doc_id", s["ensemble"].alias("ensemble"), s["confidence"].alias("confidence"))
 
 
 # The upsert sink gets every candle three times in each of two batches: it persists one row per candle and batch.
