@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barframe.llm.shingles import U, hashed_words, mix
-from barframe.session import materialise
+from barframe.session import materialise, recorded_scratch, remove, settings
 
 COMMON = 5e-7  # share of all tokens from which a word's count is broadcast (at most 2 million words); others are joined
 CONTEXT = 0.0  # least share of all tokens of a context, besides LEAST; 0 leaves the choice to the divergence test
@@ -28,14 +28,14 @@ CACHE = 1_000_000  # rows up to which a table is broadcast instead of joined; th
 END = np.int64(-0x61C8864680B583EB)  # stands for the end among the hashes of words
 BEGIN = np.int64(0x3C79AC492BA7B653)  # precedes each text
 _STEP = U(0x9E3779B97F4A7C15)
-_KEYS = [*[f"c{d}" for d in range(1, DEPTH + 1)], *[f"g{d}" for d in range(1, DEPTH + 1)]]
+SIEVE = 28  # bits of a filter at most: a power of two
+HASHED = "64m"  # largest part of a join's smaller side that a task holds as a hash table
 SCORED_SQL = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "rare array<struct<word: long, n: long, open: long>>, "
-    f"grams array<struct<word: long, {', '.join(f'{k}: long' for k in _KEYS)}, n: long>>"
+    "rare array<struct<word: long, n: long, open: long>>, keys array<struct<key: long, gram: long, context: long>>"
 )
 _RARE = pa.struct([(c, pa.int64()) for c in ("word", "n", "open")])
-_GRAMS = pa.struct([(c, pa.int64()) for c in ("word", *_KEYS, "n")])
+_HITS = pa.struct([(c, pa.int64()) for c in ("key", "gram", "context")])
 
 
 class Lookup:
@@ -135,6 +135,7 @@ class Tree:
     discount: float = DISCOUNT
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the common ones
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    word_back: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 back-off weight of the common words as contexts
     whole: bool = True  # whether states and moves are held
     keys: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the states' contexts
     parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -173,26 +174,89 @@ def move_logs(tree: Tree, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+class Sieve:
+    """A Bloom filter of 64-bit keys: ``bits`` as bytes, a power of two of them up to 2^SIEVE bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.shift = U(64 - (len(bits) * 8).bit_length() + 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, shift: U) -> Iterator[np.ndarray]:
+        first = mix(keys.astype(np.int64).view(U))
+        yield first >> shift
+        yield (first * _STEP) >> shift
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be one of the filter's; true for all of these."""
+        out = np.ones(len(keys), dtype=bool)
+        for place in self.places(keys, self.shift):
+            out &= self.bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1 == 1
+        return out
+
+
+def _places(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place in Sieve.places(b.column(0).to_numpy(), U(shift)):
+                place = np.unique(place.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(place >> 15), pa.array(place & 32767)], ["block", "bit"])
+
+    return run
+
+
+def _bits(key: tuple, group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 15, dtype=np.uint8)
+    bits[group.column("bit").to_numpy()] = 1
+    return pa.table({"block": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def sieve(keys: DataFrame, n: int) -> Sieve:
+    """A filter of the ``n`` keys in the one column of ``keys``: 10 bits each and at most 2^SIEVE in all, whatever their number."""
+    power = min(SIEVE, max(15, (10 * n).bit_length()))
+    held = np.zeros((1 << power - 15, 4096), np.uint8)
+    places = keys.mapInArrow(_places(64 - power), "block long, bit long").distinct()
+    for r in places.groupBy("block").applyInArrow(_bits, "block long, bits binary").collect():  # at most 2^SIEVE bits
+        held[r.block] = np.frombuffer(r.bits, np.uint8)
+    return Sieve(held.ravel())
+
+
 def _followers(depth: int, contexts):
-    """Counts of contexts of one length with what follows: of the given contexts, or of all."""
+    """Counts of contexts of one length with what follows, for the contexts that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lookup(contexts.value.view(U)) if contexts is not None else None
+        known = contexts.value
         for b in batches:
             for tokens, owner in _tokens(b.column(0)):
-                context, gram, shorter, valid = next(islice(_chains(tokens, owner), depth - 1, None))
+                context, gram, _, valid = next(islice(_chains(tokens, owner), depth - 1, None))
                 at = np.flatnonzero(valid)
-                if known is not None:
-                    at = at[known.find(context[at].view(U)) >= 0]
-                keys, where, counts = np.unique(gram[at], return_index=True, return_counts=True)
+                at = at[known.holds(context[at])]
+                _, where, counts = np.unique(gram[at], return_index=True, return_counts=True)
                 where = at[where]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, context[where], shorter[where], counts)], ["g", "ctx", "sg", "n"])
+                order = np.argsort(context[where], kind="stable")  # neighbours share their context, which compresses well
+                where, counts = where[order], counts[order]
+                for lo in range(0, len(where), 1 << 17):
+                    part = slice(lo, lo + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context[where[part]], tokens[where[part]], counts[part])], ["ctx", "word", "n"])
 
     return run
 
 
-def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(states, grams) of one length of contexts.
+def _named(depth: int):
+    """Adds the keys of context and follower (``g``) and of the same without the oldest word (``sg``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, word = b.column("ctx").to_numpy(), b.column("word").to_numpy()
+            suffix = word if depth == 1 else _next(b.column("s1").to_numpy(zero_copy_only=False), word)
+            columns = {c: b.column(c) for c in ("ctx", "n", "total", "s1", "s2")}
+            yield pa.RecordBatch.from_arrays([pa.array(_next(ctx, word)), pa.array(suffix), *columns.values()], ["g", "sg", *columns])
+
+    return run
+
+
+def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, moves, grams) of one length of contexts.
 
     ``above`` holds the grams one shorter: key ``g``, count ``n``, log10 probability ``lp`` and the keys ``t1, t2`` of
     their suffixes as contexts. For every follower the probability is compared with the one without the oldest word; a
@@ -200,19 +264,21 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     (count - DISCOUNT) / total; the rest of the mass goes to all others in proportion to the shorter context, so every
     state's distribution sums to 1. A context needs no retained suffix.
     """
-    sc = train.sparkSession.sparkContext
+    spark = train.sparkSession
     allowed = above.filter(F.col("n") >= max(CONTEXT * n, float(LEAST)))
-    few = allowed.count() <= CACHE
-    contexts = sc.broadcast(np.sort(allowed.select("g").toPandas()["g"].to_numpy(np.int64))) if few else None
-    counted = train.select("text").mapInArrow(_followers(depth, contexts), "g long, ctx long, sg long, n long")
-    # One row per context and follower; what occurs once is never tested.
-    counted = counted.groupBy("g").agg(F.min("ctx").alias("ctx"), F.min("sg").alias("sg"), F.sum("n").alias("n")).filter("n >= 2")
+    contexts = spark.sparkContext.broadcast(sieve(allowed.select("g"), allowed.count()))  # of bounded size
+    counted = train.select("text").mapInArrow(_followers(depth, contexts), "ctx long, word long, n long")
+    # One row per context and follower; what occurs once is never tested. Tasks have summed their own: no second combination.
+    counted = counted.repartition(F.col("ctx"), F.col("word")).groupBy("ctx", "word").agg(F.sum("n").alias("n")).filter("n >= 2")
     totals = allowed.select(F.col("g").alias("ctx"), F.col("n").alias("total"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
+    counted = counted.join(totals, "ctx").mapInArrow(_named(depth), "g long, sg long, ctx long, n long, total long, s1 long, s2 long")
     parents = above.select(F.col("g").alias("sg"), F.col("lp").alias("up"), F.col("t1").alias("t2"))
     p = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
     tested = (F.col("n") >= F.lit(SYMBOL) * F.col("total")) & (F.abs(F.log10(p) - F.col("up")) >= math.log10(RATIO))
-    rows = counted.join(totals, "ctx").join(parents, "sg").withColumns({"p": p, "tested": tested})
-    rows = materialise(rows, "followers")
+    rows = counted.join(parents, "sg").withColumns({"p": p, "tested": tested})
+    with settings(spark, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED), recorded_scratch([]) as held:
+        rows = materialise(rows, "followers")
+    contexts.unpersist()
     theirs = F.pow(F.lit(10.0), F.col("up"))
     states = rows.filter("tested").groupBy("ctx").agg(
         *[F.min(c).alias(c) for c in ("total", "s1", "s2")], F.sum("p").alias("own"), F.sum(theirs).alias("theirs"), F.sum("n").alias("of"),
@@ -226,8 +292,11 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     out = rows.join(states.select("ctx", "back"), "ctx", "left")
     move = F.col("back").isNotNull() & F.col("tested")
     lp = F.when(move, F.log10("p")).otherwise(F.col("up") + F.coalesce("back", F.lit(0.0)))
-    grams = materialise(out.select("g", "n", lp.alias("lp"), F.col("sg").alias("t1"), "t2", move.alias("move")), "grams")
-    return states, grams
+    extra = F.when(move, F.log10("p") - F.col("up") - F.col("back"))  # what a move adds to the longer context's back-off
+    grams = materialise(out.select("g", "n", lp.alias("lp"), F.col("sg").alias("t1"), "t2", move.alias("move"), extra.alias("extra")), "grams")
+    moves = materialise(grams.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log"), "extra"), "moves")
+    remove(spark, held[0])
+    return states, moves, grams
 
 
 def _empty(df: DataFrame, columns: str) -> DataFrame:
@@ -235,7 +304,7 @@ def _empty(df: DataFrame, columns: str) -> DataFrame:
 
 
 def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
-    """(tree, counts of all words, states ``key, back``, moves ``key, log``) from the texts in ``train.text``.
+    """(tree, counts of all words, states ``key, back``, moves ``key, log, extra``) from the texts in ``train.text``.
 
     One pass counts words; each length of contexts takes another. Every context that occurs LEAST times is tested, so
     states and moves grow with the texts. They are tables by key; the tree holds them if they are few.
@@ -248,18 +317,28 @@ def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
     tree = Tree(n=int(n), v=int(v))
     if ones + twos:
         tree.discount = min(max(ones / (ones + 2 * twos), 0.05), 0.95)
-    common = counts.filter(F.col("n") >= max(2.0, COMMON * n)).toPandas().sort_values("word")  # at most 1 / COMMON rows
+    floor = max(2.0, COMMON * n)
+    common = counts.filter(F.col("n") >= floor).toPandas().sort_values("word")  # at most 1 / COMMON rows
     tree.words, tree.counts = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    states, moves = _empty(train, "key long, back double, s1 long, s2 long"), _empty(train, "key long, log double")
+    states, moves = _empty(train, "key long, back double, s1 long, s2 long"), _empty(train, "key long, log double, extra double")
     if n:
         none = F.lit(None).cast("long")
         begin = train.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("word"), F.lit(int(texts)).alias("n"))
         root = F.log10((F.col("n") - F.lit(tree.discount)) / float(n))
         above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"), none.alias("t1"), none.alias("t2"))
+        old = None
         for depth in range(1, DEPTH + 1):
-            more, above = _level(train, depth, above, n)
+            with recorded_scratch([]) as held:
+                more, moved, above = _level(train, depth, above, n)
             states = states.unionByName(more.withColumnRenamed("ctx", "key"))
-            moves = moves.unionByName(above.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log")))
+            moves = moves.unionByName(moved)
+            if old:  # the grams one shorter were only needed here
+                remove(train.sparkSession, old)
+            old = next(path for path in held if "/grams-" in path)
+        remove(train.sparkSession, old)
+    tree.word_back = np.zeros(len(common))
+    own = states.join(counts.filter(F.col("n") >= floor).select(F.col("word").alias("key")), "key").select("key", "back").toPandas()  # of the common words
+    tree.word_back[np.searchsorted(tree.words, own["key"].to_numpy(np.int64))] = own["back"].to_numpy(float)
     tree.whole = states.count() + moves.count() <= CACHE
     if tree.whole:
         held, more = states.fillna(0, ["s1", "s2"]).toPandas(), moves.toPandas()
@@ -289,16 +368,17 @@ def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _lists(parts: list, kind: pa.StructType, n: int) -> pa.ListArray:
-    """Lists of structs per text from (text numbers, columns...) in the order of texts."""
+    """Lists of structs per text from parts (text numbers, columns...)."""
     owners, *columns = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * (1 + len(kind))
+    order = np.argsort(owners, kind="stable")
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
-    arrays = [pa.array(c.astype(np.int64)) for c in columns]
+    arrays = [pa.array(c[order].astype(np.int64)) for c in columns]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
 
-def _score(shared):
+def _score(shared, held=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        tree, known = shared.value, held.value if held is not None else None
         words, moves, states = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:]))
         base, root, back = tree.base_log(tree.counts), tree.root_log(tree.counts), tree.back[1:]
         number = TaskContext.get().partitionId() << 33
@@ -324,15 +404,28 @@ def _score(shared):
                         logs[todo[~hit]] += back[state[~hit]]
                     some = np.flatnonzero(open_ & common)
                     logs[some] += root[ids[some]]
-                else:  # all lengths of a token's context go to the tables, each distinct one of a text once
-                    longest = tokens
-                    for _, gram, _, valid in chains:
-                        longest = np.where(valid, gram, longest)
-                    order, at, times = _distinct(owner, longest)
-                    one = order[at]
-                    parts = [np.where(v, x, BEGIN)[one] for k in (0, 1) for c in chains for x, v in [(c[k], c[3])]]
-                    grams.append((owner[one], tokens[one], *parts, times))
-                    open_[:] = False
+                else:  # what the tables may know of a token's contexts goes there, each key of a text once
+                    some = np.flatnonzero(common)
+                    logs[some] += root[ids[some]]
+                    before = np.roll(ids, 1)
+                    begins = chains[0][0] == BEGIN
+                    some = np.flatnonzero(~begins & (before >= 0))
+                    logs[some] += tree.word_back[before[some]]
+                    hit = known.holds(np.where(begins, BEGIN, 0)) & begins | known.holds(np.roll(tokens, 1)) & ~begins & (before < 0)
+                    parts = []
+                    for context, gram, _, valid in chains:
+                        for keys, mask, own in ((context, hit & valid, 0), (gram, None, 1)):
+                            if mask is None:
+                                hit = known.holds(keys)
+                                mask = hit & valid
+                                hit = np.roll(hit, 1)  # as the next token's longer context
+                            at = np.flatnonzero(mask)
+                            parts.append((owner[at], keys[at], np.full(len(at), own, np.int64)))
+                    who, keys, own = (np.concatenate(x) for x in zip(*parts))
+                    if len(who):
+                        order, at, times = _distinct(who, keys)
+                        own = np.add.reduceat(own[order], at)
+                        grams.append((who[order][at], keys[order][at], own, times - own))
                 for k, x in enumerate((np.ones(len(ids)), common, np.where(common, base[np.maximum(ids, 0)] if len(base) else 0, 0), logs)):
                     sums[k] += np.bincount(owner, x, n)
                 others = np.flatnonzero(~common)
@@ -343,28 +436,25 @@ def _score(shared):
             arrays = [pa.array(number + np.arange(n)), b.column(0), b.column(1), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *map(pa.array, sums[2:])]
             number += n
             yield pa.RecordBatch.from_arrays(
-                [*arrays, _lists(rare, _RARE, n), _lists(grams, _GRAMS, n)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "grams"],
+                [*arrays, _lists(rare, _RARE, n), _lists(grams, _HITS, n)],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "keys"],
             )
 
     return run
 
 
-def _joined(scored: DataFrame, counts: DataFrame, states: DataFrame, moves: DataFrame, root) -> DataFrame:
-    """``row, g``: the sums of log10 probabilities by joins with states and moves, each distinct context and word once."""
-    flat = scored.select("row", F.explode("grams").alias("x")).select("row", "x.*").withColumn("key", F.col(f"g{DEPTH}"))
-    for d in range(DEPTH - 1, 0, -1):  # near a text's begin the longer contexts are missing, BEGIN in their places
-        flat = flat.withColumn("key", F.when(F.col("key") == int(BEGIN), F.col(f"g{d}")).otherwise(F.col("key")))
-    flat = flat.select("row", "key", "n", "word", *_KEYS)
-    found = flat.groupBy("key").agg(*[F.min(c).alias(c) for c in ("word", *_KEYS)])
-    for d in range(1, DEPTH + 1):
-        found = found.join(states.select(F.col("key").alias(f"c{d}"), F.col("back").alias(f"b{d}")), f"c{d}", "left")
-        found = found.join(moves.select(F.col("key").alias(f"g{d}"), F.col("log").alias(f"m{d}")), f"g{d}", "left")
-    found = found.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    log = root(F.coalesce("c", F.lit(0)))
-    for d in range(1, DEPTH + 1):
-        log = F.coalesce(f"m{d}", log + F.coalesce(f"b{d}", F.lit(0.0)))
-    return flat.select("row", "key", "n").join(found.select("key", log.alias("log")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("g"))
+def _joined(scored: DataFrame, states: DataFrame, moves: DataFrame) -> DataFrame:
+    """``row, g``: what contexts add to the texts' logarithms, by a join of the keys with one table.
+
+    A text's logarithm is the sum of its words' without context, of the back-off weight of every retained context, and of what
+    every move adds to its context's back-off: each term needs one key.
+    """
+    none = F.lit(0.0)
+    table = states.select("key", F.col("back").alias("b"), none.alias("e")).unionByName(moves.select("key", none.alias("b"), F.col("extra").alias("e")))
+    table = table.groupBy("key").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+    flat = scored.select("row", F.explode("keys").alias("x")).select("row", "x.*")
+    term = F.col("gram") * F.col("e") + F.col("context") * F.col("b")
+    return flat.join(table, "key").groupBy("row").agg(F.sum(term).alias("g"))
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -384,7 +474,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows = docs.select("doc_id", held.alias("held_out"), "text")
     tree, counts, states, moves = model(rows.filter("NOT held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
-    scored = materialise(rows.mapInArrow(_score(shared), SCORED_SQL), "scored")
+    held = None
+    if not tree.whole:
+        keys = states.select("key").unionByName(moves.select("key"))
+        held = docs.sparkSession.sparkContext.broadcast(sieve(keys, keys.count()))  # of bounded size
+    scored = materialise(rows.mapInArrow(_score(shared, held), SCORED_SQL), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"), "r.open")
     joined = rare.join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
@@ -400,9 +494,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         F.sum(F.col("times") * F.log10((c + 1.0) / float(tree.n + tree.v + 1))).alias("b"),
         F.sum(F.col("open") * root(c)).alias("s"),
     )
-    out = scored.drop("rare", "grams").join(sums, "row", "left")
+    out = scored.drop("rare", "keys").join(sums, "row", "left")
     if not tree.whole:
-        out = out.join(_joined(scored, counts, states, moves, root), "row", "left").withColumn("s", F.coalesce("g", F.lit(0.0)))
+        with settings(docs.sparkSession, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+            added = materialise(_joined(scored, states, moves), "added")
+        out = out.join(added, "row", "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.coalesce("g", F.lit(0.0)))
 
     def plus(name: str, more: str, kind: str):
         return (F.col(name) + F.coalesce(more, F.lit(0))).cast(kind).alias(name)
