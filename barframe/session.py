@@ -81,7 +81,7 @@ def recorded_scratch(paths: list[str]) -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _RECORDERS.remove(paths)
+        _RECORDERS[:] = [p for p in _RECORDERS if p is not paths]
 
 
 def remove(spark: SparkSession, path: str) -> None:
