@@ -136,6 +136,9 @@ class Tree:
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the common ones
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     word_back: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 back-off weight of the common words as contexts
+    top_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent keys' terms, see ``_joined``
+    top_back: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    top_extra: np.ndarray = field(default_factory=lambda: np.zeros(0))
     whole: bool = True  # whether states and moves are held
     keys: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the states' contexts
     parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -287,14 +290,14 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     weight = F.greatest(1 - F.col("own"), F.lit(1e-12)) / F.greatest(1 - F.col("theirs"), F.lit(1e-12))
     # The gain of the departures alone, less what the changed rest of the mass loses.
     gain = F.col("gain") + (F.col("total") - F.col("of")) * F.log(weight)
-    states = states.filter(gain >= EVIDENCE * math.log(max(n, 2))).select("ctx", F.log10(weight).alias("back"), "s1", "s2")
+    states = states.filter(gain >= EVIDENCE * math.log(max(n, 2))).select("ctx", F.log10(weight).alias("back"), "s1", "s2", F.col("total").alias("n"))
     states = materialise(states, "states")
     out = rows.join(states.select("ctx", "back"), "ctx", "left")
     move = F.col("back").isNotNull() & F.col("tested")
     lp = F.when(move, F.log10("p")).otherwise(F.col("up") + F.coalesce("back", F.lit(0.0)))
     extra = F.when(move, F.log10("p") - F.col("up") - F.col("back"))  # what a move adds to the longer context's back-off
     grams = materialise(out.select("g", "n", lp.alias("lp"), F.col("sg").alias("t1"), "t2", move.alias("move"), extra.alias("extra")), "grams")
-    moves = materialise(grams.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log"), "extra"), "moves")
+    moves = materialise(grams.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log"), "extra", "n"), "moves")
     remove(spark, held[0])
     return states, moves, grams
 
@@ -304,7 +307,7 @@ def _empty(df: DataFrame, columns: str) -> DataFrame:
 
 
 def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
-    """(tree, counts of all words, states ``key, back``, moves ``key, log, extra``) from the texts in ``train.text``.
+    """(tree, counts of all words, states ``key, back, n``, moves ``key, log, extra, n``) from the texts in ``train.text``.
 
     One pass counts words; each length of contexts takes another. Every context that occurs LEAST times is tested, so
     states and moves grow with the texts. They are tables by key; the tree holds them if they are few.
@@ -320,7 +323,7 @@ def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
     floor = max(2.0, COMMON * n)
     common = counts.filter(F.col("n") >= floor).toPandas().sort_values("word")  # at most 1 / COMMON rows
     tree.words, tree.counts = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    states, moves = _empty(train, "key long, back double, s1 long, s2 long"), _empty(train, "key long, log double, extra double")
+    states, moves = _empty(train, "key long, back double, s1 long, s2 long, n long"), _empty(train, "key long, log double, extra double, n long")
     if n:
         none = F.lit(None).cast("long")
         begin = train.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("word"), F.lit(int(texts)).alias("n"))
@@ -379,7 +382,7 @@ def _lists(parts: list, kind: pa.StructType, n: int) -> pa.ListArray:
 def _score(shared, held=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known = shared.value, held.value if held is not None else None
-        words, moves, states = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:]))
+        words, moves, states, top = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:], tree.top_keys))
         base, root, back = tree.base_log(tree.counts), tree.root_log(tree.counts), tree.back[1:]
         number = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -412,15 +415,19 @@ def _score(shared, held=None):
                     some = np.flatnonzero(~begins & (before >= 0))
                     logs[some] += tree.word_back[before[some]]
                     hit = known.holds(np.where(begins, BEGIN, 0)) & begins | known.holds(np.roll(tokens, 1)) & ~begins & (before < 0)
-                    parts = []
+                    place, parts = np.full(len(tokens), -1), []
                     for context, gram, _, valid in chains:
-                        for keys, mask, own in ((context, hit & valid, 0), (gram, None, 1)):
-                            if mask is None:
+                        for keys, value, own in ((context, tree.top_back, 0), (gram, tree.top_extra, 1)):
+                            if own:
                                 hit = known.holds(keys)
-                                mask = hit & valid
-                                hit = np.roll(hit, 1)  # as the next token's longer context
-                            at = np.flatnonzero(mask)
+                                place = np.full(len(keys), -1)
+                                some = np.flatnonzero(hit)
+                                place[some] = top.find(keys[some].view(U))
+                            at = np.flatnonzero(hit & valid & (place >= 0))
+                            logs[at] += value[place[at]]
+                            at = np.flatnonzero(hit & valid & (place < 0))
                             parts.append((owner[at], keys[at], np.full(len(at), own, np.int64)))
+                        hit, place = np.roll(hit, 1), np.roll(place, 1)  # as the next token's longer context
                     who, keys, own = (np.concatenate(x) for x in zip(*parts))
                     if len(who):
                         order, at, times = _distinct(who, keys)
@@ -443,18 +450,38 @@ def _score(shared, held=None):
     return run
 
 
-def _joined(scored: DataFrame, states: DataFrame, moves: DataFrame) -> DataFrame:
-    """``row, g``: what contexts add to the texts' logarithms, by a join of the keys with one table.
+def _terms(states: DataFrame, moves: DataFrame) -> DataFrame:
+    """``key, back, extra, n``: what a key adds to a text's logarithm as a context, and as context and word.
 
     A text's logarithm is the sum of its words' without context, of the back-off weight of every retained context, and of what
     every move adds to its context's back-off: each term needs one key.
     """
     none = F.lit(0.0)
-    table = states.select("key", F.col("back").alias("b"), none.alias("e")).unionByName(moves.select("key", none.alias("b"), F.col("extra").alias("e")))
-    table = table.groupBy("key").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+    both = states.select("key", "back", none.alias("extra"), "n").unionByName(moves.select("key", none.alias("back"), "extra", "n"))
+    return both.groupBy("key").agg(F.sum("back").alias("back"), F.sum("extra").alias("extra"), F.max("n").alias("n"))
+
+
+def _with_top(tree: Tree, terms: DataFrame) -> None:
+    """Gives the tree the terms of the most frequent keys, at most CACHE: they make up most of what texts ask for."""
+    size = F.floor(F.log2("n") * 16).cast("int")
+    sizes = terms.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect()  # some hundreds
+    held, least = 0, None
+    for r in sizes:
+        held += r.c
+        if held > CACHE:
+            break
+        least = r.size
+    if least is None:
+        return
+    top = terms.filter(size >= least).select("key", "back", "extra").toPandas()
+    tree.top_keys, tree.top_back, tree.top_extra = top["key"].to_numpy(np.int64), top["back"].to_numpy(float), top["extra"].to_numpy(float)
+
+
+def _joined(scored: DataFrame, terms: DataFrame) -> DataFrame:
+    """``row, g``: the terms of the keys that the tasks don't hold, by a join."""
     flat = scored.select("row", F.explode("keys").alias("x")).select("row", "x.*")
-    term = F.col("gram") * F.col("e") + F.col("context") * F.col("b")
-    return flat.join(table, "key").groupBy("row").agg(F.sum(term).alias("g"))
+    term = F.col("gram") * F.col("extra") + F.col("context") * F.col("back")
+    return flat.join(terms.drop("n"), "key").groupBy("row").agg(F.sum(term).alias("g"))
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -473,11 +500,12 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
     tree, counts, states, moves = model(rows.filter("NOT held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
     held = None
     if not tree.whole:
-        keys = states.select("key").unionByName(moves.select("key"))
-        held = docs.sparkSession.sparkContext.broadcast(sieve(keys, keys.count()))  # of bounded size
+        terms = materialise(_terms(states, moves), "terms")
+        held = docs.sparkSession.sparkContext.broadcast(sieve(terms.select("key"), terms.count()))  # of bounded size
+        _with_top(tree, terms)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
     scored = materialise(rows.mapInArrow(_score(shared, held), SCORED_SQL), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"), "r.open")
     joined = rare.join(counts, "word", "left")
@@ -497,7 +525,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     out = scored.drop("rare", "keys").join(sums, "row", "left")
     if not tree.whole:
         with settings(docs.sparkSession, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-            added = materialise(_joined(scored, states, moves), "added")
+            added = materialise(_joined(scored, terms), "added")
         out = out.join(added, "row", "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.coalesce("g", F.lit(0.0)))
 
     def plus(name: str, more: str, kind: str):

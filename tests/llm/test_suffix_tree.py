@@ -191,18 +191,17 @@ def test_a_context_needs_no_retained_suffix(spark):
     assert b not in keys and longer in keys and tree.parent[keys.index(longer)] == 0
 
 
-def test_joined_tables_score_as_broadcast_ones(spark):
+@pytest.mark.parametrize("cache", [0, 60])
+def test_joined_tables_score_as_broadcast_ones(spark, monkeypatch, cache):
+    """At the shipped setting: all terms by the join, or the most frequent ones in the tasks."""
     docs = spark.createDataFrame([*enumerate(corpus(1500)), (None, "once upon a time"), (7, None)], "doc_id long, text string").repartition(5)
 
     def scores():
         return sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in st.score(docs).collect())
 
-    held, cache = scores(), st.CACHE
-    st.CACHE = 0
-    try:
-        joined = scores()
-    finally:
-        st.CACHE = cache
+    held = scores()
+    monkeypatch.setattr(st, "CACHE", cache)
+    joined = scores()
     assert len(held) == len(joined)
     for a, b in zip(held, joined):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
