@@ -24,7 +24,7 @@ DEPTH = 3
 RATIO = 1.5  # least ratio to the parent's probability, either way, of a follower with a probability of its own
 EVIDENCE = 10.0  # times log N: least log-likelihood gain of a context over its parent
 DISCOUNT = 0.5
-CACHE = 1_000_000  # rows up to which a table is broadcast instead of joined; the result is the same
+CACHE = 250_000  # rows of states and moves, the most frequent ones, that tasks hold; the others are joined, with the same result
 END = np.int64(-0x61C8864680B583EB)  # stands for the end among the hashes of words
 BEGIN = np.int64(0x3C79AC492BA7B653)  # precedes each text
 _STEP = U(0x9E3779B97F4A7C15)
