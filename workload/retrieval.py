@@ -290,10 +290,16 @@ def _(spark, sf):
     return images.select("pair", TS, F.length("image").alias("bytes"), red(0).alias("top"), red(63).alias("bottom"), rising.alias("rising"))
 
 
-@query("m17_embed_windows", f"WITH {BP} SELECT pair, {ms('open_time')}, 128::BIGINT AS dim, 1e0 AS norm FROM bp WHERE pos >= 63", digits=5)
+# The whole vector enters a weighted sum, so that any wrong entry shows.
+@query("m17_embed_windows", f"""WITH {_CLOSES}, p AS (SELECT pair, open_time, list_transform(c, lambda x: ln(x) - ln(c[64])) AS p FROM cw),
+  e AS (SELECT pair, open_time, list_transform(range(128), lambda j: p[floor(j * 63 / 127e0)::INT + 1]
+    + (p[least(floor(j * 63 / 127e0)::INT + 2, 64)] - p[floor(j * 63 / 127e0)::INT + 1]) * (j * 63 / 127e0 - floor(j * 63 / 127e0))) AS e FROM p),
+  s AS (SELECT *, greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12) AS size FROM e)
+  SELECT pair, {ms('open_time')}, 128::BIGINT AS dim, {r('e[1] / size AS first', 'e[64] / size AS middle', 'list_sum(list_transform(e, lambda x, j: x * j)) / size / 128 AS weighted', digits=4)} FROM s""", digits=4)
 def _(spark, sf):
-    emb = encode.embed_windows(windows(spark, sf, 64))
-    return emb.select("pair", TS, F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm"))
+    emb = encode.embed_windows(windows(spark, sf, 64)).withColumn("e", F.col("embedding").cast("array<double>"))
+    weighted = F.aggregate(F.transform("e", lambda x, j: x * (j + 1)), F.lit(0.0), lambda t, x: t + x) / 128
+    return emb.select("pair", TS, F.size("e").alias("dim"), F.col("e")[0].alias("first"), F.col("e")[63].alias("middle"), weighted.alias("weighted"))
 
 
 # Sums over all pixels of the two Gramian planes are closed forms of the angles' cosines and sines; the Markov plane's come from its shares.
