@@ -51,7 +51,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def fold(events: Iterator[dict]) -> tuple[str, str]:
-    """(role, text) of one message from its events in sequence."""
+    """(role, text) of one message from its events in sequence; events of unknown or null kind change nothing."""
     role, text = "", []
     for e in events:
         kind, payload = e["kind"], e["payload"] or ""
@@ -63,8 +63,6 @@ def fold(events: Iterator[dict]) -> tuple[str, str]:
             text = [payload]
         elif kind == "regenerate":
             text = []
-        else:
-            raise ValueError(f"unknown event {kind!r}")
     return role, "".join(text)
 
 
@@ -106,7 +104,8 @@ def render(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), part
     ``events``: ``conv_id, message, seq, kind, role, payload``, partitioned here by conversation and sorted by message
     and sequence. ``open`` starts a message, ``delta`` appends to it, ``edit`` replaces its text, ``regenerate`` empties
     it; an edit that arrives later sorts to its own message, so a task holds one message at a time. Messages without
-    ``open`` have an empty role; null roles and payloads are empty; other columns are ignored.
+    ``open`` have an empty role; null roles and payloads are empty; events of another kind, or null, change nothing, and a
+    message of such alone is an empty turn; other columns are ignored.
 
     ``text`` marks each turn and escapes the marks' characters inside texts; ``loss`` gives the places of the
     ``loss_roles``' texts in it. Conversations are cut between turns into parts of about ``part_chars``, so their length

@@ -81,3 +81,14 @@ def test_digests_match_the_turns(spark, part_chars):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert len(got) == len({r[0] for r in rows})
     assert chat.digests(chat.render(chat.as_log(turns.limit(0)))).count() == 0
+
+
+def test_unknown_events_change_nothing(spark):
+    rows = [
+        (1, 0, 0, "open", "user", "a"), (1, 0, 1, "typo", None, "x"), (1, 0, 2, None, None, "y"), (1, 0, 3, "delta", None, "b"),
+        (1, 1, 0, "ping", "user", "lost"), (1, 2, 0, "open", "assistant", None), (1, 2, 1, "delta", None, "long " * 300_000),
+    ]
+    log = spark.createDataFrame(rows, "conv_id long, message long, seq long, kind string, role string, payload string")
+    parts = chat.render(log).orderBy("part").collect()
+    assert chat.read_turns("".join(r.text for r in parts)) == [("user", "ab"), ("", ""), ("assistant", "long " * 300_000)]
+    assert chat.render(log.filter("kind IS NULL")).count() == 1
