@@ -15,11 +15,12 @@ from barframe.operators.features import build_features
 from barframe.operators.labels import build_dataset
 from barframe.operators.metrics import aggregate_conformal, aggregate_folds, conformal_stats, fold_metrics
 from barframe.operators.news import align_modalities
+from barframe.operators.positions import bar_outcomes, equity_curve
 from barframe.operators.regimes import label_regimes
 from barframe.operators.retrieval import build_vectors
 from barframe.operators.series import BLOCK_ROWS
 from barframe.operators.splits import auto_folds
-from barframe.schema import SERIES
+from barframe.schema import SERIES, TS
 from barframe.session import materialise
 from barframe.sources.sinks import metrics_documents, write_metrics, write_predictions
 
@@ -65,22 +66,26 @@ def fusion_models(
 
 def run_sweep(
     dataset: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]] | None = None, root: str | None = None,
-    required: dict[str, DataFrame] | None = None,
+    required: dict[str, DataFrame] | None = None, seconds: dict[str, float] | None = None,
 ) -> tuple[DataFrame, dict[str, str]]:
     """Fit and predict every model over every series and fold; returns (predictions, failures).
 
     A model that fails is reported and the others continue. ``required`` tables are checked for every
-    series first. With ``root``, predictions and metrics are stored per pair and model.
+    series first. With ``root``, predictions and metrics are stored per pair and model. All series and folds of a model are fitted
+    together, so its ``elapsed_seconds`` are those of all of them; they go into the stored metrics and into ``seconds``.
     """
     models = MODELS if models is None else models
+    seconds = {} if seconds is None else seconds
     if required:
         missing = missing_inputs(dataset.select(*SERIES).distinct(), required).collect()  # series x tables
         if missing:
             raise ValueError(f"missing inputs: {missing}")
     preds, failures = None, {}
     for name, fit in models.items():
+        started = time.monotonic()
         try:
             part = materialise(fit(dataset), f"predictions-{name}")
+            seconds[name] = round(time.monotonic() - started, 3)
         except Exception as error:  # noqa: BLE001 - one failing model must not end the sweep
             log.exception("model %s failed", name)
             failures[name] = str(error)
@@ -94,19 +99,39 @@ def run_sweep(
         conformal = None
         if "in_set_0" in preds.columns:
             conformal = conformal_stats(preds.filter(F.col("in_set_0").isNotNull())).drop("n")
-        write_metrics(metrics_documents(aggregate_folds(folds), folds, conformal), root)
+        write_metrics(metrics_documents(_timed(aggregate_folds(folds), seconds), folds, conformal), root)
     return preds, failures
 
 
-def sweep_summary(preds: DataFrame) -> DataFrame:
-    """Fold metrics rolled up per (series, model), with conformal columns where sets exist."""
+def _timed(summary: DataFrame, seconds: dict[str, float]) -> DataFrame:
+    """Adds ``elapsed_seconds`` of each row's model, null where they aren't known."""
+    known = F.create_map(*[F.lit(v) for item in seconds.items() for v in item]) if seconds else None
+    return summary.withColumn("elapsed_seconds", F.lit(None).cast("double") if known is None else F.try_element_at(known, F.col("model")))
+
+
+def sweep_summary(preds: DataFrame, seconds: dict[str, float] | None = None) -> DataFrame:
+    """Fold metrics rolled up per (series, model), with conformal columns where sets exist and ``elapsed_seconds`` where given."""
     summary = aggregate_folds(fold_metrics(preds))
+    if seconds is not None:
+        summary = _timed(summary, seconds)
     if "in_set_0" not in preds.columns:
         return summary
     cover = aggregate_conformal(conformal_stats(preds.filter(F.col("in_set_0").isNotNull())))
     return summary.join(cover, [*SERIES, "model"], "left")
 
 
+def trade_bars(bars: DataFrame, models: DataFrame, variant: str = "fusion_num", initial: float = 100.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """The whole chain over closed candles: features, predictions of ``anchor_model`` rows, gated and sized positions, balance.
+
+    Bars whose features aren't complete have no prediction and no position. The variant must take bar features only.
+    """
+    x, _ = M.input_array(variant)
+    ready = build_features(bars, block=block).dropna(subset=list(M.FEATURE_COLUMNS))
+    preds = M.predict_bars(models, ready.select(*SERIES, TS, x.alias("x")))
+    outcomes = materialise(bar_outcomes(materialise(preds, "live-predictions"), bars, block=block), "live-outcomes")
+    return equity_curve(outcomes, initial, block=block)
+
+
 def refit(bars: DataFrame, emb: DataFrame, dataset: DataFrame | None = None, **regime_options) -> dict:
     """Recompute regimes, vectors and the anchor model from the current tables, with step timings."""
     steps, out = {}, {}
