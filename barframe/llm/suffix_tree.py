@@ -499,12 +499,16 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    tree, counts, states, moves = model(rows.filter("NOT held_out"))
+    with recorded_scratch([]) as stored:
+        tree, counts, states, moves = model(rows.filter("NOT held_out"))
     held = None
     if not tree.whole:
         terms = materialise(_terms(states, moves), "terms")
         held = docs.sparkSession.sparkContext.broadcast(sieve(terms.select("key"), terms.count()))  # of bounded size
         _with_top(tree, terms)
+        for path in stored:  # the terms say all that texts ask for
+            if "/states-" in path or "/moves-" in path:
+                remove(docs.sparkSession, path)
     shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
     scored = materialise(rows.mapInArrow(_score(shared, held), SCORED_SQL), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"), "r.open")
