@@ -77,14 +77,14 @@ class Lookup:
         return out
 
 
-def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tokens(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of words and ends, text number of each) for some texts at a time."""
     held, numbers, total = [], [], 0
     for number, words in hashed_words(texts):
         held += [words.view(np.int64), np.array([END])]
         numbers.append((number, len(words) + 1))
         total += len(words) + 1
-        if total > 1 << 20:
+        if total > most:
             yield np.concatenate(held), np.repeat(*map(np.array, zip(*numbers)))
             held, numbers, total = [], [], 0
     if held:
@@ -390,7 +390,7 @@ def _score(shared, held=None):
             sums = np.zeros((4, n))
             rare: list = []
             grams: list = []
-            for tokens, owner in _tokens(b.column(2)):
+            for tokens, owner in _tokens(b.column(2), 1 << 18):
                 ids = words.find(tokens.view(U))
                 common = ids >= 0
                 logs, open_ = np.zeros(len(ids)), np.ones(len(ids), dtype=bool)
