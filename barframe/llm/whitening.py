@@ -62,33 +62,43 @@ def count_above(diagonal: np.ndarray, off: np.ndarray, shifts: np.ndarray) -> np
 
 
 def intervals(cov: np.ndarray, k: int) -> list[tuple[float, float, int]]:
-    """(from, to, number of eigenvalues by inertia) of intervals that hold the ``k`` largest eigenvalues, cut in wide gaps."""
+    """(from, to, number of eigenvalues by inertia) of intervals that hold the ``k`` largest eigenvalues.
+
+    An interval is no wider than twice the way to the third eigenvalue outside, so that its circle damps all but a few others: an
+    eigenvalue far above the next ones has an interval of its own. Beyond its eigenvalues it reaches no further than it is wide.
+    """
     diagonal, off = tridiagonal(cov)
     reach = np.abs(np.append(off, 0)) + np.abs(np.append(0, off))
-    wanted = min(k + 1, len(diagonal))
+    k = min(k, len(diagonal))
+    wanted = min(k + GROUP + 4, len(diagonal))
     lo = np.full(wanted, (diagonal - reach).min())
     hi = np.full(wanted, (diagonal + reach).max())
     span = max(hi[0] - lo[0], 1e-3 * max(abs(hi[0]), abs(lo[0])))
-    lo, hi, floor = lo - 1e-3 * span, hi + 1e-3 * span, lo[0] - 1e-3 * span
+    lo, hi = lo - 1e-3 * span, hi + 1e-3 * span
     for _ in range(46):  # bisection for each rank; only places of gaps are needed
         middle = (lo + hi) / 2
         enough = count_above(diagonal, off, middle) > np.arange(wanted)
         lo, hi = np.where(enough, middle, lo), np.where(enough, hi, middle)
     rank = (lo + hi) / 2
-    after = np.append(rank, floor)[: wanted + 1]
-    gaps = after[:-1] - after[1:]  # below each rank
+    around = np.concatenate([np.full(3, rank[0] + 2 * span), rank, np.full(3, rank[-1] - (0 if wanted < len(diagonal) else 2 * span))])
+    gaps = around[2:-3] - around[3:-2]  # above each rank, and below the last
     found, at = [], 0
-    top = rank[0] + max(gaps[0], 0.05 * abs(rank[0]), 1e-9 * span)
-    while at < min(k, len(diagonal)):
-        left = min(k, len(diagonal)) - at
-        choice = np.arange(max(1, min(GROUP - 2, left)), min(GROUP + 4, left) + 1)
-        size = int(choice[np.argmax(gaps[at + choice - 1])])
-        while gaps[at + size - 1] < 1e-9 * span and at + size < len(rank):  # equal eigenvalues stay together
+    while at < k:
+        size = 1
+        for s in range(2, min(GROUP + 3, len(rank) - at) + 1):
+            width = rank[at] - rank[at + s - 1]
+            if width <= 2 * min(around[at] - rank[at], rank[at + s - 1] - around[at + s + 5]):
+                size = s
+        while at + size < len(rank) and gaps[at + size] < 1e-9 * span:  # equal eigenvalues stay together
             size += 1
-        cut = rank[at + size - 1] - gaps[at + size - 1] / 2
+        above, below, width = gaps[at] / 2, gaps[at + size] / 2, rank[at] - rank[at + size - 1]
+        if at + size == len(rank) < len(diagonal):  # the next one isn't known
+            below = 1e-9 * span
+        margin = max(width, min(above, below), 1e-9 * span)
+        top, cut = rank[at] + min(above, margin), rank[at + size - 1] - min(below, margin)
         number = int(count_above(diagonal, off, np.array([cut]))[0] - count_above(diagonal, off, np.array([top]))[0])
         found.append((float(cut), float(top), number))
-        at, top = at + size, cut
+        at += max(size, number)
     return found
 
 
@@ -97,13 +107,15 @@ def feast(cov: np.ndarray, lo: float, hi: float, number: int, seed: int = 0) ->
 
     A subspace is projected by the resolvent's integral over a circle through the interval's ends, a Gauss-Legendre
     quadrature of shifted solves; Rayleigh-Ritz in it gives the next subspace, until the residuals are rounding errors.
+    Where they shrink slowly, as many others lie close to the interval, the subspace grows, if need be to the whole space.
     Raises if the eigenvalues found aren't as many as the inertia says.
     """
     d = len(cov)
     if not number:
         return np.zeros(0), np.zeros((d, 0))
     scale = np.abs(cov).sum(axis=1).max()
-    space = np.random.default_rng(seed).standard_normal((d, min(d, 2 * number + 4)))
+    random = np.random.default_rng(seed)
+    space = random.standard_normal((d, min(d, 2 * number + 4)))
     nodes, weights = np.polynomial.legendre.leggauss(NODES)
     turns = np.exp(0.5j * np.pi * (1 + nodes))
     centre, radius, best = (lo + hi) / 2, (hi - lo) / 2, np.inf
@@ -117,11 +129,13 @@ def feast(cov: np.ndarray, lo: float, hi: float, number: int, seed: int = 0) ->
         values, turned = np.linalg.eigh(basis.T @ cov @ basis)
         space = basis @ turned
         inside = np.flatnonzero((values > lo) & (values <= hi))
-        if len(inside) != number:
-            continue
-        residual = np.linalg.norm(cov @ space[:, inside] - space[:, inside] * values[inside], axis=0).max() / scale
+        residuals = np.linalg.norm(cov @ space[:, inside] - space[:, inside] * values[inside], axis=0) / scale
+        inside = np.sort(inside[np.argsort(residuals, kind="stable")[:number]])  # directions of mere rounding errors have large residuals
+        residual = np.sort(residuals)[number - 1] if len(inside) == number else np.inf
         if residual < 1e-13 and residual > best / 2:  # rounding errors don't shrink further
             return values[inside], space[:, inside]
+        if residual > 1e-13 and (residual > best / 10 or residual == np.inf) and space.shape[1] < d:
+            space = np.hstack([space, random.standard_normal((d, min(d - space.shape[1], space.shape[1])))])
         best = min(best, residual)
     if len(inside) == number and residual < 1e-11:
         return values[inside], space[:, inside]

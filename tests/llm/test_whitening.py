@@ -38,6 +38,15 @@ def test_intervals_hold_all_large_eigenvalues(kind):
     assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-8
 
 
+@pytest.mark.parametrize("values", [np.r_[700.0, np.linspace(75, 55, 63)], np.r_[1e6, 700, np.linspace(70, 60, 200)]])
+def test_an_eigenvalue_far_above_many_close_ones(values):
+    turn = np.linalg.qr(np.random.default_rng(1).standard_normal((len(values),) * 2))[0]
+    cov = turn @ np.diag(values) @ turn.T
+    cov = (cov + cov.T) / 2
+    found = np.sort(np.concatenate([whitening.feast(cov, *i)[0] for i in whitening.intervals(cov, 32)]))[::-1]
+    assert np.abs(found[:32] - values[:32]).max() < 1e-13 * values[0]
+
+
 def test_inertia_counts():
     cov = spectrum("random")
     exact = np.linalg.eigvalsh(cov)
