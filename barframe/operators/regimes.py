@@ -166,7 +166,7 @@ def _fit_one(x: np.ndarray, m: Hmm, n_iter: int, tol: float) -> tuple[Hmm, list[
 def _starting_points(rows: DataFrame, k: int) -> dict[tuple[str, str], Hmm]:
     """Per series: states at the groups between the return quantiles of all fitting rows, sticky transitions.
 
-    A series with fewer rows than states, or with returns too equal to fill the groups, has no model.
+    A group that equal returns leave empty starts at the mean of all rows. A series with fewer rows than states has no model.
     """
     levels = [(i + 1) / k for i in range(k - 1)]
     cuts = rows.groupBy(*SERIES).agg(F.percentile_approx("log_return", levels, 1 << 14).alias("_cuts"))
@@ -180,18 +180,21 @@ def _starting_points(rows: DataFrame, k: int) -> dict[tuple[str, str], Hmm]:
         found.setdefault((r["pair"], r["interval"]), []).append(r)
     models = {}
     for series, groups in found.items():
-        if len(groups) < k:
+        filled = np.array([r["_g"] for r in groups])
+        n, s, q = np.zeros((k, 1)), np.zeros((k, len(_INPUTS))), np.zeros((k, len(_INPUTS)))
+        n[filled, 0] = [r["n"] for r in groups]
+        s[filled], q[filled] = ([[r[f"{kind}_{c}"] for c in _INPUTS] for r in groups] for kind in "sq")
+        if n.sum() < k:
             continue
-        groups = sorted(groups, key=lambda r: r["_g"])
-        n = np.array([r["n"] for r in groups], dtype=float)[:, None]
-        s, q = (np.array([[r[f"{kind}_{c}"] for c in _INPUTS] for r in groups]) for kind in "sq")
+        total = [x.sum(axis=0) / n.sum() for x in (s, q)]
+        fit_rows = int(n.sum())
+        s, q, n = np.where(n > 0, s, total[0]), np.where(n > 0, q, total[1]), np.maximum(n, 1.0)
         mean = s / n
-        whole = s.sum(axis=0) / n.sum()
-        spread = np.maximum(q.sum(axis=0) / n.sum() - whole * whole, 0.0)
+        spread = np.maximum(total[1] - total[0] * total[0], 0.0)
         var = np.maximum(q / n - mean * mean, _FLOOR) + 0.1 * spread + _FLOOR
         trans = np.full((k, k), 0.1 / max(1, k - 1))
         np.fill_diagonal(trans, 0.9)
-        models[series] = Hmm(np.full(k, 1.0 / k), trans, mean, var, int(n.sum()))
+        models[series] = Hmm(np.full(k, 1.0 / k), trans, mean, var, fit_rows)
     return models
 
 
@@ -389,13 +392,29 @@ def decode_regimes(inputs: DataFrame, models: dict[tuple[str, str], Hmm], mode:
     return labelled.unionByName(others)
 
 
-def label_regimes(
+def model_table(spark, models: dict[tuple[str, str], Hmm]) -> DataFrame:
+    """``pair, interval, state, mean_return, mean_vol, fit_rows, converged`` of the fitted models: a row per series and state."""
+    rows = [
+        (*series, i, *map(float, m.mean[i]), m.fit_rows, bool(m.converged)) for series, m in models.items() for i in range(len(m.start))
+    ]
+    return spark.createDataFrame(rows, "pair string, interval string, state int, mean_return double, mean_vol double, fit_rows long, converged boolean")
+
+
+def fitted_regimes(
     bars: DataFrame, n_states: int = 3, vol_window: int = 24, train_frac: float = 0.5, mode: str = "viterbi",
     n_iter: int = 200, tol: float = 1e-4, block: int = REGIME_BLOCK,
-) -> DataFrame:
-    """Regime of every bar after warm-up: ``pair, interval, open_time, regime`` (0 = lowest mean return)."""
+) -> tuple[DataFrame, DataFrame]:
+    """(``label_regimes``, ``model_table`` of the models behind the labels)."""
     positioned = with_position(bars.select(*SERIES, TS, "close"), total=None)
     usable = regime_inputs(positioned, vol_window).drop("pos", "close")
     inputs = materialise(with_position(usable), "regime-inputs")  # read by fitting and by both decoding passes
     models = fit_regimes(inputs, n_states, vol_window, train_frac, n_iter, tol, block)
-    return decode_regimes(inputs, models, mode, block)
+    return decode_regimes(inputs, models, mode, block), model_table(bars.sparkSession, models)
+
+
+def label_regimes(
+    bars: DataFrame, n_states: int = 3, vol_window: int = 24, train_frac: float = 0.5, mode: str = "viterbi",
+    n_iter: int = 200, tol: float = 1e-4, block: int = REGIME_BLOCK,
+) -> DataFrame:
+    """Regime of every bar after warm-up: ``pair, interval, open_time, regime`` (0 = lowest mean return of the model)."""
+    return fitted_regimes(bars, n_states, vol_window, train_frac, mode, n_iter, tol, block)[0]

@@ -10,6 +10,8 @@ from barframe.operators.series import with_position
 from barframe.operators.windows import collect_windows, patch_windows, sequence_windows
 from barframe.schema import TS
 from tests.helpers import random_bars
+from workload import retrieval as retrieval_queries  # noqa: F401  (registers the queries)
+from workload.registry import QUERIES
 
 T0 = datetime(2024, 1, 1)
 
@@ -173,6 +175,17 @@ def test_series_too_short_for_a_model_get_no_label(spark):
     assert [r["regime"] for r in regimes.decode_regimes(df, regimes.fit_regimes(df)).collect()] == [None, None]
 
 
+@pytest.mark.parametrize("step", [86_400, 3_600])
+def test_regime_query_on_copies_in_steps(spark, tmp_path, step):
+    """Six copies of the events a day apart, where states have close means, or an hour apart, where most returns are zero."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    copies = events.withColumn("i", F.explode(F.array(*map(F.lit, range(6)))))
+    copies = copies.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("i") * (step * 1_000_000))).drop("i")
+    copies.coalesce(4).write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["m18_regimes_viterbi"](spark, str(tmp_path)).collect()
+    assert [(r.known, r.ascending, r.share) for r in rows] == [(True, True, 1.0)] * 5
+
+
 def test_encoders(spark):
     bars = with_position(spark.createDataFrame(random_bars(100, gaps=0)))
     windows = collect_windows(bars, length=64).cache()
