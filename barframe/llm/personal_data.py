@@ -133,22 +133,24 @@ def candidates(rows: DataFrame) -> DataFrame:
     )
 
 
-def train(spans: DataFrame, rounds: int, depth: int, sample: int, precision: float) -> tuple[GBTClassificationModel, float] | None:
+def train(spans: DataFrame, rounds: int, depth: int, sample: int | None = None, precision: float = 0.99) -> tuple[GBTClassificationModel, float] | None:
     """(boosted trees, threshold), or None where base spans or decoys are missing.
 
-    Learns from at most ``sample`` labelled spans (base or decoy, the first by hash): two thirds fit, the others calibrate.
+    Learns from every labelled span (base or decoy): two thirds by hash fit, the others calibrate. A caller may ask for the
+    first ``sample`` by hash; ``spans`` doesn't.
     The threshold is the lowest score, to 1/200, above which ``precision`` of the calibrating spans are base ones.
     """
     labelled = spans.filter("base OR decoy").withColumn("_h", F.xxhash64("row", "kind", "start", "end"))
-    few = materialise(
-        labelled.orderBy("_h", "row", "kind", "start", "end").limit(sample)
-        .select(F.col("base").cast("double").alias("label"), (F.pmod("_h", F.lit(3)) == 0).alias("held"), *[F.col(f).cast("double") for f in FEATURES]),
-        "pii-sample",
+    if sample is not None:
+        labelled = labelled.orderBy("_h", "row", "kind", "start", "end").limit(sample)
+    known = materialise(
+        labelled.select(F.col("base").cast("double").alias("label"), (F.pmod("_h", F.lit(3)) == 0).alias("held"), *[F.col(f).cast("double") for f in FEATURES]),
+        "pii-labelled",
     )
-    sizes = {(r.held, r.label): r["count"] for r in few.groupBy("held", "label").count().collect()}  # four rows at most
+    sizes = {(r.held, r.label): r["count"] for r in known.groupBy("held", "label").count().collect()}  # four rows at most
     if min(sizes.get((h, y), 0) for h in (False, True) for y in (0.0, 1.0)) < 5:
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(few)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=7).fit(vectors.filter("NOT held"))
     scores = model.transform(vectors.filter("held")).select("label", F.floor(200 * vector_to_array("probability")[1]).alias("bin"))
     bins = scores.groupBy("bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 201 rows at most
@@ -160,14 +162,14 @@ def train(spans: DataFrame, rounds: int, depth: int, sample: int, precision: flo
     return model, max(threshold, 0.5)
 
 
-def spans(rows: DataFrame, rounds: int = 8, depth: int = 3, sample: int = 20_000, precision: float = 0.99) -> DataFrame:
+def spans(rows: DataFrame, rounds: int = 8, depth: int = 3, precision: float = 0.99) -> DataFrame:
     """``row, kind, start, end, base``: the base spans and those that the model adds, for ``rows`` (``row, found``).
 
     Added spans lie outside all base spans; of overlapping ones the best scored stays, then the earlier kind and start.
     """
     found = materialise(candidates(rows), "pii-candidates")
     sure = found.filter("base").select("row", "kind", "start", "end", "base")
-    fitted = train(found, rounds, depth, sample, precision)
+    fitted = train(found, rounds, depth, precision=precision)
     if fitted is None:
         return sure
     model, threshold = fitted

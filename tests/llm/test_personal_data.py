@@ -101,6 +101,18 @@ def test_trees_tell_decoys_from_base_spans(spark):
     assert pd_.train(found.filter("base"), 8, 3, 20_000, 0.99) is None
 
 
+def test_every_labelled_span_is_learnt_from(spark, monkeypatch):
+    found = spark.range(24_000).select(
+        F.col("id").alias("row"), F.lit(0).alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("end"), (F.col("id") % 2 == 0).alias("base"),
+        (F.col("id") % 2 == 1).alias("decoy"), *[(F.col("id") % (k + 2)).alias(f) for k, f in enumerate(pd_.FEATURES) if f != "kind"],
+    )
+    seen, fit, transform = [], pd_.GBTClassifier.fit, pd_.GBTClassificationModel.transform
+    monkeypatch.setattr(pd_.GBTClassifier, "fit", lambda self, df: (seen.append(df.count()), fit(self, df))[1])
+    monkeypatch.setattr(pd_.GBTClassificationModel, "transform", lambda self, df: (seen.append(df.count()), transform(self, df))[1])
+    assert pd_.train(found, 2, 2, precision=0.9) is not None
+    assert sum(seen) == 24_000 and seen[1] > 7_000
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a.b@c.de or +49 (30) 1234567, 1.2.3.4", 0), (2, None, 5), (3, "", 0), (4, "none", 4), (1, "x@y.zz", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
