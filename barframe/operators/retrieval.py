@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.vectors import l2_normalise
@@ -17,7 +18,10 @@ from barframe.operators.windows import collect_windows
 from barframe.schema import SERIES, TS, regime_name
 from barframe.session import materialise
 
-TILE = 2048  # rows of a block of queries or of corpus vectors
+TILE = 2048  # rows of a block of queries or of corpus vectors, unless a series would have more than MEETINGS such blocks
+MEETINGS = 8  # blocks a side: every block travels once per block of the other side
+ENTRIES = 1 << 22  # numbers in a block's vectors, however long the series
+_STEP = (256, 1024)  # queries and vectors multiplied at once
 _SIDE = ("pair", "interval", "_us", "regime", "embedding")
 _MATCH = "pair string, interval string, q_us long, m_us long, similarity double, regime long"
 _DIGITS = 12  # similarities are compared at 12 decimals, so copies of a vector tie and time decides
@@ -48,75 +52,99 @@ def _unit(column, rows: int) -> np.ndarray:
     return vectors / np.where(size < 1e-12, 1.0, size)
 
 
-class _Queries:
-    """One bounded block of query vectors as arrays."""
+class _Block:
+    """One bounded block of a series' vectors as arrays."""
 
     def __init__(self, table: pa.Table):
-        keys = table.select(["pair", "interval", "_us", "regime"]).to_pandas()
-        self.pair, self.interval = keys["pair"].to_numpy(object), keys["interval"].to_numpy(object)
-        self.series = dict(keys.groupby(["pair", "interval"], sort=False).indices)
-        self.at = keys["_us"].to_numpy(np.int64)
-        self.regime = keys["regime"].fillna(-1).to_numpy(np.int64)
-        self.vectors = _unit(table.column("embedding"), table.num_rows) if table.num_rows else np.zeros((0, 1))
-
-
-def _keep_best(sim, at, regime, k):
-    """Order of the best ``k`` by similarity, then earliest time."""
-    best = np.lexsort((at, -sim))[:k]
-    return sim[best], at[best], regime[best]
-
-
-def _local_topk(q: _Queries, k: int, same_regime: bool, exclude_us: int, history_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _unit(batch.column(batch.schema.get_field_index("embedding")), batch.num_rows)
-            table = batch.select(["pair", "interval", "_us", "regime"]).to_pandas()
-            at_all = table["_us"].to_numpy(np.int64)
-            regime_all = table["regime"].fillna(-1).to_numpy(np.int64)
-            for key, rows in table.groupby(["pair", "interval"], sort=False).indices.items():
-                wanted = q.series.get(key)
-                if wanted is None:
-                    continue
-                at, regime = at_all[rows], regime_all[rows]
-                sims = np.round(q.vectors[wanted] @ vectors[rows].T, _DIGITS)
-                for line, i in zip(sims, wanted):
-                    ok = np.ones(len(rows), dtype=bool)
-                    if same_regime and q.regime[i] >= 0:
-                        ok &= regime == q.regime[i]
-                    if history_only:
-                        ok &= at < q.at[i]
-                    if exclude_us > 0:
-                        ok &= np.abs(at - q.at[i]) >= exclude_us
-                    found = np.flatnonzero(ok)
-                    if i in best:
-                        have = best[i]
-                        if len(have[0]) >= k:  # cannot enter a full list from below its last similarity
-                            found = found[line[found] >= have[0][-1]]
-                        if not len(found):
-                            continue
-                        joined = [np.concatenate(p) for p in zip(have, (line[found], at[found], regime[found]))]
-                        best[i] = _keep_best(*joined, k)
-                    elif len(found):
-                        best[i] = _keep_best(line[found], at[found], regime[found], k)
-        for i, (sim, at, regime) in best.items():
-            n = len(sim)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q.pair[i]] * n, pa.string()), pa.array([q.interval[i]] * n, pa.string()),
-                    pa.array([int(q.at[i])] * n, pa.int64()), pa.array(at), pa.array(sim), pa.array(regime),
-                ],
-                names=["pair", "interval", "q_us", "m_us", "similarity", "regime"],
-            )
-
-    return run
-
-
-def _tiled(rows: DataFrame, sizes: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
+        self.at = table.column("_us").to_numpy()
+        self.regime = pc.fill_null(table.column("regime"), -1).to_numpy()
+        self.vectors = _unit(table.column("embedding"), table.num_rows)
+
+
+class _Best:
+    """The best ``k`` of each query of a block so far: by similarity, then earliest time."""
+
+    def __init__(self, q: _Block, k: int, same_regime: bool, exclude_us: int, history_only: bool):
+        self.q, self.k, self.same_regime, self.exclude_us, self.history_only = q, k, same_regime, exclude_us, history_only
+        shape = (len(q.at), k)
+        self.sim, self.at = np.full(shape, -np.inf), np.full(shape, np.iinfo(np.int64).max)
+        self.regime = np.full(shape, -1, np.int64)
+
+    def meet(self, wanted: np.ndarray, c: _Block, rows: np.ndarray) -> None:
+        """Compare the queries ``wanted`` with the vectors ``rows`` of another block."""
+        if not self.same_regime:
+            return self._meet(wanted, c, rows)
+        regimes = self.q.regime[wanted]
+        for regime in np.unique(regimes):  # queries without a regime meet all
+            self._meet(wanted[regimes == regime], c, rows[c.regime[rows] == regime] if regime >= 0 else rows)
+
+    def _meet(self, wanted: np.ndarray, c: _Block, rows: np.ndarray) -> None:
+        wanted = wanted[np.argsort(self.q.at[wanted], kind="stable")]
+        rows = rows[np.argsort(c.at[rows], kind="stable")]
+        vectors, at, regime = c.vectors[rows], c.at[rows], c.regime[rows]
+        for lo in range(0, len(wanted), _STEP[0]):
+            some = wanted[lo : lo + _STEP[0]]
+            end = int(np.searchsorted(at, self.q.at[some[-1]])) if self.history_only else len(rows)
+            for at_row in range(0, end, _STEP[1]):
+                part = slice(at_row, min(at_row + _STEP[1], end))
+                self._enter(some, self.q.vectors[some] @ vectors[part].T, at[part], regime[part])
+
+    def _allowed(self, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ok = np.ones(np.broadcast_shapes(asked.shape, at.shape), bool)
+        if self.history_only:
+            ok &= at < asked
+        if self.exclude_us > 0:
+            ok &= np.abs(at - asked) >= self.exclude_us
+        return ok
+
+    def _enter(self, some: np.ndarray, sims: np.ndarray, at: np.ndarray, regime: np.ndarray) -> None:
+        last, last_at = self.sim[some, -1], self.at[some, -1]
+        if np.isneginf(last).any():  # lists that aren't full take anything: the best of this part only
+            sims = np.where(self._allowed(self.q.at[some][:, None], at[None]), np.round(sims, _DIGITS), -np.inf)
+            if sims.shape[1] > self.k:
+                last_here = np.partition(sims, -self.k, axis=1)[:, -self.k]
+                i, j = np.nonzero((sims >= np.maximum(last, last_here)[:, None]) & (sims > -np.inf))
+            else:
+                i, j = np.nonzero((sims >= last[:, None]) & (sims > -np.inf))
+            sim = sims[i, j]
+        else:
+            i, j = np.nonzero(sims >= (last - 10.0**-_DIGITS)[:, None])
+            sim = np.round(sims[i, j], _DIGITS)
+            allowed = self._allowed(self.q.at[some][i], at[j])
+            i, j, sim = i[allowed], j[allowed], sim[allowed]
+        enters = (sim > last[i]) | ((sim == last[i]) & (at[j] < last_at[i]))
+        i, j, sim = i[enters], j[enters], sim[enters]
+        if not len(i):
+            return
+        changed = np.unique(i)
+        rows, k = some[changed], self.k
+        of = np.concatenate([i, np.repeat(changed, k)])
+        sim = np.concatenate([sim, self.sim[rows].ravel()])
+        at = np.concatenate([at[j], self.at[rows].ravel()])
+        regime = np.concatenate([regime[j], self.regime[rows].ravel()])
+        order = np.lexsort((at, -sim, of))
+        first = np.searchsorted(of[order], changed)
+        best = order[first[:, None] + np.arange(k)]  # every changed query has k old places at least
+        self.sim[rows], self.at[rows], self.regime[rows] = sim[best], at[best], regime[best]
+
+    def table(self, pair: str, interval: str, schema: pa.Schema) -> pa.Table:
+        i, j = np.nonzero(self.sim > -np.inf)
+        columns = [[pair] * len(i), [interval] * len(i), self.q.at[i], self.at[i, j], self.sim[i, j], self.regime[i, j]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _probed(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, queries) of all probes of a block, in the order of the lists."""
+    lists = lists.combine_chunks()
+    asked, query = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    order = np.argsort(asked, kind="stable")
+    return asked[order], query[order]
+
+
+def _tiled(rows: DataFrame, sizes: DataFrame, by: list[str], own: str, other: str, place: Column | None = None) -> DataFrame:
     """Rows with their block ``own`` by a hash of the key, once for every block ``other`` of the same group's other side."""
-    placed = spread_join(rows, sizes, by).withColumn(own, F.pmod(F.xxhash64(*SERIES, "_us"), F.col(f"n{own}")).cast("int"))
+    place = F.xxhash64(*SERIES, "_us") if place is None else place
+    placed = spread_join(rows, sizes, by).withColumn(own, F.pmod(place, F.col(f"n{own}")).cast("int"))
     return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))).drop("n_q", "n_c")
 
 
@@ -124,16 +152,22 @@ def _side(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*SERIES, F.unix_micros(TS).alias("_us"), F.col("regime").cast("long").alias("regime"), F.col("embedding").cast("array<double>"), *more)
 
 
-def _meetings(wanted: DataFrame, corpus: DataFrame, by: list[str], k: int, options: tuple, tile: int) -> DataFrame:
-    """The best ``k`` of each query among the vectors of its groups ``by``, block by block; a vector is in one group only."""
+def _meetings(wanted: DataFrame, corpus: DataFrame, k: int, options: tuple, tile: int, listed: bool = False) -> DataFrame:
+    """The best ``k`` of each query among the vectors of its series, block by block.
+
+    ``listed``: a query has ``_lists``, a vector ``_list`` and the ``_part`` of it; only vectors of a query's lists count.
+    """
+    by = list(SERIES)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+        small = F.ceil(F.count(F.lit(1)) / tile)
+        large = F.greatest(F.lit(MEETINGS), F.ceil(F.sum(F.size("embedding")) / ENTRIES))
+        return df.groupBy(*by).agg(F.least(small, large).cast("int").alias(name))
 
     sizes = materialise(blocks(wanted, "n_q").join(blocks(corpus, "n_c"), by), "tiles")
     left = _tiled(wanted, sizes, by, "_q", "_c")
     # renamed, so that queries and corpus read from the same table stay apart in the plan
-    right = _tiled(corpus, sizes, by, "_c", "_q")
+    right = _tiled(corpus, sizes, by, "_c", "_q", F.xxhash64("_list", "_part") if listed else None)
     right = right.select(*[F.col(n).alias(f"c{n}") for n in right.columns])
     names = ["pair", "interval", "q_us", "m_us", "similarity", "regime"]
     schema = pa.schema(list(zip(names, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()])))
@@ -141,9 +175,20 @@ def _meetings(wanted: DataFrame, corpus: DataFrame, by: list[str], k: int, optio
     def meet(some: pa.Table, others: pa.Table) -> pa.Table:
         if not some.num_rows or not others.num_rows:
             return schema.empty_table()
-        rows = others.select([f"c{n}" for n in _SIDE]).rename_columns(list(_SIDE)).combine_chunks()
-        found = list(_local_topk(_Queries(some), k, *options)(iter(rows.to_batches())))
-        return pa.Table.from_batches(found, schema) if found else schema.empty_table()
+        held = [*_SIDE, "_list"] if listed else list(_SIDE)
+        others = others.select([f"c{n}" for n in held]).rename_columns(held)
+        q, c = _Block(some), _Block(others)
+        best = _Best(q, k, *options)
+        if listed:
+            asked, query = _probed(some.column("_lists"))
+            number = others.column("_list").to_numpy()
+            order = np.argsort(number, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+                lo, hi = np.searchsorted(asked, number[rows[0]], "left"), np.searchsorted(asked, number[rows[0]], "right")
+                best.meet(query[lo:hi], c, rows)
+        else:
+            best.meet(np.arange(len(q.at)), c, np.arange(len(c.at)))
+        return best.table(some.column("pair")[0].as_py(), some.column("interval")[0].as_py(), schema)
 
     keys = [*by, "_q", "_c"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*[f"c{c}" for c in keys])).applyInArrow(meet, _MATCH)
@@ -163,11 +208,12 @@ def similar_bars(
     """The ``k`` most similar bars of each query bar, within its series, exactly.
 
     Filters (regime, minimum distance in time, strictly earlier) apply before ranking. Each series' queries and vectors
-    are dealt into blocks of about ``tile`` rows by a hash of the bar; every block of queries meets every block of vectors
-    of its own series in a task, which multiplies them and returns its best ``k`` per query: no pair of vectors becomes a
-    row. Ties in similarity go to the earlier bar.
+    are dealt into blocks of about ``tile`` rows by a hash of the bar, but into no more than MEETINGS blocks unless these
+    would hold more than ENTRIES numbers; every block of queries meets every block of vectors of its own series in a task,
+    which multiplies them in small steps and returns its best ``k`` per query: no pair of vectors becomes a row, and a row
+    travels once per block of the other side. Ties in similarity go to the earlier bar.
     """
-    return _meetings(_side(queries), _side(vectors), list(SERIES), k, (same_regime, exclude_seconds * 1_000_000, history_only), tile)
+    return _meetings(_side(queries), _side(vectors), k, (same_regime, exclude_seconds * 1_000_000, history_only), tile)
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
@@ -231,12 +277,17 @@ def approximate_topk(
 ) -> DataFrame:
     """Top-k among the vectors of the lists that each query probes; may miss neighbours in other lists.
 
-    Queries meet lists by a join on (series, list). A list beyond ``tile`` rows, or one probed by more queries, is divided
-    into blocks, so that no task holds a whole list. Candidates are ranked by their exact similarity.
+    A query travels with the numbers of its lists; a block of vectors holds whole lists, or parts of lists beyond ``tile``
+    rows, so that no task holds a long list. Candidates are ranked by their exact similarity.
     """
-    asked = queries.withColumn("query_time", F.col(TS)).join(probes, [*SERIES, "query_time"])
+    asked = probes.groupBy(*SERIES, "query_time").agg(F.collect_set(F.unix_micros("leader")).alias("_lists"))
+    asked = queries.withColumn("query_time", F.col(TS)).join(asked, [*SERIES, "query_time"])
+    parts = lists.groupBy(*SERIES, "leader").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_parts"))
+    held = spread_join(lists, parts, [*SERIES, "leader"]).withColumns({
+        "_list": F.unix_micros("leader"), "_part": F.pmod(F.xxhash64(TS), F.col("_parts")).cast("int"),
+    })
     options = (same_regime, exclude_seconds * 1_000_000, history_only)
-    return _meetings(_side(asked, "leader"), _side(lists, "leader"), [*SERIES, "leader"], k, options, tile)
+    return _meetings(_side(asked, "_lists"), _side(held, "_list", "_part"), k, options, tile, listed=True)
 
 
 def search_cost(probes: DataFrame, lists: DataFrame) -> DataFrame:

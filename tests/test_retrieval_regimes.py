@@ -60,6 +60,17 @@ def test_series_meet_only_themselves(spark):
     assert blocks.select("pair", "_q", "_c").distinct().count() == 4 * 4 + 2 * 1
 
 
+def test_small_tiles_do_not_multiply_what_travels(spark, monkeypatch):
+    df, x = corpus(spark)
+    seen, tiled = [], retrieval._tiled
+    monkeypatch.setattr(retrieval, "_tiled", lambda rows, sizes, *more: (seen.append(sizes.first()), tiled(rows, sizes, *more))[1])
+    got = retrieval.similar_bars(df, df, 40, same_regime=False, tile=4).toPandas()
+    assert [(r.n_q, r.n_c) for r in seen] == [(retrieval.MEETINGS, retrieval.MEETINGS)] * 2
+    for q in (0, 5, 100, 239):
+        rows = got[got["query_time"] == T0 + timedelta(hours=q)].sort_values("rank")
+        assert [int((t - T0).total_seconds() // 3600) for t in rows[TS]] == brute(x, None, q, 40, False, False)
+
+
 def test_exclusion_is_strict(spark):
     df, _ = corpus(spark)
     out = retrieval.similar_bars(df, df, 200, same_regime=False, exclude_seconds=3600).toPandas()
