@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barframe.functions.vectors import let
 from barframe.schema import PAIR_TICKERS, SENTIMENT
 
 # Words naming a ticker, and their symbols.
@@ -92,13 +93,17 @@ def signed_score(classes: Column) -> Column:
 
 
 def ensemble_score(text: Column, first: Column, second: Column) -> Column:
-    """Sentiment struct of two model scores; blank text scores zero."""
+    """Sentiment struct of two model scores, each evaluated once; blank text scores zero."""
     blank = F.coalesce(F.trim(text) == "", F.lit(True))
-    a, b = (F.when(blank, 0.0).otherwise(x) for x in (first, second))
-    return F.struct(
-        a.alias("cryptobert"), b.alias("finbert"), (0.5 * (a + b)).alias("ensemble"),
-        (0.5 * (F.abs(a) + F.abs(b))).alias("confidence"),
-    )
+    scores = F.struct(*[F.when(blank, 0.0).otherwise(x).alias(name) for name, x in (("a", first), ("b", second))])
+
+    def struct(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return F.struct(
+            a.alias("cryptobert"), b.alias("finbert"), (0.5 * (a + b)).alias("ensemble"), (0.5 * (F.abs(a) + F.abs(b))).alias("confidence"),
+        )
+
+    return let(scores, struct)
 
 
 def decode_sentiment(payload: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.text import decode_sentiment, ensemble_score, pairs_of, scoring_text
+from barframe.functions.vectors import let
 from barframe.schema import INTERVAL_MS, PAIR_TICKERS, SENTIMENT_FEATURES, SERIES, TS
 
 DAY_MS = 86_400_000
@@ -47,10 +49,15 @@ def unscored(news: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- scoring
 def _lexicon_share(text: Column, positive: list[str], negative: list[str]) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^a-z]+"), lambda w: w != "")
-    up = F.size(F.filter(words, lambda w: w.isin(positive)))
-    down = F.size(F.filter(words, lambda w: w.isin(negative)))
-    return F.when(up + down > 0, (up - down) / (up + down)).otherwise(F.lit(0.0))
+    """A text is searched once, for whole words of both lists; only those found are counted."""
+    words = "|".join(map(re.escape, [*positive, *negative]))
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0))
+
+    def share(found: Column) -> Column:
+        up, down = (F.size(F.filter(found, lambda w: w.isin(some))) for some in (positive, negative))
+        return F.when(up + down > 0, (up - down) / (up + down)).otherwise(F.lit(0.0))
+
+    return let(found, share)
 
 
 # The default scorer's words. Two small lists stand in for the two text models.

@@ -107,3 +107,14 @@ def test_windows_equal_direct_sums_across_segments(spark):
                 got = [r[c] for c in ("sent_mean", "sent_std", "sent_min", "sent_max", "sent_last", "sent_conf_mean")]
                 np.testing.assert_allclose(got, want, atol=1e-9)
                 assert r["sent_last_at"] == max(inside)[0]
+
+
+def test_a_text_is_searched_once_per_word_list(spark):
+    rows = [(1, "Gain", "up-rally, gains crash"), (2, "x", "RECORD loss\nban upset"), (3, "", ""), (4, None, "strong2strong")]
+    df = spark.createDataFrame(rows, "id long, title string, summary string").withColumn("sentiment", F.lit(None).cast("string"))
+    scored = N.score_news(df)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and "split(" not in plan
+    found = {r.id: (r.s.cryptobert, r.s.finbert) for r in scored.select("id", X.decode_sentiment(F.col("sentiment")).alias("s")).collect()}
+    third = 1 / 3
+    assert {k: (round(a, 9), round(b, 9)) for k, (a, b) in found.items()} == {1: (round(third, 9), 1.0), 2: (0.0, -1.0), 3: (0.0, 0.0), 4: (0.0, 1.0)}
