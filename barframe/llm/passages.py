@@ -16,7 +16,7 @@ from barframe.session import materialise, settings
 SHORTEST = 6  # a first length is never shorter
 LAST = (1 << 63) - 1  # stands for a null id, which counts as the last
 HASHED = "64m"  # largest part of a join's smaller side that a task holds as a hash table
-GROUPED = 1 << 20  # words hashed together before equal windows of them are counted
+GROUPED = 1 << 19  # words hashed together before equal windows of them are counted
 COUNTS = pa.schema([("h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 RUNS = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 WINDOWS = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,9 @@ def test_lengths_and_hashes():
     words = np.array([5, 6, 7, 5, 6, 7, 5, 6, 7], np.uint64)
     h = passages.window_hashes(words, 4)
     assert h[0] == h[3] and len(set(h.tolist())) == 3 and not len(passages.window_hashes(words, 10))
+
+
+def test_a_task_counts_half_a_million_words_at_a_time():
+    texts = [" ".join(f"w{k}x{i}" for i in range(300_000)) for k in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["doc", "text"])
+    assert len(list(passages._seeds(7, 13)(iter([batch])))) == 2
