@@ -29,13 +29,44 @@ END = np.int64(-0x61C8864680B583EB)  # stands for the end among the hashes of wo
 BEGIN = np.int64(0x3C79AC492BA7B653)  # precedes each text
 _STEP = U(0x9E3779B97F4A7C15)
 SIEVE = 28  # bits of a filter at most: a power of two
+BLOCK = 18  # bits of a filter that are put together at a time: a power of two
+PART = 1 << 20  # tokens whose contexts and followers, or terms, meet in one task
 HASHED = "64m"  # largest part of a join's smaller side that a task holds as a hash table
-SCORED_SQL = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "rare array<struct<word: long, n: long, open: long>>, keys array<struct<key: long, gram: long, context: long>>"
-)
-_RARE = pa.struct([(c, pa.int64()) for c in ("word", "n", "open")])
-_HITS = pa.struct([(c, pa.int64()) for c in ("key", "gram", "context")])
+PACKED_SQL = "part int, kind int, base long, " + ", ".join(f"{c} binary" for c in "abcde")  # arrays travel as bytes
+PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in "abcde")])
+STATES, MOVES, WORDS, TEXTS = range(4)  # kinds of packed terms, and of what asks for them; texts pass
+ASKED = 4  # added to the kind of terms by what asks for them
+SUMS_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SUMS = pa.schema([
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
+    ("score", pa.float64()),
+])
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (part, kind, base, arrays...) with the arrays' bytes."""
+    heads = [pa.array(list(x), f.type) for x, f in zip(zip(*(r[:3] for r in rows)), PACKED)] if rows else [pa.array([], f.type) for f in PACKED][:3]
+    columns = [pa.array([r[k].tobytes() if len(r) > k else None for r in rows], pa.binary()) for k in range(3, 8)]
+    return pa.RecordBatch.from_arrays([*heads, *columns], schema=PACKED)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list]]:
+    """(kind, base, bytes of the arrays) of packed rows."""
+    for b in batches:
+        for kind, base, *columns in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), *b.columns[3:]):
+            yield kind, base, [x.as_buffer() for x in columns]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _parts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of sorted keys dealt over ``parts`` tasks by their leading bits."""
+    part = (keys >> U(32)) * U(parts) >> U(32)
+    cuts = _starts(part)
+    return zip(part[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)])
 
 
 class Lookup:
@@ -136,8 +167,9 @@ class Tree:
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the common ones
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     word_back: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 back-off weight of the common words as contexts
-    top_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent keys' terms, see ``_joined``
+    top_states: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent ones' terms, see ``score``
     top_back: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    top_moves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     top_extra: np.ndarray = field(default_factory=lambda: np.zeros(0))
     whole: bool = True  # whether states and moves are held
     keys: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the states' contexts
@@ -192,68 +224,130 @@ class Sieve:
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key may be one of the filter's; true for all of these."""
-        out = np.ones(len(keys), dtype=bool)
-        for place in self.places(keys, self.shift):
-            out &= self.bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1 == 1
+        first = mix(keys.astype(np.int64).view(U))
+        out = self._set(first >> self.shift)
+        some = np.flatnonzero(out)
+        out[some] = self._set((first[some] * _STEP) >> self.shift)
         return out
 
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        return self.bits[(place >> U(3)).view(np.int64)] >> (place & U(7)).astype(np.uint8) & 1 == 1
+
 
 def _places(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for place in Sieve.places(b.column(0).to_numpy(), U(shift)):
-                place = np.unique(place.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(place >> 15), pa.array(place & 32767)], ["block", "bit"])
+        for keys, in _gathered(batches, 1 << 20):
+            place = np.unique(np.concatenate(list(Sieve.places(keys, U(shift)))))
+            block = (place >> U(BLOCK)).astype(np.int64)
+            cuts = _starts(block)
+            bits = [x.astype(np.uint32).tobytes() for x in np.split(place & U((1 << BLOCK) - 1), cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(bits, pa.binary())], ["block", "bits"])
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of some batches at a time."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+        if n >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _bits(key: tuple, group: pa.Table) -> pa.Table:
-    bits = np.zeros(1 << 15, dtype=np.uint8)
-    bits[group.column("bit").to_numpy()] = 1
+    bits = np.zeros(1 << BLOCK, dtype=np.uint8)
+    for x in group.column("bits"):
+        bits[np.frombuffer(x.as_buffer(), np.uint32)] = 1
     return pa.table({"block": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
 def sieve(keys: DataFrame, n: int) -> Sieve:
     """A filter of the ``n`` keys in the one column of ``keys``: 10 bits each and at most 2^SIEVE in all, whatever their number."""
-    power = min(SIEVE, max(15, (10 * n).bit_length()))
-    held = np.zeros((1 << power - 15, 4096), np.uint8)
-    places = keys.mapInArrow(_places(64 - power), "block long, bit long").distinct()
+    power = min(SIEVE, max(BLOCK, (10 * n).bit_length()))
+    held = np.zeros((1 << power - BLOCK, (1 << BLOCK) // 8), np.uint8)
+    places = keys.mapInArrow(_places(64 - power), "block long, bits binary")
     for r in places.groupBy("block").applyInArrow(_bits, "block long, bits binary").collect():  # at most 2^SIEVE bits
         held[r.block] = np.frombuffer(r.bits, np.uint8)
     return Sieve(held.ravel())
 
 
-def _followers(depth: int, contexts):
-    """Counts of contexts of one length with what follows, for the contexts that pass the filter."""
+def _followers(depth: int, shared):
+    """Counts of contexts of one length with what follows, for the contexts that pass the filter, packed by part.
+
+    A part holds all that follows a context. A context with more than a part can take is dealt over several by its
+    followers, so that equal ones still meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = contexts.value
+        known, large, _, spread, parts = shared.value
+        large = Lookup(large.view(U))
         for b in batches:
             for tokens, owner in _tokens(b.column(0)):
-                context, gram, _, valid = next(islice(_chains(tokens, owner), depth - 1, None))
+                chains = list(islice(_chains(tokens, owner), depth))
+                context, gram, _, valid = chains[-1]
                 at = np.flatnonzero(valid)
                 at = at[known.holds(context[at])]
-                _, where, counts = np.unique(gram[at], return_index=True, return_counts=True)
-                where = at[where]
-                order = np.argsort(context[where], kind="stable")  # neighbours share their context, which compresses well
-                where, counts = where[order], counts[order]
-                for lo in range(0, len(where), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context[where[part]], tokens[where[part]], counts[part])], ["ctx", "word", "n"])
+                at = at[np.argsort(gram[at])]
+                first = _starts(gram[at])
+                n = np.diff(np.append(first, len(at))).astype(np.uint32)
+                at = at[first]
+                key = context[at].view(U)
+                found = large.find(key)
+                some = np.flatnonzero(found >= 0)
+                key[some] = mix(key[some] + (gram[at[some]].view(U) % spread[found[some]] + U(1)) * _STEP)
+                order = np.argsort(key)
+                key, at, n = key[order], at[order], n[order]
+                runs = _starts(key)
+                ends = np.append(runs, len(at))
+                rows = []
+                for part, lo, hi in _parts(key[runs], parts):
+                    where, inside = at[runs[lo:hi]], slice(ends[lo], ends[hi])
+                    suffixes = [c[0][where] for c in reversed(chains[:-1])]
+                    lengths = np.diff(ends[lo : hi + 1]).astype(np.uint32)
+                    rows.append((part, 0, 0, context[where], lengths, tokens[at[inside]], n[inside], *([np.concatenate(suffixes)] if suffixes else [])))
+                yield _packed(rows)
 
     return run
 
 
-def _named(depth: int):
-    """Adds the keys of context and follower (``g``) and of the same without the oldest word (``sg``)."""
+def _counted(depth: int, least: float, shared):
+    """Followers that occur twice, of contexts that occur ``least`` times: keys of context and follower (``g``), of the same
+    without the oldest word (``sg``), of the context and its suffixes, and how often both occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ctx, word = b.column("ctx").to_numpy(), b.column("word").to_numpy()
-            suffix = word if depth == 1 else _next(b.column("s1").to_numpy(zero_copy_only=False), word)
-            columns = {c: b.column(c) for c in ("ctx", "n", "total", "s1", "s2")}
-            yield pa.RecordBatch.from_arrays([pa.array(_next(ctx, word)), pa.array(suffix), *columns.values()], ["g", "sg", *columns])
+        _, large, often, _, _ = shared.value
+        held = [[np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.int64, np.uint32, np.int64)) if x is not None] for _, _, row in _unpacked(batches)]
+        if not held:
+            return
+        context, lengths, word, n = (np.concatenate(x) for x in list(zip(*held))[:4])
+        suffixes = np.concatenate([r[4].reshape(depth - 1, -1) for r in held], axis=1) if depth > 1 else np.zeros((0, len(context)), np.int64)
+        del held
+        distinct, which = np.unique(context, return_inverse=True)
+        lengths, n = lengths.astype(np.int64), n.astype(np.int64)
+        total = np.bincount(which, np.add.reduceat(n, np.cumsum(lengths) - lengths)).astype(np.int64)
+        found = Lookup(large.view(U)).find(distinct.view(U))
+        total = np.where(found >= 0, often[found] if len(often) else 0, total)[which]  # the followers of these are not all here
+        run_of = np.repeat(np.arange(len(context)), lengths)
+        gram = _next(context[run_of], word)
+        order = np.argsort(gram)
+        first = _starts(gram[order])
+        n = np.add.reduceat(n[order], first)
+        at = order[first]
+        keep = (n >= 2) & (total[run_of[at]] >= least)
+        at, n = at[keep], n[keep]
+        for lo in range(0, len(at), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            where = run_of[at[part]]
+            s = [x[where] for x in suffixes] + [np.zeros(len(where), np.int64)] * (3 - depth)
+            suffix = word[at[part]] if depth == 1 else _next(s[0], word[at[part]])
+            columns = [gram[at[part]], suffix, context[where], n[part], total[where], *s[:2]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "sg", "ctx", "n", "total", "s1", "s2"])
 
     return run
 
@@ -261,21 +355,22 @@ def _named(depth: int):
 def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(states, moves, grams) of one length of contexts.
 
-    ``above`` holds the grams one shorter: key ``g``, count ``n``, log10 probability ``lp`` and the keys ``t1, t2`` of
-    their suffixes as contexts. For every follower the probability is compared with the one without the oldest word; a
+    ``above`` holds the grams one shorter: key ``g``, count ``n`` and log10 probability ``lp``. For every follower the probability is compared with the one without the oldest word; a
     context is retained if the followers whose probability departs by RATIO gain enough log likelihood together. Those get
     (count - DISCOUNT) / total; the rest of the mass goes to all others in proportion to the shorter context, so every
     state's distribution sums to 1. A context needs no retained suffix.
     """
     spark = train.sparkSession
-    allowed = above.filter(F.col("n") >= max(CONTEXT * n, float(LEAST)))
-    contexts = spark.sparkContext.broadcast(sieve(allowed.select("g"), allowed.count()))  # of bounded size
-    counted = train.select("text").mapInArrow(_followers(depth, contexts), "ctx long, word long, n long")
-    # One row per context and follower; what occurs once is never tested. Tasks have summed their own: no second combination.
-    counted = counted.repartition(F.col("ctx"), F.col("word")).groupBy("ctx", "word").agg(F.sum("n").alias("n")).filter("n >= 2")
-    totals = allowed.select(F.col("g").alias("ctx"), F.col("n").alias("total"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
-    counted = counted.join(totals, "ctx").mapInArrow(_named(depth), "g long, sg long, ctx long, n long, total long, s1 long, s2 long")
-    parents = above.select(F.col("g").alias("sg"), F.col("lp").alias("up"), F.col("t1").alias("t2"))
+    least = max(CONTEXT * n, float(LEAST))
+    allowed = above.filter(F.col("n") >= least)
+    parts = 1 + n // PART
+    large = allowed.filter(F.col("n") >= n / (2 * parts)).select("g", "n").toPandas()  # at most 2 * parts rows
+    often = large["n"].to_numpy(np.int64)
+    spread = (2 * parts * often // max(n, 1) + 1).astype(U)
+    contexts = spark.sparkContext.broadcast((sieve(allowed.select("g"), allowed.count()), large["g"].to_numpy(np.int64), often, spread, parts))
+    packed = train.select("text").mapInArrow(_followers(depth, contexts), PACKED_SQL).repartitionById(parts, F.col("part"))
+    counted = packed.mapInArrow(_counted(depth, least, contexts), "g long, sg long, ctx long, n long, total long, s1 long, s2 long")
+    parents = above.select(F.col("g").alias("sg"), F.col("lp").alias("up"))
     p = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
     tested = (F.col("n") >= F.lit(SYMBOL) * F.col("total")) & (F.abs(F.log10(p) - F.col("up")) >= math.log10(RATIO))
     rows = counted.join(parents, "sg").withColumns({"p": p, "tested": tested})
@@ -296,7 +391,7 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     move = F.col("back").isNotNull() & F.col("tested")
     lp = F.when(move, F.log10("p")).otherwise(F.col("up") + F.coalesce("back", F.lit(0.0)))
     extra = F.when(move, F.log10("p") - F.col("up") - F.col("back"))  # what a move adds to the longer context's back-off
-    grams = materialise(out.select("g", "n", lp.alias("lp"), F.col("sg").alias("t1"), "t2", move.alias("move"), extra.alias("extra")), "grams")
+    grams = materialise(out.select("g", "n", lp.alias("lp"), move.alias("move"), extra.alias("extra")), "grams")
     moves = materialise(grams.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log"), "extra", "n"), "moves")
     remove(spark, held[0])
     return states, moves, grams
@@ -325,10 +420,9 @@ def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
     tree.words, tree.counts = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     states, moves = _empty(train, "key long, back double, s1 long, s2 long, n long"), _empty(train, "key long, log double, extra double, n long")
     if n:
-        none = F.lit(None).cast("long")
         begin = train.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("word"), F.lit(int(texts)).alias("n"))
         root = F.log10((F.col("n") - F.lit(tree.discount)) / float(n))
-        above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"), none.alias("t1"), none.alias("t2"))
+        above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"))
         old = None
         for depth in range(1, DEPTH + 1):
             with recorded_scratch([]) as held:
@@ -344,7 +438,7 @@ def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
     tree.word_back[np.searchsorted(tree.words, own["key"].to_numpy(np.int64))] = own["back"].to_numpy(float)
     tree.whole = states.count() + moves.count() <= CACHE
     if tree.whole:
-        held, more = states.fillna(0, ["s1", "s2"]).toPandas(), moves.toPandas()
+        held, more = states.toPandas(), moves.toPandas()
         keys = held["key"].to_numpy(np.int64)
         tree.keys, tree.back = np.append(np.int64(0), keys), np.append(0.0, held["back"].to_numpy(float))
         known, parent = Lookup(keys.view(U)), np.zeros(len(keys), np.int64)
@@ -361,40 +455,37 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
     return model(train)[:2]
 
 
-def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by text and key, where each distinct pair begins in it, number of each)."""
-    order = np.lexsort((key, owner))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    at = np.flatnonzero(new)
-    return order, at, np.diff(np.append(at, len(order)))
-
+def _asked(parts: int, kind: int, base: int, keys: np.ndarray, owner: np.ndarray, open_: np.ndarray | int = 0) -> list[tuple]:
+    """Packed rows that ask for the terms of ``keys`` on behalf of texts, each key once with its texts."""
+    order = np.argsort(keys.view(U))
+    keys, refs = keys[order].view(U), (2 * owner + open_)[order].astype(np.uint32)
+    runs = _starts(keys)
+    ends, keys = np.append(runs, len(refs)), keys[runs]
+    rows = []
+    for part, lo, hi in _parts(keys, parts):
+        rows.append((part, ASKED + kind, base, keys[lo:hi], np.diff(ends[lo : hi + 1]).astype(np.uint32), refs[ends[lo] : ends[hi]]))
+    return rows
 
-def _lists(parts: list, kind: pa.StructType, n: int) -> pa.ListArray:
-    """Lists of structs per text from parts (text numbers, columns...)."""
-    owners, *columns = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * (1 + len(kind))
-    order = np.argsort(owners, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
-    arrays = [pa.array(c[order].astype(np.int64)) for c in columns]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=list(kind)))
 
+def _score(shared, held, parts: int):
+    """Packed sums of the texts by what the tasks hold, and what is asked of the tables."""
 
-def _score(shared, held=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = shared.value, held.value if held is not None else None
-        words, moves, states, top = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:], tree.top_keys))
+        tree = shared.value
+        words, moves, states = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:]))
+        tops = [(Lookup(tree.top_states.view(U)), tree.top_back), (Lookup(tree.top_moves.view(U)), tree.top_extra)]
         base, root, back = tree.base_log(tree.counts), tree.root_log(tree.counts), tree.back[1:]
         number = TaskContext.get().partitionId() << 33
         for b in batches:
-            n = b.num_rows
-            sums = np.zeros((4, n))
-            rare: list = []
-            grams: list = []
             for tokens, owner in _tokens(b.column(2), 1 << 18):
+                begin = int(owner[0])
+                owner = owner - begin
+                n = int(owner[-1]) + 1
                 ids = words.find(tokens.view(U))
                 common = ids >= 0
                 logs, open_ = np.zeros(len(ids)), np.ones(len(ids), dtype=bool)
                 chains = list(_chains(tokens, owner))
+                rows = []
                 if tree.whole:
                     for context, gram, _, valid in reversed(chains):
                         todo = np.flatnonzero(open_ & valid)
@@ -407,81 +498,132 @@ def _score(shared, held=None):
                         logs[todo[~hit]] += back[state[~hit]]
                     some = np.flatnonzero(open_ & common)
                     logs[some] += root[ids[some]]
-                else:  # what the tables may know of a token's contexts goes there, each key of a text once
+                else:  # what the tables may know of a token's contexts is asked there
                     some = np.flatnonzero(common)
                     logs[some] += root[ids[some]]
                     before = np.roll(ids, 1)
-                    begins = chains[0][0] == BEGIN
-                    some = np.flatnonzero(~begins & (before >= 0))
+                    before[chains[0][0] == BEGIN] = -1
+                    some = np.flatnonzero(before >= 0)
                     logs[some] += tree.word_back[before[some]]
-                    hit = known.holds(np.where(begins, BEGIN, 0)) & begins | known.holds(np.roll(tokens, 1)) & ~begins & (before < 0)
-                    place, parts = np.full(len(tokens), -1), []
-                    for context, gram, _, valid in chains:
-                        for keys, value, own in ((context, tree.top_back, 0), (gram, tree.top_extra, 1)):
-                            if own:
-                                hit = known.holds(keys)
-                                place = np.full(len(keys), -1)
-                                some = np.flatnonzero(hit)
-                                place[some] = top.find(keys[some].view(U))
-                            at = np.flatnonzero(hit & valid & (place >= 0))
-                            logs[at] += value[place[at]]
-                            at = np.flatnonzero(hit & valid & (place < 0))
-                            parts.append((owner[at], keys[at], np.full(len(at), own, np.int64)))
-                        hit, place = np.roll(hit, 1), np.roll(place, 1)  # as the next token's longer context
-                    who, keys, own = (np.concatenate(x) for x in zip(*parts))
-                    if len(who):
-                        order, at, times = _distinct(who, keys)
-                        own = np.add.reduceat(own[order], at)
-                        grams.append((who[order][at], keys[order][at], own, times - own))
-                for k, x in enumerate((np.ones(len(ids)), common, np.where(common, base[np.maximum(ids, 0)] if len(base) else 0, 0), logs)):
-                    sums[k] += np.bincount(owner, x, n)
+                    for kind, known, (top, value) in zip((STATES, MOVES), held.value, tops):
+                        keys, who = [], []
+                        for depth, (context, gram, _, valid) in enumerate(chains):
+                            key, at = (context, valid & (before < 0) if depth == 0 else valid) if kind == STATES else (gram, valid)
+                            at = np.flatnonzero(at)
+                            at = at[known.holds(key[at])]
+                            place = top.find(key[at].view(U))
+                            logs[at[place >= 0]] += value[place[place >= 0]]
+                            at = at[place < 0]
+                            keys.append(key[at])
+                            who.append(owner[at])
+                        rows += _asked(parts, kind, number + begin, np.concatenate(keys), np.concatenate(who))
                 others = np.flatnonzero(~common)
-                if len(others):
-                    order, at, times = _distinct(owner[others], tokens[others])
-                    order = others[order]
-                    rare.append((owner[order][at], tokens[order][at], times, np.add.reduceat(open_[order].astype(np.int64), at)))
-            arrays = [pa.array(number + np.arange(n)), b.column(0), b.column(1), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *map(pa.array, sums[2:])]
-            number += n
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, _lists(rare, _RARE, n), _lists(grams, _HITS, n)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "keys"],
-            )
+                if tree.n:
+                    rows += _asked(parts, WORDS, number + begin, tokens[others], owner[others], open_[others])
+                x = (np.ones(len(ids)), common, np.where(common, base[np.maximum(ids, 0)] if len(base) else 0, 0), logs)
+                sums = np.concatenate([np.bincount(owner, v, n) for v in x])
+                doc, out = b.column(0).slice(begin, n), b.column(1).slice(begin, n)
+                flags = [x.to_numpy(zero_copy_only=False) for x in (doc.is_valid(), out)]
+                text = (number + begin, doc.cast(pa.int64()).fill_null(0).to_numpy(), np.concatenate(flags), sums)
+                yield _packed([*rows, ((number + begin) % parts, TEXTS, *text)])
+            number += b.num_rows
 
     return run
 
 
-def _terms(states: DataFrame, moves: DataFrame) -> DataFrame:
-    """``key, back, extra, n``: what a key adds to a text's logarithm as a context, and as context and word.
+def _terms(kind: int, parts: int):
+    """Packed rows of a table of keys and values."""
 
-    A text's logarithm is the sum of its words' without context, of the back-off weight of every retained context, and of what
-    every move adds to its context's back-off: each term needs one key.
-    """
-    none = F.lit(0.0)
-    both = states.select("key", "back", none.alias("extra"), "n").unionByName(moves.select("key", none.alias("back"), "extra", "n"))
-    return both.groupBy("key").agg(F.sum("back").alias("back"), F.sum("extra").alias("extra"), F.max("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in _gathered(batches, PART):
+            order = np.argsort(keys.view(U))
+            keys, values = keys[order].view(U), values[order].astype(float)
+            yield _packed([(part, kind, 0, keys[lo:hi], values[lo:hi]) for part, lo, hi in _parts(keys, parts)])
+
+    return run
+
+
+def _answered(tree: Tree):
+    """Packed sums of the asked terms by text; texts pass."""
+    n, v, discount = tree.n, tree.v, tree.discount  # all that the tasks need
+    heads = Tree(n=n, v=v, discount=discount)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict = {STATES: [], MOVES: [], WORDS: []}
+        asked = []
+        for kind, base, row in _unpacked(batches):
+            if kind == TEXTS:
+                yield _packed([(0, kind, base, *(np.frombuffer(x, np.uint8) for x in row[:3]))])
+            elif kind < TEXTS:
+                tables[kind].append((np.frombuffer(row[0], U), np.frombuffer(row[1], float)))
+            else:
+                asked.append((kind - ASKED, base, row))
+        if not asked:
+            return
+        found = {}
+        for kind, rows in tables.items():
+            keys, values = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, U), np.zeros(0))
+            found[kind] = Lookup(keys), np.append(values, 0.0)  # the last one is for unknown keys
+        rows, size = [], 0
+        for kind, base, row in asked:
+            keys, times, refs = (np.frombuffer(x, t) for x, t in zip(row, (U, np.uint32, np.uint32)))
+            table, values = found[kind]
+            value = np.repeat(values[table.find(keys)], times)
+            text = (refs >> np.uint32(1)).astype(np.int64)
+            if kind == WORDS:
+                sums = [np.bincount(text, x) for x in (heads.root_log(value) * (refs & np.uint32(1)), heads.base_log(value), value > 0)]
+                at = np.flatnonzero(np.bincount(text))
+            else:
+                sums = [np.bincount(text, value)]
+                at = np.flatnonzero(sums[0])
+            if len(at):
+                rows.append((0, ASKED + kind, base, at.astype(np.uint32), np.concatenate([x[at].astype(float) for x in sums])))
+                size += len(at)
+            if size > 1 << 17:
+                yield _packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield _packed(rows)
+
+    return run
 
 
-def _with_top(tree: Tree, terms: DataFrame) -> None:
-    """Gives the tree the terms of the most frequent keys, at most CACHE: they make up most of what texts ask for."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by text of what the tasks held and what the tables answered."""
+    texts: dict = {}
+    added: dict = {}
+    for kind, base, row in _unpacked(batches):
+        if kind == TEXTS:
+            texts[base] = row
+        else:
+            added.setdefault(base, []).append((np.frombuffer(row[0], np.uint32), np.frombuffer(row[1], float)))
+    for base, row in texts.items():
+        doc, sums = np.frombuffer(row[0], np.int64), np.frombuffer(row[2], float).reshape(4, -1).copy()
+        valid, out = np.frombuffer(row[1], bool).reshape(2, -1)
+        for at, more in added.get(base, []):
+            more = more.reshape(-1, len(at))
+            sums[3, at] += more[0]
+            if len(more) > 1:
+                sums[2, at] += more[1]
+                sums[1, at] += more[2]
+        columns = [pa.array(doc, mask=~valid), pa.array(out), *(pa.array(np.rint(x).astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+        yield pa.RecordBatch.from_arrays(columns, schema=SUMS)
+
+
+def _top(terms: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the most frequent terms, at most ``most``: they make up much of what texts ask for."""
     size = F.floor(F.log2("n") * 16).cast("int")
     sizes = terms.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect()  # some hundreds
     held, least = 0, None
     for r in sizes:
         held += r.c
-        if held > CACHE:
+        if held > most:
             break
         least = r.size
     if least is None:
-        return
-    top = terms.filter(size >= least).select("key", "back", "extra").toPandas()
-    tree.top_keys, tree.top_back, tree.top_extra = top["key"].to_numpy(np.int64), top["back"].to_numpy(float), top["extra"].to_numpy(float)
-
-
-def _joined(scored: DataFrame, terms: DataFrame) -> DataFrame:
-    """``row, g``: the terms of the keys that the tasks don't hold, by a join."""
-    flat = scored.select("row", F.explode("keys").alias("x")).select("row", "x.*")
-    term = F.col("gram") * F.col("extra") + F.col("context") * F.col("back")
-    return flat.join(terms.drop("n"), "key").groupBy("row").agg(F.sum(term).alias("g"))
+        return np.zeros(0, np.int64), np.zeros(0)
+    top = terms.filter(size >= least).select("key", value).toPandas()
+    return top["key"].to_numpy(np.int64), top[value].to_numpy(float)
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -492,50 +634,34 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     probability under the suffix tree (see ``fit``): each token after the longest retained context that precedes it,
     backing off to shorter ones. Words unknown to the training texts are one symbol.
 
-    Common words are looked up in a table of bounded size; the others are joined to the counts of all words. So are states
-    and moves where they are more than CACHE. Null texts
+    A text's logarithm is the sum of its words' without context, of the back-off weight of every retained context, and of what
+    every move adds to its context's back-off: each term needs one key. Common words are looked up in a table of bounded size;
+    the others are asked of the counts of all words: texts' keys and tables meet by parts of the keys. So are states and
+    moves where they are more than CACHE, but the most frequent. Null texts
     are empty (an end alone), a row with a null id is a training text, repeated rows count each. Without training texts
     every token is the unknown symbol, of probability 1.
     """
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    spark = docs.sparkSession
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     with recorded_scratch([]) as stored:
         tree, counts, states, moves = model(rows.filter("NOT held_out"))
-    held = None
-    if not tree.whole:
-        terms = materialise(_terms(states, moves), "terms")
-        held = docs.sparkSession.sparkContext.broadcast(sieve(terms.select("key"), terms.count()))  # of bounded size
-        _with_top(tree, terms)
-        for path in stored:  # the terms say all that texts ask for
-            if "/states-" in path or "/moves-" in path:
-                remove(docs.sparkSession, path)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
-    scored = materialise(rows.mapInArrow(_score(shared, held), SCORED_SQL), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"), "r.open")
-    joined = rare.join(counts, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    known = F.when(c > 0, F.col("times")).otherwise(0)
-    total, discount = float(max(tree.n, 1)), tree.discount
-    unknown = discount * tree.v / total if tree.n else 1.0
-
-    def root(c):
-        return F.log10(F.when(c > 0, (c - F.lit(discount)) / total).otherwise(F.lit(unknown)))
-
-    sums = joined.groupBy("row").agg(
-        F.sum(known).alias("k"),
-        F.sum(F.col("times") * F.log10((c + 1.0) / float(tree.n + tree.v + 1))).alias("b"),
-        F.sum(F.col("open") * root(c)).alias("s"),
-    )
-    out = scored.drop("rare", "keys").join(sums, "row", "left")
+    parts, held = 1 + tree.n // PART, None
+    tables = [counts.select("word", "n").mapInArrow(_terms(WORDS, parts), PACKED_SQL)]
     if not tree.whole:
-        with settings(docs.sparkSession, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-            added = materialise(_joined(scored, terms), "added")
-        out = out.join(added, "row", "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.coalesce("g", F.lit(0.0)))
-
-    def plus(name: str, more: str, kind: str):
-        return (F.col(name) + F.coalesce(more, F.lit(0))).cast(kind).alias(name)
-
-    return out.select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "k", "long"), F.lit(tree.n).cast("long").alias("train_tokens"),
-        plus("base_score", "b", "double"), plus("score", "s", "double"),
-    )
+        sieves = tuple(sieve(x.select("key"), x.count()) for x in (states, moves))
+        held = spark.sparkContext.broadcast(sieves)  # of bounded size
+        tree.top_states, tree.top_back = _top(states, "back", CACHE // 2)
+        tree.top_moves, tree.top_extra = _top(moves, "extra", CACHE // 2)
+        tables.append(states.select("key", "back").mapInArrow(_terms(STATES, parts), PACKED_SQL))
+        tables.append(moves.select("key", "extra").mapInArrow(_terms(MOVES, parts), PACKED_SQL))
+    shared = spark.sparkContext.broadcast(tree)  # bounded: see COMMON and CACHE
+    asked = rows.mapInArrow(_score(shared, held, parts), PACKED_SQL)
+    for table in tables:
+        asked = asked.unionByName(table)
+    sums = asked.repartitionById(parts, F.col("part")).mapInArrow(_answered(tree), PACKED_SQL)
+    out = materialise(sums.repartition("base").mapInArrow(_summed, SUMS_SQL), "scores")
+    for path in stored:
+        remove(spark, path)
+    trained = F.lit(tree.n).cast("long").alias("train_tokens")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", trained, "base_score", "score")

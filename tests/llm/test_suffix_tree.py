@@ -205,3 +205,30 @@ def test_joined_tables_score_as_broadcast_ones(spark, monkeypatch, cache):
     assert len(held) == len(joined)
     for a, b in zip(held, joined):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
+class Held:
+    """Stands for a broadcast, and for a task's context."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def get(self):
+        return self
+
+    def partitionId(self):
+        return 3
+
+
+def test_a_task_hands_its_texts_over_by_pieces(monkeypatch):
+    """A batch of 5,000 long texts whose every word and context is asked of the tables leaves the task in small pieces."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1 << 40, 300)) for _ in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([False] * 5000), pa.array(texts)], ["doc_id", "held_out", "text"])
+    monkeypatch.setattr(st, "TaskContext", Held(None))
+    everything = st.Sieve(np.full(1 << 15, 255, np.uint8))
+    run = st._score(Held(st.Tree(n=1 << 22, v=10, whole=False)), Held((everything, everything)), 4)
+    found = list(run(iter([batch])))
+    assert max(b.nbytes for b in found) < 40e6
+    counts = [len(x[0]) // 8 for kind, _, x in st._unpacked(found) if kind == st.TEXTS]
+    assert sum(counts) == 5000
