@@ -30,12 +30,12 @@ BEGIN = np.int64(0x3C79AC492BA7B653)  # precedes each text
 _STEP = U(0x9E3779B97F4A7C15)
 SIEVE = 28  # bits of a filter at most: a power of two
 BLOCK = 18  # bits of a filter that are put together at a time: a power of two
-PART = 1 << 20  # tokens whose contexts and followers, or terms, meet in one task
+PART = 1 << 20  # tokens whose contexts and followers meet in one task; the terms of four times as many
+BATCH = "8m"  # of texts, or of packed rows, that a task is handed at a time
 HASHED = "64m"  # largest part of a join's smaller side that a task holds as a hash table
 PACKED_SQL = "part int, kind int, base long, " + ", ".join(f"{c} binary" for c in "abcde")  # arrays travel as bytes
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in "abcde")])
-STATES, MOVES, WORDS, TEXTS = range(4)  # kinds of packed terms, and of what asks for them; texts pass
-ASKED = 4  # added to the kind of terms by what asks for them
+FOLLOWERS, CONTEXTS, STATES, MOVES, WORDS, TERMS_ASKED, WORDS_ASKED, TEXTS = range(8)  # kinds of packed rows
 SUMS_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 SUMS = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
@@ -57,6 +57,25 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
             yield kind, base, [x.as_buffer() for x in columns]
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of the numbers by their rank, which compress better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.copy()
+
+
+def _joined(planes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Mostly ascending keys as differences."""
+    return _planes(np.diff(keys.view(U), prepend=U(0)))
+
+
+def _keys(steps) -> np.ndarray:
+    return np.cumsum(_joined(steps, U), dtype=U)
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
@@ -278,21 +297,22 @@ def sieve(keys: DataFrame, n: int) -> Sieve:
 
 
 def _followers(depth: int, shared):
-    """Counts of contexts of one length with what follows, for the contexts that pass the filter, packed by part.
+    """Counts of contexts of one length with what follows, packed by part, where contexts, and followers after the context
+    without its oldest word, pass the filters of those that occur often enough.
 
     A part holds all that follows a context. A context with more than a part can take is dealt over several by its
     followers, so that equal ones still meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, large, _, spread, parts = shared.value
-        large = Lookup(large.view(U))
+        known, repeated, large, spread, parts = shared.value
+        large = Lookup(large[0].view(U))
         for b in batches:
             for tokens, owner in _tokens(b.column(0)):
-                chains = list(islice(_chains(tokens, owner), depth))
-                context, gram, _, valid = chains[-1]
+                context, gram, shorter, valid = next(islice(_chains(tokens, owner), depth - 1, None))
                 at = np.flatnonzero(valid)
                 at = at[known.holds(context[at])]
+                at = at[repeated.holds(shorter[at])]
                 at = at[np.argsort(gram[at])]
                 first = _starts(gram[at])
                 n = np.diff(np.append(first, len(at))).astype(np.uint32)
@@ -307,47 +327,60 @@ def _followers(depth: int, shared):
                 ends = np.append(runs, len(at))
                 rows = []
                 for part, lo, hi in _parts(key[runs], parts):
-                    where, inside = at[runs[lo:hi]], slice(ends[lo], ends[hi])
-                    suffixes = [c[0][where] for c in reversed(chains[:-1])]
-                    lengths = np.diff(ends[lo : hi + 1]).astype(np.uint32)
-                    rows.append((part, 0, 0, context[where], lengths, tokens[at[inside]], n[inside], *([np.concatenate(suffixes)] if suffixes else [])))
+                    inside, lengths = slice(ends[lo], ends[hi]), np.diff(ends[lo : hi + 1]).astype(np.uint32)
+                    rows.append((part, FOLLOWERS, 0, _steps(context[at[runs[lo:hi]]]), _planes(lengths), tokens[at[inside]], _planes(n[inside])))
                 yield _packed(rows)
 
     return run
 
 
+def _contexts(parts: int):
+    """Packed contexts: key, count, keys of the suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _gathered(batches, PART):
+            order = np.argsort(columns[0].view(U))
+            keys, *others = (c[order] for c in columns)
+            yield _packed([(part, CONTEXTS, 0, _steps(keys[lo:hi]), *(_planes(x[lo:hi]) for x in others)) for part, lo, hi in _parts(keys.view(U), parts)])
+
+    return run
+
+
 def _counted(depth: int, least: float, shared):
-    """Followers that occur twice, of contexts that occur ``least`` times: keys of context and follower (``g``), of the same
-    without the oldest word (``sg``), of the context and its suffixes, and how often both occur."""
+    """Followers that occur twice: keys of context and follower (``g``), of the same without the oldest word (``sg``), of the
+    context and its suffixes, of the suffix of ``sg`` where it can be a context's, and how often both occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, large, often, _, _ = shared.value
-        held = [[np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.int64, np.uint32, np.int64)) if x is not None] for _, _, row in _unpacked(batches)]
+        tables, held = [shared.value[2]], []
+        for kind, _, row in _unpacked(batches):
+            if kind == CONTEXTS:
+                tables.append((_keys(row[0]).view(np.int64), *(_joined(x, np.int64) for x in row[1:4])))
+            else:
+                held.append((_keys(row[0]), _joined(row[1], np.uint32), np.frombuffer(row[2], np.int64), _joined(row[3], np.uint32)))
         if not held:
             return
-        context, lengths, word, n = (np.concatenate(x) for x in list(zip(*held))[:4])
-        suffixes = np.concatenate([r[4].reshape(depth - 1, -1) for r in held], axis=1) if depth > 1 else np.zeros((0, len(context)), np.int64)
-        del held
-        distinct, which = np.unique(context, return_inverse=True)
-        lengths, n = lengths.astype(np.int64), n.astype(np.int64)
-        total = np.bincount(which, np.add.reduceat(n, np.cumsum(lengths) - lengths)).astype(np.int64)
-        found = Lookup(large.view(U)).find(distinct.view(U))
-        total = np.where(found >= 0, often[found] if len(often) else 0, total)[which]  # the followers of these are not all here
+        known, total, s1, s2 = (np.concatenate(x) for x in zip(*tables))
+        context, lengths, word, n = (np.concatenate(x) for x in zip(*held))
+        del held, tables
+        place = Lookup(known.view(U)).find(context)
         run_of = np.repeat(np.arange(len(context)), lengths)
-        gram = _next(context[run_of], word)
+        keep = place[run_of] >= 0
+        run_of, word, n = run_of[keep], word[keep], n[keep].astype(np.int64)
+        if not len(n):
+            return
+        gram = _next(context.view(np.int64)[run_of], word)
         order = np.argsort(gram)
         first = _starts(gram[order])
         n = np.add.reduceat(n[order], first)
-        at = order[first]
-        keep = (n >= 2) & (total[run_of[at]] >= least)
-        at, n = at[keep], n[keep]
+        at = order[first[n >= 2]]
+        n = n[n >= 2]
+        none = np.zeros(1 << 17, np.int64)
         for lo in range(0, len(at), 1 << 17):
-            part = slice(lo, lo + (1 << 17))
-            where = run_of[at[part]]
-            s = [x[where] for x in suffixes] + [np.zeros(len(where), np.int64)] * (3 - depth)
-            suffix = word[at[part]] if depth == 1 else _next(s[0], word[at[part]])
-            columns = [gram[at[part]], suffix, context[where], n[part], total[where], *s[:2]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "sg", "ctx", "n", "total", "s1", "s2"])
+            which, times = at[lo : lo + (1 << 17)], n[lo : lo + (1 << 17)]
+            where = place[run_of[which]]
+            suffix = word[which] if depth == 1 else _next(s1[where], word[which])
+            columns = [gram[which], suffix, known[where], times, total[where], s1[where], s2[where], np.where(times >= least, word[which], 0) if depth == 2 else none[: len(which)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "sg", "ctx", "n", "total", "s1", "s2", "t2"])
 
     return run
 
@@ -355,7 +388,8 @@ def _counted(depth: int, least: float, shared):
 def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(states, moves, grams) of one length of contexts.
 
-    ``above`` holds the grams one shorter: key ``g``, count ``n`` and log10 probability ``lp``. For every follower the probability is compared with the one without the oldest word; a
+    ``above`` holds the grams one shorter: key ``g``, count ``n``, log10 probability ``lp`` and the keys ``t1, t2`` of
+    their suffixes as contexts (0: none). For every follower the probability is compared with the one without the oldest word; a
     context is retained if the followers whose probability departs by RATIO gain enough log likelihood together. Those get
     (count - DISCOUNT) / total; the rest of the mass goes to all others in proportion to the shorter context, so every
     state's distribution sums to 1. A context needs no retained suffix.
@@ -364,21 +398,27 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     least = max(CONTEXT * n, float(LEAST))
     allowed = above.filter(F.col("n") >= least)
     parts = 1 + n // PART
-    large = allowed.filter(F.col("n") >= n / (2 * parts)).select("g", "n").toPandas()  # at most 2 * parts rows
-    often = large["n"].to_numpy(np.int64)
-    spread = (2 * parts * often // max(n, 1) + 1).astype(U)
-    contexts = spark.sparkContext.broadcast((sieve(allowed.select("g"), allowed.count()), large["g"].to_numpy(np.int64), often, spread, parts))
-    packed = train.select("text").mapInArrow(_followers(depth, contexts), PACKED_SQL).repartitionById(parts, F.col("part"))
-    counted = packed.mapInArrow(_counted(depth, least, contexts), "g long, sg long, ctx long, n long, total long, s1 long, s2 long")
+    allowed = allowed.select("g", "n", "t1", "t2")
+    large = allowed.filter(F.col("n") >= n / (2 * parts)).toPandas()  # at most 2 * parts rows
+    large = tuple(large[c].to_numpy(np.int64) for c in ("g", "n", "t1", "t2"))
+    spread = (2 * parts * large[1] // max(n, 1) + 1).astype(U)
+    again = above.filter(F.col("n") >= 2).select("g")
+    filters = [sieve(x, x.count()) for x in (allowed.select("g"), again)]
+    contexts = spark.sparkContext.broadcast((*filters, large, spread, parts))  # of bounded size
+    packed = train.select("text").mapInArrow(_followers(depth, contexts), PACKED_SQL).unionByName(
+        allowed.filter(F.col("n") < n / (2 * parts)).mapInArrow(_contexts(parts), PACKED_SQL)
+    )
+    names = ("g", "sg", "ctx", "n", "total", "s1", "s2", "t2")
+    counted = packed.repartitionById(parts, F.col("part")).mapInArrow(_counted(depth, least, contexts), ", ".join(f"{c} long" for c in names))
     parents = above.select(F.col("g").alias("sg"), F.col("lp").alias("up"))
     p = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
     tested = (F.col("n") >= F.lit(SYMBOL) * F.col("total")) & (F.abs(F.log10(p) - F.col("up")) >= math.log10(RATIO))
-    rows = counted.join(parents, "sg").withColumns({"p": p, "tested": tested})
-    with settings(spark, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED), recorded_scratch([]) as held:
+    rows = counted.join(parents, "sg").withColumn("tested", tested)
+    with settings(spark, adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED, execution__arrow__maxBytesPerBatch=BATCH), recorded_scratch([]) as held:
         rows = materialise(rows, "followers")
     contexts.unpersist()
     theirs = F.pow(F.lit(10.0), F.col("up"))
-    states = rows.filter("tested").groupBy("ctx").agg(
+    states = rows.filter("tested").withColumn("p", p).groupBy("ctx").agg(
         *[F.min(c).alias(c) for c in ("total", "s1", "s2")], F.sum("p").alias("own"), F.sum(theirs).alias("theirs"), F.sum("n").alias("of"),
         F.sum(F.col("n") * (F.log("p") - F.col("up") * math.log(10))).alias("gain"),
     )
@@ -387,11 +427,13 @@ def _level(train: DataFrame, depth: int, above: DataFrame, n: int) -> tuple[Data
     gain = F.col("gain") + (F.col("total") - F.col("of")) * F.log(weight)
     states = states.filter(gain >= EVIDENCE * math.log(max(n, 2))).select("ctx", F.log10(weight).alias("back"), "s1", "s2", F.col("total").alias("n"))
     states = materialise(states, "states")
-    out = rows.join(states.select("ctx", "back"), "ctx", "left")
+    t1 = F.when(F.col("n") >= least, F.col("sg")).otherwise(0)  # of those that can be contexts
+    out = rows.select("ctx", "g", "n", "up", "tested", t1.alias("t1"), "t2")
+    out = out.join(states.select("ctx", "back", F.col("n").alias("total")), "ctx", "left").withColumn("p", p)
     move = F.col("back").isNotNull() & F.col("tested")
     lp = F.when(move, F.log10("p")).otherwise(F.col("up") + F.coalesce("back", F.lit(0.0)))
     extra = F.when(move, F.log10("p") - F.col("up") - F.col("back"))  # what a move adds to the longer context's back-off
-    grams = materialise(out.select("g", "n", lp.alias("lp"), move.alias("move"), extra.alias("extra")), "grams")
+    grams = materialise(out.select("g", "n", lp.alias("lp"), "t1", "t2", move.alias("move"), extra.alias("extra")), "grams")
     moves = materialise(grams.filter("move").select(F.col("g").alias("key"), F.col("lp").alias("log"), "extra", "n"), "moves")
     remove(spark, held[0])
     return states, moves, grams
@@ -420,9 +462,10 @@ def model(train: DataFrame) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
     tree.words, tree.counts = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     states, moves = _empty(train, "key long, back double, s1 long, s2 long, n long"), _empty(train, "key long, log double, extra double, n long")
     if n:
+        none = F.lit(0).cast("long")
         begin = train.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("word"), F.lit(int(texts)).alias("n"))
         root = F.log10((F.col("n") - F.lit(tree.discount)) / float(n))
-        above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"))
+        above = counts.unionByName(begin).select(F.col("word").alias("g"), "n", root.alias("lp"), none.alias("t1"), none.alias("t2"))
         old = None
         for depth in range(1, DEPTH + 1):
             with recorded_scratch([]) as held:
@@ -455,15 +498,16 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
     return model(train)[:2]
 
 
-def _asked(parts: int, kind: int, base: int, keys: np.ndarray, owner: np.ndarray, open_: np.ndarray | int = 0) -> list[tuple]:
-    """Packed rows that ask for the terms of ``keys`` on behalf of texts, each key once with its texts."""
+def _asked(parts: int, kind: int, base: int, keys: np.ndarray, refs: np.ndarray) -> list[tuple]:
+    """Packed rows that ask for the terms of ``keys`` on behalf of texts, each key once with its texts and what they ask."""
     order = np.argsort(keys.view(U))
-    keys, refs = keys[order].view(U), (2 * owner + open_)[order].astype(np.uint32)
+    keys, refs = keys[order].view(U), refs[order].astype(np.uint32)
     runs = _starts(keys)
     ends, keys = np.append(runs, len(refs)), keys[runs]
     rows = []
     for part, lo, hi in _parts(keys, parts):
-        rows.append((part, ASKED + kind, base, keys[lo:hi], np.diff(ends[lo : hi + 1]).astype(np.uint32), refs[ends[lo] : ends[hi]]))
+        times = np.diff(ends[lo : hi + 1]).astype(np.uint32)
+        rows.append((part, kind, base, _steps(keys[lo:hi]), _planes(times), _planes(refs[ends[lo] : ends[hi]])))
     return rows
 
 
@@ -473,7 +517,7 @@ def _score(shared, held, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         words, moves, states = (Lookup(x.view(U)) for x in (tree.words, tree.moves, tree.keys[1:]))
-        tops = [(Lookup(tree.top_states.view(U)), tree.top_back), (Lookup(tree.top_moves.view(U)), tree.top_extra)]
+        tops = [(1, Lookup(tree.top_states.view(U)), tree.top_back), (2, Lookup(tree.top_moves.view(U)), tree.top_extra)]
         base, root, back = tree.base_log(tree.counts), tree.root_log(tree.counts), tree.back[1:]
         number = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -505,21 +549,26 @@ def _score(shared, held, parts: int):
                     before[chains[0][0] == BEGIN] = -1
                     some = np.flatnonzero(before >= 0)
                     logs[some] += tree.word_back[before[some]]
-                    for kind, known, (top, value) in zip((STATES, MOVES), held.value, tops):
-                        keys, who = [], []
-                        for depth, (context, gram, _, valid) in enumerate(chains):
-                            key, at = (context, valid & (before < 0) if depth == 0 else valid) if kind == STATES else (gram, valid)
+                    follows = np.append(owner[1:] == owner[:-1], False)
+                    # a key is asked as what follows a context (2), and as the next token's context (1)
+                    asked = [(chains[0][0], np.zeros(len(ids), dtype=bool), before < 0)]
+                    asked += [(gram, valid, valid & follows & (depth < DEPTH)) for depth, (_, gram, _, valid) in enumerate(chains, 1)]
+                    keys, refs = [], []
+                    for key, as_move, as_state in asked:
+                        bits = np.zeros(len(key), np.int64)
+                        for (bit, top, value), known, at in zip(tops, held.value, (as_state, as_move)):
                             at = np.flatnonzero(at)
                             at = at[known.holds(key[at])]
                             place = top.find(key[at].view(U))
                             logs[at[place >= 0]] += value[place[place >= 0]]
-                            at = at[place < 0]
-                            keys.append(key[at])
-                            who.append(owner[at])
-                        rows += _asked(parts, kind, number + begin, np.concatenate(keys), np.concatenate(who))
+                            bits[at[place < 0]] |= bit
+                        at = np.flatnonzero(bits)
+                        keys.append(key[at])
+                        refs.append(4 * owner[at] + bits[at])
+                    rows += _asked(parts, TERMS_ASKED, number + begin, np.concatenate(keys), np.concatenate(refs))
                 others = np.flatnonzero(~common)
                 if tree.n:
-                    rows += _asked(parts, WORDS, number + begin, tokens[others], owner[others], open_[others])
+                    rows += _asked(parts, WORDS_ASKED, number + begin, tokens[others], 2 * owner[others] + open_[others])
                 x = (np.ones(len(ids)), common, np.where(common, base[np.maximum(ids, 0)] if len(base) else 0, 0), logs)
                 sums = np.concatenate([np.bincount(owner, v, n) for v in x])
                 doc, out = b.column(0).slice(begin, n), b.column(1).slice(begin, n)
@@ -538,7 +587,7 @@ def _terms(kind: int, parts: int):
         for keys, values in _gathered(batches, PART):
             order = np.argsort(keys.view(U))
             keys, values = keys[order].view(U), values[order].astype(float)
-            yield _packed([(part, kind, 0, keys[lo:hi], values[lo:hi]) for part, lo, hi in _parts(keys, parts)])
+            yield _packed([(part, kind, 0, _steps(keys[lo:hi]), values[lo:hi]) for part, lo, hi in _parts(keys, parts)])
 
     return run
 
@@ -554,10 +603,10 @@ def _answered(tree: Tree):
         for kind, base, row in _unpacked(batches):
             if kind == TEXTS:
                 yield _packed([(0, kind, base, *(np.frombuffer(x, np.uint8) for x in row[:3]))])
-            elif kind < TEXTS:
-                tables[kind].append((np.frombuffer(row[0], U), np.frombuffer(row[1], float)))
+            elif kind in tables:
+                tables[kind].append((_keys(row[0]), np.frombuffer(row[1], float)))
             else:
-                asked.append((kind - ASKED, base, row))
+                asked.append((kind, base, row))
         if not asked:
             return
         found = {}
@@ -566,18 +615,21 @@ def _answered(tree: Tree):
             found[kind] = Lookup(keys), np.append(values, 0.0)  # the last one is for unknown keys
         rows, size = [], 0
         for kind, base, row in asked:
-            keys, times, refs = (np.frombuffer(x, t) for x, t in zip(row, (U, np.uint32, np.uint32)))
-            table, values = found[kind]
-            value = np.repeat(values[table.find(keys)], times)
-            text = (refs >> np.uint32(1)).astype(np.int64)
-            if kind == WORDS:
-                sums = [np.bincount(text, x) for x in (heads.root_log(value) * (refs & np.uint32(1)), heads.base_log(value), value > 0)]
+            keys, times, refs = _keys(row[0]), _joined(row[1], np.uint32), _joined(row[2], np.uint32).astype(np.int64)
+
+            def value(kind: int) -> np.ndarray:
+                table, values = found[kind]
+                return np.repeat(values[table.find(keys)], times)
+
+            if kind == WORDS_ASKED:
+                text, c = refs >> 1, value(WORDS)
+                sums = [np.bincount(text, x) for x in (heads.root_log(c) * (refs & 1), heads.base_log(c), c > 0)]
                 at = np.flatnonzero(np.bincount(text))
             else:
-                sums = [np.bincount(text, value)]
+                sums = [np.bincount(refs >> 2, value(STATES) * (refs & 1) + value(MOVES) * (refs >> 1 & 1))]
                 at = np.flatnonzero(sums[0])
             if len(at):
-                rows.append((0, ASKED + kind, base, at.astype(np.uint32), np.concatenate([x[at].astype(float) for x in sums])))
+                rows.append((0, kind, base, _planes(at.astype(np.uint32)), np.concatenate([x[at].astype(float) for x in sums])))
                 size += len(at)
             if size > 1 << 17:
                 yield _packed(rows)
@@ -596,7 +648,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == TEXTS:
             texts[base] = row
         else:
-            added.setdefault(base, []).append((np.frombuffer(row[0], np.uint32), np.frombuffer(row[1], float)))
+            added.setdefault(base, []).append((_joined(row[0], np.uint32), np.frombuffer(row[1], float)))
     for base, row in texts.items():
         doc, sums = np.frombuffer(row[0], np.int64), np.frombuffer(row[2], float).reshape(4, -1).copy()
         valid, out = np.frombuffer(row[1], bool).reshape(2, -1)
@@ -646,7 +698,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     with recorded_scratch([]) as stored:
         tree, counts, states, moves = model(rows.filter("NOT held_out"))
-    parts, held = 1 + tree.n // PART, None
+    parts, held = 1 + tree.n // (4 * PART), None
     tables = [counts.select("word", "n").mapInArrow(_terms(WORDS, parts), PACKED_SQL)]
     if not tree.whole:
         sieves = tuple(sieve(x.select("key"), x.count()) for x in (states, moves))
@@ -660,7 +712,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     for table in tables:
         asked = asked.unionByName(table)
     sums = asked.repartitionById(parts, F.col("part")).mapInArrow(_answered(tree), PACKED_SQL)
-    out = materialise(sums.repartition("base").mapInArrow(_summed, SUMS_SQL), "scores")
+    with settings(spark, execution__arrow__maxBytesPerBatch=BATCH):
+        out = materialise(sums.repartition("base").mapInArrow(_summed, SUMS_SQL), "scores")
     for path in stored:
         remove(spark, path)
     trained = F.lit(tree.n).cast("long").alias("train_tokens")
