@@ -26,9 +26,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """Unit vector; a vector with norm below 1e-12 stays as it is."""
-    size = norm(a)
-    divisor = F.when(size < 1e-12, F.lit(1.0)).otherwise(size)
-    return F.transform(a, lambda x: x.cast("double") / divisor)
+    divisor = lambda size: F.when(size < 1e-12, F.lit(1.0)).otherwise(size)
+    return let(divisor(norm(a)), lambda d: F.transform(a, lambda x: x.cast("double") / d))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,6 +1,8 @@
+from collections import Counter
 from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,61 @@ def test_all_lists_probed_is_exact_and_blocks_do_not_matter(spark):
     assert retrieval.build_index(empty, retrieval.choose_leaders(empty)).count() == 0
 
 
+def test_blocks_are_bounded_by_what_their_queries_take(spark, monkeypatch):
+    df, x = corpus(spark)
+    seen, tiled = [], retrieval._tiled
+    monkeypatch.setattr(retrieval, "_tiled", lambda rows, sizes, *more: (seen.append(sizes.first()), tiled(rows, sizes, *more))[1])
+    monkeypatch.setattr(retrieval, "ENTRIES", 1500)
+    got = retrieval.similar_bars(df, df, 40, same_regime=False, tile=1).toPandas()
+    assert [(r.n_q, r.n_c) for r in seen] == [(-(-240 * (8 + 3 * 40) // 1500), retrieval.MEETINGS)] * 2  # 40 places of three numbers
+    for q in (0, 5, 239):
+        rows = got[got["query_time"] == T0 + timedelta(hours=q)].sort_values("rank")
+        assert [int((t - T0).total_seconds() // 3600) for t in rows[TS]] == brute(x, None, q, 40, False, False)
+
+
+def test_packed_probes_say_the_same_in_a_row_per_query(spark):
+    df = clustered(spark, 700)
+    df = df.unionByName(df.filter(F.hour(TS) % 5 == 0)).cache()  # some bars come twice
+    leaders = retrieval.choose_leaders(df, seed=2).cache()
+    lists = retrieval.build_index(df, leaders).cache()
+    rows = retrieval.probe_lists(df, leaders, 0.4).cache()
+    packed = retrieval.probe_lists(df, leaders, 0.4, packed=True).cache()
+    assert packed.count() == df.select("pair", TS).distinct().count()
+    number = {(r["pair"], r[TS]): r["number"] for r in leaders.collect()}
+    many = {r["pair"]: r["n_leaders"] for r in leaders.collect()}
+    expected = Counter((r["pair"], r["query_time"], number[r["pair"], r["leader"]]) for r in rows.collect())
+    got = Counter()
+    for r in packed.collect():
+        assert len(r["lists"]) == -(-len({v for k, v in number.items() if k[0] == r["pair"]}) // 64)  # what travels: a bit per list
+        chosen = [64 * w + b for w, bits in enumerate(r["lists"]) for b in range(64) if bits >> b & 1] + r["again"]
+        assert len(chosen) == -(-many[r["pair"]] * 2 // 5)
+        got.update((r["pair"], r["query_time"], n) for n in chosen)
+    assert got == expected and max(got.values()) > 1
+    assert sorted(retrieval.search_cost(packed, lists).collect()) == sorted(retrieval.search_cost(rows, lists).collect())
+    near = [sorted(map(tuple, retrieval.approximate_topk(df, lists, p, 6, same_regime=False, tile=64).drop("regime_name").collect())) for p in (packed, rows)]
+    assert near[0] == near[1] and len(near[0]) == 6 * packed.count()
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 19])
+@pytest.mark.parametrize("history,exclude", [(False, 0), (True, 0), (False, 30)])
+def test_neighbours_closer_than_single_precision_are_ranked_exactly(monkeypatch, pairs, history, exclude):
+    monkeypatch.setattr(retrieval, "_PAIRS", pairs)
+    monkeypatch.setattr(retrieval, "_STEP", (64, 100))
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(20, 12)), 50, axis=0) + 1e-4 * rng.normal(size=(1000, 12))
+    x[::7] = x[0]
+    order = rng.permutation(1000)
+    block = retrieval._Block(pa.table({"_us": order, "regime": pa.nulls(1000, pa.int64()), "embedding": pa.array(list(x[order]), pa.list_(pa.float64()))}))
+    best = retrieval._Best(block, 6, False, exclude, history)
+    for part in np.array_split(np.arange(1000), 3):
+        best.meet(np.arange(1000), block, part)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 1000, 13):
+        sims = np.round(unit @ unit[q], 12)
+        ids = np.flatnonzero((np.arange(1000) < q if history else True) & (abs(np.arange(1000) - q) >= exclude))
+        assert list(best.at[q][best.sim[q] > -np.inf]) == list(ids[np.lexsort((ids, -sims[ids]))][:6]), q
+
+
 def test_tied_votes_count_as_down(spark):
     df, _ = corpus(spark, 60, copies=0)
     labels = df.select("pair", "interval", TS, (F.hour(TS) % 2).alias("next_dir"))
