@@ -54,6 +54,8 @@ def _unit(column: pa.ChunkedArray, place: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         if out is None:
             out = np.empty((len(place), vectors.shape[1]))
+        elif vectors.shape[1] != out.shape[1]:
+            raise ValueError("a vector is null, or vectors differ in length")
         out[place[done : done + len(chunk)]] = vectors / np.where(size < 1e-12, 1.0, size)
         done += len(chunk)
     return out
